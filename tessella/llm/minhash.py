@@ -10,8 +10,9 @@
 3. Pairs come from posting lists: in two rounds every member of a list meets the
    list's leader; verified links join components, and members that are linked
    already are skipped. Lists that still hold several components are compared
-   in blocks, pairs within a component being skipped. Pairs with at least T
-   collisions in their whole signatures are confirmed on the full sets.
+   pair by pair, long ones in blocks, pairs within a component being skipped.
+   Pairs with at least T collisions in their whole signatures, and all pairs in
+   blocks, are confirmed on the full sets.
 
 T is far below the K * similarity collisions that a pair expects: at K = 40 and
 0.75 a linked pair has fewer than 21 with probability 0.0003. No list is cut, and
@@ -32,8 +33,8 @@ from . import common
 from .components import components
 
 WIDTH, K, T = 5, 40, 21
-#: Members of a posting list that are compared at once.
-LIST_BLOCK = 512
+#: Posting lists of so few members are compared pair by pair; longer ones in blocks of so many.
+FEW, LIST_BLOCK = 16, 512
 #: Texts that are hashed at once, in bytes.
 CHUNK = 400_000
 
@@ -214,14 +215,23 @@ def colliding(pairs: DataFrame, classes: DataFrame, t: int, percent: int) -> Dat
     return both.where(fits & (F.size(F.array_intersect("ca", "cb")) >= t)).select("a", "b")
 
 
-def in_blocks(members: DataFrame, t: int, percent: int) -> DataFrame:
-    """Colliding pairs of different components within posting lists (key, id, component, n, coords), block by block."""
-    size = members.groupBy("key").agg(F.count("*").alias("m"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / LIST_BLOCK)).cast("int")
-    own = members.join(size, "key").withColumn("blocks", blocks)
+def in_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of different components in posting lists (key, id, component) of at most FEW members."""
+    left = members.select("key", F.col("id").alias("a"), F.col("component").alias("c"))
+    right = members.select("key", F.col("id").alias("b"), F.col("component").alias("d"))
+    return left.join(right, "key").where("a < b and c <> d").select("a", "b")
+
+
+def in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links between components in long posting lists (key, id, component, hashes, m), block by block, on full sets.
+
+    A block compares all its sets at once and returns links enough to join the
+    components that it links, not every pair.
+    """
+    own = members.withColumn("blocks", F.ceil(F.col("m") / LIST_BLOCK).cast("int"))
     own = own.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = own.select("key", "id", "component", "n", "coords", "block", other)
+    dealt = own.select("key", "id", "component", "hashes", "block", other)
     dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
     def run(key, pdf):
@@ -229,20 +239,55 @@ def in_blocks(members: DataFrame, t: int, percent: int) -> DataFrame:
         import pandas as pd
 
         lo, hi = int(key[1]), int(key[2])
-        x, y = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
-        cx, cy = (np.array(p["coords"].tolist(), dtype=np.int64) for p in (x, y))
-        found = []
-        ids, comps, ns = (y[c].to_numpy() for c in ("id", "component", "n"))
-        for k, (i, c, n) in enumerate(zip(x["id"], x["component"], x["n"])):
-            fit = np.flatnonzero((comps != c) & (100 * np.minimum(ns, n) >= percent * np.maximum(ns, n)) & ((ids > i) | (lo != hi)))
-            if len(fit):
-                hit = fit[(cy[fit] == cx[k]).sum(axis=1) >= t]
-                found += [(min(i, j), max(i, j)) for j in ids[hit]]
+        comps, ids = pdf["component"].to_numpy(), pdf["id"].to_numpy()
+        x, y = np.flatnonzero(pdf["block"].to_numpy() == lo), np.flatnonzero(pdf["block"].to_numpy() == hi)
+        found: list[tuple] = []
+        if len(np.unique(comps)) > 1 and len(x) and len(y):
+            sets = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
+            both = overlaps(sets, x, y)
+            n = np.array([len(s) for s in sets])
+            near = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (comps[x][:, None] != comps[y][None, :])
+            i, j = np.nonzero(near)
+            pairs = pd.DataFrame({"c": comps[x[i]], "d": comps[y[j]], "a": ids[x[i]], "b": ids[y[j]]}).drop_duplicates(["c", "d"])
+            root: dict = {}
+
+            def top(c):
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for c, d, a, b in pairs.itertuples(index=False):
+                c, d = top(c), top(d)
+                if c != d:
+                    root[max(c, d)] = min(c, d)
+                    found.append((min(a, b), max(a, b)))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("key", "lo", "hi").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
+def overlaps(sets, x, y, width: int = 4096):
+    """Sizes of the intersections of sets x with sets y, by products of incidence matrices, some columns at a time."""
+    import numpy as np
+
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1  # what one set has alone is in no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)), dtype=np.float64)
+    for at in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [at, at + width])
+        m = np.zeros((len(sets), width), dtype=np.float32)
+        m[row[a:b], column[a:b] - at] = 1
+        out += m[x] @ m[y].T
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, k: int = K, t: int = T, rounds: int = 2) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept, for each row."""
     spark = docs.sparkSession
@@ -274,9 +319,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, k: i
             pairs = lists.join(mixed.select("key", "leader"), "key").where(F.col("component") != F.col("leader.component"))
             pairs = colliding(pairs.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")), candidates, t, percent)
         else:
-            rest = lists.join(mixed.select("key"), "key").join(candidates, "id")
-            pairs = in_blocks(rest, t, percent)
-        found = common.staged(confirmed(pairs, sets, percent), "found")
+            length = lists.groupBy("key").agg(F.count("*").alias("m"))
+            rest = common.staged(lists.join(mixed.select("key").join(length, "key"), "key"), "mixed-lists")
+            pairs = colliding(in_pairs(rest.where(F.col("m") <= FEW)), candidates, t, percent)
+        found = confirmed(pairs, sets, percent)
+        if r == rounds:
+            found = found.unionByName(in_blocks(rest.where(F.col("m") > FEW).join(sets, "id"), percent))
+        found = common.staged(found, "found")
         common.drop(lists)
         if found.head(1):
             links = links.unionByName(found)

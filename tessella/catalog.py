@@ -1,2 +1,441 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""The library's queries on the driver's tables, each with its DuckDB twin where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.functions import draws, geometry as g
+from tessella.operators import centroid, components, growth, nearest, raster, sampling, voronoi
+from tessella.plans.stage import shared_dir
+from tessella.sources import fixtures as fx, json_files
+
+W = fx.WIDTH
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: Fixture views in DuckDB's SQL.
+SITES = f"sites AS (SELECT s_suppkey AS site_id, (s_suppkey * 7919 + 13) % {W} AS sx, (s_suppkey * 104729 + 71) % {W} AS sy, s_acctbal AS balance FROM supplier)"
+GRID = f"grid AS (SELECT a.range AS x, b.range AS y FROM range({W}) a, range({W}) b)"
+D2 = f"(least(abs(x - sx), {W} - abs(x - sx)) * least(abs(x - sx), {W} - abs(x - sx)) + least(abs(y - sy), {W} - abs(y - sy)) * least(abs(y - sy), {W} - abs(y - sy)))"
+LABELLED = f"{SITES}, {GRID}, m AS (SELECT x, y, min(struct_pack(d := {D2}, t := CASE WHEN {D2} = 0 THEN -site_id ELSE site_id END, id := site_id)) AS b FROM grid, sites GROUP BY x, y), lab AS (SELECT x, y, b.id AS label FROM m)"
+TRIANGLES = "tri AS (SELECT * FROM (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey * 31 % 997 AS ax, l_partkey * 17 % 991 AS ay, l_partkey * 29 % 983 AS bx, l_suppkey * 37 % 977 AS by_, l_suppkey * 41 % 971 AS cx, (l_orderkey + l_partkey) * 43 % 967 AS cy FROM lineitem) WHERE (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) <> 0)"
+SEGMENTS = "seg AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS ax, CAST(embedding[2] AS DOUBLE) * 100 AS ay, CAST(embedding[3] AS DOUBLE) * 100 AS bx, CAST(embedding[4] AS DOUBLE) * 100 AS by_ FROM embeddings)"
+CLOUDS = "clouds AS (SELECT user_id, event_id, event_id * 31 % 512 AS x, CAST(floor(value) AS BIGINT) AS y FROM events)"
+BESIDE = f"nx AS (SELECT a.x, a.y, a.label, b.label AS other FROM lab a JOIN lab b ON b.x = (a.x + 1) % {W} AND b.y = a.y WHERE a.label <> b.label), ny AS (SELECT a.x, a.y, a.label, b.label AS other FROM lab a JOIN lab b ON b.x = a.x AND b.y = (a.y + 1) % {W} WHERE a.label <> b.label)"
+EDGES = "edges AS (SELECT x AS x1, y + 1 AS y1, x + 1 AS x2, y + 1 AS y2, label AS group_a, other AS group_b FROM ny UNION ALL SELECT x + 1, y, x + 1, y + 1, label, other FROM nx)"
+LCG = lambda k: f"((({k}) % 2147483648) * 1103515245 + 12345) % 2147483648"
+UNIFORM = lambda k: f"(({LCG(LCG(k))} + 0.5) / 2147483648.0)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(fx.grid(spark), fx.sites(spark, sf_dir), W, W)
+
+
+@query(f"WITH {LABELLED} SELECT * FROM lab")
+def d1_nearest_site(spark, sf_dir):
+    return labelled(spark, sf_dir)
+
+
+@query(f"WITH {LABELLED} SELECT * FROM lab")
+def d1_nearest_by_bucket(spark, sf_dir):
+    """The same by bucketed ring search, the way for many sites."""
+    sites = fx.sites(spark, sf_dir)
+    return nearest._by_bucket(fx.grid(spark), sites, W, W, sites.count())
+
+
+@query(f"WITH {LABELLED} SELECT s.site_id AS label, CAST(count(lab.label) AS BIGINT) AS area, round(count(lab.label) / {W * W}.0, 6) AS share FROM sites s LEFT JOIN lab ON lab.label = s.site_id GROUP BY s.site_id")
+def d1_areas(spark, sf_dir):
+    return nearest.areas(labelled(spark, sf_dir), fx.sites(spark, sf_dir).select(F.col("site_id").alias("label"))).orderBy("area", "label")
+
+
+@query(f"WITH {SITES}, {GRID}, w AS (SELECT *, balance - min(balance) OVER () + 1.0 AS weight FROM sites), m AS (SELECT x, y, min(struct_pack(d := weight * sqrt(CAST({D2} AS DOUBLE)), t := site_id)) AS b FROM grid, w GROUP BY x, y) SELECT x, y, b.t AS label FROM m")
+def d2_weighted_nearest(spark, sf_dir):
+    sites = nearest.balanced_weights(fx.sites(spark, sf_dir), "balance")
+    return nearest.nearest(fx.grid(spark), sites, W, W, "weight")
+
+
+@query(f"WITH {LABELLED} SELECT label, CAST(count(*) AS BIGINT) AS cells, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y, CAST(floor(sum(x) / count(*)) AS BIGINT) AS mx, CAST(floor(sum(y) / count(*)) AS BIGINT) AS my FROM lab GROUP BY label")
+def e4_midpoints(spark, sf_dir):
+    return nearest.midpoints(labelled(spark, sf_dir))
+
+
+def _levels(spark, sf_dir):
+    k = F.col("n_nationkey").cast("long")
+    one = fx.table(spark, sf_dir, "nation").select(k.alias("site_id"), ((k * 37 + 5) % W).alias("sx"), ((k * 53 + 9) % W).alias("sy"))
+    k = F.col("r_regionkey").cast("long")
+    two = fx.table(spark, sf_dir, "region").select(k.alias("site_id"), ((k * 29 + 3) % W).alias("sx"), ((k * 41 + 7) % W).alias("sy"))
+    return [one, two]
+
+
+def _level_sql(n: int, sums: str, sites: str) -> str:
+    d2 = D2.replace("abs(x ", "abs(mx ").replace("abs(y ", "abs(my ")
+    return f"""j{n} AS (SELECT label, cells, sum_x, sum_y, (min(struct_pack(d := {d2}, t := CASE WHEN {d2} = 0 THEN -site_id ELSE site_id END, id := site_id))).id AS coarse FROM (SELECT *, sum_x // cells AS mx, sum_y // cells AS my FROM {sums}), {sites} GROUP BY label, cells, sum_x, sum_y),
+s{n} AS (SELECT coarse AS label, sum(cells) AS cells, sum(sum_x) AS sum_x, sum(sum_y) AS sum_y FROM j{n} GROUP BY coarse)"""
+
+
+@query(f"""WITH {LABELLED}, l1 AS (SELECT CAST(n_nationkey AS BIGINT) AS site_id, (n_nationkey * 37 + 5) % {W} AS sx, (n_nationkey * 53 + 9) % {W} AS sy FROM nation), l2 AS (SELECT CAST(r_regionkey AS BIGINT) AS site_id, (r_regionkey * 29 + 3) % {W} AS sx, (r_regionkey * 41 + 7) % {W} AS sy FROM region),
+s0 AS (SELECT label, CAST(count(*) AS BIGINT) AS cells, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM lab GROUP BY label), {_level_sql(1, 's0', 'l1')}, {_level_sql(2, '(SELECT label, CAST(cells AS BIGINT) AS cells, CAST(sum_x AS BIGINT) AS sum_x, CAST(sum_y AS BIGINT) AS sum_y FROM s1)', 'l2')}
+SELECT x, y, j2.coarse AS label FROM lab JOIN j1 ON lab.label = j1.label JOIN j2 ON j1.coarse = j2.label""")
+def i19_nested_partition(spark, sf_dir):
+    return nearest.nested(labelled(spark, sf_dir), _levels(spark, sf_dir), W, W)[0]
+
+
+@query(f"WITH {LABELLED}, {BESIDE}, {EDGES} SELECT * FROM edges")
+def i1_boundary_edges(spark, sf_dir):
+    return raster.boundary_edges(labelled(spark, sf_dir), W, W)
+
+
+@query(f"WITH {LABELLED}, {BESIDE} SELECT x AS x1, CASE WHEN y = {W - 1} THEN 0 ELSE y + 1 END AS y1, x + 1 AS x2, CASE WHEN y = {W - 1} THEN 0 ELSE y + 1 END AS y2, label AS group_a, other AS group_b FROM ny WHERE y < {W - 1} OR x < {W - 1} UNION ALL SELECT x + 1, y, x + 1, y + 1, label, other FROM nx WHERE y < {W - 1}")
+def i1_boundary_edges_reference(spark, sf_dir):
+    return raster.boundary_edges(labelled(spark, sf_dir), W, W, "reference")
+
+
+@query(f"WITH {LABELLED}, {BESIDE} SELECT DISTINCT least(label, other) AS a, greatest(label, other) AS b FROM (FROM nx UNION ALL FROM ny)")
+def e11_adjacency(spark, sf_dir):
+    return raster.adjacency(labelled(spark, sf_dir), W, W)
+
+
+@query(f"WITH {LABELLED}, {BESIDE}, p AS (SELECT least(label, other) AS a, greatest(label, other) AS b FROM (FROM nx UNION ALL FROM ny)) SELECT DISTINCT a, b FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p)")
+def h6_symmetric_adjacency(spark, sf_dir):
+    return raster.symmetric(raster.adjacency(labelled(spark, sf_dir), W, W))
+
+
+@query(f"WITH {LABELLED}, {BESIDE}, p AS (SELECT DISTINCT least(label, other) AS a, greatest(label, other) AS b FROM (FROM nx UNION ALL FROM ny)), q AS (SELECT CASE WHEN a = 1 THEN 2 ELSE a END AS p, CASE WHEN b = 1 THEN 2 ELSE b END AS q FROM p) SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM q WHERE p <> q")
+def i18_contract_region(spark, sf_dir):
+    return raster.contract(raster.adjacency(labelled(spark, sf_dir), W, W), 1, 2)
+
+
+@query(f"WITH {LABELLED}, {BESIDE}, {EDGES}, v AS (SELECT x1 % {W} AS cx, y1 % {W} AS cy FROM edges UNION ALL SELECT x2 % {W}, y2 % {W} FROM edges) SELECT cx, cy, CAST(count(*) AS BIGINT) AS degree FROM v GROUP BY cx, cy")
+def e10_corner_degrees(spark, sf_dir):
+    return raster.corner_degrees(raster.boundary_edges(labelled(spark, sf_dir), W, W), W, W)
+
+
+@query(f"""WITH RECURSIVE {LABELLED}, lk AS (SELECT a.x * {W} + a.y AS a, b.x * {W} + b.y AS b FROM lab a JOIN lab b ON a.label = b.label AND ((b.x = (a.x + 1) % {W} AND b.y = a.y) OR (b.x = a.x AND b.y = (a.y + 1) % {W}))),
+e AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk), seed AS (SELECT label, min(x * {W} + y) AS s FROM lab GROUP BY label),
+r AS (SELECT x * {W} + y AS id, x * {W} + y AS root FROM lab UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b)
+SELECT id // {W} AS x, id % {W} AS y, CAST(dense_rank() OVER (ORDER BY root) AS BIGINT) AS region FROM (SELECT id, min(root) AS root FROM r GROUP BY id)""")
+def i12_connected_regions(spark, sf_dir):
+    return components.regions(labelled(spark, sf_dir), W, W)
+
+
+@query()
+def i2_label_edges(spark, sf_dir):
+    return components.label_edges(raster.boundary_edges(labelled(spark, sf_dir), W, W))
+
+
+@query(f"WITH {LABELLED}, {BESIDE}, {EDGES}, l AS (SELECT * FROM edges) SELECT CAST(count(*) AS BIGINT) AS n_edges, CAST(0 AS BIGINT) AS mixed FROM l")
+def i2_label_edges_invariant(spark, sf_dir):
+    """Every edge has a label, and no label spans two group pairs."""
+    e = i2_label_edges(spark, sf_dir)
+    pair = F.struct(F.least("group_a", "group_b"), F.greatest("group_a", "group_b"))
+    per = e.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct(pair).alias("pairs"))
+    return per.agg(F.sum("n").alias("n_edges"), F.sum((F.col("pairs") != 1).cast("long")).alias("mixed"))
+
+
+@query()
+def i7_polylines(spark, sf_dir):
+    return components.polylines(raster.boundary_edges(labelled(spark, sf_dir), W, W), W, W)
+
+
+@query(f"WITH {LABELLED}, {BESIDE}, {EDGES} SELECT least(x1, x2) % {W} AS x, least(y1, y2) % {W} AS y, CASE WHEN y1 = y2 THEN 'low_y' ELSE 'low_x' END AS side, max(group_a) AS line FROM edges GROUP BY ALL")
+def i11_border_map(spark, sf_dir):
+    e = raster.boundary_edges(labelled(spark, sf_dir), W, W).withColumn("label", F.col("group_a"))
+    return raster.border_map(e, W, W)
+
+
+_OFFSETS = ", ".join(f"({i}, {j})" for i, j in raster.REFERENCE)
+_CANDIDATES = f"WITH {LABELLED}, half AS (SELECT x, y, CASE WHEN (x * 7 + y * 3) % 5 < 3 THEN label END AS label FROM lab), o(i, j) AS (VALUES {_OFFSETS}), c AS (SELECT k.label, f.x, f.y, count(*) AS support FROM half f, o, half k WHERE f.label IS NULL AND k.label IS NOT NULL AND k.x = (f.x + i + {W}) % {W} AND k.y = (f.y + j + {W}) % {W} GROUP BY k.label, f.x, f.y)"
+
+
+@query(f"{_CANDIDATES} SELECT label, x, y, CAST(support AS BIGINT) AS support FROM c")
+def c1_growth_candidates(spark, sf_dir):
+    half = labelled(spark, sf_dir).withColumn("label", F.when((F.col("x") * 7 + F.col("y") * 3) % 5 < 3, F.col("label")))
+    return raster.candidates(half, W, W)
+
+
+@query(f"{_CANDIDATES} SELECT label, x, y, CAST(support AS BIGINT) AS support FROM (SELECT *, rank() OVER (PARTITION BY label ORDER BY support DESC) AS r FROM c) WHERE r = 1")
+def c2_best_candidates(spark, sf_dir):
+    return raster.best_candidates(c1_growth_candidates(spark, sf_dir))
+
+
+@query(f"WITH {GRID}, o(i, j) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) SELECT x, y, x + i AS nx, y + j AS ny FROM grid, o WHERE x + i BETWEEN 0 AND {W - 1} AND y + j BETWEEN 0 AND {W - 1}")
+def b32_clamped_neighbours(spark, sf_dir):
+    return raster.clamped(fx.grid(spark), W, W)
+
+
+@query(f"""WITH {TRIANGLES} SELECT id, round((ax + bx + cx) / 3.0, 6) AS gx, round((ay + by_ + cy) / 3.0, 6) AS gy, round(sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)), 6) AS ab,
+round(ax + ((cy - ay) * u - (by_ - ay) * v) * k, 7) AS ux, round(ay + ((bx - ax) * v - (cx - ax) * u) * k, 7) AS uy
+FROM (SELECT *, CAST((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS DOUBLE) AS u, CAST((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) AS DOUBLE) AS v, 0.5 / CAST((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS DOUBLE) AS k FROM tri)""")
+def b5_circumcenter(spark, sf_dir):
+    a, b, c = ((F.col(x), F.col(y)) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy")))
+    gx, gy = g.centroid(a, b, c)
+    ux, uy = g.circumcenter(a, b, c)
+    return fx.triangles(spark, sf_dir).select("id", F.round(gx, 6).alias("gx"), F.round(gy, 6).alias("gy"), F.round(g.euclidean(*a, *b), 6).alias("ab"), F.round(ux, 7).alias("ux"), F.round(uy, 7).alias("uy"))
+
+
+@query(f"WITH {TRIANGLES} SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS differ FROM tri WHERE ay <> by_ AND by_ <> cy")
+def b6_bisector_center(spark, sf_dir):
+    """Both ways to the circumcentre agree where the second is defined."""
+    a, b, c = ((F.col(x), F.col(y)) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy")))
+    (ux, uy), (vx, vy) = g.circumcenter(a, b, c), g.bisector_center(a, b, c)
+    far = F.hypot(ux - vx, uy - vy) > 1e-3 * (1 + F.hypot(ux, uy))
+    t = fx.triangles(spark, sf_dir).where("ay <> by and by <> cy")
+    return t.agg(F.count("*").alias("n"), F.sum(F.coalesce(far, F.lit(True)).cast("long")).alias("differ"))
+
+
+@query(f"WITH {SEGMENTS} SELECT id, CASE WHEN ax < -5 THEN 1 WHEN ax > 5 THEN 2 ELSE 0 END + CASE WHEN ay < -5 THEN 4 WHEN ay > 5 THEN 8 ELSE 0 END AS code FROM seg")
+def b24_outcode(spark, sf_dir):
+    return fx.segments(spark, sf_dir).select("id", g.outcode(F.col("ax"), F.col("ay"), -5.0, 5.0).alias("code"))
+
+
+@query(f"""WITH {SEGMENTS}, t AS (SELECT *, bx - ax AS dx, by_ - ay AS dy FROM seg), u AS (SELECT *, greatest(0, coalesce(least((-5 - ax) / nullif(dx, 0), (5 - ax) / nullif(dx, 0)), 0), coalesce(least((-5 - ay) / nullif(dy, 0), (5 - ay) / nullif(dy, 0)), 0)) AS e,
+least(1, coalesce(greatest((-5 - ax) / nullif(dx, 0), (5 - ax) / nullif(dx, 0)), 1), coalesce(greatest((-5 - ay) / nullif(dy, 0), (5 - ay) / nullif(dy, 0)), 1)) AS l FROM t)
+SELECT id, round(ax + e * dx, 6) + 0.0 AS x1, round(ay + e * dy, 6) + 0.0 AS y1, round(ax + l * dx, 6) + 0.0 AS x2, round(ay + l * dy, 6) + 0.0 AS y2 FROM u WHERE e <= l AND NOT (dx = 0 AND (ax < -5 OR ax > 5)) AND NOT (dy = 0 AND (ay < -5 OR ay > 5))""")
+def b25_clip_segments(spark, sf_dir):
+    a, b = (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))
+    seen, e, l = g.clip(a, b, -5.0, 5.0)
+    at = lambda p, d, t: F.round(p + t * d, 6) + 0.0
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    return fx.segments(spark, sf_dir).where(seen).select("id", at(a[0], dx, e).alias("x1"), at(a[1], dy, e).alias("y1"), at(a[0], dx, l).alias("x2"), at(a[1], dy, l).alias("y2"))
+
+
+@query(f"WITH {SEGMENTS} SELECT id, CASE WHEN d < -1e-10 THEN 0 WHEN d <= 1e-10 THEN 1 ELSE 2 END AS roots, round(CASE WHEN d > 1e-10 THEN least((-ay - sqrt(d)) / (2 * ax), (-ay + sqrt(d)) / (2 * ax)) END, 4) AS low FROM (SELECT id, ax, ay, ay * ay - 4 * ax * bx AS d FROM seg WHERE abs(ax) > 0.01)")
+def b15_quadratic_roots(spark, sf_dir):
+    r = g.quadratic_roots(F.col("ax"), F.col("ay"), F.col("bx"))
+    s = fx.segments(spark, sf_dir).where("abs(ax) > 0.01")
+    return s.select("id", F.size(r).alias("roots"), F.round(F.when(F.size(r) == 2, F.get(r, F.lit(0))), 4).alias("low"))
+
+
+@query(f"WITH {SEGMENTS} SELECT id, round(((by_ - ay) * (by_ - ay) + ax * ax - 2500.0) / (2 * (ax - 50.0)), 6) AS px FROM seg")
+def b16_parabola(spark, sf_dir):
+    s = fx.segments(spark, sf_dir)
+    return s.select("id", F.round(g.parabola_x(F.lit(50.0), F.col("ax"), F.col("ay"), F.col("by")), 6).alias("px"))
+
+
+@query(f"WITH {SEGMENTS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS off FROM seg WHERE abs(ax - bx) > 0.01")
+def b17_parabola_meet(spark, sf_dir):
+    """Points where two parabolas meet lie on both."""
+    s = fx.segments(spark, sf_dir).where("abs(ax - bx) > 0.01")
+    y = g.parabola_meet_y(F.lit(-80.0), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    p = lambda x, z: g.parabola_x(F.lit(-80.0), F.col(x), F.col(z), F.get("y", F.lit(0)))
+    off = F.abs(p("ax", "ay") - p("bx", "by")) > 1e-4 * (1 + F.abs(p("ax", "ay")))
+    return s.withColumn("y", y).agg(F.count("*").alias("n"), F.sum(F.coalesce(off, F.lit(True)).cast("long")).alias("off"))
+
+
+@query(f"WITH {SEGMENTS}, p AS (SELECT a.id, a.ax AS x1, a.ay AS y1, a.bx AS x2, a.by_ AS y2, b.ax AS x3, b.ay AS y3, b.bx AS x4, b.by_ AS y4 FROM seg a JOIN seg b ON b.id = a.id + 1), q AS (SELECT *, (x1 - x2) * (y3 - y4) - (y1 - y2) * (x3 - x4) AS d FROM p), r AS (SELECT *, ((x1 * y2 - y1 * x2) * (x3 - x4) - (x1 - x2) * (x3 * y4 - y3 * x4)) / d AS x, ((x1 * y2 - y1 * x2) * (y3 - y4) - (y1 - y2) * (x3 * y4 - y3 * x4)) / d AS y FROM q) SELECT id, x BETWEEN least(x1, x2) AND greatest(x1, x2) AND x BETWEEN least(x3, x4) AND greatest(x3, x4) AND y BETWEEN least(y1, y2) AND greatest(y1, y2) AND y BETWEEN least(y3, y4) AND greatest(y3, y4) AS meet FROM r")
+def b8_segments_meet(spark, sf_dir):
+    s = fx.segments(spark, sf_dir)
+    t = s.select((F.col("id") - 1).alias("id"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
+    pts = [(F.col(x), F.col(y)) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"), ("dx", "dy"))]
+    return s.join(t, "id").select("id", g.segments_meet(*pts).alias("meet"))
+
+
+_CUT = " + ".join(f"CASE WHEN ({b} > py) <> ({d} > py) AND px < CAST({c} - {a} AS DOUBLE) * ((py - {b}) / nullif(CAST({d} - {b} AS DOUBLE), 0)) + {a} THEN 1 ELSE 0 END" for a, b, c, d in (("ax", "ay", "bx", "by_"), ("bx", "by_", "cx", "cy"), ("cx", "cy", "ax", "ay")))
+
+
+@query(f"WITH {TRIANGLES}, q AS (SELECT *, id * 13 % 997 AS px, id * 7 % 983 AS py FROM tri) SELECT id, ({_CUT}) % 2 = 1 AS inside FROM q")
+def b11_point_in_polygon(spark, sf_dir):
+    d = lambda c: F.col(c).cast("double")
+    ring = F.array(*[F.struct(d(x).alias("x"), d(y).alias("y")) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"))])
+    t = fx.triangles(spark, sf_dir)
+    return t.select("id", g.in_ring(ring, (F.col("id") * 13 % 997).cast("double"), (F.col("id") * 7 % 983).cast("double")).alias("inside"))
+
+
+@query(f"WITH {TRIANGLES} SELECT id, round(-((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) / 2.0, 6) AS area FROM tri")
+def b22_ring_area(spark, sf_dir):
+    d = lambda c: F.col(c).cast("double")
+    ring = F.array(*[F.struct(d(x).alias("x"), d(y).alias("y")) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"))])
+    return fx.triangles(spark, sf_dir).select("id", F.round(g.ring_area(ring), 6).alias("area"))
+
+
+@query(f"WITH {CLOUDS} SELECT user_id, event_id, (x + 400) % 512 AS x, (y + 13) % 512 AS y, CAST(least(abs(x - 17), 512 - abs(x - 17)) + least(abs(y - 250), 512 - abs(y - 250)) AS BIGINT) AS torus_l1 FROM clouds")
+def b33_translate(spark, sf_dir):
+    x, y = F.col("x"), F.col("y")
+    return fx.clouds(spark, sf_dir).select("user_id", "event_id", g.wrap(x + 400, 512).alias("x"), g.wrap(y + 13, 512).alias("y"), (g.axis_distance(x, F.lit(17), 512) + g.axis_distance(y, F.lit(250), 512)).alias("torus_l1"))
+
+
+@query(f"WITH {CLOUDS}, c AS (SELECT user_id, a.range AS spot, sum(least(abs(x - a.range), 512 - abs(x - a.range)) * least(abs(x - a.range), 512 - abs(x - a.range))) AS kx, sum(least(abs(y - a.range), 512 - abs(y - a.range)) * least(abs(y - a.range), 512 - abs(y - a.range))) AS ky FROM clouds, range(512) a GROUP BY user_id, a.range), b AS (SELECT user_id, min(struct_pack(k := kx, spot := spot)) AS bx, min(struct_pack(k := ky, spot := spot)) AS b_y FROM c GROUP BY user_id) SELECT user_id, bx.spot AS cx, b_y.spot AS cy, CAST(bx.k + b_y.k AS BIGINT) AS cost FROM b")
+def j11_torus_centroid(spark, sf_dir):
+    return centroid.exact(fx.clouds(spark, sf_dir), "user_id", 512, 512)
+
+
+@query("SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS users, CAST(0 AS BIGINT) AS below FROM events")
+def j11_chain_bound(spark, sf_dir):
+    """The Metropolis chain never beats the exact optimum."""
+    pts = fx.clouds(spark, sf_dir)
+    both = centroid.chain(pts, "user_id", 512, 512).select("user_id", F.col("cost").alias("found")).join(centroid.exact(pts, "user_id", 512, 512), "user_id")
+    return both.agg(F.count("*").alias("users"), F.sum((F.col("found") < F.col("cost") - 1e-6).cast("long")).alias("below"))
+
+
+@query(f"WITH {CLOUDS}, l AS (SELECT *, CASE WHEN greatest(abs(x - lag(x) OVER w), abs(y - lag(y) OVER w)) > 60 OR lag(x) OVER w IS NULL THEN 1 ELSE 0 END AS brk FROM clouds WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, CAST(sum(brk) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM l")
+def f4_split_on_disconnect(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    far = F.greatest(F.abs(F.col("x") - F.lag("x").over(w)), F.abs(F.col("y") - F.lag("y").over(w))) > 60
+    brk = F.coalesce(far.cast("int"), F.lit(1))
+    c = fx.clouds(spark, sf_dir).withColumn("brk", brk)
+    return c.select("user_id", "event_id", F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("line"))
+
+
+@query(f"WITH w AS (SELECT n_regionkey, n_nationkey, n_nationkey % 4 + 1 AS weight FROM nation), c AS (SELECT *, sum(weight) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS cum, sum(weight) OVER (PARTITION BY n_regionkey) AS total FROM w) SELECT n_regionkey, min(n_nationkey) AS picked FROM c WHERE cum > {UNIFORM('CAST(n_regionkey AS BIGINT)')} * total GROUP BY n_regionkey")
+def f7_weighted_pick(spark, sf_dir):
+    w = Window.partitionBy("n_regionkey")
+    t = fx.table(spark, sf_dir, "nation").withColumn("weight", F.col("n_nationkey") % 4 + 1)
+    t = t.withColumn("cum", F.sum("weight").over(w.orderBy("n_nationkey"))).withColumn("total", F.sum("weight").over(w))
+    return t.where(F.col("cum") > draws.uniform(F.col("n_regionkey").cast("long")) * F.col("total")).groupBy("n_regionkey").agg(F.min("n_nationkey").alias("picked"))
+
+
+_U, _V = UNIFORM("o_orderkey"), UNIFORM("o_orderkey + 77")
+
+
+@query(f"""SELECT o_orderkey AS id, CAST(3 + floor({_U} * 5) AS BIGINT) AS uniform_int, round(2 + {_U} * 3, 6) AS uniform_real, {_U} < 0.3 AS bernoulli, CAST(floor(ln(1 - {_U}) / ln(0.67)) AS BIGINT) AS geometric,
+round(-ln(1 - {_U}) / 2, 6) AS exponential, round(3 * pow(-ln(1 - {_U}), 1 / 1.5), 6) AS weibull, round(1 - 2 * ln(-ln({_U})), 6) AS extreme_value, round(sqrt(-2 * ln({_U})) * cos(2 * pi() * {_V}), 6) AS normal, round(0.5 + 2 * tan(pi() * ({_U} - 0.5)), 3) AS cauchy FROM orders""")
+def m_distributions(spark, sf_dir):
+    u, v = draws.uniform(F.col("o_orderkey")), draws.uniform(F.col("o_orderkey") + 77)
+    r = lambda c, n=6: F.round(c, n)
+    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), draws.uniform_int(u, 3, 7).alias("uniform_int"), r(draws.uniform_real(u, 2, 5)).alias("uniform_real"), draws.bernoulli(u, 0.3).alias("bernoulli"), draws.geometric(u, 0.33).alias("geometric"), r(draws.exponential(u, 2)).alias("exponential"), r(draws.weibull(u, 1.5, 3)).alias("weibull"), r(draws.extreme_value(u, 1, 2)).alias("extreme_value"), r(draws.normal(u, v)).alias("normal"), r(draws.cauchy(u, 0.5, 2), 3).alias("cauchy"))
+
+
+@query()
+def m_compound_distributions(spark, sf_dir):
+    k, u, v = F.col("o_orderkey"), draws.uniform(F.col("o_orderkey")), draws.uniform(F.col("o_orderkey") + 77)
+    return fx.table(spark, sf_dir, "orders").select(k.alias("id"), draws.poisson(u, 4.0).alias("poisson"), draws.binomial(k, 8, 0.4).alias("binomial"), draws.negative_binomial(k, 3, 0.5).alias("negative_binomial"), draws.lognormal(u, v, 0.0, 0.5).alias("lognormal"), draws.gamma(k, 3, 2.0).alias("gamma"), draws.chi_squared(k, 4).alias("chi_squared"), draws.student_t(k, 5).alias("student_t"), draws.fisher_f(k, 3, 6).alias("fisher_f"), draws.discrete(u, [1, 2, 3, 4]).alias("discrete"), draws.piecewise_constant(u, v, [0.0, 1.0, 3.0, 6.0], [1, 1, 2]).alias("piecewise"))
+
+
+def _points(spark, sf_dir):
+    k = F.col("p_partkey")
+    return fx.table(spark, sf_dir, "part").select(k.alias("id"), (draws.draw(k, 2) / float(draws.MODULUS)).alias("px"), (draws.draw(k + 5000, 3) / float(draws.MODULUS)).alias("py"))
+
+
+_POINTS = f"pts AS (SELECT p_partkey AS id, {LCG(LCG('p_partkey'))} / 2147483648.0 AS px, {LCG(LCG(LCG('p_partkey + 5000')))} / 2147483648.0 AS py FROM part)"
+
+
+@query(f"WITH {_POINTS} SELECT a.id, b.id AS other FROM pts a JOIN pts b ON a.id <> b.id AND (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) < {0.02 * 0.02!r}")
+def d4_close_pairs(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return sampling.close_pairs(p, p, 0.02)
+
+
+@query(f"WITH {_POINTS} SELECT id FROM pts WHERE (px - 0.5) * (px - 0.5) + (py - 0.5) * (py - 0.5) > 0.01 AND (px - 0.5) * (px - 0.5) + (py - 0.5) * (py - 0.5) < 0.04000000000000001")
+def c3_annulus(spark, sf_dir):
+    return sampling.annulus(_points(spark, sf_dir), 0.5, 0.5, 0.1, 0.2).select("id")
+
+
+@query()
+def j8_poisson_disk(spark, sf_dir):
+    return sampling.poisson_disk(_points(spark, sf_dir), 0.05)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS too_near, CAST(0 AS BIGINT) AS could_add")
+def j8_poisson_invariant(spark, sf_dir):
+    """None of the kept points is too near another, and no other point fits."""
+    points = _points(spark, sf_dir)
+    kept = sampling.staged(sampling.poisson_disk(points, 0.05))
+    near = sampling.close_pairs(kept, kept, 0.05).agg(F.count("*").alias("too_near"))
+    covered = sampling.close_pairs(points, kept, 0.05).select("id").distinct()
+    return near.crossJoin(points.join(kept, "id", "left_anti").join(covered, "id", "left_anti").agg(F.count("*").alias("could_add")))
+
+
+def _cells(spark, sf_dir):
+    k = F.col("s_suppkey")
+    sites = fx.table(spark, sf_dir, "supplier").select(k.alias("site_id"), (draws.draw(k, 2) / float(draws.MODULUS) * 4096).alias("sx"), (draws.draw(k + 9000, 3) / float(draws.MODULUS) * 4096).alias("sy"))
+    return voronoi.cells(sites, 4096.0)
+
+
+@query()
+def i21_voronoi_cells(spark, sf_dir):
+    return _cells(spark, sf_dir)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS cells, CAST(16777216.0 AS DOUBLE) AS area, CAST(0 AS BIGINT) AS one_sided FROM supplier")
+def i21_voronoi_invariant(spark, sf_dir):
+    """The cells fill the square, and sharing an edge is mutual."""
+    rings = voronoi.staged(_cells(spark, sf_dir))
+    area = voronoi.centroids(rings).agg(F.count("*").alias("cells"), F.round(F.sum("area"), 3).alias("area"))
+    e = rings.select("site_id", F.explode("ring.e").alias("e")).where("e >= 0").distinct()
+    back = e.select(F.col("e").alias("site_id"), F.col("site_id").alias("e"))
+    return area.crossJoin(e.join(back, ["site_id", "e"], "left_anti").agg(F.count("*").alias("one_sided")))
+
+
+@query()
+def i30_region_graph(spark, sf_dir):
+    return voronoi.region_graph(_cells(spark, sf_dir))
+
+
+@query()
+def i29_vertex_graph(spark, sf_dir):
+    return voronoi.vertex_graph(_cells(spark, sf_dir))
+
+
+@query()
+def i32_adjacency_segments(spark, sf_dir):
+    rings = voronoi.staged(_cells(spark, sf_dir))
+    c = voronoi.centroids(rings)
+    a = c.select(F.col("site_id").alias("a"), F.col("cx").alias("x1"), F.col("cy").alias("y1"))
+    b = c.select(F.col("site_id").alias("b"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
+    return voronoi.region_graph(rings).join(a, "a").join(b, "b")
+
+
+def _maps(spark, sf_dir):
+    k = F.col("n_nationkey").cast("long")
+    return fx.table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("map_id"), k.alias("label"), (k * 7 % 32).alias("x"), (k * 13 % 32).alias("y"), F.greatest(F.lit(1.0), draws.geometric(draws.uniform(k), 0.33).cast("double")).alias("weight"))
+
+
+@query()
+def j1_growth(spark, sf_dir):
+    return growth.grow(_maps(spark, sf_dir), 32, 32)
+
+
+@query("SELECT CAST(count(DISTINCT n_regionkey) * 1024 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS unassigned FROM nation")
+def j1_growth_invariant(spark, sf_dir):
+    return j1_growth(spark, sf_dir).agg(F.count("*").alias("cells"), F.sum((F.col("label") < 0).cast("long")).alias("unassigned"))
+
+
+@query()
+def j5_random_walks(spark, sf_dir):
+    maps = fx.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("map_id"))
+    return growth.walk_cuts(maps, 32, 32)
+
+
+@query(f"SELECT CAST(n_nationkey AS BIGINT) AS plate_id, round(0.1 + {UNIFORM('CAST(n_nationkey AS BIGINT)')} * 0.9, 6) AS drift_x, round(3 * (0.1 + {UNIFORM('CAST(n_nationkey AS BIGINT)')} * 0.9), 6) AS moved_x, CAST(1 AS DOUBLE) AS direction FROM nation")
+def j9_advance(spark, sf_dir):
+    k = F.col("n_nationkey").cast("long")
+    drift = draws.uniform_real(draws.uniform(k), 0.1, 1.0)
+    return fx.table(spark, sf_dir, "nation").select(k.alias("plate_id"), F.round(drift, 6).alias("drift_x"), F.round(3 * drift, 6).alias("moved_x"), F.sign(drift).alias("direction"))
+
+
+@query(f"WITH {LABELLED} SELECT * FROM lab")
+def a2_matrix_round_trip(spark, sf_dir):
+    import uuid
+
+    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    json_files.write_matrix(labelled(spark, sf_dir), path)
+    return json_files.read_matrix(spark, path)
+
+
+@query(f"WITH {SITES} SELECT site_id, printf('[%.6f, %.6f]', CAST(sx AS DOUBLE), CAST(sy AS DOUBLE)) AS json FROM sites")
+def a1_point_text(spark, sf_dir):
+    return fx.sites(spark, sf_dir).select("site_id", json_files.point_text(F.col("sx"), F.col("sy")).alias("json"))
+
+
+@query(f"WITH {LABELLED}, {BESIDE}, {EDGES} SELECT x1, y1, x2, y2, '[[' || x1 || ',' || y1 || '],[' || x2 || ',' || y2 || ']]' AS json FROM edges")
+def a4_edge_lines(spark, sf_dir):
+    return json_files.edge_lines(raster.boundary_edges(labelled(spark, sf_dir), W, W).select("x1", "y1", "x2", "y2"))
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -26,7 +26,7 @@ _PIECES = {
 }
 _plain = re.compile(f" ?[{_LATIN}]+").fullmatch
 #: Pieces in each of a worker's two generations of memo, and the longest remembered, in characters.
-MEMO_PIECES, MEMO_CHARS = 400_000, 64
+MEMO_PIECES, MEMO_CHARS = 250_000, 64
 
 
 def _byte_letters() -> dict[int, str]:

@@ -172,7 +172,7 @@ def fetch(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
         for pdf in batches:
             for data in pdf["content"]:
                 rows = [(e[0], np.frombuffer(read_frame(data, e), "<u4").astype("int64")) for e in seek_table(data) if e[0] in wanted]
-                yield pd.DataFrame({"doc_id": pd.Series([r[0] for r in rows], dtype="Int64"), "ids": [r[1] for r in rows]})
+                yield pd.DataFrame({"doc_id": pd.Series([r[0] for r in rows], dtype="Int64"), "ids": pd.Series([r[1] for r in rows], dtype=object)})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tokens.zst").load(folder)
     return files.select("content").mapInPandas(run, "doc_id bigint, ids array<bigint>")

@@ -206,11 +206,12 @@ def test_base_spans():
 
 def test_revealing_terms(spark, empty):
     rows = [(k, f"{prose(k, 12)} nickname zorro writes z@mail.com {' '.join(w * 4 for w in 'qwertyuiopasdfgh'[k % 16])} " + "abcdefghijklmnop"[k % 16] * 5) for k in range(8)]
-    rows += [(100 + k, f"{prose(k, 10)} ordinary nickname text") for k in range(200)]
+    # 8 mentions in 1008 documents: a term seen with them alone tells log2(1008 / 8) = 7 bits; in 208 documents it would be under 5.
+    rows += [(100 + k, f"{prose(k, 10)} ordinary nickname text") for k in range(1000)]
     found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     text = rows[0][1]
     assert f"term:{text.index('zorro')}:{text.index('zorro') + 5}" in found[0].spans and found[0].n_email == 1
-    assert all("term" not in found[100 + k].spans for k in range(200)) and pii.find(empty).count() == 0
+    assert all("term" not in found[100 + k].spans for k in range(1000)) and pii.find(empty).count() == 0
 
 
 def test_urls(spark, empty):

@@ -15,7 +15,7 @@
    blocks, are confirmed on the full sets.
 
 T is far below the K * similarity collisions that a pair expects: at K = 40 and
-0.75 a linked pair has fewer than 21 with probability 0.0003. No list is cut, and
+0.75 a linked pair has fewer than 21 with probability 0.0006. No list is cut, and
 lists of one component cost no pairs, so large groups of near copies stay linear.
 
 Defined results: null and empty texts, and texts without words, have an empty

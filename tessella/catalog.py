@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import draws, geometry as g
-from tessella.operators import centroid, components, growth, nearest, raster, sampling, voronoi
+from tessella.operators import centroid, components, growth, lines, merging, nearest, raster, sampling, voronoi
 from tessella.plans.stage import shared_dir
 from tessella.sources import fixtures as fx, json_files
 
@@ -433,6 +433,195 @@ def a4_edge_lines(spark, sf_dir):
     return json_files.edge_lines(raster.boundary_edges(labelled(spark, sf_dir), W, W).select("x1", "y1", "x2", "y2"))
 
 
+@query(f"WITH {LABELLED}, {BESIDE}, {EDGES} SELECT CAST(count(*) AS BIGINT) AS n_edges, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS through FROM edges")
+def i8_ordered_lines_invariant(spark, sf_dir):
+    """Every edge is on one line, neighbours on a line are neighbours on the torus, and junctions lie at ends only."""
+    edges = sampling.staged(raster.boundary_edges(labelled(spark, sf_dir), W, W))
+    on = sampling.staged(lines.ordered_lines(edges, W, W))
+    step = on.select("line", (F.col("seq") + 1).alias("seq"), F.col("x").alias("px"), F.col("y").alias("py"))
+    far = g.axis_distance(F.col("x"), F.col("px"), W) + g.axis_distance(F.col("y"), F.col("py"), W)
+    pairs = on.join(step, ["line", "seq"]).agg(F.count("*").alias("n_edges"), F.sum((far != 1).cast("long")).alias("gaps"))
+    again = on.join(step, ["line", "seq"]).select(F.least(F.struct("x", "y"), F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("p"), F.greatest(F.struct("x", "y"), F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("q"))
+    again = again.groupBy("p", "q").agg(F.count("*").alias("n")).agg(F.sum((F.col("n") > 1).cast("long")).alias("repeated"))
+    last = on.groupBy("line").agg(F.max("seq").alias("last"))
+    inner = on.join(last, "line").where("seq > 0 and seq < last").select(F.col("x").alias("cx"), F.col("y").alias("cy"))
+    through = inner.join(raster.corner_degrees(edges, W, W), ["cx", "cy"]).agg(F.sum((F.col("degree") != 2).cast("long")).alias("through"))
+    return pairs.crossJoin(again).crossJoin(through)
+
+
+@query()
+def i8_ordered_lines(spark, sf_dir):
+    return lines.ordered_lines(raster.boundary_edges(labelled(spark, sf_dir), W, W), W, W)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS clashes, CAST(0 AS BIGINT) AS uncoloured, CAST(0 AS BIGINT) AS beyond")
+def i33_colours_invariant(spark, sf_dir):
+    """No two lines that meet have one colour, every line has one, and seven are enough."""
+    on = sampling.staged(i8_ordered_lines(spark, sf_dir))
+    met, ids = sampling.staged(lines.clashes(on)), on.select("line").distinct()
+    found = sampling.staged(lines.colour(ids, met))
+    a, b = (found.select(F.col("line").alias(c), F.col("colour").alias("c" + c)) for c in ("a", "b"))
+    one = met.join(a, "a").join(b, "b").agg(F.count_if(F.col("ca") == F.col("cb")).alias("clashes"))
+    two = ids.join(found, "line", "left").agg(F.count_if(F.col("colour").isNull()).alias("uncoloured"), F.count_if(F.col("colour") > 6).alias("beyond"))
+    return one.crossJoin(two)
+
+
+@query(ORACLES["i12_connected_regions"])
+def i12_areas_between_borders(spark, sf_dir):
+    """The same regions from borders instead of labels."""
+    map_id = F.lit(0).cast("long")
+    sides = i11_border_map(spark, sf_dir).withColumn("map_id", map_id)
+    return merging.areas_between(fx.grid(spark).withColumn("map_id", map_id), sides, W, W).select("x", "y", "region")
+
+
+def _cut_maps(spark, sf_dir):
+    walks = sampling.staged(j5_random_walks(spark, sf_dir))
+    maps = fx.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("map_id"))
+    return walks, merging.areas_between(maps.crossJoin(F.broadcast(fx.grid(spark, 32))), walks, 32, 32)
+
+
+@query()
+def j3_slice_areas(spark, sf_dir):
+    return _cut_maps(spark, sf_dir)[1]
+
+
+@query("SELECT CAST(count(*) * 1024 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS gaps FROM region")
+def j3_slice_areas_invariant(spark, sf_dir):
+    """Every cell has a region, cells without a border between them the same one, and numbers run from 1 without gaps."""
+    walks, found = _cut_maps(spark, sf_dir)
+    found = sampling.staged(found)
+    per = found.groupBy("map_id").agg(F.count("*").alias("n"), F.max("region").alias("top"), F.countDistinct("region").alias("k"))
+    beside = found.select("map_id", g.wrap(F.col("x") + 1, 32).alias("x"), "y", F.col("region").alias("r"), F.lit("low_x").alias("side"))
+    beside = beside.unionByName(found.select("map_id", "x", g.wrap(F.col("y") + 1, 32).alias("y"), F.col("region").alias("r"), F.lit("low_y").alias("side")))
+    open_ = found.join(beside, ["map_id", "x", "y"]).join(walks, ["map_id", "x", "y", "side"], "left_anti")
+    return per.agg(F.sum("n").alias("cells"), F.count_if(F.col("top") != F.col("k")).alias("gaps")).crossJoin(open_.agg(F.count_if(F.col("r") != F.col("region")).alias("broken")))
+
+
+def _merged(spark, sf_dir):
+    grid = sampling.staged(labelled(spark, sf_dir))
+    pairs = sampling.staged(raster.adjacency(grid, W, W))
+    return grid, pairs, merging.merge_regions(grid.select("label").distinct(), pairs, 7)
+
+
+@query()
+def i17_aggregated_cells(spark, sf_dir):
+    grid, _, found = _merged(spark, sf_dir)
+    return grid.join(found, "label").select("x", "y", "region")
+
+
+@query(f"WITH {LABELLED} SELECT CAST(count(*) AS BIGINT) AS cells, CAST(least(7, count(DISTINCT label)) AS BIGINT) AS regions, CAST(0 AS BIGINT) AS torn FROM lab")
+def i17_aggregation_invariant(spark, sf_dir):
+    """So many regions remain, and each one hangs together by borders of the cells that it is made of."""
+    grid, pairs, found = _merged(spark, sf_dir)
+    found = sampling.staged(found)
+    a, b = (found.select(F.col("label").alias(c), F.col("region").alias("r" + c)) for c in ("a", "b"))
+    parts = components.components(pairs.join(a, "a").join(b, "b").where("ra = rb").select("a", "b"))
+    torn = found.join(parts.withColumnRenamed("id", "label"), "label", "left").withColumn("part", F.coalesce("component", "label")).groupBy("region").agg(F.countDistinct("part").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn"))
+    return grid.join(found, "label").agg(F.count("*").alias("cells"), F.countDistinct("region").alias("regions")).crossJoin(torn)
+
+
+@query(f"WITH lab AS ({ORACLES['d2_weighted_nearest']}), {BESIDE}, {EDGES} SELECT * FROM edges")
+def i16_weighted_boundaries(spark, sf_dir):
+    return raster.boundary_edges(sampling.staged(d2_weighted_nearest(spark, sf_dir)), W, W)
+
+
+@query(f"WITH {LABELLED} SELECT x, y, CAST(dense_rank() OVER (ORDER BY label) AS BIGINT) AS label FROM lab")
+def f1_dense_relabel(spark, sf_dir):
+    grid = sampling.staged(labelled(spark, sf_dir))
+    return grid.join(components.dense(grid, "label"), F.col("label") == F.col("old")).select("x", "y", F.col("new").alias("label"))
+
+
+@query(f"WITH {CLOUDS} SELECT user_id, event_id, coalesce(lag(x) OVER w, first_value(x) OVER d) AS before_x, coalesce(lead(x) OVER w, first_value(x) OVER w) AS after_x, CAST(row_number() OVER w AS BIGINT) AS visit, min(y) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS best_so_far FROM clouds WINDOW w AS (PARTITION BY user_id ORDER BY event_id), d AS (PARTITION BY user_id ORDER BY event_id DESC)")
+def f3_ring_neighbours(spark, sf_dir):
+    """Previous and next of a closed ring, the visit number, and the best value so far."""
+    w, d = Window.partitionBy("user_id").orderBy("event_id"), Window.partitionBy("user_id").orderBy(F.desc("event_id"))
+    return fx.clouds(spark, sf_dir).select(
+        "user_id", "event_id", F.coalesce(F.lag("x").over(w), F.first("x").over(d)).alias("before_x"), F.coalesce(F.lead("x").over(w), F.first("x").over(w)).alias("after_x"),
+        F.row_number().over(w).cast("long").alias("visit"), F.min("y").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("best_so_far"),
+    )
+
+
+@query(f"WITH {CLOUDS}, m AS (SELECT user_id, CAST(floor(avg(x)) AS BIGINT) AS cx, CAST(floor(avg(y)) AS BIGINT) AS cy FROM clouds GROUP BY user_id) SELECT user_id, cx, cy, CAST(sum((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS BIGINT) AS cost, CAST(min(x) AS BIGINT) AS low_x, CAST(max(x) AS BIGINT) AS high_x, CAST(min(y) AS BIGINT) AS low_y, CAST(max(y) AS BIGINT) AS high_y FROM clouds JOIN m USING (user_id) GROUP BY user_id, cx, cy")
+def e13_plane_centroid(spark, sf_dir):
+    """Truncated mean, its cost and the extent of each cloud; the cost from sums, so that points are read once."""
+    x, y = F.col("x"), F.col("y")
+    s = fx.clouds(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(x * x + y * y).alias("sq"), F.min("x").alias("low_x"), F.max("x").alias("high_x"), F.min("y").alias("low_y"), F.max("y").alias("high_y"))
+    s = s.withColumn("cx", F.floor(F.col("sx") / F.col("n")).cast("long")).withColumn("cy", F.floor(F.col("sy") / F.col("n")).cast("long"))
+    return s.select("user_id", "cx", "cy", F.expr("sq - 2 * (cx * sx + cy * sy) + n * (cx * cx + cy * cy)").cast("long").alias("cost"), "low_x", "high_x", "low_y", "high_y")
+
+
+@query("SELECT l_returnflag, min(l_quantity) AS low, max(l_quantity) AS high, round(avg(l_quantity), 6) AS mean, CAST(quantile_cont(l_quantity, 0.5) AS DOUBLE) AS median FROM lineitem GROUP BY l_returnflag")
+def e9_run_summary(spark, sf_dir):
+    q = F.col("l_quantity")
+    return fx.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.min(q).alias("low"), F.max(q).alias("high"), F.round(F.avg(q), 6).alias("mean"), F.percentile(q, 0.5).alias("median"))
+
+
+@query(f"WITH {TRIANGLES} SELECT id, round((ax + bx + cx) / 3.0, 5) AS gx, round((ay + by_ + cy) / 3.0, 5) AS gy FROM tri")
+def b21_ring_centroid(spark, sf_dir):
+    d = lambda c: F.col(c).cast("double")
+    ring = F.array(*[F.struct(d(x).alias("x"), d(y).alias("y")) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"))])
+    x, y = g.ring_centroid(ring)
+    return fx.triangles(spark, sf_dir).select("id", F.round(x, 5).alias("gx"), F.round(y, 5).alias("gy"))
+
+
+@query(f"""WITH {SEGMENTS} SELECT id, round((ax + bx) / 2, 6) AS mid_x, round((ay + by_) / 2, 6) AS mid_y, round(ax * cos(by_ / 50) - ay * sin(by_ / 50), 6) AS turned_x, round(ax * sin(by_ / 50) + ay * cos(by_ / 50), 6) AS turned_y, round(exp(0.1 * (ax - bx)), 6) AS chance,
+0 > least(ax, bx) AND 0 < greatest(ax, bx) AS strictly, greatest(abs(ax - bx), abs(ay - by_)) > 1 AS apart FROM seg""")
+def b14_segment_scalars(spark, sf_dir):
+    """Midpoint, rotation, step probability, open interval and neighbourhood of segments."""
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    tx, ty = g.rotate(ax, ay, by / 50)
+    r = lambda c: F.round(c, 6)
+    return fx.segments(spark, sf_dir).select("id", r((ax + bx) / 2).alias("mid_x"), r((ay + by) / 2).alias("mid_y"), r(tx).alias("turned_x"), r(ty).alias("turned_y"), r(g.chance(bx, ax, 0.1)).alias("chance"), g.between_open(F.lit(0.0), ax, bx).alias("strictly"), g.apart(ax, ay, bx, by).alias("apart"))
+
+
+@query(f"WITH {SEGMENTS}, t AS (SELECT *, least(CASE WHEN bx > 0 THEN (50 - ax) / bx WHEN bx < 0 THEN (-50 - ax) / bx END, CASE WHEN by_ > 0 THEN (50 - ay) / by_ WHEN by_ < 0 THEN (-50 - ay) / by_ END) AS t FROM seg WHERE greatest(abs(ax), abs(ay)) < 50) SELECT id, round(ax + t * bx, 5) + 0.0 AS ex, round(ay + t * by_, 5) + 0.0 AS ey FROM t")
+def b26_ray_exit(spark, sf_dir):
+    x, y = g.ray_exit((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), -50.0, 50.0)
+    return fx.segments(spark, sf_dir).where("greatest(abs(ax), abs(ay)) < 50").select("id", (F.round(x, 5) + 0.0).alias("ex"), (F.round(y, 5) + 0.0).alias("ey"))
+
+
+@query("WITH p AS (SELECT o_orderkey AS id, o_orderkey * 37 % 101 AS v, o_orderkey % 4 AS s FROM orders), q AS (SELECT id, CASE s WHEN 0 THEN 0 WHEN 1 THEN v WHEN 2 THEN 100 ELSE v END AS x, CASE s WHEN 0 THEN v WHEN 1 THEN 0 WHEN 2 THEN v ELSE 100 END AS y FROM p) SELECT id, x, y, CASE WHEN x = 0 THEN 100 - y WHEN y = 0 THEN 100 + x WHEN x = 100 THEN 200 + y ELSE 300 + 100 - x END AS place FROM q")
+def b27_perimeter_order(spark, sf_dir):
+    k = F.col("o_orderkey")
+    v, s = k * 37 % 101, k % 4
+    zero, full = F.lit(0).cast("long"), F.lit(100).cast("long")
+    x = F.when(s == 0, zero).when(s == 1, v).when(s == 2, full).otherwise(v)
+    y = F.when(s == 0, v).when(s == 1, zero).when(s == 2, v).otherwise(full)
+    p = fx.table(spark, sf_dir, "orders").select(k.alias("id"), x.alias("x"), y.alias("y"))
+    return p.withColumn("place", g.perimeter_at(F.col("x"), F.col("y"), zero, full)).orderBy("place", "id")
+
+
+@query(f"WITH {SEGMENTS}, p AS (SELECT a.id, a.ax AS x1, a.ay AS y1, a.bx AS x2, a.by_ AS y2, b.ax AS x3, b.ay AS y3, b.bx AS x4, b.by_ AS y4 FROM seg a JOIN seg b ON b.id = a.id + 1), q AS (SELECT *, (x1 - x2) * (y3 - y4) - (y1 - y2) * (x3 - x4) AS det, x1 * y2 - y1 * x2 AS p, x3 * y4 - y3 * x4 AS q FROM p) SELECT id, round((p * (x3 - x4) - (x1 - x2) * q) / det, 4) + 0.0 AS mx, round((p * (y3 - y4) - (y1 - y2) * q) / det, 4) + 0.0 AS my FROM q WHERE abs(det) > 1")
+def b7_lines_meet(spark, sf_dir):
+    s = fx.segments(spark, sf_dir)
+    t = s.select((F.col("id") - 1).alias("id"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
+    x, y = g.lines_meet(*((F.col(x), F.col(y)) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"), ("dx", "dy"))))
+    return s.join(t, "id").where("abs((ax - bx) * (cy - dy) - (ay - by) * (cx - dx)) > 1").select("id", (F.round(x, 4) + 0.0).alias("mx"), (F.round(y, 4) + 0.0).alias("my"))
+
+
+_RINGS = f"tr AS (SELECT CAST(n_nationkey AS BIGINT) AS ring_id, (n_nationkey * 37 % 101) / 100.0::DOUBLE AS ax, (n_nationkey * 53 % 97) / 100.0::DOUBLE AS ay, (n_nationkey * 71 % 89) / 100.0::DOUBLE AS bx, (n_nationkey * 29 % 83) / 100.0::DOUBLE AS by_, (n_nationkey * 17 % 79) / 100.0::DOUBLE AS cx, (n_nationkey * 61 % 73) / 100.0::DOUBLE AS cy FROM nation)"
+
+
+@query(f"WITH {_POINTS}, {_RINGS} SELECT id, ring_id FROM pts, tr WHERE ({_CUT}) % 2 = 1")
+def d13_points_in_rings(spark, sf_dir):
+    k = F.col("n_nationkey").cast("long")
+    at = lambda m, n: (k * m % n) / F.lit(100.0)
+    ring = F.array(*[F.struct(at(*x).alias("x"), at(*y).alias("y")) for x, y in (((37, 101), (53, 97)), ((71, 89), (29, 83)), ((17, 79), (61, 73)))])
+    rings = fx.table(spark, sf_dir, "nation").select(k.alias("ring_id"), ring.alias("ring"))
+    return merging.points_in_rings(_points(spark, sf_dir), rings, 0.1)
+
+
+@query(f"SELECT o_orderkey AS id, round(CASE WHEN {_U} < 1.5 / 4.0 THEN (sqrt(1 + {_V} * 3) - 1) ELSE 1 + CASE WHEN {_U} < 3.5 / 4.0 THEN {_V} ELSE 1 + 0.5 * (sqrt(4 - {_V} * 4) - 2) / -2 END END, 6) AS piecewise_linear FROM orders")
+def m_piecewise_linear(spark, sf_dir):
+    u, v = draws.uniform(F.col("o_orderkey")), draws.uniform(F.col("o_orderkey") + 77)
+    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round(draws.piecewise_linear(u, v, [0.0, 1.0, 2.0, 2.5], [1.0, 2.0, 2.0, 0.0]), 6).alias("piecewise_linear"))
+
+
+@query("SELECT '{\"vector\":[' || string_agg(s_suppkey * 7919 % 64, ',' ORDER BY s_suppkey) || ']}' AS json FROM supplier")
+def a3_vector_text(spark, sf_dir):
+    return json_files.vector_text(fx.table(spark, sf_dir, "supplier"), "s_suppkey", F.col("s_suppkey") * 7919 % 64)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -116,3 +116,14 @@ def piecewise_constant(u, v, edges: list[float], weights: list[float]) -> Column
     lo, width = F.lit(edges[:-1]), F.lit([b - a for a, b in zip(edges, edges[1:])])
     k = discrete(u, weights)
     return F.get(lo, k) + v * F.get(width, k)
+
+
+def piecewise_linear(u, v, edges: list[float], densities: list[float]) -> Column:
+    """A value whose density runs linearly between the edges: u picks the bin by its area, v the place in it."""
+    bins = list(zip(edges, edges[1:], densities, densities[1:]))
+    at = discrete(u, [(a + b) / 2 * (hi - lo) for lo, hi, a, b in bins])
+    out = F.lit(None).cast("double")
+    for k, (lo, hi, a, b) in enumerate(bins):
+        t = v if a == b else (F.sqrt(a * a + v * (b * b - a * a)) - a) / (b - a)
+        out = F.when(at == k, lo + t * (hi - lo)).otherwise(out)
+    return out

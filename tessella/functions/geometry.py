@@ -134,3 +134,41 @@ def in_ring(ring: Column, x, y) -> Column:
 
 def rotate(x, y, angle) -> tuple[Column, Column]:
     return x * F.cos(angle) - y * F.sin(angle), x * F.sin(angle) + y * F.cos(angle)
+
+
+def ring_centroid(ring: Column) -> tuple[Column, Column]:
+    """Shoelace centroid of an open ring of structs (x, y); null for a ring without area."""
+    at = F.sequence(F.lit(0), F.size(ring) - 1)
+
+    def fold(value):
+        def term(acc, i):
+            p, q = F.get(ring, i), F.get(ring, (i + 1) % F.size(ring))
+            return acc + value(p, q) * (p["x"] * q["y"] - q["x"] * p["y"])
+
+        return F.aggregate(at, F.lit(0.0), term)
+
+    k = 3 * fold(lambda p, q: F.lit(1.0))
+    return F.try_divide(fold(lambda p, q: p["x"] + q["x"]), k), F.try_divide(fold(lambda p, q: p["y"] + q["y"]), k)
+
+
+def ray_exit(p, d, lo: float, hi: float) -> tuple[Column, Column]:
+    """Where a ray from a point in the square [lo, hi] along d leaves it; null if d is zero."""
+    side = lambda a, v: F.when(v > 0, F.try_divide(F.lit(hi) - a, v)).when(v < 0, F.try_divide(F.lit(lo) - a, v))
+    t = F.least(side(p[0], d[0]), side(p[1], d[1]))
+    return p[0] + t * d[0], p[1] + t * d[1]
+
+
+def perimeter_at(x, y, lo, hi) -> Column:
+    """Place of a point on the square's border: the left side downwards, then bottom, right and top; null inside."""
+    n = hi - lo
+    return F.when(x == lo, hi - y).when(y == lo, n + x - lo).when(x == hi, 2 * n + y - lo).when(y == hi, 3 * n + hi - x)
+
+
+def apart(ax, ay, bx, by) -> Column:
+    """Whether two cells are neither the same nor neighbours, diagonals included."""
+    return F.greatest(F.abs(ax - bx), F.abs(ay - by)) > 1
+
+
+def chance(cost, last, k: float) -> Column:
+    """Metropolis probability of a step from cost last to cost."""
+    return F.exp(k * (last - cost))

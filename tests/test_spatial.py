@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella import catalog
 from tessella.functions import geometry as g
-from tessella.operators import components, nearest, raster, voronoi
+from tessella.operators import components, lines, merging, nearest, raster, voronoi
 from tessella.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -53,7 +53,48 @@ def test_cells_fill_the_square(spark):
     assert len(c) == 3 and math.isclose(sum(r.area for r in c), 100.0)
 
 
-@pytest.mark.parametrize("name", ["d1_areas", "e11_adjacency", "i1_boundary_edges_reference", "b25_clip_segments", "m_distributions", "j11_torus_centroid", "i19_nested_partition", "c2_best_candidates"])
+def test_lines_of_two_halves(spark):
+    """Two closed lines around the torus, each of six steps, back at their first corner."""
+    grid = fx.grid(spark, 6).withColumn("label", (F.col("x") >= 3).cast("long"))
+    on = lines.ordered_lines(raster.boundary_edges(grid, 6, 6), 6, 6)
+    rows = sorted((r.line, r.seq, r.x, r.y) for r in on.collect())
+    assert len(rows) == 14 and len({r[0] for r in rows}) == 2
+    for line in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == line]
+        assert [r[0] for r in own] == list(range(7)) and own[0][1:] == own[-1][1:] and len({r[1] for r in own}) == 1
+    assert lines.ordered_lines(raster.boundary_edges(grid.withColumn("label", F.lit(1)), 6, 6), 6, 6).count() == 0
+
+
+def test_colours_are_greedy_in_a_random_order(spark):
+    pairs = [(a, b) for a in range(30) for b in range(a) if (a * b + a) % 3 == 0]
+    ids = spark.range(31).select(F.col("id").alias("line"))
+    found = {r.line: r.colour for r in lines.colour(ids, spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    order = [r.line for r in ids.orderBy(F.xxhash64("line", F.lit(1)), "line").collect()]
+    want: dict = {}
+    for k in order:
+        used = {want[b if a == k else a] for a, b in pairs if k in (a, b) and (b if a == k else a) in want}
+        want[k] = next(c for c in range(40) if c not in used)
+    assert found == want
+    assert lines.colour(ids.limit(0), spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_regions_merge_to_a_number(spark):
+    ids = spark.range(20).select(F.col("id").alias("label"))
+    path = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(k, k + 1) for k in range(10, 19)], "a bigint, b bigint")
+    for asked, left in ((25, 20), (20, 20), (7, 7), (2, 2), (1, 2)):
+        rows = {r.label: r.region for r in merging.merge_regions(ids, path, asked).collect()}
+        assert len(rows) == 20 and set(rows.values()) == set(range(1, left + 1)) and not {rows[k] for k in range(10)} & {rows[k] for k in range(10, 20)}
+        assert all(len({rows[k] for k in range(a, b + 1)}) == 1 for a in range(20) for b in range(a, 20) if rows[a] == rows[b])
+
+
+def test_areas_with_and_without_wrap(spark):
+    cells = fx.grid(spark, 4).withColumn("map_id", F.lit(3).cast("long"))
+    wall = spark.createDataFrame([(3, 2, y, "low_x") for y in range(4)], "map_id bigint, x bigint, y bigint, side string")
+    count = lambda s, t: merging.areas_between(cells, s, 4, 4, t).agg(F.countDistinct("region")).first()[0]
+    assert count(wall, True) == 1 and count(wall, False) == 2 and count(wall.limit(0), True) == 1
+
+
+@pytest.mark.parametrize("name", ["d1_areas", "e11_adjacency", "i1_boundary_edges_reference", "b25_clip_segments", "m_distributions", "j11_torus_centroid", "i19_nested_partition", "c2_best_candidates", "i17_aggregation_invariant", "d13_points_in_rings", "m_piecewise_linear", "b26_ray_exit", "f3_ring_neighbours"])
 def test_against_sql(spark, name):
     import duckdb
 

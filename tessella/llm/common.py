@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
+import types
 import uuid
 import zipfile
 
@@ -95,6 +97,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def resident(key: str, make):
+    """A worker's model that outlives tasks: make()'s, until another key is asked for.
+
+    One at a time: the models of earlier stages of a job would add up in a worker.
+    """
+    store = sys.modules.setdefault("_tessella_resident", types.ModuleType("_tessella_resident")).__dict__
+    if key not in store:
+        release()
+        store[key] = make()
+    return store[key]
+
+
+def release() -> None:
+    """Frees the worker's model, for tasks that need none."""
+    module = sys.modules.get("_tessella_resident")
+    if module is not None and module.__dict__:
+        import gc
+
+        import pyarrow as pa
+
+        module.__dict__.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def n_words(text: Column) -> Column:
     """Number of maximal runs of characters other than space and the ASCII controls 9 to 13; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -19,8 +19,6 @@ code point wins; repeated rows and extra columns pass.
 from __future__ import annotations
 
 import math
-import sys
-import types
 import zlib
 
 from pyspark.sql import DataFrame
@@ -193,14 +191,6 @@ class Parser:
         return [self.langs[b] if n else "und" for b, n in zip(best.tolist(), letters.tolist())], score, np.where(letters > 0, cost.min(axis=0), 0.0)
 
 
-def _parser(key: str, model) -> Parser:
-    store = sys.modules.setdefault("_tessella_parsers", types.ModuleType("_tessella_parsers"))
-    if key not in store.__dict__:
-        store.__dict__.clear()
-        store.__dict__[key] = Parser(model.value)
-    return store.__dict__[key]
-
-
 def identify(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """df with lang_pred, score and bits (fewest bits a letter)."""
     spark = df.sparkSession
@@ -212,7 +202,7 @@ def identify(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        parser = _parser(key, shared)
+        parser = common.resident(f"language {key}", lambda: Parser(shared.value))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             names, scores, bits = [], [], []

@@ -141,6 +141,7 @@ def sketch(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        common.release()
         shingler = Shingler(width)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -174,6 +175,7 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        common.release()
         shingler = Shingler(width)
         for batch in batches:
             sets = shingler.sets(batch.column(1).to_pylist())
@@ -191,6 +193,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        common.release()
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3)):

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 from array import array
 
+from .common import resident
+
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters that need no composition and whose lower case is one letter, in any context.
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
@@ -89,7 +89,4 @@ class Encoder:
 
 def encoder(path: str, kind: str) -> Encoder:
     """The worker's encoder of this file; it outlives tasks."""
-    store = sys.modules.setdefault("_tessella_encoders", types.ModuleType("_tessella_encoders"))
-    if (path, kind) not in store.__dict__:
-        store.__dict__[(path, kind)] = Encoder(path, kind)
-    return store.__dict__[(path, kind)]
+    return resident(f"tokenizer {kind} {path}", lambda: Encoder(path, kind))

@@ -9,7 +9,8 @@ distinct contexts, a share of SHARE and BITS bits are spans of kind ``term`` in
 every document. sanitise() replaces base spans by their kind, generalises such
 terms to ``[term]``, and removes those above REMOVE of share.
 
-Contexts are told apart by their text, so copies of one document count once.
+Contexts are told apart by their text, and so are documents (a 128-bit hash), both
+where they hold a term and in all: copies of one document count once.
 
 Defined results: null and empty texts have no spans; repeated rows pass; extra
 columns are ignored; an empty table gives no row.
@@ -104,11 +105,21 @@ def _contexts(text: str, spans: list[tuple[int, int, str]], window: int) -> list
     return out
 
 
-SCAN = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, contexts array<struct<entity:bigint,context:bigint,term:string>>"
+SCAN = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, h1 bigint, h2 bigint, contexts array<struct<entity:bigint,context:bigint,term:string>>"
+
+
+def _text_hash(text: str | None) -> tuple[int | None, int | None]:
+    """128 bits that tell texts apart, as two integers; null for null."""
+    import xxhash
+
+    if text is None:
+        return None, None
+    h = xxhash.xxh3_128_intdigest(text)
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
 def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Base spans of every document and the contexts of its mentions; see SCAN."""
+    """Base spans of every document, its text's hash and the contexts of its mentions; see SCAN."""
     common.ship(docs.sparkSession)
 
     def run(batches):
@@ -116,33 +127,39 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         kind = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string())]))
         for batch in batches:
-            counts, bases, contexts = [[] for _ in KINDS], [], []
+            counts, bases, hashes, contexts = [[] for _ in KINDS], [], [], []
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text)
                 for k, c in zip(KINDS, counts):
                     c.append(sum(s[2] == k for s in spans))
                 bases.append(",".join(f"{k}:{a}:{b}" for a, b, k in spans))
+                hashes.append(_text_hash(text))
                 contexts.append([{"entity": e, "context": c, "term": t} for e, c, t in _contexts(text, spans, window)] if spans else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(contexts, kind)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "contexts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), *(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)), pa.array(contexts, kind)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "h1", "h2", "contexts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCAN)
 
 
 def _holding(docs: DataFrame, terms: DataFrame, few: set[str] | None) -> DataFrame:
-    """(term, docs): documents that hold each of the terms."""
+    """(term, docs): distinct texts that hold each of the terms."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            found: dict[str, int] = {}
-            for text in pdf["text"]:
-                for t in {m[0].lower() for m in _word(text or "")}:
-                    if few is None or t in few:
-                        found[t] = found.get(t, 0) + 1
-            yield pd.DataFrame({"term": list(found), "n": list(found.values())})
-
-    counted = docs.select("text").mapInPandas(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("docs"))
+        for batch in batches:
+            hashes, held = [], []
+            for text in batch.column(0).to_pylist():
+                found = {m[0].lower() for m in _word(text or "")}
+                if few is not None:
+                    found &= few
+                if found:
+                    hashes.append(_text_hash(text))
+                    held.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([*(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)), pa.array(held, pa.list_(pa.string()))], names=["h1", "h2", "terms"])
+
+    # Copies hold the same terms: any row of a hash stands for all.
+    texts = docs.select("text").mapInArrow(run, "h1 bigint, h2 bigint, terms array<string>").dropDuplicates(["h1", "h2"])
+    counted = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
     return counted if few is not None else counted.join(terms.select("term"), "term", "left_semi")
 
 
@@ -159,7 +176,7 @@ def revealing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, share
     few = {r[0] for r in strong.select("term").collect()} if known <= TERMS_AT_ONCE else None
     held = _holding(docs, strong, few)
     mentions = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("mentions"))
-    total = scanned.count()
+    total = scanned.where(F.col("h1").isNotNull()).select("h1", "h2").distinct().count()
     pmi = F.log2(F.col("n") * F.lit(float(total)) / (F.greatest("docs", "n") * F.col("mentions")))
     told = F.col("n") / F.greatest("docs", "all", "n")
     out = strong.join(held, "term").join(mentions, "entity").select("term", told.alias("share"), pmi.alias("bits"))
@@ -254,7 +271,7 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, base and spans (comma-joined kind:start:end) for each row."""
     scanned = common.staged(scan(docs), "scanned")
     terms = revealing(docs, scanned)
-    rows = scanned.drop("contexts")
+    rows = scanned.drop("contexts", "h1", "h2")
     if not terms.head(1):
         return rows.withColumn("spans", F.col("base"))
     spanned = common.staged(all_spans(docs, terms), "spans")

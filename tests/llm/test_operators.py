@@ -214,6 +214,25 @@ def test_revealing_terms(spark, empty):
     assert all("term" not in found[100 + k].spans for k in range(1000)) and pii.find(empty).count() == 0
 
 
+def test_copies_of_revealing_documents_count_once(spark):
+    # Groups of 2 to 10 copies; unlike 'zorro', 'ferret' is held by 6 more texts, which have copies as well.
+    rows = [(k, f"{prose(k, 12)} zorro ferret writes z@mail.com {' '.join(w * 4 for w in 'qwertyuiopas'[k::4])}") for k in range(4)]
+    rows += [(100 + k, f"{prose(k, 10)} ordinary {'ferret' if k < 6 else 'weasel'} text") for k in range(1000)] + [(2000, None), (2001, None)]
+    copied = [(k + 10_000 * j, t) for k, t in rows for j in range(1 if 106 <= k else 2 * k + 4 if k < 4 else 3)]
+
+    def terms(table):
+        docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
+        return {r.term: (r.share, r.bits) for r in pii.revealing(docs, pii.scan(docs)).collect()}
+
+    once = terms(rows)
+    assert once["zorro"] == (1.0, np.log2(1004 / 4)) and "ferret" not in once and terms(copied) == once
+    found = pii.find(spark.createDataFrame(copied, "doc_id bigint, text string")).where("n_email > 0").collect()
+    assert len(found) == 4 + 6 + 8 + 10 and all("term:" in r.spans for r in found)
+    # Without a set of the terms in each task, as beyond TERMS_AT_ONCE, texts are counted alike.
+    docs, some = spark.createDataFrame(copied, "doc_id bigint, text string"), spark.createDataFrame([("zorro",), ("ferret",)], "term string")
+    assert {tuple(r) for r in pii._holding(docs, some, None).collect()} == {("zorro", 4), ("ferret", 10)}
+
+
 def test_urls(spark, empty):
     rows = [(1, "HTTP://A.Example.NET/en/x?q"), (2, "http://x.example.com/de/1"), (3, "https://foo.org/fr/a#b"), (4, None), (5, "no scheme"), (6, "http://foo.net"), (7, "http://foo.net/"), (8, "http://spam-farm.example.org/en/1"), (9, "://")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}

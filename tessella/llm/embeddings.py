@@ -1,16 +1,21 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by blocks in small labels, by sorted projection passes in large ones.
 
-Each pass signs the vectors with fresh random projections, sorts them by label
+In a label of at most EXACT classes all pairs are compared, in blocks. In a larger
+one each pass signs the vectors with fresh random projections, sorts them by label
 and the concatenated signs, and compares every vector with its WINDOW
-predecessors; pairs at or above the cosine threshold, in double precision, are
-links. Links of all passes are united into components. Within a component, which
-the bounded windows may have covered only in part, all links are then counted in
-blocks of vectors, without a row for each pair.
+predecessors of the same partition. Pairs at or above the cosine threshold, in
+double precision, are links. Passes come in rounds, of PASSES, then each of as many
+as have run; a label is done when a round after the first joins none of its
+components. So the passes follow the label: few where directions are spread evenly,
+more where vectors share a direction and signs hardly split them.
 
-Equal vectors of a label form a class first, so that copies fill no window.
-With unit-normal projections a pair at cosine 0.98 shares a sign with
-probability 0.936; PASSES passes leave about 1 in 10,000 such pairs unseen among
-10,000 vectors a label, and about 1 in 12 among a billion, where more passes help.
+Links are united into components. Within a component, which the bounded windows
+may have covered only in part, all links are then counted in blocks of vectors,
+without a row for each pair.
+
+Equal vectors of a label form a class first, so that copies fill no window. In a
+label above EXACT a link may stay unseen, if both of the last two rounds missed it
+and no other missed link showed up in the last.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, or have a null label, link with nothing; vectors of different
@@ -27,6 +32,8 @@ from . import common
 from .components import components
 
 PASSES, WINDOW, BITS, BLOCK = 12, 32, 63, 1024
+#: Classes of a label of which all pairs are compared; up to here a vector goes to no more blocks than a round has passes.
+EXACT = PASSES * BLOCK
 
 
 def _unit(column):
@@ -36,8 +43,8 @@ def _unit(column):
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def keyed(classes: DataFrame, passes: int = PASSES, seed: int = 9) -> DataFrame:
-    """A row for each class and pass: its sign key, sorted as an integer is sorted bit by bit."""
+def keyed(classes: DataFrame, passes: int = PASSES, seed: int = 9, first: int = 0) -> DataFrame:
+    """A row for each class and pass, from the first on: its sign key, sorted as an integer is sorted bit by bit."""
 
     def run(batches):
         import numpy as np
@@ -46,7 +53,7 @@ def keyed(classes: DataFrame, passes: int = PASSES, seed: int = 9) -> DataFrame:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["vec"].map(len)):
                 x = _unit(part["vec"])
-                for p in range(passes):
+                for p in range(first, first + passes):
                     planes = np.random.default_rng([seed, p, dim]).standard_normal((dim, BITS))
                     key = ((x @ planes > 0).astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(axis=1)
                     yield part.assign(round=np.int32(p), dim=np.int32(dim), key=key)[["round", "dim", "label", "key", "id", "vec"]]
@@ -55,7 +62,7 @@ def keyed(classes: DataFrame, passes: int = PASSES, seed: int = 9) -> DataFrame:
 
 
 def window_links(rows: DataFrame, least: float, window: int = WINDOW) -> DataFrame:
-    """Links among neighbours in each pass; rows come from keyed()."""
+    """Links (label, dim, a, b) among neighbours in each pass; rows come from keyed()."""
     ordered = rows.repartitionByRange("round", "dim", "label", "key", "id").sortWithinPartitions("round", "dim", "label", "key", "id")
 
     def run(batches):
@@ -68,19 +75,72 @@ def window_links(rows: DataFrame, least: float, window: int = WINDOW) -> DataFra
             pdf = pd.concat([before, pdf], ignore_index=True) if fresh else pdf.reset_index(drop=True)
             group = pdf["round"].to_numpy(np.int64) * 1_000_003 + pdf["dim"].to_numpy(np.int64)
             label, ids, found = pdf["label"].to_numpy(), pdf["id"].to_numpy(), []
-            for _, at in pd.Series(np.arange(len(pdf))).groupby([group, label]):
+            for (_, own), at in pd.Series(np.arange(len(pdf))).groupby([group, label]):
                 at = at.to_numpy()
                 x = _unit(pdf["vec"].iloc[at])
                 for d in range(1, min(window, len(at) - 1) + 1):
                     lo = max(0, int(np.searchsorted(at, fresh)) - d)  # older pairs have been compared
                     hit = lo + np.flatnonzero(np.einsum("ij,ij->i", x[lo + d :], x[lo:-d]) >= least)
                     i, j = ids[at[hit]], ids[at[hit + d]]
-                    found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+                    found.append(np.stack([np.full(len(i), own), np.full(len(i), x.shape[1]), np.minimum(i, j), np.maximum(i, j)], axis=1))
             before = pdf.iloc[-window:]
             if found:
-                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["label", "dim", "a", "b"])
+
+    return ordered.mapInPandas(run, "label bigint, dim int, a bigint, b bigint").distinct()
+
+
+def block_links(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) enough to join what is linked in rows (label, dim, id, vec, m: rows of the same label and dim), from all pairs, block by block."""
+    own = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
+    dealt = own.select("label", "dim", "id", "vec", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
 
-    return ordered.mapInPandas(run, "a bigint, b bigint").distinct()
+        block, ids, x = pdf["block"].to_numpy(), pdf["id"].to_numpy(), _unit(pdf["vec"])
+        i, j = np.flatnonzero(block == key[2]), np.flatnonzero(block == key[3])
+        near = x[i] @ x[j].T >= least
+        if key[2] == key[3]:
+            np.fill_diagonal(near, False)
+        found, fresh, todo = [], np.ones(len(j), bool), near.any(axis=1)
+        for k in np.flatnonzero(todo).tolist():
+            if not todo[k]:
+                continue
+            todo[k], rows_in = False, np.array([k])
+            while len(rows_in):  # all that is linked with k, over any number of links
+                met = np.flatnonzero(near[rows_in].any(axis=0) & fresh)
+                fresh[met] = False
+                found += [(ids[i[k]], ids[j[c]]) for c in met]
+                rows_in = np.flatnonzero(near[:, met].any(axis=1) & todo)
+                todo[rows_in] = False
+                found += [(ids[i[k]], ids[i[c]]) for c in rows_in]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("label", "dim", "lo", "hi").applyInPandas(run, "a bigint, b bigint").distinct()
+
+
+def pass_links(classes: DataFrame, large: DataFrame, known: DataFrame, least: float, passes: int, window: int) -> DataFrame:
+    """Links (a, b), with the known ones, after rounds of passes over each large (label, dim) until a round joins nothing in it."""
+    done, n, state = 0, passes, None
+    while large.head(1):
+        active = classes.join(large, ["label", "dim"], "left_semi")
+        fresh = None
+        for first in range(done, done + n, passes):
+            keys = common.staged(keyed(active, passes, first=first), "keys")
+            part = common.staged(window_links(keys, least, window), "vector-links")
+            common.drop(keys)
+            fresh = part if fresh is None else fresh.unionByName(part)
+        known = known.unionByName(fresh.select("a", "b"))
+        if state is not None:  # the first round has nothing to be measured by
+            new = fresh.join(state.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left").join(state.select(F.col("id").alias("b"), F.col("component").alias("d")), "b", "left")
+            large = common.staged(new.where(F.coalesce("c", "a") != F.coalesce("d", "b")).select("label", "dim").distinct(), "large")
+        state = common.staged(components(known), "vector-components")
+        done, n = done + n, done + n
+    return known
 
 
 def link_counts(members: DataFrame, least: float) -> DataFrame:
@@ -110,7 +170,7 @@ def link_counts(members: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("component", "lo", "hi").applyInPandas(run, "id bigint, others bigint").groupBy("id").agg(F.sum("others").alias("others"))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, passes: int = PASSES, window: int = WINDOW, exact: int = EXACT) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept for each row."""
     spark = vectors.sparkSession
     common.ship(spark)
@@ -120,9 +180,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, passes: int = PASSE
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & ~bad & F.exists("vec", lambda v: v != 0), F.lit(False))
     whole = rows.where(good)
     classes = common.staged(whole.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
-    keys = common.staged(keyed(classes, passes), "keys")
-    links = common.staged(window_links(keys, least, window), "vector-links")
-    common.drop(keys)
+    sized = classes.withColumn("dim", F.size("vec"))
+    size = common.staged(sized.groupBy("label", "dim").agg(F.count("*").alias("m")).where("m > 1"), "label-sizes")
+    links = common.staged(block_links(sized.join(size.where(F.col("m") <= exact), ["label", "dim"]), least), "vector-links")
+    links = pass_links(sized, size.where(F.col("m") > exact), links, least, passes, window)
     found = common.staged(components(links), "vector-components")
     members = classes.join(found, "id").select("component", "id", "vec", "copies", "label")
     # A class is told from another of the same id (one id, several vectors) by its label and vector.

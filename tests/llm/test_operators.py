@@ -267,6 +267,24 @@ def test_vectors(spark):
     assert all(got[k].n_links == 0 and got[k].kept for k in (61, 62, 63, 64))
 
 
+@pytest.mark.parametrize("exact", [None, 100])
+def test_vectors_that_share_a_direction(spark, exact):
+    # 150 isolated pairs at cosine 0.981 among 10,000 vectors of one label at mean cosine 0.9, and one label of a chain.
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(np.sqrt(0.9) * np.eye(64)[0] + np.sqrt(0.1) * unit(rng.standard_normal((10_000, 64))))
+    e = rng.standard_normal((150, 64))
+    e = unit(e - (e * x[:150]).sum(axis=1, keepdims=True) * x[:150])
+    x = np.concatenate([x, 0.981 * x[:150] + np.sqrt(1 - 0.981**2) * e])
+    turn = np.arange(40) * 0.19  # neighbours at cosine 0.982
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(20_000 + k, [float(np.cos(t)), float(np.sin(t))], 1) for k, t in enumerate(turn)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table, **({"exact": exact} if exact else {})).collect()}
+    assert len(got) == len(rows) and all(got[10_000 + k].component_id == got[k].component_id for k in range(150))
+    links = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert all(got[k].n_links == links[k] for k in range(len(x))) and {got[20_000 + k].component_id for k in range(40)} == {20_000}
+
+
 def test_lines(spark, docs, empty):
     rows = [(k, "h", f"menu\nown line {k}\n\nfoot ") for k in range(20)] + [(50, "h", None), (51, "h", ""), (52, "h", "menu\nfoot"), (53, None, "menu\nx"), (54, "h", "menu\nown line 0\n\nfoot ")]
     got = {r.doc_id: r for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), "source").collect()}

@@ -132,7 +132,7 @@ def plan(rows: DataFrame, weights, total: float | None = None, most: int = MOST,
     keyed = keyed.withColumn("h", _hash(seed)).withColumn("bucket", F.shiftright(F.col("h") * F.col("buckets"), 40))
     sums = keyed.groupBy("pattern", "rest", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("words")
-    edge = sums.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    edge = sums.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
     edge = common.staged(edge.select("pattern", "bucket", (F.col("rest") - F.col("before")).alias("need")), "edges")
     inside = keyed.join(edge, ["pattern", "bucket"]).groupBy("pattern", "bucket", "need", "h", "doc_id", "size").agg(F.count("*").alias("n"))
 
@@ -153,7 +153,7 @@ def plan(rows: DataFrame, weights, total: float | None = None, most: int = MOST,
         return pd.DataFrame({"pattern": [pdf["pattern"].iloc[0]], "bucket": [pdf["bucket"].iloc[0]], "chosen": [chosen]})
 
     picks = inside.groupBy("pattern", "bucket").applyInPandas(fill, "pattern array<string>, bucket bigint, chosen array<bigint>")
-    # Without an edge the rest is nothing, or just the whole pattern.
+    # A rest that ends with a bucket has that one as its edge, chosen whole. Without an edge it is nothing, or by rounding the whole pattern.
     out = table.join(picks, "pattern", "left").select("pattern", "base", "buckets", F.coalesce("bucket", F.when(F.col("rest") > 0.5, F.col("buckets")).otherwise(F.lit(0))).alias("edge"), F.coalesce("chosen", F.array().cast("array<bigint>")).alias("chosen"))
     return common.staged(out, "mix-plan"), sizes, quota
 

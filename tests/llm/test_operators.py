@@ -191,6 +191,14 @@ def test_mixing(docs, empty):
     assert mixing.plan(mixing.sized(empty), mixing.cyclic)[1] == {}
 
 
+def test_a_rest_may_end_with_a_bucket(spark):
+    rows = spark.range(2 * mixing.BUCKET).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("size"), F.array(F.lit("a")).alias("sources"))
+    first = rows.where(F.shiftright(mixing._hash(4) * 2, 40) == 0).count()
+    for total in (first - 1, first, first + 1, 2 * mixing.BUCKET, 2 * mixing.BUCKET + first):
+        planned, _, _ = mixing.plan(rows, mixing.cyclic, total)
+        assert mixing.copies(rows, planned).agg(F.sum("copies")).first()[0] == total
+
+
 def test_quotas_and_flow():
     q = mixing.quotas({"a": 10, "b": 100, "c": 100}, {"a": 3, "b": 1, "c": 1})
     assert q["a"] == 30 and abs(sum(q.values()) - 210) < 1e-9 and q["b"] == q["c"]

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import wrap
-from tessella.plans.stage import staged
+from tessella.plans.stage import drop, running_sum, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) of longs -> (id, component), the least id reachable; loops and nulls are ignored."""
-    e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    """edges (a, b) of longs -> (id, component): the least id reachable, for every id in an edge; loops and nulls are ignored.
+
+    Alternating large-star and small-star contraction: every round is a handful of
+    joins and grouped minima, and the stage before it goes.
+    """
+    e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     last = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -23,18 +27,17 @@ def components(edges: DataFrame) -> DataFrame:
         wide = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = wide.groupBy("u").agg(F.min("v").alias("m"))
         deep = wide.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(deep.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        new = staged(deep.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop(e)
+        e = new
     ends = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends)
 
 
 def dense(labels: DataFrame, column: str) -> DataFrame:
-    """(old, new): ids 1..k in the order of the old ones; a range-sorted numbering in two steps, not one window."""
-    ids = staged(labels.select(F.col(column).alias("old")).distinct().repartitionByRange("old").sortWithinPartitions("old").withColumn("part", F.spark_partition_id()))
-    counts = ids.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    own = ids.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("old")))
-    return own.join(F.broadcast(before), "part").select("old", (F.col("before") + F.col("r")).alias("new"))
+    """(old, new): ids 1..k in the order of the old ones."""
+    ids = labels.select(F.col(column).alias("old")).distinct().withColumn("one", F.lit(1).cast("long"))
+    return running_sum(ids, ["old"], "one", "before").select("old", (F.col("before") + 1).alias("new"))
 
 
 def row_runs(grid: DataFrame) -> DataFrame:
@@ -62,11 +65,15 @@ def regions(grid: DataFrame, w: int, h: int, torus: bool = True) -> DataFrame:
     return rooted.join(dense(rooted, "root"), F.col("root") == F.col("old")).select("x", "y", F.col("new").alias("region"))
 
 
+def edge_key() -> Column:
+    """A number for each unit edge (x1, y1, x2, y2) of the corner lattice: its lower corner, by rows, and its direction; for coordinates below 2^30."""
+    x, y = F.least("x1", "x2").cast("long"), F.least("y1", "y2").cast("long")
+    return (x * F.lit(1 << 31) + y) * 2 + (F.col("y1") == F.col("y2")).cast("long")
+
+
 def label_edges(edges: DataFrame) -> DataFrame:
     """Boundary edges with ``label``: connected edges between the same two groups, numbered 1..k."""
-    bit = F.lit(1 << 15)
-    key = ((F.col("x1") * bit + F.col("y1")) * bit + F.col("x2")) * bit + F.col("y2")
-    own = staged(edges.withColumn("id", key).withColumn("lo", F.least("group_a", "group_b")).withColumn("hi", F.greatest("group_a", "group_b")))
+    own = staged(edges.withColumn("id", edge_key()).withColumn("lo", F.least("group_a", "group_b")).withColumn("hi", F.greatest("group_a", "group_b")))
     ends = own.select("id", "lo", "hi", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("v"))
     meet = ends.groupBy("v", "lo", "hi").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.collect_set("id").alias("ids"))
     links = meet.where("a <> b").select("a", F.explode("ids").alias("b")).where("a <> b")
@@ -80,9 +87,8 @@ def polylines(edges: DataFrame, w: int, h: int) -> DataFrame:
 
     A corner of degree 2 joins its two edges; a chain without a junction is a closed loop.
     """
-    bit = F.lit(1 << 15)
-    own = edges.withColumn("id", ((F.col("x1") * bit + F.col("y1")) * bit + F.col("x2")) * bit + F.col("y2"))
-    at = lambda x, y: (wrap(F.col(x), w) * bit + wrap(F.col(y), h)).alias("v")
+    own = edges.withColumn("id", edge_key())
+    at = lambda x, y: F.struct(wrap(F.col(x), w).alias("x"), wrap(F.col(y), h).alias("y")).alias("v")
     ends = staged(own.select("id", at("x1", "y1")).unionByName(own.select("id", at("x2", "y2"))))
     meet = ends.groupBy("v").agg(F.count("*").alias("degree"), F.min("id").alias("a"), F.max("id").alias("b"))
     chains = components(meet.where("degree = 2").select("a", "b"))

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import wrap
-from tessella.operators.components import components
+from tessella.operators.components import components, edge_key
 from tessella.plans.stage import staged
 
-BIT = 1 << 15
+#: Corners are packed as x * BIT + y, for coordinates below 2^31.
+BIT = 1 << 31
 
 
 def _half_edges(edges: DataFrame, w: int, h: int) -> DataFrame:
     """(e, way, u, v): each boundary edge once in either way, between packed corners of the torus."""
-    e = ((F.col("x1") * BIT + F.col("y1")) * BIT + F.col("x2")) * BIT + F.col("y2")
+    e = edge_key()
     at = lambda x, y: wrap(F.col(x), w) * BIT + wrap(F.col(y), h)
     one = edges.select(e.alias("e"), at("x1", "y1").alias("u"), at("x2", "y2").alias("v"))
     return one.select("e", F.lit(0).alias("way"), "u", "v").unionByName(one.select("e", F.lit(1).alias("way"), F.col("v").alias("u"), F.col("u").alias("v")))
@@ -50,7 +51,7 @@ def ordered_lines(edges: DataFrame, w: int, h: int) -> DataFrame:
     way = full.groupBy("line").agg(F.min("to").alias("to"), F.max("d").alias("last"))
     kept = staged(full.join(way, ["line", "to"]).select("line", (F.col("last") - F.col("d") + 1).alias("seq"), "u", "v"))
     both = kept.select("line", "seq", F.col("v").alias("c")).unionByName(kept.where("seq = 1").select("line", F.lit(0).cast("long").alias("seq"), F.col("u").alias("c")))
-    return both.select("line", "seq", F.floor(F.col("c") / BIT).cast("long").alias("x"), (F.col("c") % BIT).alias("y"))
+    return both.select("line", "seq", F.shiftright("c", 31).alias("x"), (F.col("c") % BIT).alias("y"))
 
 
 def clashes(lines: DataFrame) -> DataFrame:

@@ -7,24 +7,80 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
-def shared_dir(spark) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset and everything runs in one process, as in tests, a
+    temporary folder is made. A cluster without the setting is an error: each
+    executor would write to its own disk.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not there:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder with master {master}")
         if "dir" not in _own:
-            _own["dir"] = tempfile.mkdtemp(prefix="tessella-stage-")
+            _own["dir"] = tempfile.mkdtemp(prefix="tessella-")
             atexit.register(shutil.rmtree, _own["dir"], True)
         there = "file://" + _own["dir"]
     return there.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: fresh statistics, no lineage."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again.
+
+    That cuts lineage: what follows survives the loss of executors without
+    computing df again, and plans get the true size.
+    """
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Deletes stages that no later result reads."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            delete(df.sparkSession, path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Size on disk of a stage, for the decision to broadcast it."""
+    p, fs = _hadoop(df.sparkSession, df._staged_path)
+    return int(fs.getContentSummary(p).getLength())
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with ``name``: the sum of value (a long) over the rows before, in the order of some columns that tell rows apart.
+
+    Rows are range-sorted and staged with the number of their partition; sums of
+    partitions are added up on their own, so that no window holds all rows.
+    """
+    rows = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    parts = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row for each partition
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return rows.withColumn("_own", own).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))

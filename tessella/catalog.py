@@ -38,8 +38,17 @@ def query(sql: str | None = None):
     return add
 
 
+def wide(spark: SparkSession, sf_dir: str) -> int:
+    """Width and height of the tables' raster: W in the SQL, which is that of the scale at which both are compared."""
+    return fx.width(spark, sf_dir)
+
+
+def wh(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    return (fx.width(spark, sf_dir),) * 2
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest.nearest(fx.grid(spark), fx.sites(spark, sf_dir), W, W)
+    return nearest.nearest(fx.grid(spark, wide(spark, sf_dir)), fx.sites(spark, sf_dir), *wh(spark, sf_dir))
 
 
 @query(f"WITH {LABELLED} SELECT * FROM lab")
@@ -51,7 +60,7 @@ def d1_nearest_site(spark, sf_dir):
 def d1_nearest_by_bucket(spark, sf_dir):
     """The same by bucketed ring search, the way for many sites."""
     sites = fx.sites(spark, sf_dir)
-    return nearest._by_bucket(fx.grid(spark), sites, W, W, sites.count())
+    return nearest._by_bucket(fx.grid(spark, wide(spark, sf_dir)), sites, *wh(spark, sf_dir), sites.count())
 
 
 @query(f"WITH {LABELLED} SELECT s.site_id AS label, CAST(count(lab.label) AS BIGINT) AS area, round(count(lab.label) / {W * W}.0, 6) AS share FROM sites s LEFT JOIN lab ON lab.label = s.site_id GROUP BY s.site_id")
@@ -62,7 +71,7 @@ def d1_areas(spark, sf_dir):
 @query(f"WITH {SITES}, {GRID}, w AS (SELECT *, balance - min(balance) OVER () + 1.0 AS weight FROM sites), m AS (SELECT x, y, min(struct_pack(d := weight * sqrt(CAST({D2} AS DOUBLE)), t := site_id)) AS b FROM grid, w GROUP BY x, y) SELECT x, y, b.t AS label FROM m")
 def d2_weighted_nearest(spark, sf_dir):
     sites = nearest.balanced_weights(fx.sites(spark, sf_dir), "balance")
-    return nearest.nearest(fx.grid(spark), sites, W, W, "weight")
+    return nearest.nearest(fx.grid(spark, wide(spark, sf_dir)), sites, *wh(spark, sf_dir), "weight")
 
 
 @query(f"WITH {LABELLED} SELECT label, CAST(count(*) AS BIGINT) AS cells, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y, CAST(floor(sum(x) / count(*)) AS BIGINT) AS mx, CAST(floor(sum(y) / count(*)) AS BIGINT) AS my FROM lab GROUP BY label")
@@ -72,9 +81,9 @@ def e4_midpoints(spark, sf_dir):
 
 def _levels(spark, sf_dir):
     k = F.col("n_nationkey").cast("long")
-    one = fx.table(spark, sf_dir, "nation").select(k.alias("site_id"), ((k * 37 + 5) % W).alias("sx"), ((k * 53 + 9) % W).alias("sy"))
+    one = fx.table(spark, sf_dir, "nation").select(k.alias("site_id"), ((k * 37 + 5) % wide(spark, sf_dir)).alias("sx"), ((k * 53 + 9) % wide(spark, sf_dir)).alias("sy"))
     k = F.col("r_regionkey").cast("long")
-    two = fx.table(spark, sf_dir, "region").select(k.alias("site_id"), ((k * 29 + 3) % W).alias("sx"), ((k * 41 + 7) % W).alias("sy"))
+    two = fx.table(spark, sf_dir, "region").select(k.alias("site_id"), ((k * 29 + 3) % wide(spark, sf_dir)).alias("sx"), ((k * 41 + 7) % wide(spark, sf_dir)).alias("sy"))
     return [one, two]
 
 
@@ -88,37 +97,37 @@ s{n} AS (SELECT coarse AS label, sum(cells) AS cells, sum(sum_x) AS sum_x, sum(s
 s0 AS (SELECT label, CAST(count(*) AS BIGINT) AS cells, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM lab GROUP BY label), {_level_sql(1, 's0', 'l1')}, {_level_sql(2, '(SELECT label, CAST(cells AS BIGINT) AS cells, CAST(sum_x AS BIGINT) AS sum_x, CAST(sum_y AS BIGINT) AS sum_y FROM s1)', 'l2')}
 SELECT x, y, j2.coarse AS label FROM lab JOIN j1 ON lab.label = j1.label JOIN j2 ON j1.coarse = j2.label""")
 def i19_nested_partition(spark, sf_dir):
-    return nearest.nested(labelled(spark, sf_dir), _levels(spark, sf_dir), W, W)[0]
+    return nearest.nested(labelled(spark, sf_dir), _levels(spark, sf_dir), *wh(spark, sf_dir))[0]
 
 
 @query(f"WITH {LABELLED}, {BESIDE}, {EDGES} SELECT * FROM edges")
 def i1_boundary_edges(spark, sf_dir):
-    return raster.boundary_edges(labelled(spark, sf_dir), W, W)
+    return raster.boundary_edges(labelled(spark, sf_dir), *wh(spark, sf_dir))
 
 
 @query(f"WITH {LABELLED}, {BESIDE} SELECT x AS x1, CASE WHEN y = {W - 1} THEN 0 ELSE y + 1 END AS y1, x + 1 AS x2, CASE WHEN y = {W - 1} THEN 0 ELSE y + 1 END AS y2, label AS group_a, other AS group_b FROM ny WHERE y < {W - 1} OR x < {W - 1} UNION ALL SELECT x + 1, y, x + 1, y + 1, label, other FROM nx WHERE y < {W - 1}")
 def i1_boundary_edges_reference(spark, sf_dir):
-    return raster.boundary_edges(labelled(spark, sf_dir), W, W, "reference")
+    return raster.boundary_edges(labelled(spark, sf_dir), *wh(spark, sf_dir), "reference")
 
 
 @query(f"WITH {LABELLED}, {BESIDE} SELECT DISTINCT least(label, other) AS a, greatest(label, other) AS b FROM (FROM nx UNION ALL FROM ny)")
 def e11_adjacency(spark, sf_dir):
-    return raster.adjacency(labelled(spark, sf_dir), W, W)
+    return raster.adjacency(labelled(spark, sf_dir), *wh(spark, sf_dir))
 
 
 @query(f"WITH {LABELLED}, {BESIDE}, p AS (SELECT least(label, other) AS a, greatest(label, other) AS b FROM (FROM nx UNION ALL FROM ny)) SELECT DISTINCT a, b FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p)")
 def h6_symmetric_adjacency(spark, sf_dir):
-    return raster.symmetric(raster.adjacency(labelled(spark, sf_dir), W, W))
+    return raster.symmetric(raster.adjacency(labelled(spark, sf_dir), *wh(spark, sf_dir)))
 
 
 @query(f"WITH {LABELLED}, {BESIDE}, p AS (SELECT DISTINCT least(label, other) AS a, greatest(label, other) AS b FROM (FROM nx UNION ALL FROM ny)), q AS (SELECT CASE WHEN a = 1 THEN 2 ELSE a END AS p, CASE WHEN b = 1 THEN 2 ELSE b END AS q FROM p) SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM q WHERE p <> q")
 def i18_contract_region(spark, sf_dir):
-    return raster.contract(raster.adjacency(labelled(spark, sf_dir), W, W), 1, 2)
+    return raster.contract(raster.adjacency(labelled(spark, sf_dir), *wh(spark, sf_dir)), 1, 2)
 
 
 @query(f"WITH {LABELLED}, {BESIDE}, {EDGES}, v AS (SELECT x1 % {W} AS cx, y1 % {W} AS cy FROM edges UNION ALL SELECT x2 % {W}, y2 % {W} FROM edges) SELECT cx, cy, CAST(count(*) AS BIGINT) AS degree FROM v GROUP BY cx, cy")
 def e10_corner_degrees(spark, sf_dir):
-    return raster.corner_degrees(raster.boundary_edges(labelled(spark, sf_dir), W, W), W, W)
+    return raster.corner_degrees(raster.boundary_edges(labelled(spark, sf_dir), *wh(spark, sf_dir)), *wh(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {LABELLED}, lk AS (SELECT a.x * {W} + a.y AS a, b.x * {W} + b.y AS b FROM lab a JOIN lab b ON a.label = b.label AND ((b.x = (a.x + 1) % {W} AND b.y = a.y) OR (b.x = a.x AND b.y = (a.y + 1) % {W}))),
@@ -126,32 +135,22 @@ e AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk), seed AS (SELECT label,
 r AS (SELECT x * {W} + y AS id, x * {W} + y AS root FROM lab UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b)
 SELECT id // {W} AS x, id % {W} AS y, CAST(dense_rank() OVER (ORDER BY root) AS BIGINT) AS region FROM (SELECT id, min(root) AS root FROM r GROUP BY id)""")
 def i12_connected_regions(spark, sf_dir):
-    return components.regions(labelled(spark, sf_dir), W, W)
-
-
-@query()
-def i2_label_edges(spark, sf_dir):
-    return components.label_edges(raster.boundary_edges(labelled(spark, sf_dir), W, W))
+    return components.regions(labelled(spark, sf_dir), *wh(spark, sf_dir))
 
 
 @query(f"WITH {LABELLED}, {BESIDE}, {EDGES}, l AS (SELECT * FROM edges) SELECT CAST(count(*) AS BIGINT) AS n_edges, CAST(0 AS BIGINT) AS mixed FROM l")
 def i2_label_edges_invariant(spark, sf_dir):
     """Every edge has a label, and no label spans two group pairs."""
-    e = i2_label_edges(spark, sf_dir)
+    e = components.label_edges(raster.boundary_edges(labelled(spark, sf_dir), *wh(spark, sf_dir)))
     pair = F.struct(F.least("group_a", "group_b"), F.greatest("group_a", "group_b"))
     per = e.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct(pair).alias("pairs"))
     return per.agg(F.sum("n").alias("n_edges"), F.sum((F.col("pairs") != 1).cast("long")).alias("mixed"))
 
 
-@query()
-def i7_polylines(spark, sf_dir):
-    return components.polylines(raster.boundary_edges(labelled(spark, sf_dir), W, W), W, W)
-
-
 @query(f"WITH {LABELLED}, {BESIDE}, {EDGES} SELECT least(x1, x2) % {W} AS x, least(y1, y2) % {W} AS y, CASE WHEN y1 = y2 THEN 'low_y' ELSE 'low_x' END AS side, max(group_a) AS line FROM edges GROUP BY ALL")
 def i11_border_map(spark, sf_dir):
-    e = raster.boundary_edges(labelled(spark, sf_dir), W, W).withColumn("label", F.col("group_a"))
-    return raster.border_map(e, W, W)
+    e = raster.boundary_edges(labelled(spark, sf_dir), *wh(spark, sf_dir)).withColumn("label", F.col("group_a"))
+    return raster.border_map(e, *wh(spark, sf_dir))
 
 
 _OFFSETS = ", ".join(f"({i}, {j})" for i, j in raster.REFERENCE)
@@ -161,7 +160,7 @@ _CANDIDATES = f"WITH {LABELLED}, half AS (SELECT x, y, CASE WHEN (x * 7 + y * 3)
 @query(f"{_CANDIDATES} SELECT label, x, y, CAST(support AS BIGINT) AS support FROM c")
 def c1_growth_candidates(spark, sf_dir):
     half = labelled(spark, sf_dir).withColumn("label", F.when((F.col("x") * 7 + F.col("y") * 3) % 5 < 3, F.col("label")))
-    return raster.candidates(half, W, W)
+    return raster.candidates(half, *wh(spark, sf_dir))
 
 
 @query(f"{_CANDIDATES} SELECT label, x, y, CAST(support AS BIGINT) AS support FROM (SELECT *, rank() OVER (PARTITION BY label ORDER BY support DESC) AS r FROM c) WHERE r = 1")
@@ -171,7 +170,7 @@ def c2_best_candidates(spark, sf_dir):
 
 @query(f"WITH {GRID}, o(i, j) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) SELECT x, y, x + i AS nx, y + j AS ny FROM grid, o WHERE x + i BETWEEN 0 AND {W - 1} AND y + j BETWEEN 0 AND {W - 1}")
 def b32_clamped_neighbours(spark, sf_dir):
-    return raster.clamped(fx.grid(spark), W, W)
+    return raster.clamped(fx.grid(spark, wide(spark, sf_dir)), *wh(spark, sf_dir))
 
 
 @query(f"""WITH {TRIANGLES} SELECT id, round((ax + bx + cx) / 3.0, 6) AS gx, round((ay + by_ + cy) / 3.0, 6) AS gy, round(sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)), 6) AS ab,
@@ -247,16 +246,16 @@ _CUT = " + ".join(f"CASE WHEN ({b} > py) <> ({d} > py) AND px < CAST({c} - {a} A
 @query(f"WITH {TRIANGLES}, q AS (SELECT *, id * 13 % 997 AS px, id * 7 % 983 AS py FROM tri) SELECT id, ({_CUT}) % 2 = 1 AS inside FROM q")
 def b11_point_in_polygon(spark, sf_dir):
     d = lambda c: F.col(c).cast("double")
-    ring = F.array(*[F.struct(d(x).alias("x"), d(y).alias("y")) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"))])
+    ring = [(d(x), d(y)) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"))]
     t = fx.triangles(spark, sf_dir)
-    return t.select("id", g.in_ring(ring, (F.col("id") * 13 % 997).cast("double"), (F.col("id") * 7 % 983).cast("double")).alias("inside"))
+    return t.select("id", g.in_fixed_ring(ring, (F.col("id") * 13 % 997).cast("double"), (F.col("id") * 7 % 983).cast("double")).alias("inside"))
 
 
 @query(f"WITH {TRIANGLES} SELECT id, round(-((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) / 2.0, 6) AS area FROM tri")
 def b22_ring_area(spark, sf_dir):
     d = lambda c: F.col(c).cast("double")
-    ring = F.array(*[F.struct(d(x).alias("x"), d(y).alias("y")) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"))])
-    return fx.triangles(spark, sf_dir).select("id", F.round(g.ring_area(ring), 6).alias("area"))
+    k, _, _ = g.ring_of([(d(x), d(y)) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"))])
+    return fx.triangles(spark, sf_dir).select("id", F.round(k / 2.0, 6).alias("area"))
 
 
 @query(f"WITH {CLOUDS} SELECT user_id, event_id, (x + 400) % 512 AS x, (y + 13) % 512 AS y, CAST(least(abs(x - 17), 512 - abs(x - 17)) + least(abs(y - 250), 512 - abs(y - 250)) AS BIGINT) AS torus_l1 FROM clouds")
@@ -274,7 +273,7 @@ def j11_torus_centroid(spark, sf_dir):
 def j11_chain_bound(spark, sf_dir):
     """The Metropolis chain never beats the exact optimum."""
     pts = fx.clouds(spark, sf_dir)
-    both = centroid.chain(pts, "user_id", 512, 512).select("user_id", F.col("cost").alias("found")).join(centroid.exact(pts, "user_id", 512, 512), "user_id")
+    both = centroid.chain(pts, "user_id", "event_id", 512, 512).select("user_id", F.array_min("costs").alias("found")).join(centroid.exact(pts, "user_id", 512, 512), "user_id")
     return both.agg(F.count("*").alias("users"), F.sum((F.col("found") < F.col("cost") - 1e-6).cast("long")).alias("below"))
 
 
@@ -306,12 +305,6 @@ def m_distributions(spark, sf_dir):
     return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), draws.uniform_int(u, 3, 7).alias("uniform_int"), r(draws.uniform_real(u, 2, 5)).alias("uniform_real"), draws.bernoulli(u, 0.3).alias("bernoulli"), draws.geometric(u, 0.33).alias("geometric"), r(draws.exponential(u, 2)).alias("exponential"), r(draws.weibull(u, 1.5, 3)).alias("weibull"), r(draws.extreme_value(u, 1, 2)).alias("extreme_value"), r(draws.normal(u, v)).alias("normal"), r(draws.cauchy(u, 0.5, 2), 3).alias("cauchy"))
 
 
-@query()
-def m_compound_distributions(spark, sf_dir):
-    k, u, v = F.col("o_orderkey"), draws.uniform(F.col("o_orderkey")), draws.uniform(F.col("o_orderkey") + 77)
-    return fx.table(spark, sf_dir, "orders").select(k.alias("id"), draws.poisson(u, 4.0).alias("poisson"), draws.binomial(k, 8, 0.4).alias("binomial"), draws.negative_binomial(k, 3, 0.5).alias("negative_binomial"), draws.lognormal(u, v, 0.0, 0.5).alias("lognormal"), draws.gamma(k, 3, 2.0).alias("gamma"), draws.chi_squared(k, 4).alias("chi_squared"), draws.student_t(k, 5).alias("student_t"), draws.fisher_f(k, 3, 6).alias("fisher_f"), draws.discrete(u, [1, 2, 3, 4]).alias("discrete"), draws.piecewise_constant(u, v, [0.0, 1.0, 3.0, 6.0], [1, 1, 2]).alias("piecewise"))
-
-
 def _points(spark, sf_dir):
     k = F.col("p_partkey")
     return fx.table(spark, sf_dir, "part").select(k.alias("id"), (draws.draw(k, 2) / float(draws.MODULUS)).alias("px"), (draws.draw(k + 5000, 3) / float(draws.MODULUS)).alias("py"))
@@ -331,11 +324,6 @@ def c3_annulus(spark, sf_dir):
     return sampling.annulus(_points(spark, sf_dir), 0.5, 0.5, 0.1, 0.2).select("id")
 
 
-@query()
-def j8_poisson_disk(spark, sf_dir):
-    return sampling.poisson_disk(_points(spark, sf_dir), 0.05)
-
-
 @query("SELECT CAST(0 AS BIGINT) AS too_near, CAST(0 AS BIGINT) AS could_add")
 def j8_poisson_invariant(spark, sf_dir):
     """None of the kept points is too near another, and no other point fits."""
@@ -352,11 +340,6 @@ def _cells(spark, sf_dir):
     return voronoi.cells(sites, 4096.0)
 
 
-@query()
-def i21_voronoi_cells(spark, sf_dir):
-    return _cells(spark, sf_dir)
-
-
 @query("SELECT CAST(count(*) AS BIGINT) AS cells, CAST(16777216.0 AS DOUBLE) AS area, CAST(0 AS BIGINT) AS one_sided FROM supplier")
 def i21_voronoi_invariant(spark, sf_dir):
     """The cells fill the square, and sharing an edge is mutual."""
@@ -367,60 +350,45 @@ def i21_voronoi_invariant(spark, sf_dir):
     return area.crossJoin(e.join(back, ["site_id", "e"], "left_anti").agg(F.count("*").alias("one_sided")))
 
 
-@query()
-def i30_region_graph(spark, sf_dir):
-    return voronoi.region_graph(_cells(spark, sf_dir))
-
-
-@query()
-def i29_vertex_graph(spark, sf_dir):
-    return voronoi.vertex_graph(_cells(spark, sf_dir))
-
-
-@query()
-def i32_adjacency_segments(spark, sf_dir):
-    rings = voronoi.staged(_cells(spark, sf_dir))
-    c = voronoi.centroids(rings)
-    a = c.select(F.col("site_id").alias("a"), F.col("cx").alias("x1"), F.col("cy").alias("y1"))
-    b = c.select(F.col("site_id").alias("b"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
-    return voronoi.region_graph(rings).join(a, "a").join(b, "b")
-
-
 def _maps(spark, sf_dir):
     k = F.col("n_nationkey").cast("long")
     return fx.table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("map_id"), k.alias("label"), (k * 7 % 32).alias("x"), (k * 13 % 32).alias("y"), F.greatest(F.lit(1.0), draws.geometric(draws.uniform(k), 0.33).cast("double")).alias("weight"))
 
 
-@query()
-def j1_growth(spark, sf_dir):
+def _grown(spark, sf_dir):
     return growth.grow(_maps(spark, sf_dir), 32, 32)
 
 
 @query("SELECT CAST(count(DISTINCT n_regionkey) * 1024 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS unassigned FROM nation")
 def j1_growth_invariant(spark, sf_dir):
-    return j1_growth(spark, sf_dir).agg(F.count("*").alias("cells"), F.sum((F.col("label") < 0).cast("long")).alias("unassigned"))
+    return _grown(spark, sf_dir).agg(F.count("*").alias("cells"), F.count_if(F.col("label").isNull()).alias("unassigned"))
 
 
-@query()
-def j5_random_walks(spark, sf_dir):
+def _walks(spark, sf_dir):
     maps = fx.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("map_id"))
     return growth.walk_cuts(maps, 32, 32)
 
 
-@query(f"SELECT CAST(n_nationkey AS BIGINT) AS plate_id, round(0.1 + {UNIFORM('CAST(n_nationkey AS BIGINT)')} * 0.9, 6) AS drift_x, round(3 * (0.1 + {UNIFORM('CAST(n_nationkey AS BIGINT)')} * 0.9), 6) AS moved_x, CAST(1 AS DOUBLE) AS direction FROM nation")
-def j9_advance(spark, sf_dir):
-    k = F.col("n_nationkey").cast("long")
-    drift = draws.uniform_real(draws.uniform(k), 0.1, 1.0)
-    return fx.table(spark, sf_dir, "nation").select(k.alias("plate_id"), F.round(drift, 6).alias("drift_x"), F.round(3 * drift, 6).alias("moved_x"), F.sign(drift).alias("direction"))
+@query("SELECT CAST(count(*) AS BIGINT) AS maps, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS first_missing, CAST(0 AS BIGINT) AS repeated FROM region")
+def j5_random_walks(spark, sf_dir):
+    """Every map has its first cut, the sides of a cut hang together, and no side belongs to two."""
+    walks = sampling.staged(_walks(spark, sf_dir))
+    x, y = F.col("x"), F.col("y")
+    on_y = F.col("side") == "low_y"
+    at = lambda a, b: (F.col("map_id") * 8 + F.col("cut")) * 1024 + g.wrap(a, 32) * 32 + g.wrap(b, 32)
+    sides = walks.select("map_id", "cut", at(x, y).alias("a"), F.when(on_y, at(x + 1, y)).otherwise(at(x, y + 1)).alias("b"))
+    part = sides.join(components.components(sides).withColumnRenamed("id", "a"), "a").groupBy("map_id", "cut").agg(F.countDistinct("component").alias("n"))
+    torn = part.agg(F.count_if(F.col("n") > 1).alias("torn"))
+    per = walks.groupBy("map_id").agg(F.min("cut").alias("first"), F.count("*").alias("n"), F.countDistinct("x", "y", "side").alias("k"))
+    return per.agg(F.count("*").alias("maps"), F.count_if(F.col("first") != 1).alias("first_missing"), F.count_if(F.col("n") != F.col("k")).alias("repeated")).crossJoin(torn)
 
 
-@query(f"WITH {LABELLED} SELECT * FROM lab")
-def a2_matrix_round_trip(spark, sf_dir):
-    import uuid
-
-    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
-    json_files.write_matrix(labelled(spark, sf_dir), path)
-    return json_files.read_matrix(spark, path)
+@query(f"WITH d AS (SELECT CAST(n_nationkey AS BIGINT) AS id, (0.1 + {UNIFORM('CAST(n_nationkey AS BIGINT)')} * 0.9) * CASE WHEN n_nationkey % 3 = 0 THEN -1 ELSE 1 END AS v, n_nationkey * 7 % 32 AS x FROM nation) SELECT id AS plate_id, round(v, 6) AS drift_x, round(3 * v, 6) AS moved_x, CAST(sign(v) AS DOUBLE) AS direction, CAST((x + 31 + CASE WHEN v > 0 THEN 2 ELSE 0 END) % 32 AS BIGINT) AS next_x FROM d")
+def j9_advance(spark, sf_dir):
+    """Drift either way, what it adds up to over three steps, its sign, and the cell that a plate moves towards."""
+    k = F.col("n_nationkey").cast("long")
+    drift = draws.uniform_real(draws.uniform(k), 0.1, 1.0) * F.when(k % 3 == 0, -1).otherwise(1)
+    return fx.table(spark, sf_dir, "nation").select(k.alias("plate_id"), F.round(drift, 6).alias("drift_x"), F.round(3 * drift, 6).alias("moved_x"), F.sign(drift).alias("direction"), g.wrap(k * 7 % 32 + F.sign(drift).cast("long"), 32).alias("next_x"))
 
 
 @query(f"WITH {SITES} SELECT site_id, printf('[%.6f, %.6f]', CAST(sx AS DOUBLE), CAST(sy AS DOUBLE)) AS json FROM sites")
@@ -428,36 +396,26 @@ def a1_point_text(spark, sf_dir):
     return fx.sites(spark, sf_dir).select("site_id", json_files.point_text(F.col("sx"), F.col("sy")).alias("json"))
 
 
-@query(f"WITH {LABELLED}, {BESIDE}, {EDGES} SELECT x1, y1, x2, y2, '[[' || x1 || ',' || y1 || '],[' || x2 || ',' || y2 || ']]' AS json FROM edges")
-def a4_edge_lines(spark, sf_dir):
-    return json_files.edge_lines(raster.boundary_edges(labelled(spark, sf_dir), W, W).select("x1", "y1", "x2", "y2"))
-
-
 @query(f"WITH {LABELLED}, {BESIDE}, {EDGES} SELECT CAST(count(*) AS BIGINT) AS n_edges, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS through FROM edges")
 def i8_ordered_lines_invariant(spark, sf_dir):
     """Every edge is on one line, neighbours on a line are neighbours on the torus, and junctions lie at ends only."""
-    edges = sampling.staged(raster.boundary_edges(labelled(spark, sf_dir), W, W))
-    on = sampling.staged(lines.ordered_lines(edges, W, W))
+    edges = sampling.staged(raster.boundary_edges(labelled(spark, sf_dir), *wh(spark, sf_dir)))
+    on = sampling.staged(lines.ordered_lines(edges, *wh(spark, sf_dir)))
     step = on.select("line", (F.col("seq") + 1).alias("seq"), F.col("x").alias("px"), F.col("y").alias("py"))
-    far = g.axis_distance(F.col("x"), F.col("px"), W) + g.axis_distance(F.col("y"), F.col("py"), W)
+    far = g.axis_distance(F.col("x"), F.col("px"), w) + g.axis_distance(F.col("y"), F.col("py"), w)
     pairs = on.join(step, ["line", "seq"]).agg(F.count("*").alias("n_edges"), F.sum((far != 1).cast("long")).alias("gaps"))
     again = on.join(step, ["line", "seq"]).select(F.least(F.struct("x", "y"), F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("p"), F.greatest(F.struct("x", "y"), F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("q"))
     again = again.groupBy("p", "q").agg(F.count("*").alias("n")).agg(F.sum((F.col("n") > 1).cast("long")).alias("repeated"))
     last = on.groupBy("line").agg(F.max("seq").alias("last"))
     inner = on.join(last, "line").where("seq > 0 and seq < last").select(F.col("x").alias("cx"), F.col("y").alias("cy"))
-    through = inner.join(raster.corner_degrees(edges, W, W), ["cx", "cy"]).agg(F.sum((F.col("degree") != 2).cast("long")).alias("through"))
+    through = inner.join(raster.corner_degrees(edges, *wh(spark, sf_dir)), ["cx", "cy"]).agg(F.sum((F.col("degree") != 2).cast("long")).alias("through"))
     return pairs.crossJoin(again).crossJoin(through)
 
 
-@query()
-def i8_ordered_lines(spark, sf_dir):
-    return lines.ordered_lines(raster.boundary_edges(labelled(spark, sf_dir), W, W), W, W)
-
-
 @query("SELECT CAST(0 AS BIGINT) AS clashes, CAST(0 AS BIGINT) AS uncoloured, CAST(0 AS BIGINT) AS beyond")
 def i33_colours_invariant(spark, sf_dir):
     """No two lines that meet have one colour, every line has one, and seven are enough."""
-    on = sampling.staged(i8_ordered_lines(spark, sf_dir))
+    on = sampling.staged(lines.ordered_lines(raster.boundary_edges(labelled(spark, sf_dir), *wh(spark, sf_dir)), *wh(spark, sf_dir)))
     met, ids = sampling.staged(lines.clashes(on)), on.select("line").distinct()
     found = sampling.staged(lines.colour(ids, met))
     a, b = (found.select(F.col("line").alias(c), F.col("colour").alias("c" + c)) for c in ("a", "b"))
@@ -471,20 +429,15 @@ def i12_areas_between_borders(spark, sf_dir):
     """The same regions from borders instead of labels."""
     map_id = F.lit(0).cast("long")
     sides = i11_border_map(spark, sf_dir).withColumn("map_id", map_id)
-    return merging.areas_between(fx.grid(spark).withColumn("map_id", map_id), sides, W, W).select("x", "y", "region")
+    return merging.areas_between(fx.grid(spark, wide(spark, sf_dir)).withColumn("map_id", map_id), sides, *wh(spark, sf_dir)).select("x", "y", "region")
 
 
 def _cut_maps(spark, sf_dir):
-    walks = sampling.staged(j5_random_walks(spark, sf_dir))
+    walks = sampling.staged(_walks(spark, sf_dir))
     maps = fx.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("map_id"))
     return walks, merging.areas_between(maps.crossJoin(F.broadcast(fx.grid(spark, 32))), walks, 32, 32)
 
 
-@query()
-def j3_slice_areas(spark, sf_dir):
-    return _cut_maps(spark, sf_dir)[1]
-
-
 @query("SELECT CAST(count(*) * 1024 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS gaps FROM region")
 def j3_slice_areas_invariant(spark, sf_dir):
     """Every cell has a region, cells without a border between them the same one, and numbers run from 1 without gaps."""
@@ -499,16 +452,10 @@ def j3_slice_areas_invariant(spark, sf_dir):
 
 def _merged(spark, sf_dir):
     grid = sampling.staged(labelled(spark, sf_dir))
-    pairs = sampling.staged(raster.adjacency(grid, W, W))
+    pairs = sampling.staged(raster.adjacency(grid, *wh(spark, sf_dir)))
     return grid, pairs, merging.merge_regions(grid.select("label").distinct(), pairs, 7)
 
 
-@query()
-def i17_aggregated_cells(spark, sf_dir):
-    grid, _, found = _merged(spark, sf_dir)
-    return grid.join(found, "label").select("x", "y", "region")
-
-
 @query(f"WITH {LABELLED} SELECT CAST(count(*) AS BIGINT) AS cells, CAST(least(7, count(DISTINCT label)) AS BIGINT) AS regions, CAST(0 AS BIGINT) AS torn FROM lab")
 def i17_aggregation_invariant(spark, sf_dir):
     """So many regions remain, and each one hangs together by borders of the cells that it is made of."""
@@ -522,7 +469,7 @@ def i17_aggregation_invariant(spark, sf_dir):
 
 @query(f"WITH lab AS ({ORACLES['d2_weighted_nearest']}), {BESIDE}, {EDGES} SELECT * FROM edges")
 def i16_weighted_boundaries(spark, sf_dir):
-    return raster.boundary_edges(sampling.staged(d2_weighted_nearest(spark, sf_dir)), W, W)
+    return raster.boundary_edges(sampling.staged(d2_weighted_nearest(spark, sf_dir)), *wh(spark, sf_dir))
 
 
 @query(f"WITH {LABELLED} SELECT x, y, CAST(dense_rank() OVER (ORDER BY label) AS BIGINT) AS label FROM lab")
@@ -559,8 +506,7 @@ def e9_run_summary(spark, sf_dir):
 @query(f"WITH {TRIANGLES} SELECT id, round((ax + bx + cx) / 3.0, 5) AS gx, round((ay + by_ + cy) / 3.0, 5) AS gy FROM tri")
 def b21_ring_centroid(spark, sf_dir):
     d = lambda c: F.col(c).cast("double")
-    ring = F.array(*[F.struct(d(x).alias("x"), d(y).alias("y")) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"))])
-    x, y = g.ring_centroid(ring)
+    _, x, y = g.ring_of([(d(x), d(y)) for x, y in (("ax", "ay"), ("bx", "by"), ("cx", "cy"))])
     return fx.triangles(spark, sf_dir).select("id", F.round(x, 5).alias("gx"), F.round(y, 5).alias("gy"))
 
 
@@ -617,14 +563,13 @@ def m_piecewise_linear(spark, sf_dir):
     return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round(draws.piecewise_linear(u, v, [0.0, 1.0, 2.0, 2.5], [1.0, 2.0, 2.0, 0.0]), 6).alias("piecewise_linear"))
 
 
-@query("SELECT '{\"vector\":[' || string_agg(s_suppkey * 7919 % 64, ',' ORDER BY s_suppkey) || ']}' AS json FROM supplier")
-def a3_vector_text(spark, sf_dir):
-    return json_files.vector_text(fx.table(spark, sf_dir, "supplier"), "s_suppkey", F.col("s_suppkey") * 7919 % 64)
-
-
 def queries() -> dict:
+    from tessella import catalog_more  # noqa: F401  # adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessella import catalog_more  # noqa: F401
+
     return dict(ORACLES)

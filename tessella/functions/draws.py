@@ -66,33 +66,63 @@ def cauchy(u, a: float, b: float) -> Column:
     return a + b * F.tan(F.pi() * (u - 0.5))
 
 
-def poisson(u, mean: float, most: int = 64) -> Column:
-    """By the cumulative probabilities up to most."""
+def _fold(n: int, start, step) -> Column:
+    """step over the numbers below n, from start: one expression, whatever n."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step) if n > 0 else start
+
+
+def poisson(key: Column, mean: float) -> Column:
+    """By the cumulative probabilities; large means as the sum of parts of at most 500.
+
+    Probabilities are added up to 10 deviations and 40 beyond the mean: the
+    generator's draws end 2^-32 below 1, far short of that.
+    """
     import math
 
-    total, p, out = 0.0, math.exp(-mean), F.lit(0)
-    for k in range(most):
-        total += p
-        out = out + (u >= total).cast("int")
-        p *= mean / (k + 1)
-    return out
+    parts = max(1, math.ceil(mean / 500))
+    part = mean / parts
+    most = math.ceil(part + 10 * math.sqrt(part) + 40)
+
+    def one(u):
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum"), F.lit(math.exp(-part)).alias("p"))
+        add = lambda s, k: F.struct((s["n"] + (u >= s["sum"] + s["p"]).cast("long")).alias("n"), (s["sum"] + s["p"]).alias("sum"), (s["p"] * F.lit(part) / (k + 1)).alias("p"))
+        return _fold(most, start, add)["n"]
+
+    return _fold(parts, F.lit(0).cast("long"), lambda n, k: n + one(uniform(key + 7919 * k)))
 
 
 def binomial(key: Column, trials: int, p: float) -> Column:
-    return sum((F.when(uniform(key + 7919 * k) < p, 1).otherwise(0) for k in range(trials)), F.lit(0))
+    return _fold(trials, F.lit(0), lambda n, k: n + (uniform(key + 7919 * k) < p).cast("int"))
 
 
 def negative_binomial(key: Column, successes: int, p: float) -> Column:
-    return sum((geometric(uniform(key + 7919 * k), p) for k in range(successes)), F.lit(0))
+    return _fold(successes, F.lit(0).cast("long"), lambda n, k: n + geometric(uniform(key + 7919 * k), p).cast("long"))
 
 
 def chi_squared(key: Column, n: int) -> Column:
-    return sum((F.pow(normal(uniform(key + 7919 * k), uniform(key + 7919 * k + 31), 0.0, 1.0), 2) for k in range(n)), F.lit(0.0))
+    return _fold(n, F.lit(0.0), lambda s, k: s + F.pow(normal(uniform(key + 7919 * k), uniform(key + 7919 * k + 31), 0.0, 1.0), 2))
+
+
+#: Tries of gamma(); each fails with a probability under 0.05, all of them under 1e-80.
+TRIES = 64
+
 
+def gamma(key: Column, shape: float, scale: float) -> Column:
+    """For any positive shape: the first accepted try of a cubed normal; shapes under 1 from the next one up."""
+    import math
+
+    d = (shape if shape >= 1 else shape + 1) - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+
+    def attempt(done, k):
+        at = key + 7919 * k
+        x = normal(uniform(at), uniform(at, 5))  # different numbers of steps: draws of neighbouring keys are shifts of each other
+        v = F.pow(1 + c * x, 3)
+        ok = (v > 0) & (F.log(uniform(at, 8)) < 0.5 * x * x + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300))))
+        return F.when(done >= 0, done).when(ok, d * v).otherwise(F.lit(-1.0))
 
-def gamma(key: Column, shape: int, scale: float) -> Column:
-    """For whole shapes: a sum of exponentials."""
-    return sum((exponential(uniform(key + 7919 * k), 1.0) for k in range(shape)), F.lit(0.0)) * scale
+    found = _fold(TRIES, F.lit(-1.0), attempt)
+    return (found if shape >= 1 else found * F.pow(uniform(key, 11), 1 / shape)) * scale
 
 
 def student_t(key: Column, n: int) -> Column:
@@ -103,6 +133,25 @@ def fisher_f(key: Column, m: int, n: int) -> Column:
     return (chi_squared(key, m) / m) / (chi_squared(key + 100003, n) / n)
 
 
+class Distribution:
+    """A distribution as an object that gives a Column for a key: any function of a key column, with its parameters.
+
+    Distribution(uniform_int, 1, 6) takes the functions here that begin with u (or u
+    and v); Distribution(gamma, 2.5, 1.0) those that begin with key; and any function
+    of a key column of one's own works alike.
+    """
+
+    def __init__(self, function, *parameters):
+        import inspect
+
+        self.function, self.parameters = function, parameters
+        self.inputs = [p for p in inspect.signature(function).parameters if p in ("u", "v")]
+
+    def __call__(self, key: Column) -> Column:
+        drawn = [uniform(key + 77 * k) for k in range(len(self.inputs))] or [key]
+        return self.function(*drawn, *self.parameters)
+
+
 def discrete(u, weights: list[float]) -> Column:
     """Index of the first cumulative weight above u times the total."""
     total, cum, out = sum(weights), 0.0, F.lit(0)

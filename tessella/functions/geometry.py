@@ -83,6 +83,45 @@ def parabola_x(directrix, fx, fy, y) -> Column:
     return ((y - fy) * (y - fy) + fx * fx - directrix * directrix) / (2 * (fx - directrix))
 
 
+def _break(directrix, ax, ay, bx, by) -> tuple[Column, Column, Column]:
+    """Coefficients of the quadratic in y of two parabolas over one directrix."""
+    p, q = ax - directrix, bx - directrix
+    return bx - ax, 2.0 * (by * p - ay * q), ay * ay * q - by * by * p - (bx - ax) * p * q
+
+
+def break_y(directrix, ax, ay, bx, by) -> Column:
+    """Height of the break point of two arcs, in the order of their foci: the lower one if the first focus lies farther along x, else the higher one."""
+    a, b, c = _break(directrix, ax, ay, bx, by)
+    roots = quadratic_roots(a, b, c)
+    return F.when(a == 0, (ay + by) / 2.0).when(ax > bx, F.array_min(roots)).otherwise(F.array_max(roots))
+
+
+def break_point(directrix, ax, ay, bx, by, eps: float = 1e-8) -> tuple[Column, Column]:
+    """The break point of two arcs; of a focus on the directrix the arc is a ray at its height. Null where they do not meet."""
+    on_a, on_b = F.abs(ax - directrix) < eps, F.abs(bx - directrix) < eps
+    y = F.when(on_a, ay).when(on_b, by).otherwise(break_y(directrix, ax, ay, bx, by))
+    return F.when(on_a, parabola_x(directrix, bx, by, y)).otherwise(parabola_x(directrix, ax, ay, y)), y
+
+
+def break_between(directrix, ax, ay, bx, by) -> Column:
+    """The height, of those where two parabolas meet, that lies strictly between the foci; else the one of the quadratic's positive root."""
+    a, b, c = _break(directrix, ax, ay, bx, by)
+    roots = quadratic_roots(a, b, c, 0.0)
+    minus, plus = F.when(a > 0, F.get(roots, F.lit(0))).otherwise(F.get(roots, F.size(roots) - 1)), F.when(a > 0, F.get(roots, F.size(roots) - 1)).otherwise(F.get(roots, F.lit(0)))
+    return F.when((F.size(roots) == 2) & between_open(minus, ay, by), minus).otherwise(plus)
+
+
+def parabola_line(directrix, fx, fy, xs: Column) -> Column:
+    """The parabola's points (x, y) at the given xs, ascending: lower branch in their order, vertex, upper branch backwards."""
+    def ys(x):
+        return quadratic_roots(F.lit(1.0), -2.0 * fy, fx * fx + fy * fy - directrix * directrix + 2.0 * x * (directrix - fx), 0.0)
+
+    def branch(n, at):
+        return F.transform(F.filter(xs, lambda x: F.size(ys(x)) == n), lambda x: F.struct(x.cast("double").alias("x"), F.get(ys(x), F.lit(at)).alias("y")))
+
+    return F.concat(branch(2, 0), branch(1, 0), F.reverse(branch(2, 1)))
+
+
 def parabola_meet_y(directrix, ax, ay, bx, by) -> Column:
     """Heights, ascending, where the parabolas of two foci over one directrix meet."""
     p, q = 2 * (ax - directrix), 2 * (bx - directrix)
@@ -164,6 +203,49 @@ def perimeter_at(x, y, lo, hi) -> Column:
     return F.when(x == lo, hi - y).when(y == lo, n + x - lo).when(x == hi, 2 * n + y - lo).when(y == hi, 3 * n + hi - x)
 
 
+def outside_box(x, y, lo, hi) -> Column:
+    return (x < lo) | (x > hi) | (y < lo) | (y > hi)
+
+
+def inside_box(x, y, lo, hi) -> Column:
+    """Inside the square or on its border."""
+    return (x >= lo) & (x <= hi) & (y >= lo) & (y <= hi)
+
+
+def interior_of_box(x, y, lo, hi) -> Column:
+    return (x > lo) & (x < hi) & (y > lo) & (y < hi)
+
+
+def complementary(slot) -> Column:
+    """The slot of an edge at its other end: 0 and 1, 2 and 3 belong together."""
+    return slot.bitwiseXOR(F.lit(1))
+
+
+def point_hash(x, y) -> Column:
+    """x and y below 2^31 in one long."""
+    return x.cast("long") * F.lit(1 << 31) + y.cast("long")
+
+
+def ring_of(points: list) -> tuple[Column, Column, Column]:
+    """Double area (negative for counter-clockwise), and centroid, of a ring of a fixed number of (x, y): plain columns, no fold."""
+    pairs = list(zip(points, points[1:] + points[:1]))
+    cross = [p[0] * q[1] - q[0] * p[1] for p, q in pairs]
+    k = sum(cross[1:], cross[0])
+    x, y = (sum(((p[i] + q[i]) * c for (p, q), c in zip(pairs[1:], cross[1:])), (pairs[0][0][i] + pairs[0][1][i]) * cross[0]) for i in (0, 1))
+    return -k, F.try_divide(x, 3 * k), F.try_divide(y, 3 * k)
+
+
+def in_fixed_ring(points: list, x, y) -> Column:
+    """in_ring() for a ring of a fixed number of (x, y): plain columns, no fold."""
+    if len(points) < 3:
+        return F.lit(False)
+    hits = F.lit(0)
+    for p, q in zip(points, points[1:] + points[:1]):
+        cut = (p[1] > y) != (q[1] > y)
+        hits = hits + F.when(cut & (x < (q[0] - p[0]) * F.try_divide(y - p[1], q[1] - p[1]) + p[0]), 1).otherwise(0)
+    return hits % 2 == 1
+
+
 def apart(ax, ay, bx, by) -> Column:
     """Whether two cells are neither the same nor neighbours, diagonals included."""
     return F.greatest(F.abs(ax - bx), F.abs(ay - by)) > 1

@@ -1,103 +1,141 @@
-"""Sequential stochastic partitions: seeded growth and random-walk cuts, one map for each group.
+"""Random partitions of tori, set-based: growth by first passage, and cuts along random walks.
 
-They scale over maps, not within one: a task holds one map, w * h cells.
+All maps and all cells of a table take part in every round, so nothing is one task's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from tessella.functions import draws
+from tessella.functions.geometry import wrap
 from tessella.operators.raster import MOORE, REFERENCE
+from tessella.plans.stage import drop, staged
+
+#: Steps of growth that one stage holds.
+STEPS = 4
+
+
+def _delay(label, x, y, weight, seed: int):
+    """Whole time a region needs to take a cell: exponential, the faster the greater its weight; at least 1."""
+    u = draws.uniform(F.pmod(label * 7_368_787 + x * 104_729 + y * 1_299_709 + seed, F.lit(draws.MODULUS)), 3)
+    return (F.lit(1) + F.floor(draws.exponential(u, 1.0) * 1_000_000 / weight)).cast("long")
 
 
 def grow(seeds: DataFrame, w: int, h: int, seed: int = 1, stencil: str = "reference") -> DataFrame:
     """seeds (map_id, label, x, y, weight) -> (map_id, x, y, label): every cell of every map assigned.
 
-    A plate is picked by weight, then one of its perimeter cells; of that cell's
-    free neighbours with most neighbours of the plate one is taken. Of seeds on
-    one cell the lowest label stays.
+    All regions grow at once: one that has a cell takes a neighbour after an
+    exponential time that its weight shortens, and the first to come keeps it. That is
+    the law of picking regions by weight and border cells at random, one at a time.
+    Each region is connected under the stencil. Of seeds on one cell the lowest label
+    stays; of arrivals at one time too. In a step every cell that is no seed's looks
+    anew at what its neighbours' regions would bring, so that nothing stays that came
+    over a cell lost since; cells are right in the order of their times, and the maps
+    done when a stage of steps changes none.
     """
-    steps = REFERENCE if stencil == "reference" else MOORE
-
-    def run(keys, pdf):
-        import numpy as np
-        import pandas as pd
-
-        rng = np.random.default_rng([seed, abs(int(keys[0]))])
-        grid = np.full((w, h), -1, dtype=np.int64)
-        pdf = pdf.sort_values(["label", "x", "y"])
-        edge: dict[int, list] = {}
-        weight: dict[int, float] = {}
-        for label, x, y, wt in zip(pdf["label"], pdf["x"] % w, pdf["y"] % h, pdf["weight"]):
-            if grid[x, y] < 0:
-                grid[x, y] = label
-                edge.setdefault(label, []).append((x, y))
-                weight[label] = max(1.0, float(wt))
-        live = list(edge)
-        while live:
-            p = np.array([weight[k] for k in live])
-            label = live[int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right").clip(0, len(live) - 1))]
-            own = edge[label]
-            at = int(rng.integers(len(own)))
-            x, y = own[at]
-            free = {((x + i) % w, (y + j) % h) for i, j in steps}
-            free = sorted(c for c in free if grid[c] < 0)
-            if free:
-                near = [sum(grid[(a + i) % w, (b + j) % h] == label for i, j in steps) for a, b in free]
-                top = [c for c, n in zip(free, near) if n == max(near)]
-                c = top[int(rng.integers(len(top)))]
-                grid[c] = label
-                own.append(c)
-            else:
-                own[at] = own[-1]
-                own.pop()
-                if not own:
-                    live.remove(label)
-        xs, ys = np.divmod(np.arange(w * h), h)
-        return pd.DataFrame({"map_id": keys[0], "x": xs, "y": ys, "label": grid.ravel()})
-
-    return seeds.groupBy("map_id").applyInPandas(run, "map_id bigint, x bigint, y bigint, label bigint")
-
-
-def walk_cuts(maps: DataFrame, w: int, h: int, cuts: int = 6, alpha: float = 0.05, seed: int = 1) -> DataFrame:
-    """maps (map_id) -> (map_id, x, y, side, cut): sides of cells that random walks pass, both ways from fresh corners.
-
-    A walk turns by a normal angle, steps along x or y in proportion to its
-    direction, and stops at a corner that has been visited. side low_x lies
-    between (x - 1, y) and (x, y), low_y between (x, y - 1) and (x, y).
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in sorted(set(REFERENCE if stencil == "reference" else MOORE))])
+    key = ["map_id", "x", "y"]
+    weights = seeds.groupBy("map_id", "label").agg(F.max(F.greatest(F.lit(1.0), F.col("weight").cast("double"))).alias("weight"))
+    first = seeds.groupBy("map_id", wrap(F.col("x"), w).alias("x"), wrap(F.col("y"), h).alias("y")).agg(F.min("label").alias("label"))
+    first = first.join(weights, ["map_id", "label"])
+    # At 0 nothing comes earlier, so seeds keep their cells; a region's weight travels with it.
+    planted = staged(first.select(*key, F.struct(F.lit(0).cast("long").alias("at"), "label", "weight").alias("best")), "seeds")
+    best, last = planted, None
+    while True:
+        now = best
+        for _ in range(STEPS):
+            to = now.select("map_id", "best", "x", "y", F.explode(around).alias("d"))
+            to = to.select("map_id", wrap(F.col("x") + F.col("d.i"), w).alias("x"), wrap(F.col("y") + F.col("d.j"), h).alias("y"), "best")
+            come = (F.col("best.at") + _delay(F.col("best.label"), F.col("x"), F.col("y"), F.col("best.weight"), seed)).alias("at")
+            to = to.select(*key, F.struct(come, F.col("best.label").alias("label"), F.col("best.weight").alias("weight")).alias("best"))
+            now = planted.unionByName(to).groupBy(*key).agg(F.min("best").alias("best"))
+        new = staged(now, "growth")
+        if best is not planted:
+            drop(best)
+        best = new
+        state = best.agg(F.count("*"), F.sum(F.xxhash64("map_id", "x", "y", "best.label", "best.at").cast("decimal(38,0)"))).first()
+        if state == last:
+            return best.select(*key, F.col("best.label").alias("label"))
+        last = state
+
+
+def paths(maps: DataFrame, w: int, h: int, cuts: int, length: int, alpha: float, seed: int) -> DataFrame:
+    """(map_id, walk, step, x, y): the corners of random walks, two ways from each cut's first corner, as long as asked.
+
+    A walk is one fold: its angle turns by a normal angle, it steps along x or y in
+    proportion to its direction, and stays where it is rather than go back at once.
     """
-
-    def run(keys, pdf):
-        import numpy as np
-        import pandas as pd
-
-        rng = np.random.default_rng([seed, abs(int(keys[0]))])
-        seen: set = set()
-        out: dict = {}
-        for cut in range(1, cuts + 1):
-            start = (int(rng.integers(w)), int(rng.integers(h)))
-            if start in seen:
-                continue
-            seen.add(start)
-            angle = rng.random() * 2 * np.pi
-            for way in (angle, angle + np.pi):
-                (x, y), a, back = start, way, None
-                for _ in range(4 * w * h):
-                    a += rng.normal(0, alpha)
-                    dx, dy = np.cos(a), np.sin(a)
-                    move = (int(np.sign(dx)) or 1, 0) if rng.random() < abs(dx) / (abs(dx) + abs(dy)) else (0, int(np.sign(dy)) or 1)
-                    if back == move:
-                        continue
-                    nx, ny = (x + move[0]) % w, (y + move[1]) % h
-                    if move[0]:
-                        out.setdefault((x if move[0] > 0 else nx, y, "low_y"), cut)
-                    else:
-                        out.setdefault((x, y if move[1] > 0 else ny, "low_x"), cut)
-                    x, y, back = nx, ny, (-move[0], -move[1])
-                    if (x, y) in seen:
-                        break
-                    seen.add((x, y))
-        rows = [(keys[0], *k, c) for k, c in out.items()]
-        return pd.DataFrame(rows, columns=["map_id", "x", "y", "side", "cut"])
-
-    return maps.groupBy("map_id").applyInPandas(run, "map_id bigint, x bigint, y bigint, side string, cut bigint")
+    walks = maps.select("map_id", F.explode(F.sequence(F.lit(0), F.lit(2 * cuts - 1))).alias("walk"))
+    cut, back = F.floor(F.col("walk") / 2), F.col("walk") % 2
+    key = F.pmod(F.col("map_id") * 7_368_787 + cut * 104_729 + seed, F.lit(draws.MODULUS))
+    begin = walks.select("map_id", "walk", draws.uniform_int(draws.uniform(key, 3), 0, w - 1).cast("long").alias("sx"), draws.uniform_int(draws.uniform(key + 1, 3), 0, h - 1).cast("long").alias("sy"), (draws.uniform(key + 2, 3) * 2 * F.pi() + back * F.pi()).alias("angle"), draws.draw(key + 3 + back, 3).alias("state"))
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("angle").alias("angle"), F.col("state").alias("state"), zero.alias("dx"), zero.alias("dy"), F.array(corner(F.col("sx"), F.col("sy"))).alias("seen"))
+
+    def step(s, _):
+        one, two, three = (draws.draw(s["state"], k) for k in (2, 3, 4))
+        u = lambda v: (v + 0.5) / float(draws.MODULUS)
+        return _turned(s, s["angle"] + draws.normal(u(one), u(two), 0.0, alpha), u(three), three)
+
+    def _turned(s, angle, u, state):
+        cos, sin = F.cos(angle), F.sin(angle)
+        along = u < F.abs(cos) / (F.abs(cos) + F.abs(sin))
+        sign = lambda v: F.when(v < 0, -1).otherwise(1).cast("long")
+        mx, my = F.when(along, sign(cos)).otherwise(zero), F.when(along, zero).otherwise(sign(sin))
+        return F.element_at(F.transform(F.array(F.struct(mx.alias("x"), my.alias("y"))), lambda m: _stepped(s, m["x"], m["y"], angle, state)), 1)
+
+    def _stepped(s, mx, my, angle, state):
+        go = (mx + s["dx"] != 0) | (my + s["dy"] != 0)
+        x, y = F.when(go, wrap(s["x"] + mx, w)).otherwise(s["x"]), F.when(go, wrap(s["y"] + my, h)).otherwise(s["y"])
+        seen = F.when(go, F.concat(s["seen"], F.array(corner(x, y)))).otherwise(s["seen"])
+        return F.struct(x.alias("x"), y.alias("y"), angle.alias("angle"), state.alias("state"), F.when(go, mx).otherwise(s["dx"]).alias("dx"), F.when(go, my).otherwise(s["dy"]).alias("dy"), seen.alias("seen"))
+
+    done = begin.select("map_id", "walk", F.aggregate(F.sequence(F.lit(1), F.lit(length)), start, step)["seen"].alias("seen"))
+    return done.select("map_id", "walk", F.posexplode("seen").alias("step", "c")).select("map_id", "walk", "step", "c.x", "c.y")
+
+
+def walk_cuts(maps: DataFrame, w: int, h: int, cuts: int = 6, alpha: float = 0.05, seed: int = 1, length: int | None = None) -> DataFrame:
+    """maps (map_id) -> (map_id, x, y, side, cut): sides of cells that random walks pass, both ways from each cut's first corner.
+
+    A walk ends at the first corner that it has been to or that an earlier walk has,
+    at its start at the latest for a cut that begins on such a corner, and after
+    ``length`` steps (w + h times 4) in any case. side low_x lies between (x - 1, y)
+    and (x, y), low_y between (x, y - 1) and (x, y).
+
+    Walks are drawn in full, then cut: a round ends those walks all of whose earlier
+    walks that they might meet have been ended.
+    """
+    walked = paths(maps, w, h, cuts, length or 4 * (w + h), alpha, seed)
+    own = Window.partitionBy("map_id", "walk", "x", "y").orderBy("step")
+    again = walked.withColumn("visit", F.row_number().over(own))
+    until = again.groupBy("map_id", "walk").agg(F.min(F.when(F.col("visit") > 1, F.col("step"))).alias("until"))
+    open_ = staged(again.join(until, ["map_id", "walk"]).where(F.coalesce(F.col("step") <= F.col("until"), F.lit(True))).select("map_id", "walk", "step", "x", "y"), "walks")
+    # The two ways of a cut share their first corner, which ends neither.
+    spots = open_.groupBy("map_id", "walk", "x", "y").agg(F.min("step").alias("step"))
+    other = spots.select("map_id", "x", "y", F.col("walk").alias("first"), F.col("step").alias("there"))
+    meets = spots.join(other, ["map_id", "x", "y"]).where((F.col("first") < F.col("walk")) & ~((F.floor(F.col("first") / 2) == F.floor(F.col("walk") / 2)) & (F.col("step") == 0) & (F.col("there") == 0)))
+    meets = staged(meets.select("map_id", "walk", "step", "first", "there"), "meets")
+    names, ends = staged(open_.select("map_id", "walk").distinct(), "walk-names"), None
+    while True:
+        left = names if ends is None else names.join(ends, ["map_id", "walk"], "left_anti")
+        if not left.head(1):
+            break
+        waits = meets.join(left.select("map_id", F.col("walk").alias("first")), ["map_id", "first"], "left_semi").select("map_id", "walk").distinct()
+        ready = left.join(waits, ["map_id", "walk"], "left_anti")
+        hit = meets.join(ready, ["map_id", "walk"], "left_semi")
+        if ends is not None:  # an earlier walk is met only where it has come before its own end
+            hit = hit.join(ends.select("map_id", F.col("walk").alias("first"), F.col("end").alias("last")), ["map_id", "first"]).where(F.col("last").isNull() | (F.col("there") <= F.col("last")))
+        found = ready.join(hit.groupBy("map_id", "walk").agg(F.min("step").alias("end")), ["map_id", "walk"], "left").select("map_id", "walk", "end")
+        ends = staged(found if ends is None else ends.unionByName(found), "walk-ends")
+    # A cut that begins on an earlier walk is none, in neither way.
+    kept = open_.join(ends, ["map_id", "walk"]).where(F.col("end").isNull() | (F.col("step") <= F.col("end")))
+    line = Window.partitionBy("map_id", "walk").orderBy("step")
+    steps = kept.withColumn("nx", F.lead("x").over(line)).withColumn("ny", F.lead("y").over(line)).where("nx is not null")
+    ahead = F.when(F.col("x") != F.col("nx"), wrap(F.col("x") + 1, w) == F.col("nx")).otherwise(wrap(F.col("y") + 1, h) == F.col("ny"))
+    low = lambda c: F.when(ahead, F.col(c)).otherwise(F.col("n" + c))
+    side = F.when(F.col("x") != F.col("nx"), "low_y").otherwise("low_x")
+    sides = steps.select("map_id", low("x").alias("x"), low("y").alias("y"), side.alias("side"), (F.floor(F.col("walk") / 2) + 1).cast("long").alias("cut"))
+    return sides.groupBy("map_id", "x", "y", "side").agg(F.min("cut").alias("cut"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import wrap
@@ -54,6 +54,15 @@ def ordered_lines(edges: DataFrame, w: int, h: int) -> DataFrame:
     return both.select("line", "seq", F.shiftright("c", 31).alias("x"), (F.col("c") % BIT).alias("y"))
 
 
+def border_map(lines: DataFrame, w: int, h: int) -> DataFrame:
+    """Lines (line, seq, x, y) -> (x, y, side, line): the sides of cells that they run along; of two on one side the higher number."""
+    after = Window.partitionBy("line").orderBy("seq")
+    steps = lines.select("line", "x", "y", F.lead("x").over(after).alias("nx"), F.lead("y").over(after).alias("ny")).where("nx is not null")
+    low = lambda c, n, size: F.when((F.col(c) != F.col(n)) & (wrap(F.col(c) + 1, size) != F.col(n)), F.col(n)).otherwise(F.col(c)).alias(c)
+    sides = steps.select(low("x", "nx", w), low("y", "ny", h), F.when(F.col("x") != F.col("nx"), "low_y").otherwise("low_x").alias("side"), "line")
+    return sides.groupBy("x", "y", "side").agg(F.max("line").alias("line"))
+
+
 def clashes(lines: DataFrame) -> DataFrame:
     """(a, b), a < b: lines (line, seq, x, y) that end in one corner; at most four meet in a corner of a raster."""
     last = lines.groupBy("line").agg(F.max("seq").alias("seq"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.draws import draw
 from tessella.functions.geometry import wrap
 from tessella.operators.components import components, dense
 from tessella.plans.stage import staged
@@ -34,31 +35,57 @@ def areas_between(cells: DataFrame, sides: DataFrame, w: int, h: int, torus: boo
     return numbered.join(least, "map_id").select("map_id", "x", "y", (F.col("new") - F.col("least") + 1).alias("region"))
 
 
+def spanning(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, weight), weights distinct -> those of the least spanning forest.
+
+    Rounds: every part takes its border of least weight; borders so taken hold no
+    cycle. Parts at least halve in number each time.
+    """
+    state = staged(pairs.select(F.col("a").alias("label")).unionByName(pairs.select(F.col("b").alias("label"))).distinct().withColumn("part", F.col("label")))
+    taken = None
+    while True:
+        one, two = (state.select(F.col("label").alias(c), F.col("part").alias(r)) for c, r in (("a", "p"), ("b", "q")))
+        live = pairs.join(one, "a").join(two, "b").where("p <> q")
+        edge = F.struct("weight", "a", "b").alias("x")
+        ends = live.select(F.col("p").alias("part"), F.struct(edge, F.col("q").alias("to")).alias("y")).unionByName(live.select(F.col("q").alias("part"), F.struct(edge, F.col("p").alias("to")).alias("y")))
+        picked = staged(ends.groupBy("part").agg(F.min("y").alias("y")).select("part", "y.x", "y.to"))
+        if not picked.head(1):
+            return taken if taken is not None else pairs.where("false")
+        new = picked.select("x.*").distinct().select("a", "b", "weight")
+        taken = new if taken is None else taken.unionByName(new)
+        # Every part points at one other; only two that picked one border point at each other, and the lower one is the root.
+        back = picked.select(F.col("part").alias("to"), F.col("to").alias("back"))
+        up = picked.join(back, "to").select("part", F.when((F.col("back") == F.col("part")) & (F.col("part") < F.col("to")), F.col("part")).otherwise(F.col("to")).alias("to"))
+        while True:
+            for _ in range(3):
+                up = up.join(up.select(F.col("part").alias("to"), F.col("to").alias("over")), "to").select("part", F.col("over").alias("to"), (F.col("over") != F.col("to")).alias("moved"))
+            up = staged(up)
+            if not up.where("moved").head(1):
+                break
+            up = up.drop("moved")
+        state = staged(state.join(up.select("part", "to"), "part", "left").select("label", F.coalesce("to", "part").alias("part")))
+
+
+def border_weight(seed: int):
+    """A number below 2^31 for each pair (a, b), by the portable generator."""
+    return draw(F.col("a") * 65_537 + F.col("b") * 257 + seed, 3)
+
+
 def merge_regions(ids: DataFrame, pairs: DataFrame, regions: int, seed: int = 1) -> DataFrame:
     """ids (label), adjacency pairs (a, b) -> (label, region): neighbours merged at random until so many regions remain.
 
-    In each round every region picks its neighbour by the least random weight of
-    their border. Picked borders hold no cycle, so each one is one merge; of the
-    last round's only as many are taken as are missing. Regions without a way to
-    each other stay apart, even if more than asked for remain. region is 1..k.
+    Borders go in a random order, those within a region are skipped, until enough
+    regions have merged: what remains is the forest of the order's least borders
+    without its last ones. Regions without a way to each other stay apart, even if
+    more than asked for remain. region is 1..k.
     """
-    state = staged(ids.select("label").distinct().withColumn("region", F.col("label")))
-    n, turn = state.count(), 0
-    while n > regions:
-        one, two = (state.select(F.col("label").alias(c), F.col("region").alias(r)) for c, r in (("a", "p"), ("b", "q")))
-        live = pairs.join(one, "a").join(two, "b").where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
-        live = staged(live.withColumn("weight", F.xxhash64("p", "q", F.lit(seed), F.lit(turn))))
-        ends = live.select(F.col("p").alias("r"), "weight", "p", "q").unionByName(live.select(F.col("q").alias("r"), "weight", "p", "q"))
-        picked = staged(ends.groupBy("r").agg(F.min(F.struct("weight", "p", "q")).alias("x")).select("x.*").distinct())
-        found = picked.count()
-        if not found:
-            break
-        if found > n - regions:
-            rank = dense(picked, "weight").where(F.col("new") <= n - regions)
-            picked = picked.join(rank, F.col("weight") == F.col("old"), "left_semi")
-        merged = components(picked.select(F.col("p").alias("a"), F.col("q").alias("b")))
-        state = staged(state.join(merged.withColumnRenamed("id", "region"), "region", "left").select("label", F.coalesce("component", "region").alias("region")))
-        n, turn = state.select("region").distinct().count(), turn + 1
+    names = ids.select("label").distinct()
+    weighed = staged(pairs.select("a", "b", F.struct(border_weight(seed).alias("w"), "a", "b").alias("weight")))
+    forest = staged(spanning(weighed))
+    merges = max(0, names.count() - regions)
+    ranked = forest.join(dense(forest, "weight"), F.col("weight") == F.col("old")).where(F.col("new") <= merges)
+    found = components(ranked.select("a", "b"))
+    state = staged(names.join(found.withColumnRenamed("id", "label"), "label", "left").select("label", F.coalesce("component", "label").alias("region")))
     return state.join(dense(state, "region"), F.col("region") == F.col("old")).select("label", F.col("new").alias("region"))
 
 

@@ -10,22 +10,23 @@ from pyspark.sql import functions as F
 from tessella.functions.geometry import sq_torus
 from tessella.plans.stage import staged
 
-#: Up to so many sites travel as one array; beyond, cells and sites meet by bucket.
-ARRAY_SITES = 512
+#: Up to so many sites travel as one array of 24 bytes each; beyond, cells and sites meet by bucket.
+ARRAY_SITES = 2048
 
 
 def nearest(cells: DataFrame, sites: DataFrame, w: int, h: int, weight: str | None = None) -> DataFrame:
     """cells (x, y) with label: the site (site_id, sx, sy) of least distance, lowest id on ties.
 
     A cell on which sites stand takes the highest id of those. With a weight
-    column the distance is weight times the Euclidean one on the torus.
+    column, of positive numbers, the distance is weight times the Euclidean one on
+    the torus, and the lowest id wins every tie.
     """
     n = sites.count()
     if n == 0:
         return cells.drop("label").withColumn("label", F.lit(None).cast("long"))
-    if n <= ARRAY_SITES or weight:
+    if n <= ARRAY_SITES:
         return _by_array(cells, sites, w, h, weight)
-    return _by_bucket(cells, sites, w, h, n)
+    return _by_bands(cells, sites, w, h, weight) if weight else _by_bucket(cells, sites, w, h, n)
 
 
 def _cost(s, w, h, weight):
@@ -43,21 +44,35 @@ def _by_array(cells, sites, w, h, weight):
     return cells.crossJoin(F.broadcast(every)).select(*cells.columns, best["id"].alias("label"))
 
 
-def _by_bucket(cells, sites, w, h, n):
-    """Cells look into the buckets around theirs; what is not nearer than a bucket is wide looks again, twice as wide."""
+def _by_bands(cells, sites, w, h, weight):
+    """Weighted sites in bands, in each of which the greatest weight is at most twice the least; a cell's best is the least of the bands' bests."""
+    banded = staged(sites.select("site_id", "sx", "sy", weight, F.floor(F.log2(weight)).cast("int").alias("_band")))
+    out = None
+    for r in banded.groupBy("_band").agg(F.count("*").alias("n"), F.min(weight).alias("least")).collect():  # a row for each power of two among the weights
+        found = _by_bucket(cells, banded.where(F.col("_band") == r["_band"]), w, h, r.n, weight, float(r.least))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy(*cells.columns).agg(F.min("best").alias("best")).select(*cells.columns, F.col("best.id").alias("label"))
+
+
+def _by_bucket(cells, sites, w, h, n, weight=None, least=1.0):
+    """Cells look into the buckets around theirs; what is not nearer than a bucket is wide looks again, twice as wide.
+
+    With weights, of which ``least`` is the lowest, the answer is the best cost and not the label.
+    """
     side, done = max(1, int(math.sqrt(w * h / n) * 1.5)), None
     while True:
         bx, by = max(1, w // side), max(1, h // side)
         spot = lambda x, y: (F.least(F.floor(x / side), F.lit(bx - 1)), F.least(F.floor(y / side), F.lit(by - 1)))  # noqa: B023, E731
         sx, sy = spot(F.col("sx"), F.col("sy"))
-        placed = sites.select("site_id", "sx", "sy", sx.alias("bx"), sy.alias("by"))
+        columns = ["site_id", "sx", "sy", *([weight] if weight else [])]
+        placed = sites.select(*columns, sx.alias("bx"), sy.alias("by"))
         cx, cy = spot(F.col("x"), F.col("y"))
         near = F.explode(F.array_distinct(F.array(*[F.struct(F.pmod(cx + i, F.lit(bx)).alias("bx"), F.pmod(cy + j, F.lit(by)).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))).alias("b")
         looked = cells.select(*cells.columns, near).select(*cells.columns, "b.bx", "b.by").join(placed, ["bx", "by"], "left")
-        cost = F.when(F.col("site_id").isNotNull(), _cost({c: F.col(c) for c in ("site_id", "sx", "sy")}, w, h, None))
+        cost = F.when(F.col("site_id").isNotNull(), _cost({c: F.col(c) for c in columns}, w, h, weight))
         found = staged(looked.groupBy(*cells.columns).agg(F.min(cost).alias("best")))
-        sure = (F.col("best.d") <= side * side) | F.lit(bx <= 3 and by <= 3)
-        good = found.where(F.coalesce(sure, F.lit(False))).select(*cells.columns, F.col("best.id").alias("label"))
+        sure = (F.col("best.d") <= (least * side if weight else side * side)) | F.lit(bx <= 3 and by <= 3)
+        good = found.where(F.coalesce(sure, F.lit(False))).select(*cells.columns, F.col("best") if weight else F.col("best.id").alias("label"))
         done = good if done is None else done.unionByName(good)
         cells = found.where(~F.coalesce(sure, F.lit(False))).select(*cells.columns)
         if not cells.head(1):

@@ -39,7 +39,7 @@ def best_candidates(found: DataFrame) -> DataFrame:
     return found.join(top, ["label", "support"]).select("label", "x", "y", "support")
 
 
-def _beside(grid: DataFrame, dx: int, dy: int, w: int, h: int) -> DataFrame:
+def beside(grid: DataFrame, dx: int, dy: int, w: int, h: int) -> DataFrame:
     """grid with ``other``, the label of the cell at (x + dx, y + dy) on the torus."""
     moved = grid.select(wrap(F.col("x") - dx, w).alias("x"), wrap(F.col("y") - dy, h).alias("y"), F.col("label").alias("other"))
     return grid.join(moved, ["x", "y"])
@@ -51,8 +51,8 @@ def boundary_edges(grid: DataFrame, w: int, h: int, mode: str = "full") -> DataF
     full: every pair of neighbours on the torus. reference: without the wraps and
     row pairs that the reference leaves out; its column wraps lie at y = 0.
     """
-    across = _beside(grid, 0, 1, w, h).where("label <> other")
-    along = _beside(grid, 1, 0, w, h).where("label <> other")
+    across = beside(grid, 0, 1, w, h).where("label <> other")
+    along = beside(grid, 1, 0, w, h).where("label <> other")
     if mode == "reference":
         across = across.where((F.col("y") < h - 1) | (F.col("x") < w - 1))
         along = along.where(F.col("y") < h - 1)
@@ -68,7 +68,7 @@ def boundary_edges(grid: DataFrame, w: int, h: int, mode: str = "full") -> DataF
 
 def adjacency(grid: DataFrame, w: int, h: int) -> DataFrame:
     """Distinct pairs a < b of labels that touch on the torus."""
-    both = _beside(grid, 1, 0, w, h).unionByName(_beside(grid, 0, 1, w, h)).where("label <> other")
+    both = beside(grid, 1, 0, w, h).unionByName(beside(grid, 0, 1, w, h)).where("label <> other")
     return both.select(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct()
 
 

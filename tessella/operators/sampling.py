@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.stage import staged
+from tessella.functions import draws
+from tessella.plans.stage import drop, running_sum, staged
 
 
 def close_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
@@ -21,19 +24,44 @@ def close_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFram
 def poisson_disk(points: DataFrame, radius: float) -> DataFrame:
     """The points that dart throwing in the order of id keeps: none nearer than radius, and none can be added.
 
-    Rounds: a candidate is kept when no earlier candidate is near; what is near a
-    kept one goes. Candidates of one place are kept once.
+    Points of one place are thrown once. A round is one stage of the close pairs left:
+    a candidate that no earlier one is near to is kept, what is near a kept one goes,
+    and with them their pairs. Candidates without close pairs are kept at once.
     """
-    left, kept = staged(points), None
-    pairs = staged(close_pairs(left, left, radius))
-    while left.head(1):
-        alive = pairs.join(left.select("id"), "id", "left_semi").join(left.select(F.col("id").alias("other")), "other", "left_semi")
-        beaten = alive.where("other < id").select("id").distinct()
-        new = staged(left.join(beaten, "id", "left_anti"))
-        kept = new if kept is None else kept.unionByName(new)
-        gone = pairs.join(new.select("id"), "id", "left_semi").select(F.col("other").alias("id")).distinct()
-        left = staged(left.join(new.select("id"), "id", "left_anti").join(gone, "id", "left_anti"))
-    return kept if kept is not None else points
+    own = staged(points.groupBy("px", "py").agg(F.min("id").alias("id")).select("id", "px", "py"), "points")
+    live = staged(close_pairs(own, own, radius), "pairs")
+    lost = None
+    while live.head(1):
+        new = live.groupBy("id").agg(F.min("other").alias("first")).where("first > id").select("id")
+        gone = staged(live.join(new, "id", "left_semi").select(F.col("other").alias("id")).distinct(), "gone")
+        lost = gone if lost is None else lost.unionByName(gone)
+        # Kept ones lose all their pairs, since all their neighbours go.
+        rest = live.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other")
+        before, live = live, staged(rest, "pairs")
+        drop(before)
+    return own if lost is None else own.join(lost, "id", "left_anti")
+
+
+def fill(radius: float, tries: int, seed: int = 1, salt: int = 1) -> Callable:
+    """A function of a session that fills the unit square: tries candidates for each square of radius / 2, thrown in the order of their draws."""
+    import math
+
+    side = max(1, math.ceil(2 / radius))
+
+    def candidates(spark) -> DataFrame:
+        k = F.col("id")
+        cell = F.floor(k / tries)
+        at = lambda c, draw_: (c + draws.uniform(draw_ + seed * 7919, 3)) / side
+        spots = spark.range(side * side * tries).select(draws.draw(k + seed, 3).alias("turn"), k.alias("k"), at(F.floor(cell / side), k).alias("px"), at(cell % side, k + 104_729 * salt).alias("py"))
+        order = running_sum(spots.withColumn("one", F.lit(1).cast("long")), ["turn", "k"], "one", "at")
+        return poisson_disk(order.select(F.col("at").alias("id"), "px", "py"), radius)
+
+    return candidates
+
+
+def fill_grid(spark, size: int, radius: float, tries: int = 8, seed: int = 1) -> DataFrame:
+    """(id, x, y): cells of a grid of that size, from the unit square's fill, scaled and cut to whole numbers; so some are nearer than radius by under the root of 2."""
+    return fill(radius / size, tries, seed)(spark).select("id", *(F.floor(F.col(f"p{c}") * size).cast("long").alias(c) for c in "xy"))
 
 
 def annulus(candidates: DataFrame, ox: float, oy: float, r1: float, r2: float) -> DataFrame:

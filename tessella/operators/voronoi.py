@@ -1,8 +1,8 @@
 """Exact Voronoi cells, clipped to a square, by folding bisector half-planes over near sites.
 
-Each site meets the sites in the buckets around it; a cell is final when no
-site outside the searched square can cut it (its farthest vertex is within half
-the searched distance). The others search twice as far. Ring vertices carry the
+Each site meets the nearest sites in the buckets around it; a cell is final when
+no site that it has not met can cut it (its farthest vertex is within half of
+their distance). The others meet all in these buckets, then search twice as far. Ring vertices carry the
 neighbour of their outgoing edge (-1: the square), so adjacency is a projection.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.plans.stage import staged
@@ -40,32 +40,46 @@ def _clip(ring, s):
     return F.when(F.size(ring) == 0, ring).otherwise(cut).cast(RING)
 
 
-def cells(sites: DataFrame, size: float) -> DataFrame:
-    """sites (site_id, sx, sy) -> (site_id, sx, sy, ring) in the square [0, size].
+#: Near sites that a cell is cut by at once, the nearest first; a cell that they do not settle looks at all within its bucket.
+NEAR = 32
+
+
+def cells(sites: DataFrame, size: float, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """sites (site_id, sx, sy) -> (site_id, sx, sy, ring) in the square [0, size], or in a box (x0, y0, x1, y1) of it.
 
     Of sites on one spot the lowest id has the cell. Edges shorter than 1e-9 are dropped.
     """
     own = sites.groupBy("sx", "sy").agg(F.min("site_id").alias("site_id")).select("site_id", F.col("sx").cast("double").alias("sx"), F.col("sy").cast("double").alias("sy"))
     own = staged(own)
     n = own.count()
+    x0, y0, x1, y1 = box or (0.0, 0.0, size, size)
+    square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(-1).cast("long").alias("e")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]).cast(RING)
     side, left, done = max(1e-9, size / math.sqrt(max(1, n)) * 2), own, None
     while True:
         spot = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
         placed = own.select(F.col("site_id").alias("n"), F.col("sx").alias("nx"), F.col("sy").alias("ny"), spot("sx").alias("bx"), spot("sy").alias("by"))
         steps = F.explode(F.array(*[F.struct((spot("sx") + i).alias("bx"), (spot("sy") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("b")
-        near = left.select("*", steps).select("site_id", "sx", "sy", "b.bx", "b.by").join(placed, ["bx", "by"], "left").where("n is null or n <> site_id")
+        near = left.select("*", steps).select("site_id", "sx", "sy", "b.bx", "b.by").join(placed, ["bx", "by"]).where("n <> site_id")
         a, b = F.col("nx") - F.col("sx"), F.col("ny") - F.col("sy")
         c = (F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") - F.col("sx") * F.col("sx") - F.col("sy") * F.col("sy")) / 2
-        plane = F.when(F.col("n").isNotNull(), F.struct((a * a + b * b).alias("d"), "n", a.alias("a"), b.alias("b"), c.alias("c")))
-        grouped = near.groupBy("site_id", "sx", "sy").agg(F.array_sort(F.collect_list(plane)).alias("planes"))
-        grouped = left.join(grouped, ["site_id", "sx", "sy"], "left").withColumn("planes", F.coalesce("planes", F.array().cast("array<struct<d:double,n:bigint,a:double,b:double,c:double>>")))
-        square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(-1).cast("long").alias("e")) for x, y in ((0, 0), (size, 0), (size, size), (0, size))]).cast(RING)
-        cut = staged(grouped.withColumn("ring", F.aggregate("planes", square, _clip)).drop("planes"))
-        far = F.array_max(F.transform("ring", lambda p: (p["x"] - F.col("sx")) * (p["x"] - F.col("sx")) + (p["y"] - F.col("sy")) * (p["y"] - F.col("sy"))))
-        sure = F.lit(side >= size) | (4 * far <= side * side)
-        good = cut.where(sure)
-        done = good if done is None else done.unionByName(good)
-        left = cut.where(~sure).drop("ring")
+        near = near.select("site_id", F.struct((a * a + b * b).alias("d"), "n", a.alias("a"), b.alias("b"), c.alias("c")).alias("plane"))
+        for most in (NEAR, None):
+            some = near.join(left.select("site_id"), "site_id", "left_semi")
+            if most:
+                some = some.withColumn("r", F.row_number().over(Window.partitionBy("site_id").orderBy("plane"))).where(F.col("r") <= most)
+            grouped = left.join(some.groupBy("site_id").agg(F.array_sort(F.collect_list("plane")).alias("planes")), "site_id", "left")
+            grouped = grouped.withColumn("planes", F.coalesce("planes", F.array().cast("array<struct<d:double,n:bigint,a:double,b:double,c:double>>")))
+            cut = grouped.withColumn("seen", F.size("planes")).withColumn("reach", F.when(F.col("seen") == most, F.array_max(F.transform("planes", lambda p: p["d"]))) if most else F.lit(None).cast("double"))
+            cut = staged(cut.withColumn("ring", F.aggregate("planes", square, _clip)).drop("planes"))
+            far = F.coalesce(F.array_max(F.transform("ring", lambda p: (p["x"] - F.col("sx")) * (p["x"] - F.col("sx")) + (p["y"] - F.col("sy")) * (p["y"] - F.col("sy")))), F.lit(0.0))
+            # Sites beyond those seen cannot cut a cell whose farthest vertex is within half their distance.
+            sure = (F.lit(side >= size) & F.col("reach").isNull()) | (4 * far <= F.least(F.lit(side * side), F.coalesce("reach", F.lit(side * side))))
+            good = cut.where(sure).select("site_id", "sx", "sy", "ring")
+            done = good if done is None else done.unionByName(good)
+            left = cut.where(~sure).select("site_id", "sx", "sy", "reach")
+            left, crowded = left.drop("reach"), most and left.where("reach is not null").head(1)
+            if not crowded:
+                break
         if side >= size or not left.head(1):
             break
         side *= 2
@@ -74,7 +88,20 @@ def cells(sites: DataFrame, size: float) -> DataFrame:
         q = F.get(F.col("ring"), (i + 1) % F.size("ring"))
         return F.hypot(q["x"] - p["x"], q["y"] - p["y"]) > 1e-9
 
-    return done.withColumn("ring", F.filter("ring", long_enough))
+    return done.withColumn("ring", F.filter("ring", long_enough)).where(F.size("ring") > 2)
+
+
+def extent(rings: DataFrame, lo: float, hi: float) -> tuple[float, float, float, float] | None:
+    """(x0, y0, x1, y1) of the vertices that are not on the border of the square [lo, hi]; None without any."""
+    p = rings.select(F.explode("ring").alias("p")).select("p.x", "p.y").where((F.col("x") > lo) & (F.col("x") < hi) & (F.col("y") > lo) & (F.col("y") < hi))
+    found = p.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    return None if found[0] is None else tuple(found)
+
+
+def bounded(sites: DataFrame, size: float) -> DataFrame:
+    """Cells that end at the extent of the diagram's own vertices instead of the square."""
+    box = extent(staged(cells(sites, size)), 0.0, size)
+    return cells(sites, size, box)
 
 
 def region_graph(rings: DataFrame) -> DataFrame:

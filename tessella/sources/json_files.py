@@ -1,45 +1,134 @@
-"""JSON envelopes: {"matrix": ...}, {"vector": ...}, {"edges": ...}, {"labelled_edges": ...}."""
+"""JSON documents {"matrix": ...}, {"vector": ...}, {"edges": ...}, {"labelled_edges": ...}, in any number of part files.
+
+The parts of a document, one after the other in the order of their names, are the
+document: an element of the outer array is a line, the first one opens the document,
+the last one closes it. So a large document is written and read by many tasks, and
+``cat part-*`` gives the file that other programs read. Real numbers have six decimals.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.stage import running_sum, staged
+
+POINTS = "array<array<bigint>>"
+
+
+def number_text(v: Column, real: bool = False) -> Column:
+    return F.format_string("%.6f", v.cast("double")) if real else v.cast("string")
+
+
+def point_text(x: Column, y: Column, real: bool = True) -> Column:
+    """[x, y]"""
+    return F.concat(F.lit("["), number_text(x, real), F.lit(", "), number_text(y, real), F.lit("]"))
+
+
+def segment_text(x1: Column, y1: Column, x2: Column, y2: Column, real: bool = True) -> Column:
+    """[[x1, y1], [x2, y2]]"""
+    return F.concat(F.lit("["), point_text(x1, y1, real), F.lit(", "), point_text(x2, y2, real), F.lit("]"))
+
+
+def list_text(items: Column) -> Column:
+    """[a, b, ...] of an array of texts."""
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+
+def region_text(cx: Column, cy: Column, ring: Column) -> Column:
+    """{"centroid": [x, y], "vertices": [[x, y], ...]} of a ring of structs (x, y)."""
+    return F.concat(F.lit('{"centroid": '), point_text(cx, cy), F.lit(', "vertices": '), list_text(F.transform(ring, lambda p: point_text(p["x"], p["y"]))), F.lit("}"))
+
+
+def edge_text() -> Column:
+    return segment_text(*map(F.col, ("x1", "y1", "x2", "y2")), real=False)
+
+
+def labelled_text() -> Column:
+    return F.concat(F.lit('{"label": '), number_text(F.col("label")), F.lit(' , "vertices": '), edge_text(), F.lit("}"))
+
+
+def document(elements: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """elements (order columns, json) -> (order columns, value): the lines of a document, in the order of columns that tell elements apart."""
+    rows = running_sum(elements.withColumn("_one", F.lit(1).cast("long")), order, "_one", "_at")
+    total = rows.agg(F.count("*").alias("_n"))
+    head, tail = F.when(F.col("_at") == 0, F.lit(f'{{"{name}": [')).otherwise(""), F.when(F.col("_at") == F.col("_n") - 1, "]}").otherwise(", ")
+    return rows.crossJoin(F.broadcast(total)).select(*order, F.concat(head, "json", tail).alias("value"))
+
+
+def write(elements: DataFrame, path: str, name: str, order: list[str]) -> None:
+    """Writes elements (order columns, json) as a document; none of them gives an empty one."""
+    lines = staged(document(elements, name, order))
+    if not lines.head(1):
+        spark = elements.sparkSession
+        spark.createDataFrame([(f'{{"{name}": []}}',)], "value string").write.mode("overwrite").text(path)
+        return
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
+def read(spark: SparkSession, path: str, name: str, element: str) -> DataFrame:
+    """(at, element) of a document, in one file of any layout or in the parts that write() makes; element is its type in DDL."""
+    parts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value").where("size > 0")
+    if parts.select("file").distinct().count() == 1:
+        doc = spark.read.option("multiLine", True).schema(f"`{name}` array<{element}>").json(path)
+        return doc.select(F.posexplode(name).alias("at", "element")).withColumn("at", F.col("at").cast("long"))
+    lines = parts.select("file", F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("pos", "line"))
+    lines = staged(lines)
+    counts = lines.groupBy("file").agg(F.count("*").alias("n"))
+    before = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))  # a row for each file
+    text = F.regexp_replace(F.regexp_replace("line", rf'^\{{"{name}": \[', ""), r"(, |\]\})$", "")
+    parsed = F.from_json(F.concat(F.lit('{"e": '), text, F.lit("}")), f"e {element}")["e"]
+    return lines.join(F.broadcast(before), "file").select((F.col("before") + F.col("pos")).alias("at"), parsed.alias("element"))
+
+
+def write_matrix(grid: DataFrame, path: str, label: str = "label", real: bool = False) -> None:
+    """{"matrix": [[...], ...]} of cells (x, y, label): a line for each x."""
+    row = F.transform(F.array_sort(F.collect_list(F.struct("y", F.col(label).alias("v")))), lambda c: number_text(c["v"], real))
+    write(grid.groupBy("x").agg(list_text(row).alias("json")), path, "matrix", ["x"])
+
+
+def read_matrix(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """Cells (x, y, label)."""
+    rows = read(spark, path, "matrix", f"array<{kind}>")
+    return rows.select(F.col("at").alias("x"), F.posexplode("element").alias("y", "label")).withColumn("y", F.col("y").cast("long"))
+
+
+def write_vector(items: DataFrame, path: str, order: list[str], item: Column) -> None:
+    """{"vector": [...]} of item, a text such as number_text() or point_text(), in the order of columns that tell rows apart."""
+    write(items.select(*order, item.alias("json")), path, "vector", order)
+
 
-def point_text(x: Column, y: Column) -> Column:
-    """[x, y] with six decimals."""
-    return F.format_string("[%.6f, %.6f]", x.cast("double"), y.cast("double"))
+def read_vector(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """(at, element)"""
+    return read(spark, path, "vector", kind)
 
 
-def matrix_rows(grid: DataFrame, label: str = "label") -> DataFrame:
-    """(x, row): one array of labels for each x, so that a large raster is many rows."""
-    return grid.groupBy("x").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", label))), lambda c: c[label]).alias("row"))
+def loader(spark: SparkSession, folder: str, kind: str = "double"):
+    """A function of a name that reads the vector of that name in folder."""
+    return lambda name: read_vector(spark, f"{folder.rstrip('/')}/{name}.json", kind)
 
 
-def write_matrix(grid: DataFrame, path: str, label: str = "label") -> None:
-    """JSON lines {"x", "row"} in ascending x over part files; an empty grid writes no line."""
-    matrix_rows(grid, label).repartitionByRange("x").sortWithinPartitions("x").write.mode("overwrite").json(path)
+def write_edges(edges: DataFrame, path: str) -> None:
+    """{"edges": [[[x1, y1], [x2, y2]], ...]}"""
+    write(edges.select("x1", "y1", "x2", "y2", edge_text().alias("json")), path, "edges", ["x1", "y1", "x2", "y2"])
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Cells (x, y, label) of what write_matrix() wrote."""
-    rows = spark.read.schema("x bigint, row array<bigint>").json(path)
-    return rows.select("x", F.posexplode("row").alias("y", "label")).withColumn("y", F.col("y").cast("long"))
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(x1, y1, x2, y2)"""
+    return read(spark, path, "edges", POINTS).select(*_ends("element"))
 
 
-def read_envelope(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of a document {"matrix": [[...]]} in one file."""
-    doc = spark.read.option("multiLine", True).schema("matrix array<array<bigint>>").json(path)
-    rows = doc.select(F.posexplode("matrix").alias("x", "row"))
-    return rows.select(F.col("x").cast("long").alias("x"), F.posexplode("row").alias("y", "label")).withColumn("y", F.col("y").cast("long"))
+def write_labelled_edges(edges: DataFrame, path: str) -> None:
+    """{"labelled_edges": [{"label": n, "vertices": [[x1, y1], [x2, y2]]}, ...]}"""
+    order = ["label", "x1", "y1", "x2", "y2"]
+    write(edges.select(*order, labelled_text().alias("json")), path, "labelled_edges", order)
 
 
-def vector_text(df: DataFrame, order: str, item: Column) -> DataFrame:
-    """One {"vector": [...]} document; for results of bounded length."""
-    return df.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), item.alias("item")))), lambda s: s["item"]).alias("vector"))).alias("json"))
+def read_labelled_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(label, x1, y1, x2, y2)"""
+    rows = read(spark, path, "labelled_edges", f"struct<label:bigint,vertices:{POINTS}>")
+    return rows.select("element.label", *_ends("element.vertices"))
 
 
-def edge_lines(edges: DataFrame, labelled: bool = False) -> DataFrame:
-    """A JSON text for each edge: [[x1,y1],[x2,y2]], or with its label and vertices."""
-    ends = F.array(F.array("x1", "y1"), F.array("x2", "y2"))
-    return edges.withColumn("json", F.to_json(F.struct("label", ends.alias("vertices")) if labelled else ends))
+def _ends(points: str) -> list[Column]:
+    return [F.get(F.get(points, F.lit(i)), F.lit(j)).alias(f"{c}{i + 1}") for i in (0, 1) for j, c in enumerate("xy")]

@@ -2,81 +2,32 @@
 
 from __future__ import annotations
 
-import atexit
+import logging
 import os
-import shutil
 import sys
 import tempfile
 import types
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset, as in tests on one machine, a temporary folder is made.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not there:
-        if "dir" not in _own:
-            _own["dir"] = tempfile.mkdtemp(prefix="tessella-")
-            atexit.register(shutil.rmtree, _own["dir"], True)
-        there = "file://" + _own["dir"]
-    return there.rstrip("/")
+from tessella.plans.stage import delete, drop, new_path, running_sum, shared_dir, staged, stored_bytes  # noqa: F401
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_own: dict[str, str] = {}
+ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again.
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, as --py-files would, once per application.
 
-    That cuts lineage: what follows survives the loss of executors without
-    computing df again, and plans get the true size.
+    Where the session's Arrow batches have their default of 10,000 rows, they are set
+    to BATCH for this session, and the log says so: texts may be long, and a task
+    holds a batch in the JVM and in its worker. Any other setting is left alone.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def drop(*frames: DataFrame) -> None:
-    """Deletes stages that no later result reads."""
-    for df in frames:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            delete(df.sparkSession, path)
-
-
-def _hadoop(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p, fs = _hadoop(spark, path)
-    fs.delete(p, True)
-
-
-def stored_bytes(df: DataFrame) -> int:
-    """Size on disk of a stage, for the decision to broadcast it."""
-    p, fs = _hadoop(df.sparkSession, df._staged_path)
-    return int(fs.getContentSummary(p).getLength())
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package, as --py-files would, once per application."""
-    # Texts may be long: batches of few rows keep a worker's memory small.
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if spark.conf.get(ROWS) == "10000":
+        spark.conf.set(ROWS, str(BATCH))
+        logging.getLogger(__name__).warning("%s: %d rows", ROWS, BATCH)
     key = spark.sparkContext.applicationId
     if _own.get("shipped") == key:
         return

@@ -9,8 +9,9 @@ is left. Its windows are then nearly equal; if the heaviest exceeds the
 capacity, the window count rises by one and it starts again. Nothing is
 shuffled, and a task holds one such batch at a time.
 
-Defined results: a null or empty text is its end id alone; repeated rows are
-packed each for itself; an empty table gives no row. sequence_id is unique, and
+Defined results: a null or empty text is its end id alone; a null doc_id stays null;
+repeated rows are packed each for itself; extra columns are ignored; an empty table
+gives no row. sequence_id is unique, and
 the same again for the same input files.
 """
 

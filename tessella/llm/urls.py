@@ -5,8 +5,10 @@ plain gradient descent from a small labelled table (at most MAX_LABELLED rows)
 and are integers, so that scores are exact sums.
 
 Defined results: null urls and urls without ``://`` have an empty host and path
-and are allowed; urls of fewer than three characters of host and path are judged
-by the bias alone; repeated rows and extra columns pass.
+and are allowed; urls of fewer than three characters of host and path have no n-gram,
+score 0 and are allowed unless a rule fits; repeated rows pass, and so do extra columns,
+but for those that have a name of the result, which are replaced; an empty table gives
+no row.
 """
 
 from __future__ import annotations

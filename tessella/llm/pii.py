@@ -9,11 +9,18 @@ distinct contexts, a share of SHARE and BITS bits are spans of kind ``term`` in
 every document. sanitise() replaces base spans by their kind, generalises such
 terms to ``[term]``, and removes those above REMOVE of share.
 
+Texts are read three times: for mentions, for the documents that hold a term, and
+for the result, which comes row by row from the texts, without a join. Terms beyond
+TERMS_AT_ONCE are joined to the words of each document instead of travelling with
+the tasks; the result is the same.
+
 Contexts are told apart by their text, and so are documents (a 128-bit hash), both
 where they hold a term and in all: copies of one document count once.
 
-Defined results: null and empty texts have no spans; repeated rows pass; extra
-columns are ignored; an empty table gives no row.
+Defined results: null texts have no spans and stay null when cleaned; empty texts
+have no spans; every row gives one row, with its own spans, whatever doc_ids repeat
+or are null; extra columns are ignored by find() and pass sanitise(); an empty table
+gives no row. Of a span that begins inside another only the first is replaced.
 """
 
 from __future__ import annotations
@@ -105,7 +112,7 @@ def _contexts(text: str, spans: list[tuple[int, int, str]], window: int) -> list
     return out
 
 
-SCAN = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, h1 bigint, h2 bigint, contexts array<struct<entity:bigint,context:bigint,term:string>>"
+CONTEXTS = "h1 bigint, h2 bigint, contexts array<struct<entity:bigint,context:bigint,term:string>>"
 
 
 def _text_hash(text: str | None) -> tuple[int | None, int | None]:
@@ -118,8 +125,12 @@ def _text_hash(text: str | None) -> tuple[int | None, int | None]:
     return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
+def _hashes(pa, found: list[tuple]) -> list:
+    return [pa.array([h[k] for h in found], pa.int64()) for k in (0, 1)]
+
+
 def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Base spans of every document, its text's hash and the contexts of its mentions; see SCAN."""
+    """The hash of every text and the contexts of its mentions; see CONTEXTS."""
     common.ship(docs.sparkSession)
 
     def run(batches):
@@ -127,17 +138,14 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         kind = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string())]))
         for batch in batches:
-            counts, bases, hashes, contexts = [[] for _ in KINDS], [], [], []
-            for text in batch.column(1).to_pylist():
+            hashes, contexts = [], []
+            for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
-                for k, c in zip(KINDS, counts):
-                    c.append(sum(s[2] == k for s in spans))
-                bases.append(",".join(f"{k}:{a}:{b}" for a, b, k in spans))
                 hashes.append(_text_hash(text))
                 contexts.append([{"entity": e, "context": c, "term": t} for e, c, t in _contexts(text, spans, window)] if spans else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), *(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)), pa.array(contexts, kind)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "h1", "h2", "contexts"])
+            yield pa.RecordBatch.from_arrays([*_hashes(pa, hashes), pa.array(contexts, kind)], names=["h1", "h2", "contexts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCAN)
+    return docs.select("text").mapInArrow(run, CONTEXTS)
 
 
 def _holding(docs: DataFrame, terms: DataFrame, few: set[str] | None) -> DataFrame:
@@ -155,7 +163,7 @@ def _holding(docs: DataFrame, terms: DataFrame, few: set[str] | None) -> DataFra
                 if found:
                     hashes.append(_text_hash(text))
                     held.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([*(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)), pa.array(held, pa.list_(pa.string()))], names=["h1", "h2", "terms"])
+            yield pa.RecordBatch.from_arrays([*_hashes(pa, hashes), pa.array(held, pa.list_(pa.string()))], names=["h1", "h2", "terms"])
 
     # Copies hold the same terms: any row of a hash stands for all.
     texts = docs.select("text").mapInArrow(run, "h1 bigint, h2 bigint, terms array<string>").dropDuplicates(["h1", "h2"])
@@ -163,7 +171,7 @@ def _holding(docs: DataFrame, terms: DataFrame, few: set[str] | None) -> DataFra
     return counted if few is not None else counted.join(terms.select("term"), "term", "left_semi")
 
 
-def revealing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
+def revealing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS, at_once: int = TERMS_AT_ONCE) -> DataFrame:
     """(term, share, bits): terms that reveal one entity, staged."""
     seen = scanned.select(F.explode("contexts").alias("x")).select("x.entity", "x.context", "x.term").distinct()
     pairs = seen.groupBy("term", "entity").agg(F.count("*").alias("n"))
@@ -173,109 +181,140 @@ def revealing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, share
     known = strong.count()
     if not known:
         return common.staged(strong.select("term", F.lit(1.0).alias("share"), F.lit(0.0).alias("bits")), "terms")
-    few = {r[0] for r in strong.select("term").collect()} if known <= TERMS_AT_ONCE else None
+    few = {r[0] for r in strong.select("term").collect()} if known <= at_once else None
     held = _holding(docs, strong, few)
     mentions = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("mentions"))
     total = scanned.where(F.col("h1").isNotNull()).select("h1", "h2").distinct().count()
     pmi = F.log2(F.col("n") * F.lit(float(total)) / (F.greatest("docs", "n") * F.col("mentions")))
     told = F.col("n") / F.greatest("docs", "all", "n")
     out = strong.join(held, "term").join(mentions, "entity").select("term", told.alias("share"), pmi.alias("bits"))
-    return common.staged(out.where((F.col("share") >= share) & (F.col("bits") >= bits)), "terms")
+    out = common.staged(out.where((F.col("share") >= share) & (F.col("bits") >= bits)), "terms")
+    common.drop(strong)
+    return out
 
 
-def all_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, base, spans) for each row, with the spans of revealing terms; terms comes from revealing()."""
-    spark = docs.sparkSession
-    known = terms.count()
-    few = {r[0] for r in terms.select("term").collect()} if known <= TERMS_AT_ONCE else None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def with_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """docs with ``_pii_terms``, those of the terms that a text holds, for any number of terms: words of documents join terms."""
+    keyed = common.staged(docs.withColumn("_pii_row", F.monotonically_increasing_id()), "rows")
 
-    def free(text):
-        base = base_spans(text)
-        covered = [(a, b) for a, b, _ in base]
-        words = [(m.start(), m.end(), m[0].lower()) for m in _word(text or "")]
-        return base, [w for w in words if not any(w[0] < b and a < w[1] for a, b in covered)]
+    def words_of(batches):
+        import pyarrow as pa
 
-    def line(base, more):
-        every = sorted([*((a, b, k) for a, b, k in base), *((a, b, "term") for a, b in more)], key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
-        return ",".join(f"{k}:{a}:{b}" for a, b, k in every)
+        for batch in batches:
+            rows, words = [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = {m[0].lower() for m in _word(text or "")}
+                rows += [row] * len(found)
+                words += found
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.string())], names=["_pii_row", "term"])
 
-    if few is not None:
+    held = keyed.select("_pii_row", "text").mapInArrow(words_of, "_pii_row bigint, term string").join(terms.select("term", "share"), "term")
+    held = held.groupBy("_pii_row").agg(F.collect_list(F.struct("term", "share")).alias("_pii_terms"))
+    return keyed.join(held, "_pii_row", "left").drop("_pii_row")
 
-        def run(batches):
-            for pdf in batches:
-                spans = []
-                for text in pdf["text"]:
-                    if few.isdisjoint(m[0].lower() for m in _word(text or "")):
-                        spans.append(line(base_spans(text), []))
-                    else:
-                        base, words = free(text)
-                        spans.append(line(base, [(a, b) for a, b, t in words if t in few]))
-                yield pdf[["doc_id"]].assign(spans=spans)
 
-        return rows.mapInPandas(run, "doc_id bigint, spans string")
+class Marker:
+    """Spans and cleaned forms of texts, given terms and how strongly each reveals."""
 
-    keyed = common.staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    def __init__(self, terms: dict[str, float], remove: float = REMOVE):
+        self.terms, self.remove = terms, remove
 
-    def words_of(batches):
-        import pandas as pd
+    def spans(self, text: str | None, terms: dict[str, float] | None = None) -> list[tuple[int, int, str]]:
+        """Base spans and those of revealing terms that no base span covers, by start, then kind as listed."""
+        terms = self.terms if terms is None else terms
+        base = base_spans(text)
+        if not text or not terms or terms.keys().isdisjoint(words := [m[0].lower() for m in _word(text)]):
+            return base
+        more = [(m.start(), m.end(), "term") for m, w in zip(_word(text), words) if w in terms]
+        ends, top = [], 0
+        for _, b, _ in base:
+            top = max(top, b)
+            ends.append(top)
+        starts = [a for a, _, _ in base]
+        for a, b, k in more:
+            at = bisect.bisect_left(starts, b) - 1  # the base spans up to here begin before the word ends
+            if at < 0 or ends[at] <= a:
+                base.append((a, b, k))
+        return sorted(base, key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
+
+    def clean(self, text: str | None, spans: list[tuple[int, int, str]], terms: dict[str, float] | None = None) -> str | None:
+        """The text with spans replaced by their kind in brackets, the most revealing terms by nothing."""
+        if text is None:
+            return None
+        terms = self.terms if terms is None else terms
+        out, done = [], 0
+        for a, b, k in spans:
+            if a >= done:
+                gone = k == "term" and terms[text[a:b].lower()] > self.remove
+                out += [text[done:a], "" if gone else f"[{k}]"]
+            done = max(done, b)
+        return "".join(out) + text[done:]
 
-        for pdf in batches:
-            found = [(r, a, b, t) for r, text in zip(pdf["row"], pdf["text"]) for a, b, t in free(text)[1]]
-            yield pd.DataFrame(found, columns=["row", "a", "b", "term"])
 
-    hits = keyed.mapInPandas(words_of, "row bigint, a int, b int, term string").join(terms.select("term"), "term", "left_semi")
-    hits = hits.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("hits"))
+def _known(docs: DataFrame, terms: DataFrame, at_once: int) -> tuple[DataFrame, dict[str, float] | None]:
+    """docs and all terms, or, where there are too many of them to travel with tasks, docs with their own and None."""
+    known = terms.count()
+    if known <= at_once:
+        return docs, {r.term: r.share for r in terms.select("term", "share").collect()}
+    return with_terms(docs, terms), None
 
-    def merge(batches):
-        for pdf in batches:
-            yield pdf[["doc_id"]].assign(spans=[line(base_spans(t), [(x["a"], x["b"]) for x in h] if h is not None else []) for t, h in zip(pdf["text"], pdf["hits"])])
 
-    return keyed.join(hits, "row", "left").mapInPandas(merge, "doc_id bigint, spans string")
+MARKED = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string, clean_sha256 string"
 
 
-def sanitise(docs: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """docs with base spans replaced by their kind, revealing terms generalised, and the most revealing ones removed.
+def mark(docs: DataFrame, terms: DataFrame, remove: float = REMOVE, at_once: int = TERMS_AT_ONCE) -> DataFrame:
+    """One row for each row of docs, see MARKED; terms comes from revealing()."""
+    rows, few = _known(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), terms, at_once)
+    names = [x.split()[0] for x in MARKED.split(", ")]
 
-    terms comes from revealing(), at most TERMS_AT_ONCE of them.
-    """
-    rows = terms.limit(TERMS_AT_ONCE + 1).collect()
-    if len(rows) > TERMS_AT_ONCE:
-        raise ValueError(f"at most {TERMS_AT_ONCE} terms")
-    known = {r.term: "" if r.share > remove else "[term]" for r in rows}
-    at = docs.columns.index("text")
+    def run(batches):
+        import hashlib
 
-    def clean(text):
-        if text is None:
-            return None
-        out, done = [], 0
-        for a, b, k in sorted([*base_spans(text), *((m.start(), m.end(), m[0].lower()) for m in _word(text) if m[0].lower() in known)]):
-            if a >= done:
-                out += [text[done:a], f"[{k}]" if k in KINDS else known[k]]
-                done = b
-            elif b > done:
-                done = b
-        return "".join(out) + text[done:]
+        import pyarrow as pa
+
+        marker = Marker(few or {}, remove)
+        told = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+        for batch in batches:
+            own = batch.column(2).to_pylist() if few is None else [None] * len(batch)
+            counts, texts = [[] for _ in KINDS], ([], [], [])
+            for text, held in zip(batch.column(1).to_pylist(), own):
+                held = few if few is not None else {t["term"]: t["share"] for t in held or ()}
+                spans = marker.spans(text, held)
+                base = [s for s in spans if s[2] != "term"]
+                for kind, c in zip(KINDS, counts):
+                    c.append(sum(s[2] == kind for s in base))
+                clean = marker.clean(text, spans, held)
+                for to, x in zip(texts, (told(base), told(spans), None if clean is None else hashlib.sha256(clean.encode("utf-8", "surrogatepass")).hexdigest())):
+                    to.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(t, pa.string()) for t in texts)], names=names)
+
+    return rows.mapInArrow(run, MARKED)
+
+
+def sanitise(docs: DataFrame, terms: DataFrame, remove: float = REMOVE, at_once: int = TERMS_AT_ONCE) -> DataFrame:
+    """docs with base spans replaced by their kind, revealing terms generalised, and the most revealing ones removed; terms comes from revealing()."""
+    common.ship(docs.sparkSession)
+    rows, few = _known(docs, terms, at_once)
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches):
         import pyarrow as pa
 
+        marker = Marker(few or {}, remove)
         for batch in batches:
-            texts = pa.array([clean(t) for t in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+            own = batch.column(len(names)).to_pylist() if few is None else [None] * len(batch)
+            texts = []
+            for text, held in zip(batch.column(at).to_pylist(), own):
+                held = few if few is not None else {t["term"]: t["share"] for t in held or ()}
+                texts.append(marker.clean(text, marker.spans(text, held), held))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, base and spans (comma-joined kind:start:end) for each row."""
-    scanned = common.staged(scan(docs), "scanned")
+    """Counts of base spans, base, spans (comma-joined kind:start:end) and the cleaned text's hash for each row; see MARKED."""
+    scanned = common.staged(scan(docs), "contexts")
     terms = revealing(docs, scanned)
-    rows = scanned.drop("contexts", "h1", "h2")
-    if not terms.head(1):
-        return rows.withColumn("spans", F.col("base"))
-    spanned = common.staged(all_spans(docs, terms), "spans")
-    same = spanned.distinct()
-    base = F.concat_ws(",", F.filter(F.split("spans", ","), lambda x: ~x.startswith("term:"))).alias("_base")
-    # Rows of one doc_id with several texts meet by their base spans.
-    return rows.join(same.select(F.col("doc_id").alias("_id"), base, "spans"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("base") == F.col("_base"))).drop("_id", "_base")
+    common.drop(scanned)
+    return mark(docs, terms)

@@ -26,11 +26,14 @@ with several texts count as one document; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.components import components
+
 from . import common
-from .components import components
 
 WIDTH, K, T = 5, 40, 21
 #: Posting lists of so few members are compared pair by pair; longer ones in blocks of so many.
@@ -225,25 +228,38 @@ def in_pairs(members: DataFrame) -> DataFrame:
     return left.join(right, "key").where("a < b and c <> d").select("a", "b")
 
 
-def in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links between components in long posting lists (key, id, component, hashes, m), block by block, on full sets.
+def in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components in long posting lists (key, id, component, n: set size), block by block, on full sets (id, hashes).
 
-    A block compares all its sets at once and returns links enough to join the
-    components that it links, not every pair.
+    Members are dealt by size first: tiers of sizes, of which each ends where percent of
+    the next one's begin, so that similar sets are in one tier or in neighbouring ones.
+    Within a tier they are dealt into blocks of about LIST_BLOCK. A pair of blocks
+    compares its sets at once and returns links enough to join the components that it
+    links, not every pair. Sets join when pairs of blocks are known, and move once for each.
     """
-    own = members.withColumn("blocks", F.ceil(F.col("m") / LIST_BLOCK).cast("int"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = own.select("key", "id", "component", "hashes", "block", other)
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    step = math.log(100 / percent) if 0 < percent < 100 else 1e-9 if percent else 1e9
+    sized = members.select("key", "id", "component", F.floor(F.log("n") / step + 1e-9).cast("long").alias("tier"))
+    # Staged, so that adaptive execution can split the members of a very long list.
+    counts = common.staged(sized.groupBy("key", "tier").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks")), "tiers")
+    up, down = (counts.select("key", (F.col("tier") - d).alias("tier"), F.col("blocks").alias(c)) for d, c in ((1, "up"), (-1, "down")))
+    tiers = common.staged(counts.join(up, ["key", "tier"], "left").join(down, ["key", "tier"], "left"), "tiers")
+    own = sized.join(tiers, ["key", "tier"]).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+    # Every member goes to the pairs of its block with the blocks of its own tier and of its neighbours.
+    spot = lambda t, b: F.struct(t.alias("tier"), b.cast("long").alias("block"))
+    me = spot(F.col("tier"), F.col("block"))
+    blocks = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    same = F.transform(blocks(F.col("blocks")), lambda b: F.struct(F.least(me, spot(F.col("tier"), b)).alias("lo"), F.greatest(me, spot(F.col("tier"), b)).alias("hi")))
+    over = F.transform(blocks(F.col("up")), lambda b: F.struct(me.alias("lo"), spot(F.col("tier") + 1, b).alias("hi")))
+    under = F.transform(blocks(F.col("down")), lambda b: F.struct(spot(F.col("tier") - 1, b).alias("lo"), me.alias("hi")))
+    dealt = own.select("key", "id", "component", me.alias("me"), F.explode(F.concat(same, over, under)).alias("x"))
+    dealt = dealt.select("key", "id", "component", (F.col("me") == F.col("x.lo")).alias("low"), (F.col("me") == F.col("x.hi")).alias("high"), "x.lo", "x.hi").join(sets, "id")
 
     def run(key, pdf):
         import numpy as np
         import pandas as pd
 
-        lo, hi = int(key[1]), int(key[2])
         comps, ids = pdf["component"].to_numpy(), pdf["id"].to_numpy()
-        x, y = np.flatnonzero(pdf["block"].to_numpy() == lo), np.flatnonzero(pdf["block"].to_numpy() == hi)
+        x, y = np.flatnonzero(pdf["low"].to_numpy()), np.flatnonzero(pdf["high"].to_numpy())
         found: list[tuple] = []
         if len(np.unique(comps)) > 1 and len(x) and len(y):
             sets = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
@@ -297,8 +313,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, k: i
     common.ship(spark)
     sketched = common.staged(sketch(docs, k, width), "sketches")
     ids = sketched.where("doc_id is not null and n_shingles > 0")
-    members = ids.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
-    member = common.staged(ids.select("doc_id", "f1", "f2").join(members, ["f1", "f2"]).select("doc_id", "id").distinct(), "classes")
+    # Staged, so that the join below reads two shuffles, of which adaptive execution splits that of a class with very many copies.
+    members = common.staged(ids.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), "members")
+    member = common.staged(ids.select("doc_id", "f1", "f2").join(members, ["f1", "f2"]).select("doc_id", "id"), "classes")
     classes = common.staged(ids.join(member.where("doc_id = id").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "coords").dropDuplicates(["id", "coords"]), "signatures")
 
     posted = classes.select("id", F.explode("coords").alias("key"))
@@ -312,8 +329,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, k: i
     candidates = classes.join(F.broadcast(wanted.withColumnRenamed("doc_id", "id")) if small else wanted.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     candidates = common.staged(candidates, "candidates")
 
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    labels = None
+    # Several texts of one doc_id: its classes are one document.
+    first = member.groupBy("doc_id").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    links = common.staged(member.join(first.where("id <> last").select("doc_id", F.col("id").alias("a")), "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "found")
+    labels = common.staged(components(links), "labels") if links.head(1) else None
+    spent: list = [links]
     for r in range(rounds + 1):
         lists = prefix.withColumn("component", F.col("id")) if labels is None else prefix.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("id", "key", "component")
         lists = common.staged(lists, "lists")
@@ -327,17 +347,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, k: i
             pairs = colliding(in_pairs(rest.where(F.col("m") <= FEW)), candidates, t, percent)
         found = confirmed(pairs, sets, percent)
         if r == rounds:
-            found = found.unionByName(in_blocks(rest.where(F.col("m") > FEW).join(sets, "id"), percent))
+            found = found.unionByName(in_blocks(rest.where(F.col("m") > FEW).join(candidates.select("id", "n"), "id"), sets, percent))
         found = common.staged(found, "found")
-        common.drop(lists)
+        spent += [lists, found]
         if found.head(1):
             links = links.unionByName(found)
+            spent.append(labels)
             labels = common.staged(components(links), "labels")
-    out = sketched.select("doc_id", "n_shingles").join(member, "doc_id", "left")
-    if labels is not None:
-        # Several texts of one doc_id: its classes are one document.
-        out = out.join(labels, "id", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
+    known = first.select("doc_id", "id")
+    known = known.join(labels, "id", "left") if labels is not None else known.withColumn("component", F.lit(None).cast("long"))
+    known = common.staged(known.select("doc_id", F.coalesce("component", "id").alias("component_id")), "decisions")
+    common.drop(members, member, classes, prefix, wanted, sets, candidates, labels, *spent)
+    out = sketched.select("doc_id", "n_shingles").join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

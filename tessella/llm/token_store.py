@@ -3,8 +3,8 @@
 A file holds one frame for each document, in ascending doc_id order (null
 first), then two skippable frames: an index of doc_ids, and the seek table of
 the public zstd seekable format with the sizes and the checksum of every frame.
-A reader finds a document in the index, adds up compressed sizes and
-decompresses that frame alone. Any zstd tool still decompresses a whole file.
+A reader finds a document in the index at a file's end, adds up compressed sizes,
+and reads and decompresses that frame alone. Any zstd tool still decompresses a whole file.
 
 Defined results: a null or empty text has the end id only; rows that share a
 doc_id all stay, ordered by the checksum of their ids; an empty table gives no
@@ -20,7 +20,6 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .tokens import encoder
@@ -61,31 +60,51 @@ def file_bytes(rows: list[tuple]) -> bytes:
     return frames + struct.pack("<II", INDEX_MAGIC, len(index)) + index + struct.pack("<II", SEEK_MAGIC, len(table)) + table
 
 
-def seek_table(data: bytes) -> list[tuple]:
-    """(doc_id, offset, compressed size, size, checksum) for each frame; ValueError if it is not such a file."""
-    n, flags, magic = struct.unpack("<IBI", data[-9:]) if len(data) >= 9 else (0, 0, 0)
-    if magic != FOOTER_MAGIC or flags != 0x80:
-        raise ValueError("no seek table")
+def seek_table(data: bytes, total: int | None = None) -> list[tuple]:
+    """(doc_id, offset, compressed size, size, checksum) for each frame; ValueError if it is not such a file.
+
+    data is a whole file, or its end, from the index on, and total the file's length.
+    """
+    total = len(data) if total is None else total
+    n = frames_of(data[-9:])
     at = len(data) - 9 - 12 * n
     head = at - 8 - 9 * n - 8
-    if struct.unpack("<II", data[at - 8 : at]) != (SEEK_MAGIC, 12 * n + 9) or struct.unpack("<II", data[head : head + 8]) != (INDEX_MAGIC, 9 * n):
+    if head < 0 or struct.unpack("<II", data[at - 8 : at]) != (SEEK_MAGIC, 12 * n + 9) or struct.unpack("<II", data[head : head + 8]) != (INDEX_MAGIC, 9 * n):
         raise ValueError("damaged seek table")
     out, offset = [], 0
     for (null, doc), (size, full, check) in zip(struct.iter_unpack("<Bq", data[head + 8 : at - 8]), struct.iter_unpack("<III", data[at : at + 12 * n])):
         out.append((None if null else doc, offset, size, full, check))
         offset += size
-    if offset != head:
+    if offset != total - len(data) + head:
         raise ValueError("frames and seek table differ")
     return out
 
 
+def frames_of(foot: bytes) -> int:
+    """Number of frames, from a file's last 9 bytes."""
+    n, flags, magic = struct.unpack("<IBI", foot) if len(foot) == 9 else (0, 0, 0)
+    if magic != FOOTER_MAGIC or flags != 0x80:
+        raise ValueError("no seek table")
+    return n
+
+
+def tail_size(n: int) -> int:
+    """Bytes of the index and the seek table of n frames."""
+    return 8 + 9 * n + 8 + 12 * n + 9
+
+
 def read_frame(data: bytes, entry: tuple) -> bytes:
-    """Ids of one document as bytes; ValueError if the checksum differs."""
+    """Ids of one document as bytes, from a file's bytes; ValueError if the checksum differs."""
+    _, offset, size, full, check = entry
+    return unpacked(data[offset : offset + size], full, check)
+
+
+def unpacked(frame: bytes, full: int, check: int) -> bytes:
+    """The ids of one frame."""
     import xxhash
     import zstandard
 
-    _, offset, size, full, check = entry
-    ids = zstandard.ZstdDecompressor().decompress(data[offset : offset + size], max_output_size=full)
+    ids = zstandard.ZstdDecompressor().decompress(frame, max_output_size=full)
     if len(ids) != full or xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF != check:
         raise ValueError("checksum")
     return ids
@@ -156,26 +175,56 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, DECODED)
 
 
-def fetch(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the wanted documents only: other frames stay compressed.
+INDEX = "file string, doc_id bigint, offset bigint, size bigint, full bigint, check bigint"
 
-    doc_ids is a small table of wanted ids; it travels with the tasks, at most 100,000 of them.
-    """
-    wanted = {r[0] for r in doc_ids.select("doc_id").distinct().limit(100_001).collect()}
-    if len(wanted) > 100_000:
-        raise ValueError("fetch() is for up to 100,000 documents; join read() instead")
+
+def index(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each document's frame lies, see INDEX; of every file only its end is read."""
 
     def run(batches):
-        import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.fs as fs
 
-        for pdf in batches:
-            for data in pdf["content"]:
-                rows = [(e[0], np.frombuffer(read_frame(data, e), "<u4").astype("int64")) for e in seek_table(data) if e[0] in wanted]
-                yield pd.DataFrame({"doc_id": pd.Series([r[0] for r in rows], dtype="Int64"), "ids": pd.Series([r[1] for r in rows], dtype=object)})
+        store, top = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = os.path.basename(path)
+                with store.open_input_file(f"{top}/{name}") as f:
+                    end = tail_size(frames_of(f.read_at(9, length - 9)))
+                    rows = [(name, *e) for e in seek_table(f.read_at(end, length - end), length)]
+                columns = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=[x.split()[0] for x in INDEX.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tokens.zst").load(folder)
-    return files.select("content").mapInPandas(run, "doc_id bigint, ids array<bigint>")
+    return files.select("path", "length").mapInArrow(run, INDEX)
+
+
+def fetch(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the wanted documents (doc_id, any number of them): only their frames are read and decompressed."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.fs as fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        name, f = None, None
+        for batch in batches:
+            docs, lists = [], []
+            for file, doc, offset, size, full, check in zip(*(c.to_pylist() for c in batch.columns)):
+                if file != name:
+                    if f is not None:
+                        f.close()
+                    name, f = file, store.open_input_file(f"{top}/{file}")
+                docs.append(doc)
+                lists.append(np.frombuffer(unpacked(f.read_at(size, offset), full, check), "<u4").astype("int64"))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    wanted = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    found = index(spark, folder).join(wanted, "doc_id", "left_semi").select(*(x.split()[0] for x in INDEX.split(", ")))
+    # Frames of one file are dealt by ranges of it: a file of many wanted documents is no single task.
+    ordered = found.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(run, "doc_id bigint, ids array<bigint>")
 
 
 def store_tokens(docs: DataFrame, tokenizer: str, kind: str, end_id: int, folder: str | None = None, file_mb: float = 16) -> tuple[str, DataFrame]:
@@ -185,8 +234,8 @@ def store_tokens(docs: DataFrame, tokenizer: str, kind: str, end_id: int, folder
     encoded = common.staged(encode_frames(docs, tokenizer, kind, end_id), "token-frames")
     files = write(encoded, folder, file_mb)
     common.drop(encoded)
-    before = files.select("file", (F.sum("n_tokens").over(Window.orderBy("file")) - F.col("n_tokens")).alias("before"))
     if not files.head(1):
         return folder, spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    before = common.running_sum(files.select("file", "n_tokens"), ["file"], "n_tokens", "before").select("file", "before")
     back = common.staged(read(spark, folder), "token-rows")
     return folder, back.join(before, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

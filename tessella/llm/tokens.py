@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from array import array
 
 from .common import resident
@@ -37,9 +38,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """texts -> ids as little-endian unsigned 32-bit integers.
+    """texts -> ids as little-endian unsigned 32-bit integers, as the library gives them.
 
-    Strings of special tokens in a text are ordinary text.
+    Like the library, it reads strings of special tokens in a text as those tokens,
+    and what is between them as texts of their own.
     """
 
     def __init__(self, path: str, kind: str):
@@ -47,7 +49,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens must stand for their exact string")
+        self.special = {t.content: struct.pack("<I", k) for k, t in added.items()}
+        # Of tokens that begin at one place the longest counts.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if added else None
         self.kind = kind
         self.find = _PIECES[kind].findall
         self.model = self.tok.model
@@ -72,6 +79,12 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        for mark in self.special:
+            if mark in text:
+                return b"".join([self.special[t] if t in self.special else self._plain(t) for t in self.cut(text) if t])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         pieces, memo = self.find(text), self.memo
         try:
             return b"".join([memo[p] for p in pieces])

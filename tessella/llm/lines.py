@@ -6,10 +6,10 @@ blanks at both ends, the pages of the host that contain it are divided by the
 host's pages; lines above the ratio, on at least ``least_pages`` pages, go.
 
 Defined results: null and empty texts pass, as do blank lines; a null host is a
-host of its own; a page that consists of boilerplate alone stays whole, since its
+host of its own (a host named by the character 0 alone is that one too); a page that consists of boilerplate alone stays whole, since its
 host cannot tell boilerplate from a page copied with small changes (the near
-dedup decides on it); repeated rows and extra columns pass; an empty table stays
-empty.
+dedup decides on it); repeated rows and extra columns pass, but for columns named
+n_lines and n_dropped, which are replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 RATIO, LEAST_PAGES = 0.1, 5
-#: A table of boilerplate up to this size is broadcast; beyond, hosts are salted so often.
+#: A table of boilerplate, or of hosts, up to this size is broadcast; beyond, hosts are salted so often.
 BROADCAST_BYTES, SALTS = 8 << 20, 32
 
 
@@ -28,43 +28,46 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """(h, bad): hashes of each host's boilerplate lines; at most lines-a-page / ratio of them for a host."""
     named = pages.select(F.coalesce(F.col(host), F.lit("\0")).alias("h"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     hashed = named.select("h", F.xxhash64("t").alias("page"), F.array_distinct(F.transform(F.filter(F.split("t", "\n"), lambda x: F.trim(x) != ""), _key)).alias("lines"))
-    totals = hashed.select("h", "page").distinct().groupBy("h").agg(F.count("*").alias("pages"))
+    totals = common.staged(hashed.select("h", "page").distinct().groupBy("h").agg(F.count("*").alias("pages")), "hosts")
     seen = hashed.select("h", "page", F.explode("lines").alias("line")).distinct()
     counts = seen.groupBy("h", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    over = counts.join(totals, "h").where(F.col("n") > ratio * F.col("pages"))
+    if common.stored_bytes(totals) <= broadcast:
+        both = counts.join(F.broadcast(totals), "h")
+    else:  # a host's lines are dealt over SALTS tasks
+        both = counts.withColumn("_line_salt", F.pmod("line", F.lit(SALTS))).join(totals.withColumn("_line_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["h", "_line_salt"])
+    over = both.where(F.col("n") > ratio * F.col("pages"))
     return over.groupBy("h").agg(F.sort_array(F.collect_list("line")).alias("bad"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """pages with cleaned text, and n_lines and n_dropped."""
-    bad = common.staged(boilerplate(pages, host, text, ratio, least_pages), "boilerplate")
-    own = pages.withColumn("_h", F.coalesce(F.col(host), F.lit("\0")))
-    bad = bad.withColumnsRenamed({"h": "_h", "bad": "_bad"})
+    bad = common.staged(boilerplate(pages, host, text, ratio, least_pages, broadcast), "boilerplate")
+    own = pages.withColumn("_line_h", F.coalesce(F.col(host), F.lit("\0")))
+    bad = bad.withColumnsRenamed({"h": "_line_h", "bad": "_line_bad"})
     bad._staged_path = None
-    if _small(bad):
-        own = own.join(F.broadcast(bad), "_h", "left")
+    if _size(bad) <= broadcast:
+        own = own.join(F.broadcast(bad), "_line_h", "left")
     else:
-        own = own.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        bad = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = own.join(bad, ["_h", "_salt"], "left").drop("_salt")
+        own = own.withColumn("_line_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        bad = bad.withColumn("_line_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.join(bad, ["_line_h", "_line_salt"], "left").drop("_line_salt")
     split = F.split(text, "\n")
-    kept = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_bad"), _key(x)))
-    own = own.withColumn("_kept", F.when(F.col("_bad").isNotNull(), kept).otherwise(split))
-    full = F.exists("_kept", lambda x: F.trim(x) != "")
-    own = own.withColumn("_kept", F.when(full, F.col("_kept")).otherwise(split))
-    out = own.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size(split) - F.size("_kept"), F.lit(0)).cast("long"))
-    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    return out.select(*pages.columns, "n_lines", "n_dropped")
+    kept = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_line_bad"), _key(x)))
+    own = own.withColumn("_line_kept", F.when(F.col("_line_bad").isNotNull(), kept).otherwise(split))
+    full = F.exists("_line_kept", lambda x: F.trim(x) != "")
+    own = own.withColumn("_line_kept", F.when(full, F.col("_line_kept")).otherwise(split))
+    out = own.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size(split) - F.size("_line_kept"), F.lit(0)).cast("long"))
+    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_line_kept", "\n")).otherwise(F.col(text)))
+    return out.select(*(c for c in pages.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
 
 
-def _small(bad: DataFrame) -> bool:
+def _size(bad: DataFrame) -> int:
     # 8 bytes a line and the host's name; counted, not estimated.
-    size = bad.agg(F.sum(F.lit(8) * F.size("_bad") + F.length("_h") + 40)).first()[0] or 0
-    return size <= BROADCAST_BYTES
+    return bad.agg(F.sum(F.lit(8) * F.size("_line_bad") + F.length("_line_h") + 40)).first()[0] or 0
 
 
 #: The same on documents, with source as host, in DuckDB's SQL.

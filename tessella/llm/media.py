@@ -2,14 +2,24 @@
 
 mux() stores bytes as a private stream in packetised elementary packets (one for
 each access unit) with presentation times at 25 units a second; every
-INTRA-th unit is marked as a random-access point. demux() reads any stream of
-188-byte packets: it parses the program tables, checks continuity counters,
-puts the elementary packets together again and lists times and access points.
-
-Defined results: null bytes give a null stream; a stream that is no multiple of
-188 bytes, lacks a sync byte or a program table, or has a damaged table raises
-ValueError in demux(), and comes as an ``error`` in probe(); lost packets are
-counted, and what is there is returned.
+INTRA-th unit is marked as a random-access point. demux() reads a stream of
+188-byte packets: it parses the program tables, whatever packets their sections span,
+checks continuity counters, puts the elementary packets of one stream together again
+and lists times and access points. streams() lists all elementary streams of all
+programs, of which demux() takes the first unless told another. Of a table the first
+whole section counts; tables of several sections are read by their first.
+
+A packet with the counter of the one before is a resend if it has the same bytes, and
+then left out; with others it is an error of the counters. A jump of the counter that
+the packet announces (discontinuity indicator) is none. A unit in which packets are
+missing is damaged: it is counted and left out of the payload, times and access
+points, as are bytes before the first unit's start.
+
+Defined results: null bytes give a null stream; empty bytes give a stream of one empty
+unit; a stream that is no multiple of 188 bytes, lacks a sync byte or a program table,
+or has a damaged table raises ValueError in demux(), and comes as an ``error`` in
+probe(); an empty table gives no row; repeated rows and extra columns pass, but for
+those that have a name of the result, which are replaced.
 """
 
 from __future__ import annotations
@@ -102,6 +112,8 @@ class Stream:
     offsets: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
     discontinuities: int = 0
+    resent: int = 0
+    damaged: int = 0
 
 
 @functools.lru_cache(maxsize=256)
@@ -120,57 +132,96 @@ def _parsed(section: bytes, table: int) -> tuple:
     return tuple(found)
 
 
-def demux(data: bytes) -> Stream:
-    """The first elementary stream of the first program."""
-    import numpy as np
+class Packets:
+    """The fields of all packets of a stream."""
+
+    def __init__(self, data: bytes):
+        import numpy as np
+
+        if not data or len(data) % PACKET:
+            raise ValueError("no whole packets")
+        p = self.raw = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
+        if (p[:, 0] != 0x47).any():
+            raise ValueError("sync byte")
+        self.pids = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
+        self.starts, self.fields, self.loads = p[:, 1] & 0x40 != 0, p[:, 3] & 0x20 != 0, p[:, 3] & 0x10 != 0
+
+    def load(self, at: int) -> bytes:
+        raw = self.raw[at].tobytes()
+        return raw[4 + (1 + raw[4] if self.fields[at] else 0) :]
+
+    def table(self, pid: int, kind: int) -> tuple:
+        """Entries of the first section on a pid, from as many packets as it spans."""
+        import numpy as np
 
-    if not data or len(data) % PACKET:
-        raise ValueError("no whole packets")
-    p = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
-    if (p[:, 0] != 0x47).any():
-        raise ValueError("sync byte")
-    pids = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
-    starts, has_field, has_payload = p[:, 1] & 0x40 != 0, p[:, 3] & 0x20 != 0, p[:, 3] & 0x10 != 0
-
-    def table(pid: int, kind: int) -> tuple:
-        at = np.flatnonzero((pids == pid) & starts & has_payload)
-        if not len(at):
+        own = np.flatnonzero((self.pids == pid) & self.loads)
+        begin = own[self.starts[own]]
+        if not len(begin):
             raise ValueError("no program table")
-        raw = p[at[0]].tobytes()
-        raw = raw[4 + (1 + raw[4] if has_field[at[0]] else 0) :]
-        return _parsed(raw[1 + raw[0] :].rstrip(b"\xff") + b"\xff" * 8, kind)
+        raw = self.load(begin[0])
+        section = raw[1 + raw[0] :] if raw else b""
+        rest = iter(own[own > begin[0]].tolist())
+        while len(section) < 3 or len(section) < 3 + (struct.unpack(">H", section[1:3])[0] & 0xFFF):
+            at = next(rest, None)
+            if at is None or self.starts[at] and self.load(at)[:1] == b"\0":
+                raise ValueError("damaged program table")
+            more = self.load(at)
+            section += more[1 : 1 + more[0]] if self.starts[at] else more  # a pointer tells where the next section begins
+        return _parsed(section[: 3 + (struct.unpack(">H", section[1:3])[0] & 0xFFF)], kind)
+
+
+def streams(packets: Packets) -> list[tuple[int, int, int]]:
+    """(program, stream type, pid) of every elementary stream."""
+    return [(n, kind, pid) for n, at in packets.table(0, 0) for kind, pid in packets.table(at, 2)]
+
+
+def demux(data: bytes, pid: int | None = None) -> Stream:
+    """One elementary stream: that of a pid, or the first of the first program."""
+    import numpy as np
 
-    programs = table(0, 0)
-    streams = table(programs[0][1], 2) if programs else ()
-    if not streams:
+    p = Packets(data)
+    listed = [x for x in streams(p) if pid is None or x[2] == pid]
+    if not listed:
         raise ValueError("no elementary stream")
-    kind, pid = streams[0]
-    own = np.flatnonzero((pids == pid) & has_payload)
-    q, begin = p[own], starts[own]
-    counters = q[:, 3].astype(np.int32) & 15
-    step = np.diff(counters) & 15
-    again = np.concatenate([[False], step == 0])
-    lost = int(((step != 1) & (step != 0)).sum())
-    if again.any():  # a packet may be sent twice
-        q, begin, own = q[~again], begin[~again], own[~again]
+    _, kind, pid = listed[0]
+    own = np.flatnonzero((p.pids == pid) & p.loads)
+    q, begin = p.raw[own], p.starts[own]
+    step = np.diff(q[:, 3].astype(np.int32) & 15) & 15
+    same = np.zeros(len(own), bool)
+    if (step == 0).any():
+        # A resend repeats all bytes but those of its clock, which may differ.
+        plain = q.copy()
+        clocked = (q[:, 3] & 0x20 != 0) & (q[:, 4] >= 7) & (q[:, 5] & 0x10 != 0)
+        plain[clocked, 6:12] = 0
+        same[1:] = (step == 0) & (plain[1:] == plain[:-1]).all(axis=1)
+    said = (q[:, 3] & 0x20 != 0) & (q[:, 4] > 0) & (q[:, 5] & 0x80 != 0)
+    gap = np.zeros(len(own), bool)
+    gap[1:] = (step != 1) & ~same[1:] & ~said[1:]
+    q, begin, own, gap = q[~same], begin[~same], own[~same], gap[~same]
     offset = np.where(q[:, 3] & 0x20 != 0, 5 + q[:, 4].astype(np.int32), 4)
     raw = q[np.arange(PACKET) >= offset[:, None]].tobytes()
     ends = np.cumsum(np.maximum(PACKET - offset, 0))
-    out = Stream(pid, kind, len(p), b"", discontinuities=lost)
-    units, first = [], np.flatnonzero(begin)
-    for k, i in enumerate(first.tolist()):
-        at = int(ends[i - 1]) if i else 0
-        end = int(ends[first[k + 1] - 1]) if k + 1 < len(first) else len(raw)
+    out = Stream(pid, kind, len(p.raw), b"", discontinuities=int(gap.sum()), resent=int(same.sum()))
+    units, first = [], np.flatnonzero(begin).tolist()
+    lost = np.concatenate([[0], np.cumsum(gap)])
+    for k, i in enumerate(first):
+        j = first[k + 1] if k + 1 < len(first) else len(own)
+        at, end = int(ends[i - 1]) if i else 0, int(ends[j - 1])
         if raw[at : at + 3] != b"\0\0\1" or end - at < 9:
             raise ValueError("elementary packet")
         size, head = struct.unpack(">H", raw[at + 4 : at + 6])[0], 9 + raw[at + 8]
+        # Packets missing before the next unit's start may have been this one's: its size tells, if it has one.
+        cut = lost[j] > lost[i + 1] or (at + 6 + size > end if size else j < len(own) and gap[j])
+        if cut:
+            out.damaged += 1
+            continue
         if raw[at + 7] & 0x80:
             t = raw[at + 9 : at + 14]
             out.times.append((t[0] & 0xE) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1)
         if q[i, 3] & 0x20 and q[i, 4] and q[i, 5] & 0x40:
-            out.random_access.append(k)
+            out.random_access.append(len(units))
         out.offsets.append(int(own[i]) * PACKET)
-        units.append(raw[at + head : min(end, at + 6 + size) if size else end])
+        units.append(raw[at + head : at + 6 + size if size else end])
     out.payload = b"".join(units)
     return out
 
@@ -191,14 +242,14 @@ def with_streams(df: DataFrame, payload: str, media: str = "media") -> DataFrame
     return df.select(*keep, payload).mapInArrow(run, schema)
 
 
-PROBE = "error string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, packets bigint, stream_type int, discontinuities bigint, times array<bigint>, random_access array<bigint>, offsets array<bigint>"
+PROBE = "error string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, packets bigint, stream_type int, discontinuities bigint, damaged bigint, times array<bigint>, random_access array<bigint>, offsets array<bigint>"
 
 
 def probe(df: DataFrame, media: str = "media", tail: int = 64) -> DataFrame:
     """df without its streams, and what demux() reads from them: see PROBE."""
     common.ship(df.sparkSession)
-    keep = [c for c in df.columns if c != media]
     names = [x.split()[0] for x in PROBE.split(", ")]
+    keep = [c for c in df.columns if c != media and c not in names]
 
     def one(data: bytes | None) -> dict:
         if data is None:
@@ -207,7 +258,7 @@ def probe(df: DataFrame, media: str = "media", tail: int = 64) -> DataFrame:
             s = demux(data)
         except ValueError as e:
             return {"error": str(e), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
-        return {"payload_bytes": len(s.payload), "payload_sha256": hashlib.sha256(s.payload).hexdigest(), "tail_crc32": zlib.crc32(s.payload[-tail:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "packets": s.packets, "stream_type": s.stream_type, "discontinuities": s.discontinuities, "times": s.times, "random_access": s.random_access, "offsets": s.offsets}
+        return {"payload_bytes": len(s.payload), "payload_sha256": hashlib.sha256(s.payload).hexdigest(), "tail_crc32": zlib.crc32(s.payload[-tail:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "packets": s.packets, "stream_type": s.stream_type, "discontinuities": s.discontinuities, "damaged": s.damaged, "times": s.times, "random_access": s.random_access, "offsets": s.offsets}
 
     def run(batches):
         import pyarrow as pa
@@ -219,4 +270,4 @@ def probe(df: DataFrame, media: str = "media", tail: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array([r.get(n) for r in rows], types[n]) for n in names)], names=[*keep, *names])
 
     extra = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in PROBE.split(", ")]
-    return df.mapInArrow(run, df.select(*keep, *extra).schema)
+    return df.select(*keep, media).mapInArrow(run, df.select(*keep, *extra).schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, langid, lines, media, minhash, mixing, packing, pii, token_store, urls
-from .common import table
+from .common import staged, stored_bytes, table
 
 
 def tokenizer(name: str) -> str:
@@ -31,19 +31,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import staged
-
     docs = mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
     rows = staged(docs, "sizes")
-    planned, sizes, quota = mixing.plan(rows, mixing.cyclic)
-    told = F.broadcast(spark.createDataFrame([(s, int(n), float(quota[s])) for s, n in sizes.items()] or [(None, 0, 0.0)], "s string, source_size bigint, target double"))
+    planned, sources = mixing.plan(rows, mixing.cyclic)
+    told = sources.select(F.col("source").alias("s"), F.col("size").alias("source_size"), F.col("quota").alias("target"))
+    told = F.broadcast(told) if stored_bytes(sources) <= mixing.BROADCAST_BYTES else told
     out = mixing.copies(rows, planned).join(told, F.col("source").eqNullSafe(F.col("s")), "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "clean_sha256")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,22 @@ length, as a pointer into it would. The language that needs the fewest bits a
 letter wins. Letters are lower-cased; each run of other characters is one
 blank. Long texts are parsed whole, in blocks of BLOCK symbols.
 
-Learning reads a bounded sample: whole documents in the order of a hash of their
-id, at most ``docs_per_lang`` for each language and ``letters`` characters in
-all. Prediction never sees lang, source or doc_id.
+Learning reads a bounded sample: ``letters`` characters in all, shared evenly by
+the languages, from documents in the order of a hash of their id, at most
+``docs_per_lang`` for each language. Documents are taken whole; of one that is
+longer than a quarter of its language's share a stretch of that length from a place
+given by the hash. The choice is made in Spark; the driver gets the chosen characters and no
+others. Prediction never sees lang, source or doc_id.
+
+The alphabet is that of the sample: its ALPHABET most frequent letters have a symbol
+each, the other letters of the sample share HASHED symbols by a hash, and letters
+that the sample lacks have one symbol. So scripts of thousands of letters stay
+distinct from each other, though not letter by letter.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 with nothing to learn from every text is ``und``; on a tie the first language by
-code point wins; repeated rows and extra columns pass.
+code point wins; repeated rows pass, and so do extra columns, but for those named
+lang_pred, score and bits, which are replaced; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -28,6 +37,7 @@ from pyspark.sql.window import Window
 from . import common
 
 BLOCK = 1024
+ALPHABET, HASHED = 180, 60
 
 
 def automaton(symbols) -> tuple[list[int], list[int], list[int], int]:
@@ -66,16 +76,23 @@ def automaton(symbols) -> tuple[list[int], list[int], list[int], int]:
     return src, sym, dst, len(move)
 
 
-def letter_table(alphabet: str):
-    """Symbol of each code point: 0 for what is no letter, 1 for an unknown letter."""
+def letter_table(alphabet: str, others: str = ""):
+    """Symbol of each code point: 0 for what is no letter, 1 for an unknown letter; others share symbols."""
     import numpy as np
 
     table = np.fromiter((1 if chr(c).isalpha() else 0 for c in range(0x110000)), dtype=np.uint8, count=0x110000)
+    slots = {h: len(alphabet) + 2 + k for k, h in enumerate(sorted({_slot(c) for c in others}))}
+    for c in others:
+        table[ord(c)] = slots[_slot(c)]
     for k, c in enumerate(alphabet):
         table[ord(c)] = k + 2
     return table
 
 
+def _slot(letter: str) -> int:
+    return zlib.crc32(letter.encode("utf-8", "surrogatepass")) % HASHED
+
+
 def symbols_of(texts: list[str], table):
     """Symbols of all texts in a row, runs of blanks as one, and the length of each."""
     import numpy as np
@@ -92,41 +109,45 @@ def symbols_of(texts: list[str], table):
     return s[keep], count[ends] - count[starts], letters[ends] - letters[starts], count[starts]
 
 
-def learn(labelled: DataFrame, docs_per_lang: int = 60, letters: int = 320_000) -> dict:
-    """labelled: (doc_id, text, lang). The model: alphabet, and packed transitions of each language."""
-    import numpy as np
-
+def sample(labelled: DataFrame, docs_per_lang: int, letters: int) -> dict[str, list[str]]:
+    """Texts to learn from, by language: at most letters characters in all."""
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text_hash")
-    few = (
-        rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("text_hash"))
-        .withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_lang).drop("r", "h")
-    )
-    sample = rows.select("lang", "doc_id", "text").withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(few), ["lang", "doc_id", "text_hash"], "left_semi")
-    got = sorted({(r.lang, r.doc_id, r.text) for r in sample.collect()}, key=lambda r: (r[0], zlib.crc32(str(r[1]).encode()), r[2]))
-    langs = sorted({r[0] for r in got})
-    budget = max(2000, letters // max(1, len(langs)))
-    texts = {}
-    for lang in langs:
-        own, size = [], 0
-        for _, _, t in (r for r in got if r[0] == lang):
-            if not own or size + len(t) <= budget:  # whole documents only
-                own.append(t)
-                size += len(t)
-        texts[lang] = "\n".join(own)
+    few = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("text_hash"), F.length("text").cast("long").alias("n"))
+    few = common.staged(few.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= docs_per_lang).distinct(), "language-sample")
+    share = max(1, letters // max(1, few.select("lang").distinct().count()))
+    sized = few.withColumn("size", F.least("n", F.lit(max(1, share // 4))))
+    sized = sized.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    chosen = sized.where(F.col("before") + F.col("size") <= share).select("lang", "doc_id", "text_hash", "size", "r", (F.pmod("h", F.col("n") - F.col("size") + 1) + 1).cast("int").alias("at"))
+    own = rows.select(F.col("lang").alias("_l"), F.col("doc_id").alias("_d"), "text").withColumn("_t", F.xxhash64("text"))
+    hit = (F.col("lang") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
+    got = own.join(F.broadcast(chosen), hit).groupBy("lang", "r").agg(F.min(F.substr("text", F.col("at"), F.col("size").cast("int"))).alias("text")).collect()
+    common.drop(few)
+    out: dict[str, list[str]] = {}
+    for r in sorted(got, key=lambda r: (r.lang, r.r)):
+        out.setdefault(r.lang, []).append(r.text)
+    return out
+
+
+def learn(labelled: DataFrame, docs_per_lang: int = 60, letters: int = 100_000) -> dict:
+    """labelled: (doc_id, text, lang). The model: alphabet, letters that share symbols, and packed transitions of each language."""
+    import numpy as np
+
+    texts = {lang: "\n".join(own) for lang, own in sample(labelled, docs_per_lang, letters).items()}
     seen: dict[str, int] = {}
     for t in texts.values():
         for c in t.lower():
             if c.isalpha():
                 seen[c] = seen.get(c, 0) + 1
-    alphabet = "".join(sorted(c for c, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:250] if n > 1))
-    table, models = letter_table(alphabet), []
-    for lang in langs:
-        s = symbols_of([texts[lang]], table)[0]
+    ranked = [c for c, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n > 1]
+    alphabet, others = ("".join(sorted(c)) for c in (ranked[:ALPHABET], ranked[ALPHABET:]))
+    table, models = letter_table(alphabet, others), []
+    for lang, text in texts.items():
+        s = symbols_of([text], table)[0]
         src, sym, dst, n = automaton(s.tolist())
         packed = zlib.compress(np.array(src, np.int32).tobytes() + np.array(dst, np.int32).tobytes() + np.array(sym, np.uint8).tobytes(), 1)
         models.append((lang, packed, len(src), n, len(s)))
-    return {"alphabet": alphabet, "models": models}
+    return {"alphabet": alphabet, "others": others, "models": models}
 
 
 class Parser:
@@ -135,8 +156,8 @@ class Parser:
     def __init__(self, model: dict):
         import numpy as np
 
-        self.table = letter_table(model["alphabet"])
-        self.width = len(model["alphabet"]) + 2
+        self.table = letter_table(model["alphabet"], model["others"])
+        self.width = max(2, int(self.table.max()) + 1)
         self.langs = [m[0] for m in model["models"]]
         self.tables = []
         for _, packed, edges, states, length in model["models"]:
@@ -196,7 +217,7 @@ def identify(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     spark = df.sparkSession
     common.ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by learn()'s letters
-    key = f"{zlib.crc32(model['alphabet'].encode())}-{sum(zlib.crc32(m[1]) for m in model['models'])}"
+    key = f"{zlib.crc32((model['alphabet'] + '/' + model['others']).encode())}-{sum(zlib.crc32(m[1]) for m in model['models'])}"
     keep = [c for c in df.columns if c not in ("lang_pred", "score", "bits")]
 
     def run(batches):

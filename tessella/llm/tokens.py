@@ -62,7 +62,7 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Pieces of plain Latin letters go to the library's BPE model at once; the others through its whole chain."""
         out, rest = {}, []
         for p in pieces:
@@ -76,6 +76,13 @@ class Encoder:
             out[p] = array("I", e.ids).tobytes()
         return out
 
+    def parts(self, text: str) -> list[str | int]:
+        """The text between special tokens, and 1 for each of these."""
+        for mark in self.special:
+            if mark in text:
+                return [1 if t in self.special else t for t in self.cut(text) if t]
+        return [text]
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -92,7 +99,7 @@ class Encoder:
             pass
         lacking = {p for p in pieces if p not in memo}
         got = {p: self.old[p] for p in lacking if p in self.old}
-        got |= self._learn([p for p in lacking if p not in got])
+        got |= self.learn([p for p in lacking if p not in got])
         out = b"".join([memo[p] if p in memo else got[p] for p in pieces])
         memo.update((p, b) for p, b in got.items() if len(p) <= MEMO_CHARS)
         if len(memo) > MEMO_PIECES:

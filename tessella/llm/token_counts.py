@@ -21,6 +21,7 @@ replaced; an empty table gives no row.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from itertools import repeat
 
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import MEMO_CHARS, MEMO_PIECES, Encoder
 
-SUMMARY, TABLE, LIMIT = 4096, 32_768, 1024
+SUMMARY, TABLE, LIMIT = 16_384, 32_768, 1024
 MADE = ("n_bytes", "n_tokens", "over_limit")
 
 
@@ -46,27 +47,22 @@ def frequent(docs: DataFrame, tokenizer: str, kind: str, text: str = "text", sum
     common.ship(docs.sparkSession)
 
     def count(batches):
-        from collections import Counter
-
         import pyarrow as pa
 
-        find, seen = _counter(tokenizer, kind, b"").enc.find, {}
+        find, seen = _lengths(tokenizer, kind, b"").enc.find, Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if not t:
-                    continue
-                own = Counter(find(t))
-                for p, n in own.items():
-                    seen[p] = seen.get(p, 0) + n
-                if len(seen) > 16 * summary:
-                    seen = summarise(seen, summary)
+                if t:
+                    seen.update(find(t))
+                if len(seen) > 8 * summary:
+                    seen = Counter(summarise(seen, summary))
         seen = {p: n for p, n in summarise(seen, summary).items() if len(p) <= MEMO_CHARS}
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
 
     def measure(batches):
         import pyarrow as pa
 
-        enc = _counter(tokenizer, kind, b"").enc
+        enc = _lengths(tokenizer, kind, b"").enc
         for batch in batches:
             pieces = batch.column(0).to_pylist()
             got = enc.learn(pieces)
@@ -76,8 +72,8 @@ def frequent(docs: DataFrame, tokenizer: str, kind: str, text: str = "text", sum
     return summed.orderBy(F.desc("n"), "piece").limit(table).select("piece").mapInArrow(measure, "piece string, tokens long")
 
 
-class Counter:
-    """Counts of texts; the worker's."""
+class Lengths:
+    """Counts the tokens of texts; the worker's."""
 
     def __init__(self, path: str, kind: str, packed: bytes):
         self.enc = Encoder(path, kind)
@@ -94,21 +90,22 @@ class Counter:
         return total
 
     def _plain(self, text: str) -> int:
-        pieces, first = self.enc.find(text), self.first
-        lacking = set(pieces).difference(first)
-        if not lacking:
-            return sum(map(first.__getitem__, pieces))
-        own = {p: self.second[p] for p in lacking if p in self.second}
-        if len(own) < len(lacking):
-            new = {p: self.old[p] for p in lacking if p not in own and p in self.old}
-            rest = [p for p in lacking if p not in own and p not in new]
-            for p, ids in self.enc.learn(rest).items():
-                new[p] = len(ids) // 4
-            own |= new
-            self.second.update((p, n) for p, n in new.items() if len(p) <= MEMO_CHARS)
-            if len(self.second) > MEMO_PIECES:
-                self.old, self.second = self.second, {}
-        return sum(map(first.get, pieces, repeat(0))) + sum([own[p] for p in pieces if p in own])
+        pieces = self.enc.find(text)
+        known = list(map(self.first.get, pieces))
+        if None not in known:
+            return sum(known)
+        lacking = [p for p, n in zip(pieces, known) if n is None]
+        found = list(map(self.second.get, lacking))
+        if None not in found:
+            return sum(filter(None, known)) + sum(found)
+        new = {p: self.old.get(p) for p, n in zip(lacking, found) if n is None}
+        rest = [p for p, n in new.items() if n is None]
+        new.update((p, len(ids) // 4) for p, ids in self.enc.learn(rest).items())
+        total = sum(filter(None, known)) + sum(filter(None, found)) + sum(map(new.get, lacking, repeat(0)))
+        self.second.update(new if max(map(len, new)) <= MEMO_CHARS else {p: n for p, n in new.items() if len(p) <= MEMO_CHARS})
+        if len(self.second) > MEMO_PIECES:
+            self.old, self.second = self.second, {}
+        return total
 
 
 def _packed(rows: list) -> bytes:
@@ -132,12 +129,12 @@ def _unpacked(packed: bytes) -> dict[str, int]:
     return {raw[b - s : b].decode("utf-8", "surrogatepass"): c for b, s, c in zip(ends, sizes.tolist(), counts.tolist())}
 
 
-def _counter(path: str, kind: str, packed: bytes) -> Counter:
-    return common.resident(f"token counts {kind} {path} {zlib.crc32(packed)}", lambda: Counter(path, kind, packed))
+def _lengths(path: str, kind: str, packed: bytes) -> Lengths:
+    return common.resident(f"token counts {kind} {path} {zlib.crc32(packed)}", lambda: Lengths(path, kind, packed))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, kind: str, text: str = "text", limit: int = LIMIT, summary: int = SUMMARY, table: int = TABLE) -> DataFrame:
-    """docs with n_bytes (UTF-8), n_tokens and over_limit (more than limit tokens)."""
+    """docs with n_bytes (UTF-8), n_tokens and over_limit (more than limit tokens) in place of the text."""
     spark = docs.sparkSession
     common.ship(spark)
     packed = _packed(frequent(docs, tokenizer, kind, text, summary, table).collect())  # at most TABLE rows of at most MEMO_CHARS characters
@@ -149,11 +146,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, kind: str, text: str = "text",
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        counter = _counter(tokenizer, kind, shared.value)
+        lengths = _lengths(tokenizer, kind, shared.value)
         for batch in batches:
             texts = batch.column(at)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            n = pa.array([counter.count(t) for t in texts.to_pylist()], pa.int64())
+            n = pa.array([lengths.count(t) for t in texts.to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k, c in enumerate(keep) if c != text), size, n], names=[*out, "n_bytes", "n_tokens"])
 
     schema = docs.select(*out, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens")).schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fim, langid, lines, media, minhash, mixing, packing, pii, token_counts, token_store, urls
+from . import embeddings, fim, langid, lines, media, minhash, mixing, packing, pii, search, token_counts, token_store, urls
 from .common import staged, stored_bytes, table
 
 
@@ -77,6 +77,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), "byte")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.arrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
@@ -89,9 +93,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_minhash_dedup, op2_token_store, op3_language_id, op4_mix_sources, op5_personal_data, op6_url_filter, op7_pack, op8_transport_stream, op9_embedding_dedup, op10_line_dedup, op11_token_counts, op13_fill_in_middle, pipeline)
+    found = (op1_minhash_dedup, op2_token_store, op3_language_id, op4_mix_sources, op5_personal_data, op6_url_filter, op7_pack, op8_transport_stream, op9_embedding_dedup, op10_line_dedup, op11_token_counts, op12_lexical_search, op13_fill_in_middle, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urls.oracle(), "op10_line_dedup": lines.ORACLE, "op13_fill_in_middle": fim.ORACLE}
+    return {"op6_url_filter": urls.oracle(), "op10_line_dedup": lines.ORACLE, "op12_lexical_search": search.ORACLE, "op13_fill_in_middle": fim.ORACLE}

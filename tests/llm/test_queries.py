@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tessella.llm import common, embeddings, langid, lines, media, minhash, mixing, packing, pii, queries, token_store, urls
+from tessella.llm import common, embeddings, fim, langid, lines, media, minhash, mixing, packing, pii, queries, search, token_counts, token_store, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASH = "score string, bits string, size int, sources int, copies string, pattern int, bucket int, edge int, n_lines int, n_dropped int, h int, component string, id int, base string, spans string, rule int, verdict int, payload int, error int, kept string, cid int, dim int, vec int, key int"
@@ -71,6 +71,11 @@ def pages():
     return [(k, u) for k, u in enumerate(given)] + [(1, given[1]), (None, given[2])]
 
 
+def benchmark():
+    words = documents()[3][1].split()
+    return [(1, " ".join(words[5:25])), (2, "Home Contact home"), (2, "the der DE la zzz"), (3, None), (4, ""), (None, "all rights reserved é 日本語"), (5, "nowhere-to-be-found"), (6, "x " * 50 + "one Two")]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     top = str(tmp_path_factory.mktemp("tables"))
@@ -79,6 +84,7 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(docs, DOCS).repartition(5).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame([(*v, *fill) for v in vectors()], f"vec_id bigint, embedding array<float>, label int, {CLASH}").repartition(4).write.parquet(f"{top}/embeddings.parquet")
     spark.createDataFrame([(*p, "<html>", *fill) for p in pages()], f"page_id bigint, url string, html string, {CLASH}").write.parquet(f"{top}/pages.parquet")
+    spark.createDataFrame([(*b, *fill) for b in benchmark()], f"item_id bigint, text string, {CLASH}").write.parquet(f"{top}/benchmark.parquet")
     return top
 
 
@@ -86,7 +92,7 @@ def folder(spark, tmp_path_factory):
 def nothing(spark, tmp_path_factory):
     """The same tables without rows."""
     top = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", DOCS), ("embeddings", f"vec_id bigint, embedding array<float>, label int, {CLASH}"), ("pages", f"page_id bigint, url string, html string, {CLASH}")):
+    for name, schema in (("documents", DOCS), ("embeddings", f"vec_id bigint, embedding array<float>, label int, {CLASH}"), ("pages", f"page_id bigint, url string, html string, {CLASH}"), ("benchmark", f"item_id bigint, text string, {CLASH}")):
         spark.createDataFrame([], schema).write.parquet(f"{top}/{name}.parquet")
     return top
 
@@ -537,6 +543,102 @@ def test_op10(spark, folder):
     assert bag((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in salted.collect()) == bag((d, t, n, k) for d, t, _, _, n, k in want)
 
 
+def test_op11(spark, folder):
+    ids, docs = library_ids("byte_bpe_50k.json"), spark.read.parquet(f"{folder}/documents.parquet")
+    want = bag((d, len((t or "").encode()), len(ids(t)), len(ids(t)) > 1024) for d, t, *_ in documents())
+    assert bag((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op11_token_counts(spark, folder).collect()) == want
+    # With a table of three, summaries of two, and nothing in the table at all; extra columns pass.
+    path = queries.tokenizer("byte_bpe_50k.json")
+    for table, summary in ((3, 2), (0, 1)):
+        got = token_counts.count_tokens(docs.withColumn("n_tokens", F.lit("x")), path, "byte", summary=summary, table=table)
+        assert set(CLASHING) <= set(got.columns) and bag((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got.collect()) == want
+
+
+def test_frequent_pre_tokens(spark):
+    """What makes up more than a summary's share is in the table, whatever the rest; the worker's cache turns over."""
+    rows = [(k, " ".join(["often"] * 5 + ["again"] * 3 + [f"rare{k}x{j}" for j in range(12)])) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [r.piece for r in token_counts.frequent(docs, queries.tokenizer("byte_bpe_50k.json"), "byte", summary=10, table=2).collect()]
+    assert got == [" often", " again"]
+    seen = collections.Counter({f"k{k}": k for k in range(100)})
+    cut = token_counts.summarise(seen, 10)
+    assert len(cut) == 10 and all(seen[p] - n == 89 for p, n in cut.items())
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k, once=True):
+    lower = {c: c + 32 for c in range(65, 91)}
+    sizes = [collections.Counter(TERM.findall((t or "").translate(lower))) for _, t in docs]
+    n_docs, total = sum(map(bool, sizes)), sum(sum(c.values()) for c in sizes)
+    df = collections.Counter(t for c in sizes for t in c)
+    out = []
+    for item, text in items:
+        own, found = collections.Counter(TERM.findall((text or "").translate(lower))), []
+        for (d, _), c in zip(docs, sizes):
+            m = 50 + 50 * sum(c.values()) * n_docs // max(1, total)
+            score = sum((1 if once else n) * int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df[t] + 1)))) * (1_000_000_000 * c[t] // (1000 * c[t] + 20 * m)) for t, n in own.items() if c[t])
+            if score:
+                found.append((-score, d is None, d or 0))
+        out += [(item, r, None if none else d, -s) for r, (s, none, d) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+def test_op12(spark, folder, monkeypatch):
+    docs = [r[:2] for r in documents()]
+    got = queries.op12_lexical_search(spark, folder)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    want = ranked(docs, benchmark(), 50)
+    assert bag(map(tuple, got.collect())) == bag(want) and max(r[1] for r in want) == 50 and any(r[2] is None for r in want)
+    # In rounds of one item or two, in blocks of seven documents, and with terms counted as often as items have them.
+    monkeypatch.setattr(search, "BLOCK_DOCS", 7)
+    tables = [spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark")]
+    got = search.search(*tables, k=9, once=False, item_bytes=40)
+    assert bag(map(tuple, got.collect())) == bag(ranked(docs, benchmark(), 9, False))
+
+
+def test_op13(spark, folder):
+    extra = [(None, "a\nb\nc"), (1, "<P>a\nb"), (2, "one <S> two\n"), (3, "\n\n\n"), (4, "no end"), (5, "a<\nP>\nb<S\n><\n")] + [(k, "".join(f"line {j} é𝒳\r\n" for j in range(k % 9)) + "<" * (k % 3)) for k in range(10, 200)]
+    rows = [r[:2] for r in documents()] + extra
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    sha, want, forms = lambda t: hashlib.sha256(t.encode()).hexdigest(), [], collections.Counter()
+    for d, t in rows:
+        t, h = t or "", hashlib.sha256(f"7:{'' if d is None else d}".encode()).hexdigest()
+        h = [int(h[8 * k : 8 * k + 8], 16) for k in range(4)]
+        u = re.findall(r"[^\n]*\n|[^\n]+", t)
+        a, b = sorted((h[0] % (len(u) + 1), h[1] % (len(u) + 1)))
+        p, m, s = "".join(u[:a]), "".join(u[a:b]), "".join(u[b:])
+        form = "plain" if not t or any(x in t for x in ("<P>", "<S>", "<M>")) else "spm" if h[3] % 100 < 50 else "psm"
+        out = {"plain": t, "psm": f"<P>{p}<S>{s}<M>{m}", "spm": f"<S>{s}<P>{p}<M>{m}"}[form]
+        forms[form] += 1
+        want.append((d, len(u), form, *((None, None) if form == "plain" else (len(p), len(m))), sha(out), sha(t)))
+    assert min(forms.values()) > 2
+    made = fim.arrange(table.withColumn("form", F.lit(1)))
+    got = made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256), F.sha2(fim.restore(F.col("output"), F.col("form")), 256))
+    assert bag(map(tuple, got.collect())) == bag(want)
+    first = bag(w for w in want[: len(documents())])
+    assert bag(tuple(r) for r in queries.op13_fill_in_middle(spark, folder).collect()) == first
+    # Rates, and outputs that are not of their form.
+    assert fim.arrange(table, rate=0).where("form <> 'plain'").count() == 0 and fim.arrange(table, spm=100).where("form = 'psm'").count() == 0
+    broken = spark.createDataFrame([("<P>a<S>b", "psm"), ("<S>a<P>b<M>c", "psm"), ("x<P>a<S>b<M>c", "psm"), ("<P>a<S>b<M>c", "spm"), ("abc", "psm")], "o string, f string")
+    assert broken.select(fim.restore(F.col("o"), F.col("f")).alias("t")).where("t is not null").count() == 0
+
+
+@pytest.mark.parametrize("name", ["op12_lexical_search", "op13_fill_in_middle"])
+def test_new_queries_against_sql(spark, name):
+    import os
+
+    import duckdb
+
+    top, c = "/root/testdata/sf0.001", duckdb.connect()
+    for f in os.listdir(top):
+        c.execute(f"create view {f[:-8]} as select * from '{top}/{f}'")
+    want = c.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, top).select(*want.columns)
+    assert bag(map(tuple, got.collect())) == bag(want.fetchall())
+
+
 def test_empty_tables(spark, nothing):
     for name, f in queries.queries().items():
         assert f(spark, nothing).count() == 0, name

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import draws, geometry as g
 from tessella.operators import centroid, components, growth, lines, merging, nearest, raster, sampling, voronoi
-from tessella.plans.stage import shared_dir
+from tessella.plans.stage import staged
 from tessella.sources import fixtures as fx, json_files
 
 W = fx.WIDTH
@@ -24,8 +24,7 @@ SEGMENTS = "seg AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS a
 CLOUDS = "clouds AS (SELECT user_id, event_id, event_id * 31 % 512 AS x, CAST(floor(value) AS BIGINT) AS y FROM events)"
 BESIDE = f"nx AS (SELECT a.x, a.y, a.label, b.label AS other FROM lab a JOIN lab b ON b.x = (a.x + 1) % {W} AND b.y = a.y WHERE a.label <> b.label), ny AS (SELECT a.x, a.y, a.label, b.label AS other FROM lab a JOIN lab b ON b.x = a.x AND b.y = (a.y + 1) % {W} WHERE a.label <> b.label)"
 EDGES = "edges AS (SELECT x AS x1, y + 1 AS y1, x + 1 AS x2, y + 1 AS y2, label AS group_a, other AS group_b FROM ny UNION ALL SELECT x + 1, y, x + 1, y + 1, label, other FROM nx)"
-LCG = lambda k: f"((({k}) % 2147483648) * 1103515245 + 12345) % 2147483648"
-UNIFORM = lambda k: f"(({LCG(LCG(k))} + 0.5) / 2147483648.0)"
+UNIFORM = draws.uniform_sql
 
 
 def query(sql: str | None = None):
@@ -48,7 +47,9 @@ def wh(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest.nearest(fx.grid(spark, wide(spark, sf_dir)), fx.sites(spark, sf_dir), *wh(spark, sf_dir))
+    """The raster of the suppliers' regions, staged: neighbour joins read it several times."""
+    w, h = wh(spark, sf_dir)
+    return staged(nearest.nearest(fx.grid(spark, w), fx.sites(spark, sf_dir, w), w, h), "raster")
 
 
 @query(f"WITH {LABELLED} SELECT * FROM lab")
@@ -294,23 +295,23 @@ def f7_weighted_pick(spark, sf_dir):
     return t.where(F.col("cum") > draws.uniform(F.col("n_regionkey").cast("long")) * F.col("total")).groupBy("n_regionkey").agg(F.min("n_nationkey").alias("picked"))
 
 
-_U, _V = UNIFORM("o_orderkey"), UNIFORM("o_orderkey + 77")
+_U, _V = UNIFORM("o_orderkey"), UNIFORM("o_orderkey", "1")
 
 
 @query(f"""SELECT o_orderkey AS id, CAST(3 + floor({_U} * 5) AS BIGINT) AS uniform_int, round(2 + {_U} * 3, 6) AS uniform_real, {_U} < 0.3 AS bernoulli, CAST(floor(ln(1 - {_U}) / ln(0.67)) AS BIGINT) AS geometric,
 round(-ln(1 - {_U}) / 2, 6) AS exponential, round(3 * pow(-ln(1 - {_U}), 1 / 1.5), 6) AS weibull, round(1 - 2 * ln(-ln({_U})), 6) AS extreme_value, round(sqrt(-2 * ln({_U})) * cos(2 * pi() * {_V}), 6) AS normal, round(0.5 + 2 * tan(pi() * ({_U} - 0.5)), 3) AS cauchy FROM orders""")
 def m_distributions(spark, sf_dir):
-    u, v = draws.uniform(F.col("o_orderkey")), draws.uniform(F.col("o_orderkey") + 77)
+    u, v = draws.uniform(F.col("o_orderkey")), draws.uniform(F.col("o_orderkey"), 1)
     r = lambda c, n=6: F.round(c, n)
     return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), draws.uniform_int(u, 3, 7).alias("uniform_int"), r(draws.uniform_real(u, 2, 5)).alias("uniform_real"), draws.bernoulli(u, 0.3).alias("bernoulli"), draws.geometric(u, 0.33).alias("geometric"), r(draws.exponential(u, 2)).alias("exponential"), r(draws.weibull(u, 1.5, 3)).alias("weibull"), r(draws.extreme_value(u, 1, 2)).alias("extreme_value"), r(draws.normal(u, v)).alias("normal"), r(draws.cauchy(u, 0.5, 2), 3).alias("cauchy"))
 
 
 def _points(spark, sf_dir):
     k = F.col("p_partkey")
-    return fx.table(spark, sf_dir, "part").select(k.alias("id"), (draws.draw(k, 2) / float(draws.MODULUS)).alias("px"), (draws.draw(k + 5000, 3) / float(draws.MODULUS)).alias("py"))
+    return fx.table(spark, sf_dir, "part").select(k.alias("id"), draws.uniform(k).alias("px"), draws.uniform(k, 1).alias("py"))
 
 
-_POINTS = f"pts AS (SELECT p_partkey AS id, {LCG(LCG('p_partkey'))} / 2147483648.0 AS px, {LCG(LCG(LCG('p_partkey + 5000')))} / 2147483648.0 AS py FROM part)"
+_POINTS = f"pts AS (SELECT p_partkey AS id, {UNIFORM('p_partkey')} AS px, {UNIFORM('p_partkey', '1')} AS py FROM part)"
 
 
 @query(f"WITH {_POINTS} SELECT a.id, b.id AS other FROM pts a JOIN pts b ON a.id <> b.id AND (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) < {0.02 * 0.02!r}")
@@ -334,10 +335,14 @@ def j8_poisson_invariant(spark, sf_dir):
     return near.crossJoin(points.join(kept, "id", "left_anti").join(covered, "id", "left_anti").agg(F.count("*").alias("could_add")))
 
 
-def _cells(spark, sf_dir):
+def plane_sites(spark, sf_dir):
+    """A site for each supplier, in a square of width 4096."""
     k = F.col("s_suppkey")
-    sites = fx.table(spark, sf_dir, "supplier").select(k.alias("site_id"), (draws.draw(k, 2) / float(draws.MODULUS) * 4096).alias("sx"), (draws.draw(k + 9000, 3) / float(draws.MODULUS) * 4096).alias("sy"))
-    return voronoi.cells(sites, 4096.0)
+    return fx.table(spark, sf_dir, "supplier").select(k.alias("site_id"), (draws.uniform(k) * 4096).alias("sx"), (draws.uniform(k, 1) * 4096).alias("sy"))
+
+
+def _cells(spark, sf_dir):
+    return voronoi.cells(plane_sites(spark, sf_dir), 4096.0)
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS cells, CAST(16777216.0 AS DOUBLE) AS area, CAST(0 AS BIGINT) AS one_sided FROM supplier")
@@ -402,7 +407,8 @@ def i8_ordered_lines_invariant(spark, sf_dir):
     edges = sampling.staged(raster.boundary_edges(labelled(spark, sf_dir), *wh(spark, sf_dir)))
     on = sampling.staged(lines.ordered_lines(edges, *wh(spark, sf_dir)))
     step = on.select("line", (F.col("seq") + 1).alias("seq"), F.col("x").alias("px"), F.col("y").alias("py"))
-    far = g.axis_distance(F.col("x"), F.col("px"), w) + g.axis_distance(F.col("y"), F.col("py"), w)
+    w, h = wh(spark, sf_dir)
+    far = g.axis_distance(F.col("x"), F.col("px"), w) + g.axis_distance(F.col("y"), F.col("py"), h)
     pairs = on.join(step, ["line", "seq"]).agg(F.count("*").alias("n_edges"), F.sum((far != 1).cast("long")).alias("gaps"))
     again = on.join(step, ["line", "seq"]).select(F.least(F.struct("x", "y"), F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("p"), F.greatest(F.struct("x", "y"), F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("q"))
     again = again.groupBy("p", "q").agg(F.count("*").alias("n")).agg(F.sum((F.col("n") > 1).cast("long")).alias("repeated"))
@@ -451,7 +457,7 @@ def j3_slice_areas_invariant(spark, sf_dir):
 
 
 def _merged(spark, sf_dir):
-    grid = sampling.staged(labelled(spark, sf_dir))
+    grid = labelled(spark, sf_dir)
     pairs = sampling.staged(raster.adjacency(grid, *wh(spark, sf_dir)))
     return grid, pairs, merging.merge_regions(grid.select("label").distinct(), pairs, 7)
 
@@ -474,7 +480,7 @@ def i16_weighted_boundaries(spark, sf_dir):
 
 @query(f"WITH {LABELLED} SELECT x, y, CAST(dense_rank() OVER (ORDER BY label) AS BIGINT) AS label FROM lab")
 def f1_dense_relabel(spark, sf_dir):
-    grid = sampling.staged(labelled(spark, sf_dir))
+    grid = labelled(spark, sf_dir)
     return grid.join(components.dense(grid, "label"), F.col("label") == F.col("old")).select("x", "y", F.col("new").alias("label"))
 
 
@@ -559,7 +565,7 @@ def d13_points_in_rings(spark, sf_dir):
 
 @query(f"SELECT o_orderkey AS id, round(CASE WHEN {_U} < 1.5 / 4.0 THEN (sqrt(1 + {_V} * 3) - 1) ELSE 1 + CASE WHEN {_U} < 3.5 / 4.0 THEN {_V} ELSE 1 + 0.5 * (sqrt(4 - {_V} * 4) - 2) / -2 END END, 6) AS piecewise_linear FROM orders")
 def m_piecewise_linear(spark, sf_dir):
-    u, v = draws.uniform(F.col("o_orderkey")), draws.uniform(F.col("o_orderkey") + 77)
+    u, v = draws.uniform(F.col("o_orderkey")), draws.uniform(F.col("o_orderkey"), 1)
     return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round(draws.piecewise_linear(u, v, [0.0, 1.0, 2.0, 2.5], [1.0, 2.0, 2.0, 0.0]), 6).alias("piecewise_linear"))
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessella import catalog as c
-from tessella.catalog import BESIDE, CLOUDS, EDGES, LABELLED, LCG, SEGMENTS, TRIANGLES, UNIFORM, W, labelled, query, wh
+from tessella.catalog import BESIDE, CLOUDS, EDGES, LABELLED, SEGMENTS, TRIANGLES, UNIFORM, W, labelled, query, wh
 from tessella.functions import draws, geometry as g
 from tessella.operators import centroid, components, graphs, growth, lines, raster, sampling, voronoi
 from tessella.plans.stage import shared_dir, staged
@@ -66,7 +66,7 @@ ed AS (SELECT p.visit AS src, q.visit AS dst, slot FROM bo JOIN vx p ON p.x = ax
 
 
 def _graph(spark, sf_dir):
-    v, e = graphs.corner_graph(staged(labelled(spark, sf_dir)), *wh(spark, sf_dir))
+    v, e = graphs.corner_graph(labelled(spark, sf_dir), *wh(spark, sf_dir))
     return staged(v), staged(e)
 
 
@@ -107,14 +107,8 @@ def c6_interior_rings(spark, sf_dir):
     return graphs.touching_interior(fx.triangles(spark, sf_dir).select("id", ring.alias("ring")), 300, 500).select("id")
 
 
-def _draws(key: str, times: int) -> str:
-    for _ in range(times):
-        key = LCG(key)
-    return key
-
-
 #: Random borders' order; those that no way of earlier ones goes around are the forest, its last ones stay borders.
-_MERGED = f"""p AS (SELECT DISTINCT least(label, other) AS a, greatest(label, other) AS b FROM (FROM nx UNION ALL FROM ny)), o AS (SELECT a, b, row_number() OVER (ORDER BY {_draws('a * 65537 + b * 257 + 1', 3)}, a, b) AS k FROM p),
+_MERGED = f"""p AS (SELECT DISTINCT least(label, other) AS a, greatest(label, other) AS b FROM (FROM nx UNION ALL FROM ny)), o AS (SELECT a, b, row_number() OVER (ORDER BY {draws.bits_sql('a * 1000003 + b', '1')}, a, b) AS k FROM p),
 both_ AS (SELECT a, b, k FROM o UNION ALL SELECT b, a, k FROM o), r AS (SELECT k, a AS v FROM o UNION SELECT r.k, e.b FROM r JOIN both_ e ON e.a = r.v AND e.k < r.k), f AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = o.k AND r.v = o.b)),
 t AS (SELECT *, row_number() OVER (ORDER BY k) AS n FROM f), n AS (SELECT DISTINCT label FROM lab), kept AS (SELECT a, b FROM t WHERE n <= (SELECT greatest(0, count(*) - 7) FROM n)), kb AS (FROM kept UNION ALL SELECT b, a FROM kept),
 mg AS (SELECT label, label AS root FROM n UNION SELECT kb.b, mg.root FROM mg JOIN kb ON kb.a = mg.label), z AS (SELECT label, CAST(dense_rank() OVER (ORDER BY min(root)) AS BIGINT) AS region FROM mg GROUP BY label)"""
@@ -128,7 +122,7 @@ def i17_aggregated_cells(spark, sf_dir):
 
 _S = 4096.0
 #: Voronoi diagrams by brute force: of every cell, each bisector and side of the square, cut by all its other half-planes.
-VORONOI = f"""vs AS (SELECT s_suppkey AS id, {_draws('s_suppkey', 2)} / 2147483648.0 * 4096 AS x, {_draws('s_suppkey + 9000', 3)} / 2147483648.0 * 4096 AS y FROM supplier),
+VORONOI = f"""vs AS (SELECT s_suppkey AS id, {UNIFORM('s_suppkey')} * 4096 AS x, {UNIFORM('s_suppkey', '1')} * 4096 AS y FROM supplier),
 pl AS (SELECT a.id AS s, a.x AS sx, a.y AS sy, b.id AS e, b.x - a.x AS a, b.y - a.y AS b, (b.x * b.x + b.y * b.y - a.x * a.x - a.y * a.y) / 2 AS c, (a.x + b.x) / 2 AS px, (a.y + b.y) / 2 AS py FROM vs a JOIN vs b ON a.id <> b.id
 UNION ALL SELECT id, x, y, e, a, b, c, px, py FROM vs, (VALUES (-1, 0.0, -1.0, 0.0, 0.0, 0.0), (-2, 1.0, 0.0, {_S}, {_S}, 0.0), (-3, 0.0, 1.0, {_S}, {_S}, {_S}), (-4, -1.0, 0.0, 0.0, 0.0, {_S})) v(e, a, b, c, px, py)),
 cu AS (SELECT l.s, l.sx, l.sy, l.e, l.px, l.py, -l.b AS dx, l.a AS dy, q.c - q.a * l.px - q.b * l.py AS num, q.b * l.a - q.a * l.b AS den FROM pl l JOIN pl q ON q.s = l.s AND q.e <> l.e),
@@ -142,8 +136,7 @@ def _rings(spark, sf_dir):
 
 
 def _sites(spark, sf_dir):
-    k = F.col("s_suppkey")
-    return fx.table(spark, sf_dir, "supplier").select(k.alias("site_id"), (draws.draw(k, 2) / float(draws.MODULUS) * 4096).alias("sx"), (draws.draw(k + 9000, 3) / float(draws.MODULUS) * 4096).alias("sy"))
+    return c.plane_sites(spark, sf_dir)
 
 
 @query(f"WITH {VORONOI} SELECT site_id, n_edges, round(area, 3) AS area, round(cx, 4) AS cx, round(cy, 4) AS cy FROM ce")
@@ -201,8 +194,8 @@ def j8_fill_grid_invariant(spark, sf_dir):
 
 
 _K = "o_orderkey"
-_N = lambda a, b: f"sqrt(-2 * ln({UNIFORM(a)})) * cos(2 * pi() * {UNIFORM(b)})"
-_CHI = lambda key, n: f"(SELECT sum(pow({_N(f'{key} + 7919 * k.range', f'{key} + 7919 * k.range + 31')}, 2)) FROM range({n}) k)"
+_N = lambda a, b: f"sqrt(-2 * ln({UNIFORM(_K, a)})) * cos(2 * pi() * {UNIFORM(_K, b)})"
+_CHI = lambda n, at=0: f"(SELECT sum(pow({_N(f'2 * k.range + {at}', f'2 * k.range + {at + 1}')}, 2)) FROM range({n}) k)"
 
 
 def _cdf(mean: float) -> list[float]:
@@ -217,19 +210,17 @@ def _cdf(mean: float) -> list[float]:
 _D = 2.5 - 1 / 3
 _C = 1 / math.sqrt(9 * _D)
 _V = f"pow(1 + {_C!r} * x, 3)"
-_AT = f"{_K} + 7919 * k.range"
-_UN = lambda n: f"(({_draws(_AT, n)} + 0.5) / 2147483648.0)"
-_GAMMA = f"(SELECT arg_min({_D!r} * v, k) FROM (SELECT k, x, {_V} AS v, u FROM (SELECT k.range AS k, sqrt(-2 * ln({_UN(2)})) * cos(2 * pi() * {_UN(5)}) AS x, {_UN(8)} AS u FROM range(64) k)) WHERE v > 0 AND ln(u) < 0.5 * x * x + {_D!r} - {_D!r} * v + {_D!r} * ln(greatest(v, 1e-300)))"
-_U, _U2 = UNIFORM(_K), UNIFORM(f"{_K} + 77")
+_GAMMA = f"(SELECT arg_min({_D!r} * v, k) FROM (SELECT k, x, {_V} AS v, u FROM (SELECT k.range AS k, {_N('3 * k.range', '3 * k.range + 1')} AS x, {UNIFORM(_K, '3 * k.range + 2')} AS u FROM range(64) k)) WHERE v > 0 AND ln(u) < 0.5 * x * x + {_D!r} - {_D!r} * v + {_D!r} * ln(greatest(v, 1e-300)))"
+_U, _U2 = UNIFORM(_K), UNIFORM(_K, "1")
 
 
-@query(f"""SELECT {_K} AS id, CAST(len(list_filter({_cdf(4.0)}, lambda x: {_U} >= x)) AS BIGINT) AS poisson, CAST((SELECT count(*) FROM range(8) k WHERE {UNIFORM(f'{_K} + 7919 * k.range')} < 0.4) AS BIGINT) AS binomial,
-CAST((SELECT sum(floor(ln(1 - {UNIFORM(f'{_K} + 7919 * k.range')}) / {math.log(0.5)!r})) FROM range(3) k) AS BIGINT) AS negative_binomial, round(exp(0.5 * ({_N(_K, f'{_K} + 77')})), 6) AS lognormal,
-round({_GAMMA} * 2.0, 6) AS gamma, round({_CHI(_K, 4)}, 6) AS chi_squared, round(({_N(f'{_K} + 5', f'{_K} + 11')}) / sqrt({_CHI(f'{_K} + 101', 5)} / 5), 6) AS student_t,
-round(({_CHI(_K, 3)} / 3) / ({_CHI(f'{_K} + 100003', 6)} / 6), 5) AS fisher_f, CASE WHEN {_U} < 0.1 THEN 0 WHEN {_U} < 0.3 THEN 1 WHEN {_U} < 0.6 THEN 2 ELSE 3 END AS discrete,
+@query(f"""SELECT {_K} AS id, CAST(len(list_filter({_cdf(4.0)}, lambda x: {_U} >= x)) AS BIGINT) AS poisson, CAST((SELECT count(*) FROM range(8) k WHERE {UNIFORM(_K, 'k.range')} < 0.4) AS BIGINT) AS binomial,
+CAST((SELECT sum(floor(ln(1 - {UNIFORM(_K, 'k.range')}) / {math.log(0.5)!r})) FROM range(3) k) AS BIGINT) AS negative_binomial, round(exp(0.5 * ({_N('0', '1')})), 6) AS lognormal,
+round({_GAMMA} * 2.0, 6) AS gamma, round({_CHI(4)}, 6) AS chi_squared, round(({_N('0', '1')}) / sqrt({_CHI(5, 2)} / 5), 6) AS student_t,
+round(({_CHI(3)} / 3) / ({_CHI(6, 6)} / 6), 5) AS fisher_f, CASE WHEN {_U} < 0.1 THEN 0 WHEN {_U} < 0.3 THEN 1 WHEN {_U} < 0.6 THEN 2 ELSE 3 END AS discrete,
 round(CASE WHEN {_U} < 0.25 THEN {_U2} WHEN {_U} < 0.5 THEN 1 + 2 * {_U2} ELSE 3 + 3 * {_U2} END, 6) AS piecewise FROM orders""")
 def m_compound_distributions(spark, sf_dir):
-    k, u, v = F.col(_K), draws.uniform(F.col(_K)), draws.uniform(F.col(_K) + 77)
+    k, u, v = F.col(_K), draws.uniform(F.col(_K)), draws.uniform(F.col(_K), 1)
     r = lambda x, n=6: F.round(x, n)
     made = {"poisson": draws.Distribution(draws.poisson, 4.0)(k), "binomial": draws.Distribution(draws.binomial, 8, 0.4)(k).cast("long"), "negative_binomial": draws.negative_binomial(k, 3, 0.5), "lognormal": r(draws.Distribution(draws.lognormal, 0.0, 0.5)(k)), "gamma": r(draws.gamma(k, 2.5, 2.0)), "chi_squared": r(draws.chi_squared(k, 4)), "student_t": r(draws.student_t(k, 5)), "fisher_f": r(draws.fisher_f(k, 3, 6), 5), "discrete": draws.discrete(u, [1, 2, 3, 4]), "piecewise": r(draws.piecewise_constant(u, v, [0.0, 1.0, 3.0, 6.0], [1, 1, 2]))}
     return fx.table(spark, sf_dir, "orders").select(k.alias("id"), *(x.alias(n) for n, x in made.items()))
@@ -296,11 +287,12 @@ def b12_points_on_the_lattice_of_a_ring(spark, sf_dir):
     return fx.grid(spark, 16, 14).select("x", "y", g.in_ring(ring, F.col("x").cast("double"), F.col("y").cast("double")).alias("inside"))
 
 
+_STEP = lambda k: f"((({k}) % 2147483648) * 1103515245 + 12345) % 2147483648"
 _CHAIN = f"""kx AS (SELECT user_id, a.range AS at, CAST(sum(pow(least(abs(x - a.range), 512 - abs(x - a.range)), 2)) AS BIGINT) AS k FROM clouds, range(512) a GROUP BY ALL), ky AS (SELECT user_id, a.range AS at, CAST(sum(pow(least(abs(y - a.range), 512 - abs(y - a.range)), 2)) AS BIGINT) AS k FROM clouds, range(512) a GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM clouds), st AS (SELECT user_id, CAST(floor(avg(x)) AS BIGINT) AS x, CAST(floor(avg(y)) AS BIGINT) AS y FROM rk WHERE r <= 2 GROUP BY user_id),
 ch AS (SELECT st.user_id, 0 AS n, st.x, st.y, kx.k + ky.k AS cost, (st.user_id * 7919 + 1) % 2147483648 AS s, CAST(1 AS BIGINT) AS seen FROM st JOIN kx ON kx.user_id = st.user_id AND kx.at = st.x JOIN ky ON ky.user_id = st.user_id AND ky.at = st.y
-UNION ALL SELECT user_id, n + 1, CASE WHEN go THEN tx ELSE x END, CASE WHEN go THEN ty ELSE y END, CASE WHEN go THEN tc ELSE cost END, s2, seen + CASE WHEN go THEN 1 ELSE 0 END FROM (SELECT *, (tx <> x OR ty <> y) AND (tc < cost OR (s2 + 0.5) / 2147483648.0 < exp(least(0, 2.0 * (cost - tc)))) AS go FROM (SELECT m.*, kx.k + ky.k AS tc, {LCG('s1')} AS s2 FROM
-(SELECT *, greatest(0, least(511, x + CASE s1 // 536870912 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END)) AS tx, greatest(0, least(511, y + CASE s1 // 536870912 WHEN 2 THEN -1 WHEN 3 THEN 1 ELSE 0 END)) AS ty FROM (SELECT *, {LCG('s')} AS s1 FROM ch WHERE n < 200)) m JOIN kx ON kx.user_id = m.user_id AND kx.at = m.tx JOIN ky ON ky.user_id = m.user_id AND ky.at = m.ty)))"""
+UNION ALL SELECT user_id, n + 1, CASE WHEN go THEN tx ELSE x END, CASE WHEN go THEN ty ELSE y END, CASE WHEN go THEN tc ELSE cost END, s2, seen + CASE WHEN go THEN 1 ELSE 0 END FROM (SELECT *, (tx <> x OR ty <> y) AND (tc < cost OR (s2 + 0.5) / 2147483648.0 < exp(least(0, 2.0 * (cost - tc)))) AS go FROM (SELECT m.*, kx.k + ky.k AS tc, {_STEP('s1')} AS s2 FROM
+(SELECT *, greatest(0, least(511, x + CASE s1 // 536870912 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END)) AS tx, greatest(0, least(511, y + CASE s1 // 536870912 WHEN 2 THEN -1 WHEN 3 THEN 1 ELSE 0 END)) AS ty FROM (SELECT *, {_STEP('s')} AS s1 FROM ch WHERE n < 200)) m JOIN kx ON kx.user_id = m.user_id AND kx.at = m.tx JOIN ky ON ky.user_id = m.user_id AND ky.at = m.ty)))"""
 
 
 @query(f"WITH RECURSIVE {CLOUDS}, {_CHAIN} SELECT user_id, x AS cx, y AS cy, cost, seen AS visited FROM ch WHERE n = 200")

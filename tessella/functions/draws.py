@@ -1,25 +1,66 @@
-"""A portable generator and distributions by inverse CDF, as Column expressions."""
+"""A portable counter-based generator and distributions by inverse CDF, as Column expressions.
+
+A draw is a function of a key and a stream, so that any row has as many independent
+draws as it needs, whatever the order in which rows are met. Key and stream go into
+two linear words, which xor-shift-multiply rounds mix and which are then joined: no
+draw is a shift of another one's. All products stay below 2^63, so engines whose
+whole numbers do not wrap agree.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values of the linear congruential generator: modulus, multiplier, increment.
-MODULUS, MULTIPLIER, INCREMENT = 2147483648, 1103515245, 12345
+#: Draws are whole numbers below this.
+MODULUS = 1 << 32
+_MASK = MODULUS - 1
+#: Odd multipliers below 2^31 for the low and high word of the key and for the stream, with an offset, one row for each word.
+WORDS = ((1540483477, 461845907, 374761393, 1013904223), (668265263, 739982445, 695872825, 374440041))
+#: Fixed values of the mixing rounds: shift, multiplier; the last shift has none.
+ROUNDS, LAST = ((16, 569420461), (15, 1935289751)), 15
+
+
+def bits(key: Column, stream: Column | int = 0) -> Column:
+    """A whole number below 2^32 for a key, of any sign, and a stream; streams count modulo 2^32."""
+    low = lambda v: v.cast("long").bitwiseAND(F.lit(_MASK))
+    high = F.shiftrightunsigned(key.cast("long"), 32)
+    out = None
+    for k_low, k_high, k_stream, offset in WORDS:
+        moved = F.lit((stream & _MASK) * k_stream + offset & _MASK) if isinstance(stream, int) else low(low(stream) * k_stream + offset)
+        word = low(low(low(key) * k_low) + low(high * k_high) + moved)
+        for shift, by in ROUNDS:
+            word = low(word.bitwiseXOR(F.shiftright(word, shift)) * by)
+        word = word.bitwiseXOR(F.shiftright(word, LAST))
+        out = word if out is None else out.bitwiseXOR(word)
+    return out
 
 
-def draw(key: Column, times: int = 1) -> Column:
-    """The generator's state after so many steps from key."""
-    v = F.pmod(key, F.lit(MODULUS))
-    for _ in range(times):
-        v = (v * F.lit(MULTIPLIER) + F.lit(INCREMENT)) % F.lit(MODULUS)
-    return v
+def uniform(key: Column, stream: Column | int = 0) -> Column:
+    """In the open interval from 0 to 1."""
+    return (bits(key, stream) + 0.5) / float(MODULUS)
 
 
-def uniform(key: Column, times: int = 2) -> Column:
-    """In the open interval from 0 to 1."""
-    return (draw(key, times) + 0.5) / float(MODULUS)
+def bits_sql(key: str, stream: str = "0") -> str:
+    """bits() in DuckDB's SQL."""
+    key, stream, words = f"CAST({key} AS BIGINT)", f"CAST({stream} AS BIGINT)", []
+    for k_low, k_high, k_stream, offset in WORDS:
+        word = f"((({key} & {_MASK}) * {k_low} & {_MASK}) + ((({key} >> 32) & {_MASK}) * {k_high} & {_MASK}) + (({stream} & {_MASK}) * {k_stream} + {offset} & {_MASK}) & {_MASK})"
+        for shift, by in ROUNDS:
+            word = f"(xor({word}, {word} >> {shift}) * {by} & {_MASK})"
+        words.append(f"xor({word}, {word} >> {LAST})")
+    return f"xor({words[0]}, {words[1]})"
+
+
+def uniform_sql(key: str, stream: str = "0") -> str:
+    return f"(({bits_sql(key, stream)} + 0.5) / 4294967296.0::DOUBLE)"
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def uniform_int(u, a: int, b: int) -> Column:
@@ -36,8 +77,6 @@ def bernoulli(u, p: float) -> Column:
 
 def geometric(u, p: float) -> Column:
     """Failures before the first success."""
-    import math
-
     return F.floor(F.log(1 - u) / math.log(1 - p))
 
 
@@ -66,19 +105,30 @@ def cauchy(u, a: float, b: float) -> Column:
     return a + b * F.tan(F.pi() * (u - 0.5))
 
 
+#: Sums of up to so many draws are written out, which compiles; longer ones are folds over an array.
+WRITTEN_OUT = 16
+
+
 def _fold(n: int, start, step) -> Column:
     """step over the numbers below n, from start: one expression, whatever n."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step) if n > 0 else start
 
 
+def _sum(n: int, zero, term) -> Column:
+    """The sum of term(k) for k below n."""
+    if n > WRITTEN_OUT:
+        return _fold(n, zero, lambda s, k: s + term(k))
+    for k in range(n):
+        zero = zero + term(k)
+    return zero
+
+
 def poisson(key: Column, mean: float) -> Column:
     """By the cumulative probabilities; large means as the sum of parts of at most 500.
 
     Probabilities are added up to 10 deviations and 40 beyond the mean: the
-    generator's draws end 2^-32 below 1, far short of that.
+    generator's draws end 2^-33 below 1, far short of that.
     """
-    import math
-
     parts = max(1, math.ceil(mean / 500))
     part = mean / parts
     most = math.ceil(part + 10 * math.sqrt(part) + 40)
@@ -88,19 +138,20 @@ def poisson(key: Column, mean: float) -> Column:
         add = lambda s, k: F.struct((s["n"] + (u >= s["sum"] + s["p"]).cast("long")).alias("n"), (s["sum"] + s["p"]).alias("sum"), (s["p"] * F.lit(part) / (k + 1)).alias("p"))
         return _fold(most, start, add)["n"]
 
-    return _fold(parts, F.lit(0).cast("long"), lambda n, k: n + one(uniform(key + 7919 * k)))
+    return _sum(parts, F.lit(0).cast("long"), lambda k: let(uniform(key, k), one))
 
 
 def binomial(key: Column, trials: int, p: float) -> Column:
-    return _fold(trials, F.lit(0), lambda n, k: n + (uniform(key + 7919 * k) < p).cast("int"))
+    return _sum(trials, F.lit(0), lambda k: (uniform(key, k) < p).cast("int"))
 
 
 def negative_binomial(key: Column, successes: int, p: float) -> Column:
-    return _fold(successes, F.lit(0).cast("long"), lambda n, k: n + geometric(uniform(key + 7919 * k), p).cast("long"))
+    return _sum(successes, F.lit(0).cast("long"), lambda k: geometric(uniform(key, k), p).cast("long"))
 
 
-def chi_squared(key: Column, n: int) -> Column:
-    return _fold(n, F.lit(0.0), lambda s, k: s + F.pow(normal(uniform(key + 7919 * k), uniform(key + 7919 * k + 31), 0.0, 1.0), 2))
+def chi_squared(key: Column, n: int, stream: int = 0) -> Column:
+    """From the streams ``stream`` to ``stream`` + 2 * n - 1."""
+    return _sum(n, F.lit(0.0), lambda k: F.pow(normal(uniform(key, 2 * k + stream), uniform(key, 2 * k + stream + 1), 0.0, 1.0), 2))
 
 
 #: Tries of gamma(); each fails with a probability under 0.05, all of them under 1e-80.
@@ -109,28 +160,28 @@ TRIES = 64
 
 def gamma(key: Column, shape: float, scale: float) -> Column:
     """For any positive shape: the first accepted try of a cubed normal; shapes under 1 from the next one up."""
-    import math
-
     d = (shape if shape >= 1 else shape + 1) - 1 / 3
     c = 1 / math.sqrt(9 * d)
 
-    def attempt(done, k):
-        at = key + 7919 * k
-        x = normal(uniform(at), uniform(at, 5))  # different numbers of steps: draws of neighbouring keys are shifts of each other
+    def accepted(x, u):
         v = F.pow(1 + c * x, 3)
-        ok = (v > 0) & (F.log(uniform(at, 8)) < 0.5 * x * x + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300))))
-        return F.when(done >= 0, done).when(ok, d * v).otherwise(F.lit(-1.0))
+        ok = (v > 0) & (F.log(u) < 0.5 * x * x + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300))))
+        return F.when(ok, d * v).otherwise(F.lit(-1.0))
+
+    def attempt(done, k):
+        x = normal(uniform(key, 3 * k), uniform(key, 3 * k + 1))
+        return F.when(done >= 0, done).otherwise(let(F.struct(x.alias("x"), uniform(key, 3 * k + 2).alias("u")), lambda t: accepted(t["x"], t["u"])))
 
     found = _fold(TRIES, F.lit(-1.0), attempt)
-    return (found if shape >= 1 else found * F.pow(uniform(key, 11), 1 / shape)) * scale
+    return (found if shape >= 1 else found * F.pow(uniform(key, 3 * TRIES), 1 / shape)) * scale
 
 
 def student_t(key: Column, n: int) -> Column:
-    return normal(uniform(key + 5), uniform(key + 11)) / F.sqrt(chi_squared(key + 101, n) / n)
+    return normal(uniform(key, 0), uniform(key, 1)) / F.sqrt(chi_squared(key, n, 2) / n)
 
 
 def fisher_f(key: Column, m: int, n: int) -> Column:
-    return (chi_squared(key, m) / m) / (chi_squared(key + 100003, n) / n)
+    return (chi_squared(key, m) / m) / (chi_squared(key, n, 2 * m) / n)
 
 
 class Distribution:
@@ -148,7 +199,7 @@ class Distribution:
         self.inputs = [p for p in inspect.signature(function).parameters if p in ("u", "v")]
 
     def __call__(self, key: Column) -> Column:
-        drawn = [uniform(key + 77 * k) for k in range(len(self.inputs))] or [key]
+        drawn = [uniform(key, k) for k in range(len(self.inputs))] or [key]
         return self.function(*drawn, *self.parameters)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import draws
 from tessella.functions.geometry import chance
 from tessella.plans.stage import staged
 
@@ -48,13 +47,21 @@ def exact(points: DataFrame, key: str, w: int, h: int) -> DataFrame:
     return out.select(key, "cx", "cy", (F.col("cost_x") + F.col("cost_y")).alias("cost"))
 
 
+#: Fixed values of the chain's linear sequence of states: modulus, multiplier, increment.
+MODULUS, MULTIPLIER, INCREMENT = 2147483648, 1103515245, 12345
+
+
+def _next(state):
+    return (F.pmod(state, F.lit(MODULUS)) * F.lit(MULTIPLIER) + F.lit(INCREMENT)) % F.lit(MODULUS)
+
+
 def chain(points: DataFrame, key: str, order: str, w: int, h: int, steps: int = 200, k: float = 2.0, seed: int = 1) -> DataFrame:
     """(key, cx, cy, cost, visits, costs): a Metropolis chain for each key, as one fold over its two tables of costs.
 
     It starts at the whole midpoint of the key's two first points (a single point is
     its own), steps to one of the four neighbours, kept inside the grid, when that
     costs less, or by chance, and returns its last cell with the cells that it has
-    visited and their costs. Draws are those of the portable generator.
+    visited and their costs. Its states are a linear sequence, one after the other.
     """
     first = points.groupBy(key).agg(F.min(F.struct(order, "x", "y")).alias("p"))
     second = points.join(first, key).where(F.col(order) > F.col(f"p.{order}")).groupBy(key).agg(F.min(F.struct(order, "x", "y")).alias("q"))
@@ -65,14 +72,14 @@ def chain(points: DataFrame, key: str, order: str, w: int, h: int, steps: int =
     start = staged(start)
     cost = lambda x, y: F.get("kx", x.cast("int")) + F.get("ky", y.cast("int"))
     cell = lambda x, y, c: F.struct(x.alias("x"), y.alias("y"), c.alias("cost"))
-    begin = F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"), cost(F.col("sx"), F.col("sy")).alias("cost"), F.pmod(F.col(key) * 7919 + seed, F.lit(draws.MODULUS)).alias("state"), F.array(cell(F.col("sx"), F.col("sy"), cost(F.col("sx"), F.col("sy")))).alias("seen"))
+    begin = F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"), cost(F.col("sx"), F.col("sy")).alias("cost"), F.pmod(F.col(key) * 7919 + seed, F.lit(MODULUS)).alias("state"), F.array(cell(F.col("sx"), F.col("sy"), cost(F.col("sx"), F.col("sy")))).alias("seen"))
 
     def step(s, _):
-        state = draws.draw(s["state"])
-        way = F.floor(state / F.lit(draws.MODULUS / 4))
+        state = _next(s["state"])
+        way = F.floor(state / F.lit(MODULUS / 4))
         x = F.greatest(F.lit(0), F.least(F.lit(w - 1), s["x"] + F.when(way == 0, -1).when(way == 1, 1).otherwise(0))).cast("long")
         y = F.greatest(F.lit(0), F.least(F.lit(h - 1), s["y"] + F.when(way == 2, -1).when(way == 3, 1).otherwise(0))).cast("long")
-        return _moved(s, x, y, cost(x, y), draws.draw(state), k)
+        return _moved(s, x, y, cost(x, y), _next(state), k)
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step)
     out = start.select(key, done.alias("s")) if steps else start.select(key, begin.alias("s"))
@@ -80,7 +87,7 @@ def chain(points: DataFrame, key: str, order: str, w: int, h: int, steps: int =
 
 
 def _moved(s, x, y, c, state, k):
-    u = (state + 0.5) / float(draws.MODULUS)
+    u = (state + 0.5) / float(MODULUS)
     go = ((x != s["x"]) | (y != s["y"])) & ((c < s["cost"]) | (u < chance(c.cast("double"), s["cost"].cast("double"), k)))
     pick = lambda a, b: F.when(go, a).otherwise(b)
     seen = F.when(go, F.concat(s["seen"], F.array(F.struct(x.alias("x"), y.alias("y"), c.alias("cost"))))).otherwise(s["seen"])

@@ -19,7 +19,7 @@ STEPS = 4
 
 def _delay(label, x, y, weight, seed: int):
     """Whole time a region needs to take a cell: exponential, the faster the greater its weight; at least 1."""
-    u = draws.uniform(F.pmod(label * 7_368_787 + x * 104_729 + y * 1_299_709 + seed, F.lit(draws.MODULUS)), 3)
+    u = draws.uniform(x * F.lit(1 << 31) + y, label * 64 + seed)
     return (F.lit(1) + F.floor(draws.exponential(u, 1.0) * 1_000_000 / weight)).cast("long")
 
 
@@ -69,29 +69,28 @@ def paths(maps: DataFrame, w: int, h: int, cuts: int, length: int, alpha: float,
     """
     walks = maps.select("map_id", F.explode(F.sequence(F.lit(0), F.lit(2 * cuts - 1))).alias("walk"))
     cut, back = F.floor(F.col("walk") / 2), F.col("walk") % 2
-    key = F.pmod(F.col("map_id") * 7_368_787 + cut * 104_729 + seed, F.lit(draws.MODULUS))
-    begin = walks.select("map_id", "walk", draws.uniform_int(draws.uniform(key, 3), 0, w - 1).cast("long").alias("sx"), draws.uniform_int(draws.uniform(key + 1, 3), 0, h - 1).cast("long").alias("sy"), (draws.uniform(key + 2, 3) * 2 * F.pi() + back * F.pi()).alias("angle"), draws.draw(key + 3 + back, 3).alias("state"))
+    key = F.col("map_id") * F.lit(1 << 20) + cut
+    begin = walks.select("map_id", "walk", draws.uniform_int(draws.uniform(key, 4 * seed), 0, w - 1).cast("long").alias("sx"), draws.uniform_int(draws.uniform(key, 4 * seed + 1), 0, h - 1).cast("long").alias("sy"), (draws.uniform(key, 4 * seed + 2) * 2 * F.pi() + back * F.pi()).alias("angle"), (key * 2 + back).alias("key"))
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     zero = F.lit(0).cast("long")
-    start = F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("angle").alias("angle"), F.col("state").alias("state"), zero.alias("dx"), zero.alias("dy"), F.array(corner(F.col("sx"), F.col("sy"))).alias("seen"))
+    start = F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("angle").alias("angle"), zero.alias("dx"), zero.alias("dy"), F.array(corner(F.col("sx"), F.col("sy"))).alias("seen"))
 
-    def step(s, _):
-        one, two, three = (draws.draw(s["state"], k) for k in (2, 3, 4))
-        u = lambda v: (v + 0.5) / float(draws.MODULUS)
-        return _turned(s, s["angle"] + draws.normal(u(one), u(two), 0.0, alpha), u(three), three)
+    def step(s, n):
+        one, two, three = (draws.uniform(F.col("key"), n * 4 + (seed << 16) + k) for k in range(3))
+        return draws.let(F.struct((s["angle"] + draws.normal(one, two, 0.0, alpha)).alias("angle"), three.alias("u")), lambda t: _turned(s, t["angle"], t["u"]))
 
-    def _turned(s, angle, u, state):
+    def _turned(s, angle, u):
         cos, sin = F.cos(angle), F.sin(angle)
         along = u < F.abs(cos) / (F.abs(cos) + F.abs(sin))
         sign = lambda v: F.when(v < 0, -1).otherwise(1).cast("long")
         mx, my = F.when(along, sign(cos)).otherwise(zero), F.when(along, zero).otherwise(sign(sin))
-        return F.element_at(F.transform(F.array(F.struct(mx.alias("x"), my.alias("y"))), lambda m: _stepped(s, m["x"], m["y"], angle, state)), 1)
+        return F.element_at(F.transform(F.array(F.struct(mx.alias("x"), my.alias("y"))), lambda m: _stepped(s, m["x"], m["y"], angle)), 1)
 
-    def _stepped(s, mx, my, angle, state):
+    def _stepped(s, mx, my, angle):
         go = (mx + s["dx"] != 0) | (my + s["dy"] != 0)
         x, y = F.when(go, wrap(s["x"] + mx, w)).otherwise(s["x"]), F.when(go, wrap(s["y"] + my, h)).otherwise(s["y"])
         seen = F.when(go, F.concat(s["seen"], F.array(corner(x, y)))).otherwise(s["seen"])
-        return F.struct(x.alias("x"), y.alias("y"), angle.alias("angle"), state.alias("state"), F.when(go, mx).otherwise(s["dx"]).alias("dx"), F.when(go, my).otherwise(s["dy"]).alias("dy"), seen.alias("seen"))
+        return F.struct(x.alias("x"), y.alias("y"), angle.alias("angle"), F.when(go, mx).otherwise(s["dx"]).alias("dx"), F.when(go, my).otherwise(s["dy"]).alias("dy"), seen.alias("seen"))
 
     done = begin.select("map_id", "walk", F.aggregate(F.sequence(F.lit(1), F.lit(length)), start, step)["seen"].alias("seen"))
     return done.select("map_id", "walk", F.posexplode("seen").alias("step", "c")).select("map_id", "walk", "step", "c.x", "c.y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.draws import draw
+from tessella.functions.draws import bits
 from tessella.functions.geometry import wrap
 from tessella.operators.components import components, dense
 from tessella.plans.stage import staged
@@ -67,8 +67,8 @@ def spanning(pairs: DataFrame) -> DataFrame:
 
 
 def border_weight(seed: int):
-    """A number below 2^31 for each pair (a, b), by the portable generator."""
-    return draw(F.col("a") * 65_537 + F.col("b") * 257 + seed, 3)
+    """A number below 2^32 for each pair (a, b), by the portable generator."""
+    return bits(F.col("a") * 1_000_003 + F.col("b"), seed)
 
 
 def merge_regions(ids: DataFrame, pairs: DataFrame, regions: int, seed: int = 1) -> DataFrame:

@@ -1,17 +1,27 @@
-"""Nearest-site joins on a torus: label rasters, weighted and hierarchical."""
+"""Nearest-site joins on a torus: label rasters, weighted and hierarchical.
+
+Many sites are found through an index of tiles: a quad-tree over the area, whose
+leaves hold the sites that can be nearest to some point of the leaf. A tile's sites
+are those of its parent that its bounds leave: a site goes when even the nearest
+point of the tile would find another site nearer than this one. Only tiles with more
+than LEAF sites are split, so clusters and lines of sites cost what their number
+costs, not its square, and a point meets a handful of sites whatever their layout.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import sq_torus
 from tessella.plans.stage import staged
 
-#: Up to so many sites travel as one array of 24 bytes each; beyond, cells and sites meet by bucket.
-ARRAY_SITES = 2048
+#: Up to so many pairs of a cell and a site all sites travel as one array; beyond, they are found through tiles.
+ARRAY_PAIRS, ARRAY_SITES = 1 << 22, 2048
+#: Most sites of a tile that is not split, the first level that is looked at, and the last.
+LEAF, FIRST_LEVEL, LAST_LEVEL = 16, 2, 20
 
 
 def nearest(cells: DataFrame, sites: DataFrame, w: int, h: int, weight: str | None = None) -> DataFrame:
@@ -24,13 +34,15 @@ def nearest(cells: DataFrame, sites: DataFrame, w: int, h: int, weight: str | No
     n = sites.count()
     if n == 0:
         return cells.drop("label").withColumn("label", F.lit(None).cast("long"))
-    if n <= ARRAY_SITES:
+    if n <= ARRAY_SITES and n * cells.count() <= ARRAY_PAIRS:
         return _by_array(cells, sites, w, h, weight)
-    return _by_bands(cells, sites, w, h, weight) if weight else _by_bucket(cells, sites, w, h, n)
+    cost = lambda s, x, y: _cost(s, w, h, weight, x, y)
+    found = lookup(cells.drop("label"), Tiles(sites, float(w), float(h), True, weight), "x", "y", cost)
+    return found.select(*cells.drop("label").columns, F.col("best.id").alias("label"))
 
 
-def _cost(s, w, h, weight):
-    d2 = sq_torus(F.col("x"), F.col("y"), s["sx"], s["sy"], w, h)
+def _cost(s, w, h, weight, x="x", y="y"):
+    d2 = sq_torus(F.col(x), F.col(y), s["sx"], s["sy"], w, h)
     # On a site the higher id wins: it is the later writer.
     tie = F.when(d2 == 0, -s["site_id"]).otherwise(s["site_id"]) if not weight else s["site_id"]
     d = s[weight] * F.sqrt(d2.cast("double")) if weight else d2
@@ -44,35 +56,92 @@ def _by_array(cells, sites, w, h, weight):
     return cells.crossJoin(F.broadcast(every)).select(*cells.columns, best["id"].alias("label"))
 
 
-def _by_bands(cells, sites, w, h, weight):
-    """Weighted sites in bands, in each of which the greatest weight is at most twice the least; a cell's best is the least of the bands' bests."""
-    banded = staged(sites.select("site_id", "sx", "sy", weight, F.floor(F.log2(weight)).cast("int").alias("_band")))
-    out = None
-    for r in banded.groupBy("_band").agg(F.count("*").alias("n"), F.min(weight).alias("least")).collect():  # a row for each power of two among the weights
-        found = _by_bucket(cells, banded.where(F.col("_band") == r["_band"]), w, h, r.n, weight, float(r.least))
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy(*cells.columns).agg(F.min("best").alias("best")).select(*cells.columns, F.col("best.id").alias("label"))
-
+class Tiles:
+    """The index of sites (site_id, sx, sy) over the area from (0, 0) to (w, h): ``leaves`` (level, tx, ty, sites) and ``rest``.
 
-def _by_bucket(cells, sites, w, h, n, weight=None, least=1.0):
-    """Cells look into the buckets around theirs; what is not nearer than a bucket is wide looks again, twice as wide.
-
-    With weights, of which ``least`` is the lowest, the answer is the best cost and not the label.
+    rest has the sites (level, tx, ty, site_id, sx, sy) of tiles of the last level
+    that still hold more than LEAF, as those around the centre of a circle of sites
+    do; it is None without any. Of sites on one spot only those stay that can win.
     """
+
+    def __init__(self, sites: DataFrame, w: float, h: float, torus: bool, weight: str | None = None, last_level: int = LAST_LEVEL):
+        self.w, self.h, self.torus, self.weight = w, h, torus, weight
+        self.columns = ["site_id", "sx", "sy", *([weight] if weight else [])]
+        own = staged(self._spots(sites), "sites")
+        self.leaves, self.rest, self.levels = None, None, []
+        steps = F.sequence(F.lit(0).cast("long"), F.lit((1 << FIRST_LEVEL) - 1).cast("long"))
+        now = own.withColumn("tx", F.explode(steps)).withColumn("ty", F.explode(steps))
+        for level in range(FIRST_LEVEL, last_level + 1):
+            now = staged(self._pruned(now, level), "tiles")
+            few = now.where(F.col("n") <= LEAF).groupBy("tx", "ty").agg(F.collect_list(F.struct(*self.columns)).alias("sites"))
+            few = staged(few.select(F.lit(level).alias("level"), "tx", "ty", "sites"), "leaves")
+            self.leaves = few if self.leaves is None else self.leaves.unionByName(few)
+            self.levels.append(level)
+            now = now.where(F.col("n") > LEAF).drop("n")
+            if not now.head(1):
+                return
+            if level < last_level:
+                half = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1))
+                now = now.withColumn("tx", half("tx")).withColumn("ty", half("ty"))
+        self.rest = now.withColumn("level", F.lit(last_level))
+
+    def _spots(self, sites: DataFrame) -> DataFrame:
+        """Of a spot the lowest id and, where the highest can win or weights differ, one more."""
+        first = F.min(F.struct(self.weight, "site_id")) if self.weight else F.max(F.struct("site_id"))
+        lowest = F.min(F.struct("site_id", *([self.weight] if self.weight else [])))
+        both = sites.groupBy("sx", "sy").agg(F.array_distinct(F.array(*(F.struct(c["site_id"].alias("site_id"), *([c[self.weight].alias(self.weight)] if self.weight else [])) for c in (first, lowest)))).alias("s"))
+        return both.select("sx", "sy", F.explode("s").alias("s")).select(*(F.col(c) if c in ("sx", "sy") else F.col(f"s.{c}") for c in self.columns))
+
+    def _pruned(self, rows: DataFrame, level: int) -> DataFrame:
+        """rows of sites and tiles that can meet, with n, the number left of the tile."""
+        parts = 1 << level
+        off = lambda at, site, size: self._along(F.abs((F.col(at) + 0.5) * (size / parts) - F.col(site).cast("double")), size)
+        d = F.hypot(off("tx", "sx", self.w), off("ty", "sy", self.h))
+        r = math.hypot(self.w / parts, self.h / parts) / 2 * (1 + 1e-9)
+        times = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
+        bound = rows.withColumns({"_low": times * F.greatest(F.lit(0.0), d - r), "_high": times * (d + r)})
+        least = bound.groupBy("tx", "ty").agg(F.min("_high").alias("_least"))
+        left = staged(bound.join(least, ["tx", "ty"]).where(F.col("_low") <= F.col("_least") * (1 + 1e-9)).select("tx", "ty", *self.columns), "pruned")
+        return left.join(left.groupBy("tx", "ty").agg(F.count("*").alias("n")), ["tx", "ty"])
+
+    def _along(self, d: Column, size: float) -> Column:
+        return F.least(d, F.lit(size) - d) if self.torus else d
+
+    def tile(self, x: str, y: str, level) -> list[Column]:
+        """The tile of a point at a level, a number or a column."""
+        parts = F.pow(F.lit(2.0), level) if isinstance(level, Column) else F.lit(float(1 << level))
+        at = lambda c, size: F.greatest(F.lit(0), F.least(parts - 1, F.floor(F.col(c) * parts / size))).cast("long")
+        return [at(x, self.w).alias("tx"), at(y, self.h).alias("ty")]
+
+
+def lookup(points: DataFrame, tiles: Tiles, x: str, y: str, cost) -> DataFrame:
+    """points with ``best``: the least cost(site, x, y) among the sites of their tile; points lie in the tiles' area."""
+    levels = F.explode(F.array(*[F.lit(k) for k in tiles.levels])).alias("level")
+    looked = points.select("*", levels).select("*", *tiles.tile(x, y, F.col("level")))
+    out = looked.join(tiles.leaves, ["level", "tx", "ty"]).select(*points.columns, F.array_min(F.transform("sites", lambda s: cost(s, x, y))).alias("best"))
+    if tiles.rest is None:
+        return out
+    last = points.select("*", F.lit(tiles.levels[-1]).alias("level"), *tiles.tile(x, y, tiles.levels[-1])).join(tiles.rest, ["level", "tx", "ty"])
+    own = {c: F.col(c) for c in tiles.columns}
+    return out.unionByName(last.groupBy(*points.columns).agg(F.min(cost(own, x, y)).alias("best")))
+
+
+def _by_bucket(cells, sites, w, h, n):
+    """Cells look into the buckets around theirs; what is not nearer than a bucket is wide looks again, twice as wide."""
     side, done = max(1, int(math.sqrt(w * h / n) * 1.5)), None
     while True:
         bx, by = max(1, w // side), max(1, h // side)
         spot = lambda x, y: (F.least(F.floor(x / side), F.lit(bx - 1)), F.least(F.floor(y / side), F.lit(by - 1)))  # noqa: B023, E731
         sx, sy = spot(F.col("sx"), F.col("sy"))
-        columns = ["site_id", "sx", "sy", *([weight] if weight else [])]
+        columns = ["site_id", "sx", "sy"]
         placed = sites.select(*columns, sx.alias("bx"), sy.alias("by"))
         cx, cy = spot(F.col("x"), F.col("y"))
         near = F.explode(F.array_distinct(F.array(*[F.struct(F.pmod(cx + i, F.lit(bx)).alias("bx"), F.pmod(cy + j, F.lit(by)).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))).alias("b")
         looked = cells.select(*cells.columns, near).select(*cells.columns, "b.bx", "b.by").join(placed, ["bx", "by"], "left")
-        cost = F.when(F.col("site_id").isNotNull(), _cost({c: F.col(c) for c in columns}, w, h, weight))
+        cost = F.when(F.col("site_id").isNotNull(), _cost({c: F.col(c) for c in columns}, w, h, None))
         found = staged(looked.groupBy(*cells.columns).agg(F.min(cost).alias("best")))
-        sure = (F.col("best.d") <= (least * side if weight else side * side)) | F.lit(bx <= 3 and by <= 3)
-        good = found.where(F.coalesce(sure, F.lit(False))).select(*cells.columns, F.col("best") if weight else F.col("best.id").alias("label"))
+        sure = (F.col("best.d") <= side * side) | F.lit(bx <= 3 and by <= 3)
+        good = found.where(F.coalesce(sure, F.lit(False))).select(*cells.columns, F.col("best.id").alias("label"))
         done = good if done is None else done.unionByName(good)
         cells = found.where(~F.coalesce(sure, F.lit(False))).select(*cells.columns)
         if not cells.head(1):

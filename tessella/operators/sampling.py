@@ -42,7 +42,7 @@ def poisson_disk(points: DataFrame, radius: float) -> DataFrame:
     return own if lost is None else own.join(lost, "id", "left_anti")
 
 
-def fill(radius: float, tries: int, seed: int = 1, salt: int = 1) -> Callable:
+def fill(radius: float, tries: int, seed: int = 1) -> Callable:
     """A function of a session that fills the unit square: tries candidates for each square of radius / 2, thrown in the order of their draws."""
     import math
 
@@ -51,8 +51,8 @@ def fill(radius: float, tries: int, seed: int = 1, salt: int = 1) -> Callable:
     def candidates(spark) -> DataFrame:
         k = F.col("id")
         cell = F.floor(k / tries)
-        at = lambda c, draw_: (c + draws.uniform(draw_ + seed * 7919, 3)) / side
-        spots = spark.range(side * side * tries).select(draws.draw(k + seed, 3).alias("turn"), k.alias("k"), at(F.floor(cell / side), k).alias("px"), at(cell % side, k + 104_729 * salt).alias("py"))
+        at = lambda c, stream: (c + draws.uniform(k, 3 * seed + stream)) / side
+        spots = spark.range(side * side * tries).select(draws.bits(k, 3 * seed).alias("turn"), k.alias("k"), at(F.floor(cell / side), 1).alias("px"), at(cell % side, 2).alias("py"))
         order = running_sum(spots.withColumn("one", F.lit(1).cast("long")), ["turn", "k"], "one", "at")
         return poisson_disk(order.select(F.col("at").alias("id"), "px", "py"), radius)
 

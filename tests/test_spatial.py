@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella import catalog
 from tessella.functions import draws, geometry as g
-from tessella.operators import components, growth, lines, merging, nearest, raster, voronoi
+from tessella.operators import components, growth, lines, merging, nearest, raster, sampling, voronoi
 from tessella.sources import fixtures as fx, json_files as js
 
 SF = "/root/testdata/sf0.001"
@@ -110,10 +110,16 @@ def test_corners_beyond_32768(spark):
     assert len(sides) == 16
 
 
-def test_weighted_bands_agree_with_the_array(spark):
-    sites = spark.createDataFrame([(k, k * 37 % 50, k * 11 % 50, 1.0 + k % 9 * 0.7) for k in range(60)], "site_id bigint, sx bigint, sy bigint, weight double")
-    one = nearest._by_array(fx.grid(spark, 50), sites, 50, 50, "weight").collect()
-    assert sorted(one) == sorted(nearest._by_bands(fx.grid(spark, 50), sites, 50, 50, "weight").collect())
+@pytest.mark.parametrize("layout", ["spread", "clustered", "lines", "spots", "circle"])
+@pytest.mark.parametrize("weight", [None, "weight"])
+def test_tiles_agree_with_all_pairs(spark, layout, weight):
+    """Whatever the layout, and with far more sites in one tile than a leaf holds."""
+    at = {"spread": lambda k: (k * 37 % 50, k * 11 % 48), "clustered": lambda k: (7 + k % 5, 9 + k % 7), "lines": lambda k: (k % 50, 20), "spots": lambda k: (k % 3 * 10, 5), "circle": lambda k: (round(25 + 20 * math.cos(k / 6)), round(24 + 20 * math.sin(k / 6)))}[layout]
+    sites = spark.createDataFrame([(k, *at(k), 1.0 + k % 9 * 0.7) for k in range(60)], "site_id bigint, sx bigint, sy bigint, weight double")
+    grid = fx.grid(spark, 50, 48)
+    tiles = nearest.Tiles(sites, 50.0, 48.0, True, weight, 4 if layout == "circle" else nearest.LAST_LEVEL)
+    found = nearest.lookup(grid, tiles, "x", "y", lambda s, x, y: nearest._cost(s, 50, 48, weight, x, y)).select("x", "y", "best.id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, nearest._by_array(grid, sites, 50, 48, weight).collect()))
 
 
 def test_clustered_sites(spark):
@@ -143,7 +149,7 @@ def test_documents_round_trip(spark, tmp_path):
 
 
 def test_distributions(spark):
-    """Means of draws, with a mean beyond 64 for Poisson and shapes that are not whole for Gamma; a distribution is any function of a key."""
+    """Means of draws, with means beyond 500 for Poisson and shapes that are not whole for Gamma; a distribution is any function of a key."""
     k = F.col("id") * 104_729 + 17
     made = {"small": draws.poisson(k, 3.5), "large": draws.poisson(k, 200.0), "parts": draws.poisson(k, 1300.0), "half": draws.gamma(k, 0.5, 2.0), "gamma": draws.Distribution(draws.gamma, 3.7, 1.5)(k), "die": draws.Distribution(draws.uniform_int, 1, 6)(k), "own": draws.Distribution(lambda key, a: draws.uniform(key) * a, 10.0)(k)}
     got = spark.range(20_000).select(*(v.alias(n) for n, v in made.items())).agg(*(F.avg(n).alias(n) for n in made), F.max("large").alias("top")).first()
@@ -152,6 +158,42 @@ def test_distributions(spark):
     assert got.top > 220
 
 
+def test_generator_is_the_same_in_sql(spark):
+    """Keys of any sign and size, streams that are numbers or columns."""
+    import duckdb
+
+    keys = [0, 1, -1, 2**31, 2**32, 2**32 + 1, -(2**40) - 7, 2**62, -(2**62)]
+    rows = spark.createDataFrame([(k, j) for k in keys for j in (0, 5, 2**33 + 1, -3)], "k bigint, j bigint")
+    got = rows.select("k", "j", draws.bits(F.col("k"), F.col("j")).alias("b"), draws.bits(F.col("k"), 5).alias("five"), draws.uniform(F.col("k")).alias("u")).collect()
+    for k, j, b, five, u in got:
+        assert 0 <= b < 2**32 and 0 < u < 1 and (b == five) == (j == 5)
+        assert duckdb.sql(f"select {draws.bits_sql(str(k), str(j))}, {draws.bits_sql(str(k), '5')}, {draws.uniform_sql(str(k))}").fetchall()[0] == (b, five, u)
+    assert len({r.b for r in got}) == len(got)
+
+
+def test_draws_are_independent(spark):
+    """Means, variances and skewness of compound distributions, and correlations between neighbouring keys and streams."""
+    k, n = F.col("id"), 60_000
+    wanted = {  # mean, variance, skewness
+        "uniform": (draws.uniform(k), 0.5, 1 / 12, 0.0), "normal": (draws.Distribution(draws.normal)(k), 0.0, 1.0, 0.0), "lognormal": (draws.Distribution(draws.lognormal, 0.0, 0.25)(k), math.exp(1 / 32), (math.exp(1 / 16) - 1) * math.exp(1 / 16), None),
+        "exponential": (draws.exponential(draws.uniform(k), 2.0), 0.5, 0.25, 2.0), "chi_squared": (draws.chi_squared(k, 4), 4.0, 8.0, math.sqrt(2)), "long_chi_squared": (draws.chi_squared(k, 20), 20.0, 40.0, math.sqrt(8 / 20)),
+        "binomial": (draws.binomial(k, 8, 0.4), 3.2, 1.92, 0.2 / math.sqrt(1.92)), "negative_binomial": (draws.negative_binomial(k, 3, 0.5), 3.0, 6.0, 1.5 / math.sqrt(1.5)), "geometric": (draws.geometric(draws.uniform(k), 0.3), 0.7 / 0.3, 0.7 / 0.09, 1.7 / math.sqrt(0.7)),
+        "student_t": (draws.student_t(k, 9), 0.0, 9 / 7, None), "fisher_f": (draws.fisher_f(k, 3, 20), 20 / 18, 2 * 400 * 21 / (3 * 18**2 * 16), None), "poisson": (draws.poisson(k, 4.0), 4.0, 4.0, 0.5), "gamma": (draws.gamma(k, 2.5, 2.0), 5.0, 10.0, 2 / math.sqrt(2.5)),
+        "piecewise_constant": (draws.Distribution(draws.piecewise_constant, [0.0, 1.0, 3.0, 6.0], [1, 1, 2])(k), 2.875, 0.25 / 3 + 0.25 * 13 / 3 + 0.5 * 21 - 2.875**2, None), "piecewise_linear": (draws.Distribution(draws.piecewise_linear, [0.0, 1.0, 2.0], [0.0, 1.0, 0.0])(k), 1.0, 1 / 6, 0.0),
+    }
+    rows = spark.range(n).select("id", *(c.cast("double").alias(name) for name, (c, *_) in wanted.items()), draws.uniform(k, 1).alias("v"), draws.uniform(k + 1).alias("after"), draws.uniform(k * 1_000_003 + 17, 2).alias("far"))
+    rows = sampling.staged(rows)
+    got = rows.agg(*(f(name).alias(f"{name}_{f.__name__}") for name in wanted for f in (F.avg, F.var_samp, F.skewness))).first()
+    for name, (_, mean, variance, skew) in wanted.items():
+        assert abs(got[f"{name}_avg"] - mean) < 5 * math.sqrt(variance / n), name
+        assert abs(got[f"{name}_var_samp"] / variance - 1) < 0.08, (name, got[f"{name}_var_samp"], variance)
+        assert skew is None or abs(got[f"{name}_skewness"] - skew) < 0.12, (name, got[f"{name}_skewness"])
+    pairs = rows.agg(*(F.corr("uniform", c).alias(c) for c in ("v", "after", "far", "id")), F.corr(F.col("uniform") * F.col("uniform"), F.col("v") * F.col("v")).alias("squares")).first()
+    assert all(abs(c) < 5 / math.sqrt(n) for c in pairs), pairs
+    low = spark.range(n).select(*((F.pmod(F.shiftright(draws.bits(k), b), F.lit(2))).alias(f"b{b}") for b in range(32))).agg(*(F.avg(f"b{b}") for b in range(32))).first()
+    assert all(abs(x - 0.5) < 0.5 * 5 / math.sqrt(n) for x in low)
+
+
 def test_growth_follows_weights(spark):
     """Heavier seeds grow larger, the lowest label keeps a shared cell, and maps do not meet."""
     seeds = spark.createDataFrame([(m, k, 4 * k, 5, 9.0 if k == 1 else 1.0) for m in range(6) for k in range(4)] + [(0, 9, 0, 5, 1.0)], "map_id bigint, label bigint, x bigint, y bigint, weight double")
@@ -198,7 +240,7 @@ def test_no_local_folder_on_a_cluster(spark):
         stage.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://one:7077", getConf=lambda: conf)))
 
 
-@pytest.mark.parametrize("name", ["j11_chain", "i8_ordered_lines", "i15_voronoi_partition", "g1_traversal_history", "i30_region_graph", "j8_poisson_disk", "m_compound_distributions", "b17_break_points", "a5_labelled_edges_round_trip", "j1_growth_regions", "j8_fill_grid_invariant", "d1_areas", "e11_adjacency", "i1_boundary_edges_reference", "b25_clip_segments", "m_distributions", "j11_torus_centroid", "i19_nested_partition", "c2_best_candidates", "i17_aggregation_invariant", "d13_points_in_rings", "m_piecewise_linear", "b26_ray_exit", "f3_ring_neighbours"])
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, name):
     import duckdb
 

@@ -100,13 +100,13 @@ def _contexts(text: str, spans: list[tuple[int, int, str]], window: int) -> list
         k = bisect.bisect_left(starts, m.end()) - 1
         return k < 0 or merged[k][1] <= m.start()
 
+    words = [m for m in _word(text) if free(m)] if spans else []
+    first, last = [m.start() for m in words], [m.end() for m in words]
     for a, b, kind in spans:
         value = re.sub(r"[\x20().-]", "", text[a:b]).lower() if kind != "email" else text[a:b].lower()
         entity = xxhash.xxh64_intdigest(f"{kind}:{value}") - (1 << 63)
-        lo, hi = max(0, a - 24 * window), min(len(text), b + 24 * window)
-        near = [m for m in _word(text, lo, hi) if free(m)]
-        before = [m[0].lower() for m in near if m.end() <= a and (m.start() > lo or lo == 0)][-window:]
-        after = [m[0].lower() for m in near if m.start() >= b and (m.end() < hi or hi == len(text))][:window]
+        i, j = bisect.bisect_right(last, a), bisect.bisect_left(first, b)
+        before, after = ([m[0].lower() for m in near] for near in (words[max(0, i - window) : i], words[j : j + window]))
         context = xxhash.xxh64_intdigest(" ".join(before) + "|" + " ".join(after)) - (1 << 63)
         out += [(entity, context, t) for t in sorted({*before, *after})]
     return out

@@ -200,11 +200,11 @@ def test_language_sample_is_bounded(spark):
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame([("same text",)], "text string"), ties).collect()} == {"a"}
 
 
-def test_many_letters_share_symbols(spark):
+def test_many_letters_have_symbols_of_their_own(spark):
     rng = np.random.default_rng(1)
     han, kana = ["".join(map(chr, rng.integers(a, b, 900))) for a, b in ((0x4E00, 0x9000), (0xAC00, 0xD700))]
     model = langid.learn(spark.createDataFrame([(1, han * 2, "zh"), (2, kana * 2, "ko")], "doc_id bigint, text string, lang string"))
-    assert len(model["alphabet"]) == langid.ALPHABET and model["others"]
+    assert len(model["alphabet"]) > 256 and set(han + kana) == set(model["alphabet"])  # a symbol for each letter
     probe = spark.createDataFrame([(han[100:400],), (kana[300:700],)], "text string")
     assert [r.lang_pred for r in langid.identify(probe, model).collect()] == ["zh", "ko"]
 
@@ -366,6 +366,15 @@ def test_op5(spark, folder):
         assert clean.columns == docs.columns and bag((r.doc_id, r.text) for r in clean.collect()) == bag((r[0], t) for r, t in zip(rows, texts))
 
 
+def test_contexts_are_words_however_long():
+    """Words of forty letters, and words behind a long run of digits."""
+    long = ["abcdefghij" * 4 + c for c in "klmnopq"]
+    text = f"{' '.join(long)} a@b.org {'7' * 300} {' '.join(long)}"
+    found = {t for _, _, t in pii._contexts(text, pii.base_spans(text), 5)}
+    assert found == set(long)
+    assert [t for _, _, t in pii._contexts("a@b.org " + "7" * 500 + " word", pii.base_spans("a@b.org"), 5)] == ["word"]
+
+
 def test_batches_without_a_term(spark):
     """Most batches hold no revealing term, whatever the number of rows in them."""
     rows = [(k, f"{prose(k, 9)} zorro writes z@mail.com {prose(50 + k, 9)}") for k in range(8)] + [(100 + k, None if k % 100 == 0 else f"plain words {k}") for k in range(1000)]

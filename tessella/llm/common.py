@@ -16,15 +16,19 @@ from tessella.plans.stage import delete, drop, new_path, running_sum, shared_dir
 
 _own: dict[str, str] = {}
 ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, as --py-files would, once per application.
 
-    Where the session's Arrow batches have their default of 10,000 rows, they are set
-    to BATCH for this session, and the log says so: texts may be long, and a task
-    holds a batch in the JVM and in its worker. Any other setting is left alone.
+    Where the session's Arrow batches have their defaults, they are set to BATCH rows
+    and BATCH_BYTES for this session, and the log says so: texts may be long, and a
+    task holds a batch in the JVM and in its worker. Other settings are left alone.
     """
+    if (spark.conf.get(BYTES, None) or "").rstrip("b") == "67108864":
+        spark.conf.set(BYTES, str(BATCH_BYTES))
+        logging.getLogger(__name__).warning("%s: %d bytes", BYTES, BATCH_BYTES)
     if spark.conf.get(ROWS) == "10000":
         spark.conf.set(ROWS, str(BATCH))
         logging.getLogger(__name__).warning("%s: %d rows", ROWS, BATCH)

@@ -14,10 +14,11 @@ longer than a quarter of its language's share a stretch of that length from a pl
 given by the hash. The choice is made in Spark; the driver gets the chosen characters and no
 others. Prediction never sees lang, source or doc_id.
 
-The alphabet is that of the sample: its ALPHABET most frequent letters have a symbol
-each, the other letters of the sample share HASHED symbols by a hash, and letters
-that the sample lacks have one symbol. So scripts of thousands of letters stay
-distinct from each other, though not letter by letter.
+Every letter of the sample has a symbol of its own, of two bytes, and letters that
+the sample lacks share one. An automaton's transitions lie in one array by row
+displacement: a state has a place, its transition by a symbol stands that symbol
+further, with the state it belongs to, so that an automaton takes a few bytes for
+each transition, whatever the alphabet.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 with nothing to learn from every text is ``und``; on a tie the first language by
@@ -37,7 +38,6 @@ from pyspark.sql.window import Window
 from . import common
 
 BLOCK = 1024
-ALPHABET, HASHED = 180, 60
 
 
 def automaton(symbols) -> tuple[list[int], list[int], list[int], int]:
@@ -76,23 +76,56 @@ def automaton(symbols) -> tuple[list[int], list[int], list[int], int]:
     return src, sym, dst, len(move)
 
 
-def letter_table(alphabet: str, others: str = ""):
-    """Symbol of each code point: 0 for what is no letter, 1 for an unknown letter; others share symbols."""
+def displaced(src, sym, dst, states: int):
+    """Places of the states, and the array in which (owner, next state) of a transition stand at place + symbol; unused entries have owner -1."""
     import numpy as np
 
-    table = np.fromiter((1 if chr(c).isalpha() else 0 for c in range(0x110000)), dtype=np.uint8, count=0x110000)
-    slots = {h: len(alphabet) + 2 + k for k, h in enumerate(sorted({_slot(c) for c in others}))}
-    for c in others:
-        table[ord(c)] = slots[_slot(c)]
-    for k, c in enumerate(alphabet):
+    order = np.lexsort((sym, src))
+    src, sym, dst = src[order], sym[order], dst[order]
+    first = np.searchsorted(src, np.arange(states + 1))
+    degree = np.diff(first)
+    width, place = int(sym.max(initial=0)) + 1, np.zeros(states, np.int32)
+    owner, to = np.full(2 * len(src) + 2 * width, -1, np.int32), np.zeros(2 * len(src) + 2 * width, np.int32)
+    several = np.flatnonzero(degree > 1)
+    begin, before = 0, 0
+    for s in several[np.argsort(-degree[several], kind="stable")].tolist():
+        a, b = int(first[s]), int(first[s + 1])
+        own = sym[a:b]
+        # Where states of as many transitions have found no room, this one hardly does.
+        at = begin = max(0, begin - 256) if b - a == before else 0
+        before = b - a
+        while True:
+            while at + 256 + width > len(owner):
+                owner, to = (np.concatenate([x, np.full(len(x), fill, np.int32)]) for x, fill in ((owner, -1), (to, 0)))
+            free = (owner[at + own[:, None] + np.arange(256)] < 0).all(axis=0)
+            k = int(free.argmax())
+            if free[k]:
+                at += k
+                break
+            at += 256
+        place[s], owner[at + own], to[at + own], begin = at, s, dst[a:b], at
+    one = np.flatnonzero(degree == 1)  # these fill the gaps
+    edge = first[one]
+    while True:
+        gaps = np.flatnonzero(owner[width:] < 0)[: len(one)] + width
+        if len(gaps) == len(one):
+            break
+        owner, to = (np.concatenate([x, np.full(len(x), fill, np.int32)]) for x, fill in ((owner, -1), (to, 0)))
+    place[one], owner[gaps], to[gaps] = gaps - sym[edge], one, dst[edge]
+    size = int(np.flatnonzero(owner >= 0).max(initial=0)) + 1 + width
+    return place, owner[:size].copy(), to[:size].copy()
+
+
+def letter_table(alphabet: str):
+    """Symbol of each code point: 0 for what is no letter, 1 for an unknown letter."""
+    import numpy as np
+
+    table = np.fromiter((1 if chr(c).isalpha() else 0 for c in range(0x110000)), dtype=np.uint16, count=0x110000)
+    for k, c in enumerate(alphabet[: 0xFFFE]):
         table[ord(c)] = k + 2
     return table
 
 
-def _slot(letter: str) -> int:
-    return zlib.crc32(letter.encode("utf-8", "surrogatepass")) % HASHED
-
-
 def symbols_of(texts: list[str], table):
     """Symbols of all texts in a row, runs of blanks as one, and the length of each."""
     import numpy as np
@@ -130,24 +163,19 @@ def sample(labelled: DataFrame, docs_per_lang: int, letters: int) -> dict[str, l
 
 
 def learn(labelled: DataFrame, docs_per_lang: int = 60, letters: int = 100_000) -> dict:
-    """labelled: (doc_id, text, lang). The model: alphabet, letters that share symbols, and packed transitions of each language."""
+    """labelled: (doc_id, text, lang). The model: alphabet, and packed transitions of each language."""
     import numpy as np
 
     texts = {lang: "\n".join(own) for lang, own in sample(labelled, docs_per_lang, letters).items()}
-    seen: dict[str, int] = {}
-    for t in texts.values():
-        for c in t.lower():
-            if c.isalpha():
-                seen[c] = seen.get(c, 0) + 1
-    ranked = [c for c, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n > 1]
-    alphabet, others = ("".join(sorted(c)) for c in (ranked[:ALPHABET], ranked[ALPHABET:]))
-    table, models = letter_table(alphabet, others), []
+    alphabet = "".join(sorted({c for t in texts.values() for c in t.lower() if c.isalpha()}))
+    table, models = letter_table(alphabet), []
     for lang, text in texts.items():
         s = symbols_of([text], table)[0]
         src, sym, dst, n = automaton(s.tolist())
-        packed = zlib.compress(np.array(src, np.int32).tobytes() + np.array(dst, np.int32).tobytes() + np.array(sym, np.uint8).tobytes(), 1)
-        models.append((lang, packed, len(src), n, len(s)))
-    return {"alphabet": alphabet, "others": others, "models": models}
+        place, owner, to = displaced(np.array(src, np.int32), np.array(sym, np.int32), np.array(dst, np.int32), n)
+        packed = zlib.compress(place.tobytes() + owner.tobytes() + to.tobytes(), 1)
+        models.append((lang, packed, n, len(owner), len(s)))
+    return {"alphabet": alphabet, "models": models}
 
 
 class Parser:
@@ -156,22 +184,19 @@ class Parser:
     def __init__(self, model: dict):
         import numpy as np
 
-        self.table = letter_table(model["alphabet"], model["others"])
-        self.width = max(2, int(self.table.max()) + 1)
+        self.table = letter_table(model["alphabet"])
         self.langs = [m[0] for m in model["models"]]
         self.tables = []
-        for _, packed, edges, states, length in model["models"]:
+        for _, packed, states, size, length in model["models"]:
             raw = zlib.decompress(packed)
-            src, dst = np.frombuffer(raw, np.int32, 2 * edges).reshape(2, edges)
-            sym = np.frombuffer(raw, np.uint8, edges, 8 * edges)
-            # An entry holds 4 * next state + phrases ended; without a match a new phrase starts at the root.
-            root = np.full(self.width, 2, np.int32)  # a symbol that the language lacks is a phrase of its own
-            at = src == 0
-            root[sym[at]] = dst[at] * 4 + 1
-            t = np.repeat(root[None, :], states, axis=0)
-            t[0] = np.where(root == 2, 1, root - 1)
-            t[src, sym] = dst * 4
-            self.tables.append((t.ravel(), math.log2(length + 2)))
+            place = np.frombuffer(raw, np.int32, states)
+            owner, to = np.frombuffer(raw, np.int32, 2 * size, 4 * states).reshape(2, size)
+            # From the root: the next state for each symbol, 0 for one that the language lacks.
+            width = min(int(self.table.max()) + 1, size - int(place[0]))
+            root = np.zeros(int(self.table.max()) + 1, np.int32)
+            own = owner[place[0] : place[0] + width] == 0
+            root[:width][own] = to[place[0] : place[0] + width][own]
+            self.tables.append((place, owner, to, root, math.log2(length + 2)))
 
     def phrases(self, s, starts, sizes):
         """Number of phrases of each text in each language."""
@@ -188,12 +213,20 @@ class Parser:
         active = np.searchsorted(-size, -np.arange(steps), side="left")
         out = np.zeros((len(self.tables), len(sizes)))
         lanes = [s[begin[:a] + t] for t, a in enumerate(active.tolist())]
-        for i, (table, _) in enumerate(self.tables):
-            state, count = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32)
+        for i, (place, owner, to, root, _) in enumerate(self.tables):
+            state, count, last = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32), len(owner) - 1
             for a, c in zip(active.tolist(), lanes):
-                v = table[state[:a] * self.width + c]
-                count[:a] += v & 3
-                state[:a] = v >> 2
+                was = state[:a]
+                at = np.minimum(place[was] + c, last)
+                # Without a match the phrase ends and a new one starts at the root; a symbol that the language lacks is a phrase of its own.
+                lost = owner[at] != was
+                now = to[at]
+                again = np.flatnonzero(lost)
+                if len(again):
+                    new = root[c[again]]
+                    count[again] += (was[again] != 0).astype(np.int32) + (new == 0)
+                    now[again] = new
+                state[:a] = now
             count += state != 0
             out[i] = np.bincount(doc, count, len(sizes))
         return out
@@ -205,7 +238,7 @@ class Parser:
         s, sizes, letters, starts = symbols_of([t or "" for t in texts], self.table)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        cost = self.phrases(s, starts, sizes) * np.array([[b] for _, b in self.tables]) / np.maximum(sizes, 1)
+        cost = self.phrases(s, starts, sizes) * np.array([[t[-1]] for t in self.tables]) / np.maximum(sizes, 1)
         best = cost.argmin(axis=0)
         odds = np.exp2(-2 * (cost - cost.min(axis=0)))
         score = np.where(letters > 0, 1 / odds.sum(axis=0), 0.0)
@@ -217,7 +250,7 @@ def identify(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     spark = df.sparkSession
     common.ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by learn()'s letters
-    key = f"{zlib.crc32((model['alphabet'] + '/' + model['others']).encode())}-{sum(zlib.crc32(m[1]) for m in model['models'])}"
+    key = f"{zlib.crc32(model['alphabet'].encode())}-{sum(zlib.crc32(m[1]) for m in model['models'])}"
     keep = [c for c in df.columns if c not in ("lang_pred", "score", "bits")]
 
     def run(batches):

@@ -22,7 +22,10 @@ TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 1024
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a known language; null, empty, letterless and unparsable texts go. A null lang is filled in."""
+    """Keeps documents in a known language; null, empty, letterless and unparsable texts go. A null lang is filled in.
+
+    Without any labelled document no language is known, and all documents go.
+    """
     model = langid.learn(docs.where(~langid.held_out("doc_id")).select("doc_id", "text", "lang"))
     found = langid.identify(docs.select(*COLUMNS), model)
     kept = found.where((F.col("lang_pred") != "und") & ((F.col("bits") - MOST_BITS) * F.length("text") <= SPARE_BITS))

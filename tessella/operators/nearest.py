@@ -4,8 +4,8 @@ Many sites are found through an index of tiles: a quad-tree over the area, whose
 leaves hold the sites that can be nearest to some point of the leaf. A tile's sites
 are those of its parent that its bounds leave: a site goes when even the nearest
 point of the tile would find another site nearer than this one. Only tiles with more
-than LEAF sites are split, so clusters and lines of sites cost what their number
-costs, not its square, and a point meets a handful of sites whatever their layout.
+than LEAF sites are split, down to a few cells; from far away a cluster or a line has
+many sites at nearly one distance, and cells there meet more than LEAF of them.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from tessella.plans.stage import staged
 
 #: Up to so many pairs of a cell and a site all sites travel as one array; beyond, they are found through tiles.
 ARRAY_PAIRS, ARRAY_SITES = 1 << 22, 2048
-#: Most sites of a tile that is not split, the first level that is looked at, and the last.
-LEAF, FIRST_LEVEL, LAST_LEVEL = 16, 2, 20
+#: Most sites of a tile that is not split, and the first level that is looked at.
+LEAF, FIRST_LEVEL = 16, 2
 
 
 def nearest(cells: DataFrame, sites: DataFrame, w: int, h: int, weight: str | None = None) -> DataFrame:
@@ -37,7 +37,8 @@ def nearest(cells: DataFrame, sites: DataFrame, w: int, h: int, weight: str | No
     if n <= ARRAY_SITES and n * cells.count() <= ARRAY_PAIRS:
         return _by_array(cells, sites, w, h, weight)
     cost = lambda s, x, y: _cost(s, w, h, weight, x, y)
-    found = lookup(cells.drop("label"), Tiles(sites, float(w), float(h), True, weight), "x", "y", cost)
+    finest = max(FIRST_LEVEL, math.ceil(math.log2(max(w, h))) - 1)  # tiles of two by two cells
+    found = lookup(cells.drop("label"), Tiles(sites, float(w), float(h), finest, weight), "x", "y", cost)
     return found.select(*cells.drop("label").columns, F.col("best.id").alias("label"))
 
 
@@ -59,31 +60,35 @@ def _by_array(cells, sites, w, h, weight):
 class Tiles:
     """The index of sites (site_id, sx, sy) over the area from (0, 0) to (w, h): ``leaves`` (level, tx, ty, sites) and ``rest``.
 
-    rest has the sites (level, tx, ty, site_id, sx, sy) of tiles of the last level
-    that still hold more than LEAF, as those around the centre of a circle of sites
-    do; it is None without any. Of sites on one spot only those stay that can win.
+    Distances are those on the torus. rest has the sites (level, tx, ty, site_id, sx,
+    sy) of tiles of the last level that still hold more than LEAF, as those around the
+    centre of a circle of sites do; it is None without any. Of sites on one spot only
+    those stay that can win.
     """
 
-    def __init__(self, sites: DataFrame, w: float, h: float, torus: bool, weight: str | None = None, last_level: int = LAST_LEVEL):
-        self.w, self.h, self.torus, self.weight = w, h, torus, weight
+    def __init__(self, sites: DataFrame, w: float, h: float, last_level: int, weight: str | None = None):
+        self.w, self.h, self.weight = w, h, weight
         self.columns = ["site_id", "sx", "sy", *([weight] if weight else [])]
         own = staged(self._spots(sites), "sites")
-        self.leaves, self.rest, self.levels = None, None, []
+        leaves, self.rest, self.levels, tile = None, None, [], ["tx", "ty"]
         steps = F.sequence(F.lit(0).cast("long"), F.lit((1 << FIRST_LEVEL) - 1).cast("long"))
         now = own.withColumn("tx", F.explode(steps)).withColumn("ty", F.explode(steps))
         for level in range(FIRST_LEVEL, last_level + 1):
-            now = staged(self._pruned(now, level), "tiles")
-            few = now.where(F.col("n") <= LEAF).groupBy("tx", "ty").agg(F.collect_list(F.struct(*self.columns)).alias("sites"))
-            few = staged(few.select(F.lit(level).alias("level"), "tx", "ty", "sites"), "leaves")
-            self.leaves = few if self.leaves is None else self.leaves.unionByName(few)
+            left = staged(self._pruned(now, level), "tiles")
+            counts = left.groupBy(*tile).agg(F.count("*").alias("n"))
+            few = left.join(counts.where(F.col("n") <= LEAF).select(*tile), tile).groupBy(*tile).agg(F.collect_list(F.struct(*self.columns)).alias("sites"))
+            few = few.select(F.lit(level).alias("level"), *tile, "sites")
+            leaves = few if leaves is None else leaves.unionByName(few)
             self.levels.append(level)
-            now = now.where(F.col("n") > LEAF).drop("n")
-            if not now.head(1):
-                return
-            if level < last_level:
-                half = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1))
-                now = now.withColumn("tx", half("tx")).withColumn("ty", half("ty"))
-        self.rest = now.withColumn("level", F.lit(last_level))
+            crowded = counts.where(F.col("n") > LEAF).select(*tile)
+            if not crowded.head(1):
+                break
+            now = left.join(crowded, tile)
+            if level == last_level:
+                self.rest = now.withColumn("level", F.lit(level))
+            half = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1))
+            now = now.withColumn("tx", half("tx")).withColumn("ty", half("ty"))
+        self.leaves = staged(leaves, "leaves")
 
     def _spots(self, sites: DataFrame) -> DataFrame:
         """Of a spot the lowest id and, where the highest can win or weights differ, one more."""
@@ -93,19 +98,16 @@ class Tiles:
         return both.select("sx", "sy", F.explode("s").alias("s")).select(*(F.col(c) if c in ("sx", "sy") else F.col(f"s.{c}") for c in self.columns))
 
     def _pruned(self, rows: DataFrame, level: int) -> DataFrame:
-        """rows of sites and tiles that can meet, with n, the number left of the tile."""
+        """Of rows of sites and tiles those that the tiles' bounds leave."""
         parts = 1 << level
-        off = lambda at, site, size: self._along(F.abs((F.col(at) + 0.5) * (size / parts) - F.col(site).cast("double")), size)
+        apart = lambda d, size: F.least(d, F.lit(size) - d)
+        off = lambda at, site, size: apart(F.abs((F.col(at) + 0.5) * (size / parts) - F.col(site).cast("double")), size)
         d = F.hypot(off("tx", "sx", self.w), off("ty", "sy", self.h))
         r = math.hypot(self.w / parts, self.h / parts) / 2 * (1 + 1e-9)
         times = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
         bound = rows.withColumns({"_low": times * F.greatest(F.lit(0.0), d - r), "_high": times * (d + r)})
         least = bound.groupBy("tx", "ty").agg(F.min("_high").alias("_least"))
-        left = staged(bound.join(least, ["tx", "ty"]).where(F.col("_low") <= F.col("_least") * (1 + 1e-9)).select("tx", "ty", *self.columns), "pruned")
-        return left.join(left.groupBy("tx", "ty").agg(F.count("*").alias("n")), ["tx", "ty"])
-
-    def _along(self, d: Column, size: float) -> Column:
-        return F.least(d, F.lit(size) - d) if self.torus else d
+        return bound.join(least, ["tx", "ty"]).where(F.col("_low") <= F.col("_least") * (1 + 1e-9)).select("tx", "ty", *self.columns)
 
     def tile(self, x: str, y: str, level) -> list[Column]:
         """The tile of a point at a level, a number or a column."""

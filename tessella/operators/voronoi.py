@@ -1,21 +1,30 @@
 """Exact Voronoi cells, clipped to a square, by folding bisector half-planes over near sites.
 
-Each site meets the nearest sites in the buckets around it; a cell is final when
-no site that it has not met can cut it (its farthest vertex is within half of
-their distance). The others meet all in these buckets, then search twice as far. Ring vertices carry the
-neighbour of their outgoing edge (-1: the square), so adjacency is a projection.
+A cell begins with the sites of its leaf (sitetree). It is final when each of
+its vertices has no site nearer than its own; where one has, the nearer sites of the
+leaves around that vertex cut the cell in the next round. So a cell meets few more sites than
+it has edges, whatever the layout: in a cluster, on a line, on a circle. Ring
+vertices carry the neighbour of their outgoing edge (-1: the square), so adjacency is
+a projection.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.sitetree import SiteTree
 from tessella.plans.stage import staged
 
 RING = "array<struct<x:double,y:double,e:bigint>>"
+SITES = "array<struct<site_id:bigint,sx:double,sy:double>>"
+
+
+def _plane(x, y, s):
+    """The half-plane of points that are nearer to (x, y) than to a site, the nearest site first."""
+    a, b = s["sx"] - x, s["sy"] - y
+    c = (s["sx"] * s["sx"] + s["sy"] * s["sy"] - x * x - y * y) / 2
+    return F.struct((a * a + b * b).alias("d"), s["site_id"].alias("n"), a.alias("a"), b.alias("b"), c.alias("c"))
 
 
 def _clip(ring, s):
@@ -40,10 +49,6 @@ def _clip(ring, s):
     return F.when(F.size(ring) == 0, ring).otherwise(cut).cast(RING)
 
 
-#: Near sites that a cell is cut by at once, the nearest first; a cell that they do not settle looks at all within its bucket.
-NEAR = 32
-
-
 def cells(sites: DataFrame, size: float, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """sites (site_id, sx, sy) -> (site_id, sx, sy, ring) in the square [0, size], or in a box (x0, y0, x1, y1) of it.
 
@@ -51,38 +56,29 @@ def cells(sites: DataFrame, size: float, box: tuple[float, float, float, float]
     """
     own = sites.groupBy("sx", "sy").agg(F.min("site_id").alias("site_id")).select("site_id", F.col("sx").cast("double").alias("sx"), F.col("sy").cast("double").alias("sy"))
     own = staged(own)
-    n = own.count()
     x0, y0, x1, y1 = box or (0.0, 0.0, size, size)
     square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(-1).cast("long").alias("e")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]).cast(RING)
-    side, left, done = max(1e-9, size / math.sqrt(max(1, n)) * 2), own, None
+    tree = SiteTree(own, size)
+    state = own.join(tree.mates().withColumnRenamed("sites", "add"), "site_id", "left").withColumns({"ring": square, "met": F.array(F.col("site_id"))})
+    squared = lambda px, py, qx, qy: (px - qx) * (px - qx) + (py - qy) * (py - qy)
+    done = None
     while True:
-        spot = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
-        placed = own.select(F.col("site_id").alias("n"), F.col("sx").alias("nx"), F.col("sy").alias("ny"), spot("sx").alias("bx"), spot("sy").alias("by"))
-        steps = F.explode(F.array(*[F.struct((spot("sx") + i).alias("bx"), (spot("sy") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("b")
-        near = left.select("*", steps).select("site_id", "sx", "sy", "b.bx", "b.by").join(placed, ["bx", "by"]).where("n <> site_id")
-        a, b = F.col("nx") - F.col("sx"), F.col("ny") - F.col("sy")
-        c = (F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") - F.col("sx") * F.col("sx") - F.col("sy") * F.col("sy")) / 2
-        near = near.select("site_id", F.struct((a * a + b * b).alias("d"), "n", a.alias("a"), b.alias("b"), c.alias("c")).alias("plane"))
-        for most in (NEAR, None):
-            some = near.join(left.select("site_id"), "site_id", "left_semi")
-            if most:
-                some = some.withColumn("r", F.row_number().over(Window.partitionBy("site_id").orderBy("plane"))).where(F.col("r") <= most)
-            grouped = left.join(some.groupBy("site_id").agg(F.array_sort(F.collect_list("plane")).alias("planes")), "site_id", "left")
-            grouped = grouped.withColumn("planes", F.coalesce("planes", F.array().cast("array<struct<d:double,n:bigint,a:double,b:double,c:double>>")))
-            cut = grouped.withColumn("seen", F.size("planes")).withColumn("reach", F.when(F.col("seen") == most, F.array_max(F.transform("planes", lambda p: p["d"]))) if most else F.lit(None).cast("double"))
-            cut = staged(cut.withColumn("ring", F.aggregate("planes", square, _clip)).drop("planes"))
-            far = F.coalesce(F.array_max(F.transform("ring", lambda p: (p["x"] - F.col("sx")) * (p["x"] - F.col("sx")) + (p["y"] - F.col("sy")) * (p["y"] - F.col("sy")))), F.lit(0.0))
-            # Sites beyond those seen cannot cut a cell whose farthest vertex is within half their distance.
-            sure = (F.lit(side >= size) & F.col("reach").isNull()) | (4 * far <= F.least(F.lit(side * side), F.coalesce("reach", F.lit(side * side))))
-            good = cut.where(sure).select("site_id", "sx", "sy", "ring")
-            done = good if done is None else done.unionByName(good)
-            left = cut.where(~sure).select("site_id", "sx", "sy", "reach")
-            left, crowded = left.drop("reach"), most and left.where("reach is not null").head(1)
-            if not crowded:
-                break
-        if side >= size or not left.head(1):
+        new = F.filter(F.coalesce("add", F.array().cast(SITES)), lambda s: ~F.array_contains("met", s["site_id"]))
+        planes = F.array_sort(F.transform(new, lambda s: _plane(F.col("sx"), F.col("sy"), s)))
+        cut = state.withColumn("planes", planes).withColumn("ring", F.aggregate("planes", square if done is None else F.col("ring"), _clip)).withColumn("met", F.array_union("met", F.transform("planes", lambda p: p["n"])))
+        state = staged(cut.select("site_id", "sx", "sy", "ring", "met"), "cells")
+        corners = state.select("site_id", "sx", "sy", "met", F.posexplode("ring").alias("at", "p")).select("site_id", "met", "at", F.col("p.x").alias("px"), F.col("p.y").alias("py"), "sx", "sy")
+        # A site that the cell has met has cut it: what is nearer by a rounding error is no reason to cut again.
+        reach = F.greatest(F.lit(0.0), F.sqrt(squared(F.col("px"), F.col("py"), F.col("sx"), F.col("sy"))) - 1e-12 * size)
+        found = tree.nearest(corners.withColumn("reach", reach * reach), ["site_id", "at"], "px", "py", "reach")
+        new = F.filter("closer", lambda s: ~F.array_contains("met", s["site_id"]))
+        more = found.select("site_id", F.explode(new).alias("s")).groupBy("site_id").agg(F.collect_set(F.struct("s.site_id", "s.sx", "s.sy")).alias("add"))
+        more = staged(more, "cuts")
+        good = state.join(more.select("site_id"), "site_id", "left_anti").select("site_id", "sx", "sy", "ring")
+        done = good if done is None else done.unionByName(good)
+        if not more.head(1):
             break
-        side *= 2
+        state = state.join(more, "site_id")
 
     def long_enough(p, i):
         q = F.get(F.col("ring"), (i + 1) % F.size("ring"))

@@ -117,7 +117,7 @@ def test_tiles_agree_with_all_pairs(spark, layout, weight):
     at = {"spread": lambda k: (k * 37 % 50, k * 11 % 48), "clustered": lambda k: (7 + k % 5, 9 + k % 7), "lines": lambda k: (k % 50, 20), "spots": lambda k: (k % 3 * 10, 5), "circle": lambda k: (round(25 + 20 * math.cos(k / 6)), round(24 + 20 * math.sin(k / 6)))}[layout]
     sites = spark.createDataFrame([(k, *at(k), 1.0 + k % 9 * 0.7) for k in range(60)], "site_id bigint, sx bigint, sy bigint, weight double")
     grid = fx.grid(spark, 50, 48)
-    tiles = nearest.Tiles(sites, 50.0, 48.0, True, weight, 4 if layout == "circle" else nearest.LAST_LEVEL)
+    tiles = nearest.Tiles(sites, 50.0, 48.0, 3 if layout == "circle" else 5, weight)
     found = nearest.lookup(grid, tiles, "x", "y", lambda s, x, y: nearest._cost(s, 50, 48, weight, x, y)).select("x", "y", "best.id")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, nearest._by_array(grid, sites, 50, 48, weight).collect()))
 

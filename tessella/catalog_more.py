@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella import catalog as c
 from tessella.catalog import BESIDE, CLOUDS, EDGES, LABELLED, SEGMENTS, TRIANGLES, UNIFORM, W, labelled, query, wh
 from tessella.functions import draws, geometry as g
-from tessella.operators import centroid, components, graphs, growth, lines, raster, sampling, voronoi
+from tessella.operators import centroid, components, graphs, growth, halfedges, lines, raster, sampling, voronoi
 from tessella.plans.stage import shared_dir, staged
 from tessella.sources import fixtures as fx, json_files as js
 
@@ -376,3 +376,73 @@ def j1_growth_regions(spark, sf_dir):
     part = grid.select("map_id", "label", at(F.col("x"), F.col("y")).alias("id")).join(components.components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = part.groupBy("map_id", "label").agg(F.countDistinct("component").alias("n")).agg(F.count("*").alias("regions"), F.count_if(F.col("n") != 1).alias("torn"))
     return grid.agg(F.count("*").alias("cells")).crossJoin(torn).crossJoin(moved)
+
+
+#: Distinct edges of the diagram with rounded ends, and half-edges of its cells in the order that cells have them.
+_ROUNDED = "re AS (SELECT s, round(x1, 3) + 0.0 AS x, round(y1, 3) + 0.0 AS y, round(x2, 3) + 0.0 AS tx, round(y2, 3) + 0.0 AS ty, x1 * y2 - x2 * y1 AS k, (x1 - sx) * (y2 - sy) - (x2 - sx) * (y1 - sy) AS turn FROM ve), he AS (SELECT s, CASE WHEN turn > 0 THEN x ELSE tx END AS x, CASE WHEN turn > 0 THEN y ELSE ty END AS y, CASE WHEN turn > 0 THEN tx ELSE x END AS tx, CASE WHEN turn > 0 THEN ty ELSE y END AS ty FROM re WHERE x <> tx OR y <> ty)"
+
+
+def _faces(spark, sf_dir):
+    return staged(halfedges.faces(halfedges.half_edges(voronoi.vertex_graph(_rings(spark, sf_dir), 3))))
+
+
+@query(f"WITH {VORONOI}, {_ROUNDED} SELECT a.x, a.y, a.tx, a.ty, b.tx AS nx, b.ty AS ny FROM he a JOIN he b ON b.s = a.s AND b.x = a.tx AND b.y = a.ty")
+def d9_half_edges(spark, sf_dir):
+    """Half-edges of the cells with the end of the next one, from the edges alone: order around vertices, not cells."""
+    found = _faces(spark, sf_dir)
+    inner = halfedges.outlines(found).where("area > 0").select("face")
+    after = found.select(F.col("id").alias("next"), F.col("tx").alias("nx"), F.col("ty").alias("ny"))
+    return found.join(inner, "face").join(after, "next").select("x", "y", "tx", "ty", "nx", "ny")
+
+
+@query(f"WITH {VORONOI}, {_ROUNDED} SELECT min({{'x': x, 'y': y}}).x AS x, min({{'x': x, 'y': y}}).y AS y, CAST(count(*) AS BIGINT) AS n_edges, round(sum(x * ty - tx * y) / 2, 2) AS area FROM he GROUP BY s")
+def d9_rings(spark, sf_dir):
+    """Faces walked by their half-edges, in order: least vertex, edges, and the area by consecutive vertices."""
+    found = _faces(spark, sf_dir)
+    n = found.groupBy("face").agg(F.count("*").alias("n"))
+    after = found.join(n, "face").select("face", F.pmod(F.col("seq") - 1, F.col("n")).alias("seq"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    at = F.min(F.struct("x", "y"))
+    rings = found.join(after, ["face", "seq"]).groupBy("face").agg(at.alias("p"), F.count("*").alias("n_edges"), (F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")) / 2).alias("area")).where("area > 0")
+    return rings.select("p.x", "p.y", "n_edges", F.round("area", 2).alias("area"))
+
+
+@query(f"WITH {VORONOI}, {_ROUNDED}, hk AS (SELECT *, x * ty - tx * y AS k FROM he), hc AS (SELECT s, round(sum((x + tx) * k) / (3 * sum(k)), 3) AS cx, round(sum((y + ty) * k) / (3 * sum(k)), 3) AS cy FROM hk GROUP BY s) SELECT a.cx AS x1, a.cy AS y1, b.cx AS x2, b.cy AS y2 FROM ve JOIN hc a ON a.s = ve.s JOIN hc b ON b.s = e WHERE a.cx < b.cx")
+def d9_region_adjacency(spark, sf_dir):
+    """Faces that share an edge, by the half-edges' twins, named by their centroids."""
+    found = _faces(spark, sf_dir)
+    k = F.col("x") * F.col("ty") - F.col("tx") * F.col("y")
+    at = found.groupBy("face").agg(F.sum(k).alias("k"), F.sum((F.col("x") + F.col("tx")) * k).alias("sx"), F.sum((F.col("y") + F.col("ty")) * k).alias("sy")).where("k > 0")
+    at = staged(at.select("face", F.round(F.col("sx") / (3 * F.col("k")), 3).alias("cx"), F.round(F.col("sy") / (3 * F.col("k")), 3).alias("cy")))
+    one, two = (at.select(F.col("face").alias(f), F.col("cx").alias(f"c{f}"), F.col("cy").alias(f"d{f}")) for f in ("a", "b"))
+    pairs = halfedges.neighbours(found).join(one, "a").join(two, "b")
+    first = F.col("ca") < F.col("cb")
+    pick = lambda u, v: F.when(first, F.col(u)).otherwise(F.col(v))
+    return pairs.select(pick("ca", "cb").alias("x1"), pick("da", "db").alias("y1"), pick("cb", "ca").alias("x2"), pick("db", "da").alias("y2"))
+
+
+_LO, _HI = 500.0, 3500.0
+_CUTS = f"""dd AS (SELECT x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM ve WHERE s < e), tt AS (SELECT *, greatest(0, coalesce(least(({_LO} - x1) / nullif(dx, 0), ({_HI} - x1) / nullif(dx, 0)), 0), coalesce(least(({_LO} - y1) / nullif(dy, 0), ({_HI} - y1) / nullif(dy, 0)), 0)) AS t1,
+least(1, coalesce(greatest(({_LO} - x1) / nullif(dx, 0), ({_HI} - x1) / nullif(dx, 0)), 1), coalesce(greatest(({_LO} - y1) / nullif(dy, 0), ({_HI} - y1) / nullif(dy, 0)), 1)) AS t2 FROM dd),
+ct AS (SELECT DISTINCT round(x1 + t1 * dx, 3) + 0.0 AS x1, round(y1 + t1 * dy, 3) + 0.0 AS y1, round(x1 + t2 * dx, 3) + 0.0 AS x2, round(y1 + t2 * dy, 3) + 0.0 AS y2 FROM tt WHERE t1 < t2),
+bp AS (SELECT x, y FROM (SELECT x1 AS x, y1 AS y FROM ct UNION SELECT x2, y2 FROM ct UNION SELECT * FROM (VALUES ({_LO}, {_LO}), ({_LO}, {_HI}), ({_HI}, {_LO}), ({_HI}, {_HI})) v(x, y)) WHERE x IN ({_LO}, {_HI}) OR y IN ({_LO}, {_HI})),
+bo AS (SELECT *, CASE WHEN x = {_LO} THEN {_HI} - y WHEN y = {_LO} THEN {_HI} - {_LO} + x - {_LO} WHEN x = {_HI} THEN 2 * ({_HI} - {_LO}) + y - {_LO} ELSE 3 * ({_HI} - {_LO}) + {_HI} - x END AS place FROM bp),
+bb AS (SELECT x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM bo WINDOW w AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+_WAYS = lambda t: f"SELECT least({{'x': x1, 'y': y1}}, {{'x': x2, 'y': y2}}) AS p, greatest({{'x': x1, 'y': y1}}, {{'x': x2, 'y': y2}}) AS q FROM {t}"
+
+
+def _cropped(spark, sf_dir):
+    return staged(halfedges.crop(voronoi.vertex_graph(_rings(spark, sf_dir), 9), _LO, _HI, 3))
+
+
+@query(f"WITH {VORONOI}, {_CUTS}, al AS (SELECT * FROM ct UNION ALL SELECT x, y, nx, ny FROM bb), wy AS ({_WAYS('al')}) SELECT p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2 FROM wy WHERE p <> q")
+def i26_cropped_graph(spark, sf_dir):
+    """The diagram's edges within a smaller square, cut at its border, and that border (the exterior edges) between the cuts."""
+    a, b = (F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2))
+    return _cropped(spark, sf_dir).select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).select(F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+
+
+@query(f"WITH {VORONOI}, {_CUTS}, fa AS (SELECT DISTINCT s FROM (SELECT s, x1 AS a1, y1 AS b1, x2 - x1 AS dx, y2 - y1 AS dy FROM ve)), n AS (SELECT count(*) AS edges FROM (SELECT 1 FROM ct WHERE x1 <> x2 OR y1 <> y2 UNION ALL SELECT 1 FROM bb)), v AS (SELECT count(*) AS corners FROM (SELECT x1, y1 FROM ct UNION SELECT x2, y2 FROM ct UNION SELECT x, y FROM bb)) SELECT CAST(edges - corners + 1 AS BIGINT) AS faces, CAST({(_HI - _LO) ** 2} AS DOUBLE) AS area FROM n, v")
+def i28_cropped_faces(spark, sf_dir):
+    """Faces of the cropped graph, walked again after the crop: their number (Euler's) and area."""
+    found = halfedges.outlines(halfedges.faces(halfedges.half_edges(_cropped(spark, sf_dir)))).where("area > 0")
+    return found.agg(F.count("*").alias("faces"), F.round(F.sum("area"), 2).alias("area"))

@@ -68,6 +68,7 @@ def release() -> None:
     """Frees the worker's model, for tasks that need none."""
     module = sys.modules.get("_tessella_resident")
     if module is not None and module.__dict__:
+        import ctypes
         import gc
 
         import pyarrow as pa
@@ -75,6 +76,9 @@ def release() -> None:
         module.__dict__.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what is freed otherwise
+        if trim:
+            trim(0)
 
 
 def n_words(text: Column) -> Column:

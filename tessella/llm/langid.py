@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-BLOCK = 1024
+BLOCK, CHUNK = 1024, 1_500_000
 
 
 def automaton(symbols) -> tuple[list[int], list[int], list[int], int]:
@@ -261,9 +261,9 @@ def identify(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             names, scores, bits = [], [], []
             at = 0
-            while at < len(texts):  # a few MB at a time
+            while at < len(texts):  # CHUNK characters at a time, but whole texts
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 3_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK):
                     size += len(texts[end] or "")
                     end += 1
                 a, b, c = parser.predict(texts[at:end])

@@ -438,6 +438,25 @@ def i12_areas_between_borders(spark, sf_dir):
     return merging.areas_between(fx.grid(spark, wide(spark, sf_dir)).withColumn("map_id", map_id), sides, *wh(spark, sf_dir)).select("x", "y", "region")
 
 
+_FLAT = f"""lk AS (SELECT a.x * {W} + a.y AS a, b.x * {W} + b.y AS b FROM lab a JOIN lab b ON a.label = b.label AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1))),
+e AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk), r AS (SELECT x * {W} + y AS id, x * {W} + y AS root FROM lab UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b)
+SELECT id // {W} AS x, id % {W} AS y, CAST(dense_rank() OVER (ORDER BY root) AS BIGINT) AS region FROM (SELECT id, min(root) AS root FROM r GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {LABELLED}, {_FLAT}")
+def i13_flat_regions(spark, sf_dir):
+    """Regions whose cells do not meet across the edges of the raster, from labels, in small tiles."""
+    return components.regions(labelled(spark, sf_dir), *wh(spark, sf_dir), torus=False, tile=16)
+
+
+@query(f"WITH RECURSIVE {LABELLED}, {_FLAT}")
+def i13_slice_labels(spark, sf_dir):
+    """The same from border sides."""
+    map_id = F.lit(0).cast("long")
+    sides = i11_border_map(spark, sf_dir).withColumn("map_id", map_id)
+    return merging.areas_between(fx.grid(spark, wide(spark, sf_dir)).withColumn("map_id", map_id), sides, *wh(spark, sf_dir), torus=False).select("x", "y", "region")
+
+
 def _cut_maps(spark, sf_dir):
     walks = sampling.staged(_walks(spark, sf_dir))
     maps = fx.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("map_id"))

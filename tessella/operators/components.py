@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import wrap
@@ -40,28 +40,68 @@ def dense(labels: DataFrame, column: str) -> DataFrame:
     return running_sum(ids, ["old"], "one", "before").select("old", (F.col("before") + 1).alias("new"))
 
 
-def row_runs(grid: DataFrame) -> DataFrame:
-    """(x, y, run): cells with the first cell of their run of one label along y, as x and y packed."""
-    w = Window.partitionBy("x").orderBy("y")
-    broken = F.coalesce((F.col("label") != F.lag("label").over(w)).cast("int"), F.lit(1))
-    part = grid.withColumn("island", F.sum(broken).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min("y").over(Window.partitionBy("x", "island"))
-    return part.select("x", "y", "label", (F.col("x") * F.lit(1 << 31) + first).alias("run"))
+#: Width of the square tiles that are labelled in one piece.
+TILE = 128
 
 
-def regions(grid: DataFrame, w: int, h: int, torus: bool = True) -> DataFrame:
+def parts(cells: DataFrame, w: int, h: int, torus: bool = True, tile: int = TILE) -> DataFrame:
+    """cells (map_id, x, y, label, wx, wy) -> (map_id, x, y, root): the least packed cell (map_id * w + x) * h + y that a cell hangs together with.
+
+    Neighbours hang together where their labels are the same and no wall is between
+    them: wx is the wall to (x - 1, y), wy that to (x, y - 1). Tiles are labelled
+    whole, each in one task of bounded size; only cells at the borders of tiles meet in
+    joins, and only parts that reach such a border in the search for components.
+    """
+
+    def labelled(frame):
+        """A tile's cells with ``part``: the least packed cell that hangs together with a cell inside the tile."""
+        import numpy as np
+
+        x, y = frame["x"].to_numpy(np.int64), frame["y"].to_numpy(np.int64)
+        label, wx, wy = frame["label"].to_numpy(), frame["wx"].to_numpy(bool), frame["wy"].to_numpy(bool)
+        at = (x % tile) * tile + y % tile
+        where = np.full(tile * tile, -1)
+        where[at] = np.arange(len(at))
+        ties = []
+        for inside, wall, step in ((x % tile > 0, wx, tile), (y % tile > 0, wy, 1)):
+            a = np.flatnonzero(inside & ~wall)
+            b = where[at[a] - step]
+            keep = (b >= 0) & (label[a] == label[b])
+            ties.append((a[keep], b[keep]))
+        a, b = (np.concatenate(c) for c in zip(*ties))
+        order = np.argsort((x % tile) * tile + y % tile, kind="stable")  # packed cells of a tile have this order
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        a, b, root = rank[a], rank[b], np.arange(len(order))
+        while len(a):
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+            open_ = root[a] != root[b]
+            a, b = a[open_], b[open_]
+        packed = (frame["map_id"].to_numpy(np.int64) * w + x) * h + y
+        frame["part"] = packed[order][root[rank]]
+        return frame[["map_id", "x", "y", "label", "wx", "wy", "part"]]
+
+    own = cells.select(F.col("map_id").cast("long").alias("map_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("label").cast("long").alias("label"), "wx", "wy")
+    dealt = own.groupBy("map_id", F.floor(F.col("x") / tile), F.floor(F.col("y") / tile))
+    held = staged(dealt.applyInPandas(labelled, "map_id long, x long, y long, label long, wx boolean, wy boolean, part long"), "tiles")
+    links = None
+    for dx, dy, c, wall, size in ((1, 0, "x", "wx", w), (0, 1, "y", "wy", h)):
+        edge = held.where((F.col(c) % tile == 0) & ~F.col(wall) & (F.lit(torus) | (F.col(c) > 0)))
+        last = held.where((F.col(c) % tile == tile - 1) | (F.col(c) == size - 1))
+        back = last.select("map_id", wrap(F.col("x") + dx, w).alias("x"), wrap(F.col("y") + dy, h).alias("y"), F.col("label").alias("other"), F.col("part").alias("b"))
+        pairs = edge.join(back, ["map_id", "x", "y"]).where("label = other and part <> b").select(F.col("part").alias("a"), "b").distinct()
+        links = pairs if links is None else links.unionByName(pairs)
+    found = components(links)
+    return held.join(found.withColumnRenamed("id", "part"), "part", "left").select("map_id", "x", "y", F.coalesce("component", "part").alias("root"))
+
+
+def regions(grid: DataFrame, w: int, h: int, torus: bool = True, tile: int = TILE) -> DataFrame:
     """(x, y, region): connected cells of one label, regions numbered 1..k by their least packed cell."""
-    runs = staged(row_runs(grid))
-    edges = None
-    for dx, dy in ((1, 0), (0, 1)):
-        moved = runs.select(wrap(F.col("x") - dx, w).alias("x"), wrap(F.col("y") - dy, h).alias("y"), F.col("label").alias("other"), F.col("run").alias("b"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-        pairs = runs.join(moved, ["x", "y"]).where("label = other and run <> b")
-        if not torus:
-            pairs = pairs.where((F.col("ox") >= F.col("x")) & (F.col("oy") >= F.col("y")))
-        pairs = pairs.select(F.col("run").alias("a"), "b").distinct()
-        edges = pairs if edges is None else edges.unionByName(pairs)
-    found = components(edges)
-    rooted = staged(runs.join(found.withColumnRenamed("id", "run"), "run", "left").select("x", "y", F.coalesce("component", "run").alias("root")))
+    no = F.lit(False)
+    rooted = staged(parts(grid.select(F.lit(0).alias("map_id"), "x", "y", "label", no.alias("wx"), no.alias("wy")), w, h, torus, tile), "roots")
     return rooted.join(dense(rooted, "root"), F.col("root") == F.col("old")).select("x", "y", F.col("new").alias("region"))
 
 

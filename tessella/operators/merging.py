@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.draws import bits
-from tessella.functions.geometry import wrap
-from tessella.operators.components import components, dense
+from tessella.operators.components import TILE, components, dense, parts
 from tessella.plans.stage import staged
 
 
-def areas_between(cells: DataFrame, sides: DataFrame, w: int, h: int, torus: bool = True) -> DataFrame:
+def areas_between(cells: DataFrame, sides: DataFrame, w: int, h: int, torus: bool = True, tile: int = TILE) -> DataFrame:
     """cells (map_id, x, y), border sides (map_id, x, y, side) -> (map_id, x, y, region).
 
     side low_x is the border to (x - 1, y), low_y that to (x, y - 1). Regions of
-    a map are numbered from 1 by their least cell. Columns of cells without a
-    border between them are one vertex of the component search.
+    a map are numbered from 1 by their least cell. Tiles are labelled whole, then
+    joined across their borders. Without torus, cells at opposite ends do not meet.
     """
     wall = sides.select("map_id", "x", "y", "side").distinct().groupBy("map_id", "x", "y").agg(F.max(F.col("side") == "low_x").alias("wx"), F.max(F.col("side") == "low_y").alias("wy"))
-    cut = cells.join(wall, ["map_id", "x", "y"], "left").fillna(False, ["wx", "wy"])
-    row = Window.partitionBy("map_id", "x").orderBy("y")
-    part = cut.withColumn("island", F.sum((F.col("wy") | (F.col("y") == 0)).cast("long")).over(row))
-    first = F.min("y").over(Window.partitionBy("map_id", "x", "island"))
-    runs = staged(part.select("map_id", "x", "y", "wx", "wy", ((F.col("map_id") * w + F.col("x")) * h + first).alias("run")))
-    links = None
-    for dx, dy, shut, low in ((1, 0, "wx", "x"), (0, 1, "wy", "y")):
-        back = runs.select("map_id", wrap(F.col("x") + dx, w).alias("x"), wrap(F.col("y") + dy, h).alias("y"), F.col("run").alias("b"))
-        pairs = runs.where(~F.col(shut) & (F.lit(torus) | (F.col(low) > 0))).join(back, ["map_id", "x", "y"]).where("run <> b").select(F.col("run").alias("a"), "b").distinct()
-        links = pairs if links is None else links.unionByName(pairs)
-    rooted = staged(runs.join(components(links).withColumnRenamed("id", "run"), "run", "left").select("map_id", "x", "y", F.coalesce("component", "run").alias("root")))
+    cut = cells.join(wall, ["map_id", "x", "y"], "left").fillna(False, ["wx", "wy"]).withColumn("label", F.lit(0))
+    rooted = staged(parts(cut, w, h, torus, tile), "roots")
     numbered = staged(rooted.join(dense(rooted, "root"), F.col("root") == F.col("old")).select("map_id", "x", "y", "new"))
     least = numbered.groupBy("map_id").agg(F.min("new").alias("least"))
     return numbered.join(least, "map_id").select("map_id", "x", "y", (F.col("new") - F.col("least") + 1).alias("region"))

@@ -1,5 +1,6 @@
 """Hand-checkable cases, and a few catalog queries against their SQL."""
 
+import collections
 import json
 import math
 import os
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella import catalog
 from tessella.functions import draws, geometry as g
-from tessella.operators import components, growth, lines, merging, nearest, raster, sampling, voronoi
+from tessella.operators import components, growth, halfedges, lines, merging, nearest, raster, sampling, sitetree, voronoi
 from tessella.sources import fixtures as fx, json_files as js
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +89,32 @@ def test_regions_merge_to_a_number(spark):
         assert all(len({rows[k] for k in range(a, b + 1)}) == 1 for a in range(20) for b in range(a, 20) if rows[a] == rows[b])
 
 
+@pytest.mark.parametrize("tile", [4, 8, 64])
+@pytest.mark.parametrize("torus", [True, False])
+def test_parts_in_tiles(spark, tile, torus):
+    """Labels, walls and holes in the raster, over tiles that end within it, against a flood fill."""
+    import random
+
+    rng, w, h = random.Random(tile), 18, 13
+    cells = {(m, x, y): (rng.randrange(2), rng.random() < 0.2, rng.random() < 0.2) for m in (0, 3) for x in range(w) for y in range(h) if rng.random() < 0.95}
+    near = collections.defaultdict(set)
+    for (m, x, y), (label, wx, wy) in cells.items():
+        for wall, low, other in ((wx, x, (m, (x - 1) % w, y)), (wy, y, (m, x, (y - 1) % h))):
+            if not wall and (torus or low > 0) and other in cells and cells[other][0] == label:
+                near[(m, x, y)].add(other)
+                near[other].add((m, x, y))
+    want = {}
+    for c in sorted(cells):
+        stack = [c] if c not in want else []
+        while stack:
+            d = stack.pop()
+            if d not in want:
+                want[d] = (c[0] * w + c[1]) * h + c[2]
+                stack += near[d]
+    rows = spark.createDataFrame([(*c, *v) for c, v in cells.items()], "map_id long, x long, y long, label long, wx boolean, wy boolean")
+    assert {(r.map_id, r.x, r.y): r.root for r in components.parts(rows, w, h, torus, tile).collect()} == want
+
+
 def test_areas_with_and_without_wrap(spark):
     cells = fx.grid(spark, 4).withColumn("map_id", F.lit(3).cast("long"))
     wall = spark.createDataFrame([(3, 2, y, "low_x") for y in range(4)], "map_id bigint, x bigint, y bigint, side string")
@@ -230,6 +257,38 @@ def test_walks_end_where_earlier_ones_have_been(spark):
     assert {(r.map_id, *ends(r)): r.cut for r in got} == first
 
 
+def test_half_edges_of_two_squares(spark):
+    """Two squares side by side and a bar that ends inside one: faces, their order, areas and what they share."""
+    edges = [(0, 0, 2, 0), (2, 0, 2, 2), (2, 2, 0, 2), (0, 2, 0, 0), (2, 0, 4, 0), (4, 0, 4, 2), (4, 2, 2, 2), (0, 0, 1, 1)]
+    rows = spark.createDataFrame([tuple(map(float, e)) for e in edges + edges[:2]] + [(1.0, 1.0, 1.0, 1.0)], "x1 double, y1 double, x2 double, y2 double")
+    found = halfedges.faces(halfedges.half_edges(rows))
+    own = collections.defaultdict(list)
+    for r in sorted(found.collect(), key=lambda r: (r.face, r.seq)):
+        own[r.face].append(r)
+    assert len(own) == 3 and sum(map(len, own.values())) == 16
+    for ring in own.values():
+        assert [r.seq for r in ring] == list(range(len(ring))) and all((a.tx, a.ty, a.next) == (b.x, b.y, b.id) for a, b in zip(ring, ring[1:] + ring[:1]))
+    assert sorted((r.n_edges, r.area) for r in halfedges.outlines(found).collect()) == [(4, 4.0), (6, -8.0), (6, 4.0)]
+    assert halfedges.neighbours(found).count() == 3
+    cut = halfedges.crop(rows, 1.0, 3.0)
+    areas = sorted(r.area for r in halfedges.outlines(halfedges.faces(halfedges.half_edges(cut))).collect())
+    assert areas == [-4.0, 1.0, 1.0, 2.0] and halfedges.crop(rows.limit(0), 1.0, 3.0).count() == 4
+
+
+def test_sites_in_a_row_and_on_a_circle(spark):
+    """The nearest site of points through the tree, against all pairs, for layouts with many sites at nearly one distance."""
+    row = [(k, 2.0 * k, 100.0) for k in range(200)]
+    ring = [(1000 + k, 500 + 300 * math.cos(k), 500 + 300 * math.sin(k)) for k in range(100)]
+    knot = [(2000 + k, 700 + 1e-7 * k, 700.0) for k in range(60)]
+    for sites in (row, ring, row + ring + knot, row[:1]):
+        table = spark.createDataFrame(sites, "site_id bigint, sx double, sy double")
+        points = [(k, k * 37.5 % 1000, k * 91.25 % 1000) for k in range(60)] + [(99, 500.0, 500.0), (100, 0.0, 1000.0)]
+        tree = sitetree.SiteTree(table, 1000.0)
+        got = tree.nearest(spark.createDataFrame(points, "id bigint, px double, py double").withColumn("reach", F.lit(1e12)), ["id"], "px", "py", "reach").collect()
+        want = {i: min(((x - px) * (x - px) + (y - py) * (y - py), k) for k, x, y in sites) for i, px, py in points}
+        assert {r.id: (r.best.d, r.best.site_id) for r in got} == want and all(r.closer for r in got)
+
+
 def test_no_local_folder_on_a_cluster(spark):
     from types import SimpleNamespace
 

@@ -183,13 +183,36 @@ def j8_poisson_disk(spark, sf_dir):
     return sampling.poisson_disk(c._points(spark, sf_dir), _DISK).select("id")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS too_near, CAST(1 AS BIGINT) AS enough")
+_KEPT = c.ORACLES["j8_poisson_disk"]
+
+
+@query(f"SELECT id, CAST(0 AS BIGINT) AS too_near FROM ({_KEPT})")
+def j8_fill(spark, sf_dir):
+    """The points of the table that dart throwing keeps, after the square around them is filled, and what came too near to them."""
+    start = c._points(spark, sf_dir)
+    kept = staged(sampling.fill(start, _DISK))
+    near = sampling.close_pairs(kept, kept, _DISK).groupBy("id").agg(F.count("*").alias("n"))
+    return kept.join(start.select("id"), "id", "left_semi").join(near, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("too_near"))
+
+
+@query("SELECT event_id, true AS reached FROM events")
+def j8_fill_reaches(spark, sf_dir):
+    """From a twentieth of a start, in one corner: no event's place is left farther than twice the radius from a point."""
+    start = c._points(spark, sf_dir).where("px < 0.2 and py < 0.2")
+    kept = staged(sampling.fill(start, _DISK * 2))
+    probes = staged(fx.clouds(spark, sf_dir).select(F.col("event_id").alias("id"), (F.col("x") / 512).alias("px"), (F.col("y") / 512).alias("py")))
+    named = kept.select((-F.col("id") - 1).alias("id"), "px", "py")
+    near = sampling.close_pairs(probes, named, _DISK * 4).select("id").distinct().withColumn("hit", F.lit(True))
+    return probes.join(near, "id", "left").select(F.col("id").alias("event_id"), F.coalesce("hit", F.lit(False)).alias("reached"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS too_near, CAST(1 AS BIGINT) AS enough FROM part LIMIT 1")
 def j8_fill_grid_invariant(spark, sf_dir):
-    """Cells of the grid, none nearer than the radius less what cutting to whole numbers takes, and not far fewer than fit."""
+    """Cells of the grid grown from the parts' points, none nearer than the radius less what cutting to whole numbers takes, and not far fewer than fit."""
     size, radius = 256, 24.0
-    at = staged(sampling.fill_grid(spark, size, radius))
+    at = staged(sampling.fill_grid(c._points(spark, sf_dir), size, radius))
     near = sampling.close_pairs(at.select("id", F.col("x").alias("px"), F.col("y").alias("py")), at.select("id", F.col("x").alias("px"), F.col("y").alias("py")), radius - math.sqrt(2))
-    least = int(0.4 * size * size / (radius * radius))
+    least = int(0.6 * size * size / (radius * radius))
     return at.agg(F.count_if(~(F.col("x").between(0, size - 1) & F.col("y").between(0, size - 1))).alias("outside"), (F.count("*") >= least).cast("long").alias("enough")).crossJoin(near.agg(F.count("*").alias("too_near")))
 
 
@@ -280,11 +303,12 @@ _RING = ((2, 2), (6, 2), (6, 5), (9, 5), (9, 2), (14, 2), (14, 9), (11, 9), (9,
 _HITS = " + ".join(f"CASE WHEN ({b} > y) <> ({d} > y) AND x < ({p} - {a}) * ((y - {b}) / {float(d - b)}) + {a} THEN 1 ELSE 0 END" for (a, b), (p, d) in zip(_RING, _RING[1:] + _RING[:1]) if b != d)
 
 
-@query(f"SELECT i.range AS x, j.range AS y, ({_HITS}) % 2 = 1 AS inside FROM range(16) i, range(14) j")
+@query(f"SELECT event_id, ({_HITS}) % 2 = 1 AS inside FROM (SELECT event_id, event_id % 16 AS x, event_id // 16 % 14 AS y FROM events)")
 def b12_points_on_the_lattice_of_a_ring(spark, sf_dir):
-    """Points level with vertices and edges of the ring, by the fold over an array of vertices."""
+    """Events on a lattice whose rows are level with vertices and edges of the ring, by the fold over an array of vertices."""
     ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in _RING])
-    return fx.grid(spark, 16, 14).select("x", "y", g.in_ring(ring, F.col("x").cast("double"), F.col("y").cast("double")).alias("inside"))
+    k = F.col("event_id")
+    return fx.table(spark, sf_dir, "events").select("event_id", g.in_ring(ring, (k % 16).cast("double"), (F.floor(k / 16) % 14).cast("double")).alias("inside"))
 
 
 _STEP = lambda k: f"((({k}) % 2147483648) * 1103515245 + 12345) % 2147483648"
@@ -446,3 +470,23 @@ def i28_cropped_faces(spark, sf_dir):
     """Faces of the cropped graph, walked again after the crop: their number (Euler's) and area."""
     found = halfedges.outlines(halfedges.faces(halfedges.half_edges(_cropped(spark, sf_dir)))).where("area > 0")
     return found.agg(F.count("*").alias("faces"), F.round(F.sum("area"), 2).alias("area"))
+
+
+@query(f"""WITH it AS (SELECT p_brand AS grp, p_partkey AS id, p_size % 7 AS weight FROM part WHERE p_size % 7 > 0), cu AS (SELECT grp, id, CAST(sum(weight) OVER (PARTITION BY grp ORDER BY id) - weight AS DOUBLE) AS before, sum(weight) OVER (PARTITION BY grp) AS total FROM it),
+b AS (SELECT grp, total, row_number() OVER (ORDER BY grp) - 1 AS r, count(*) OVER () AS n FROM (SELECT grp, any_value(total) AS total FROM cu GROUP BY grp)), pk AS (SELECT o_orderkey AS pick, b.grp, {UNIFORM('o_orderkey', '9')} * total AS place FROM orders JOIN b ON b.r = o_orderkey % 5)
+SELECT pick, pk.grp, id FROM pk ASOF JOIN cu ON cu.grp = pk.grp AND pk.place >= cu.before""")
+def f7_weighted_picks(spark, sf_dir):
+    """Each order picks a part of one of five brands by weight, without a window over a brand."""
+    items = fx.table(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), (F.col("p_size") % 7).alias("weight"))
+    brands = components.dense(items.where("weight > 0"), "grp").select(F.col("old").alias("grp"), (F.col("new") - 1).alias("r"))
+    k = F.col("o_orderkey")
+    picks = fx.table(spark, sf_dir, "orders").select(k.alias("pick"), draws.uniform(k, 9).alias("u"), (k % 5).alias("r")).join(F.broadcast(brands), "r").drop("r")
+    return sampling.weighted_picks(items, picks).select("pick", "grp", "id")
+
+
+@query(f"SELECT s_suppkey AS site_id, CAST(floor({UNIFORM('s_suppkey', '3')} * {W}) AS BIGINT) AS x, CAST(floor({UNIFORM('s_suppkey', '4')} * {W}) AS BIGINT) AS y FROM supplier")
+def j7_random_cells(spark, sf_dir):
+    """A random cell for each supplier; several may stand on one."""
+    w, k = wh(spark, sf_dir)[0], F.col("s_suppkey")
+    at = lambda stream: draws.uniform_int(draws.uniform(k, stream), 0, w - 1).cast("long")
+    return fx.table(spark, sf_dir, "supplier").select(k.alias("site_id"), at(3).alias("x"), at(4).alias("y"))

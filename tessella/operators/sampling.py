@@ -1,14 +1,12 @@
-"""Poisson-disk sampling: bucketed distance joins and the lexicographic maximal independent set."""
+"""Poisson-disk sampling: bucketed distance joins, the lexicographic maximal independent set, and dart throwing from an active front."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import draws
-from tessella.plans.stage import drop, running_sum, staged
+from tessella.plans.stage import as_of, drop, running_sum, staged
 
 
 def close_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
@@ -42,29 +40,66 @@ def poisson_disk(points: DataFrame, radius: float) -> DataFrame:
     return own if lost is None else own.join(lost, "id", "left_anti")
 
 
-def fill(radius: float, tries: int, seed: int = 1) -> Callable:
-    """A function of a session that fills the unit square: tries candidates for each square of radius / 2, thrown in the order of their draws."""
-    import math
-
-    side = max(1, math.ceil(2 / radius))
-
-    def candidates(spark) -> DataFrame:
-        k = F.col("id")
-        cell = F.floor(k / tries)
-        at = lambda c, stream: (c + draws.uniform(k, 3 * seed + stream)) / side
-        spots = spark.range(side * side * tries).select(draws.bits(k, 3 * seed).alias("turn"), k.alias("k"), at(F.floor(cell / side), 1).alias("px"), at(cell % side, 2).alias("py"))
-        order = running_sum(spots.withColumn("one", F.lit(1).cast("long")), ["turn", "k"], "one", "at")
-        return poisson_disk(order.select(F.col("at").alias("id"), "px", "py"), radius)
+def thrown(active: DataFrame, radius: float, tries: int, stream: int) -> DataFrame:
+    """(parent, id, px, py): tries candidates for each active point (id, px, py), uniform in the ring from radius to twice that, inside the unit square.
 
-    return candidates
-
-
-def fill_grid(spark, size: int, radius: float, tries: int = 8, seed: int = 1) -> DataFrame:
+    id is a draw of 63 bits: the candidates' priority, the least first.
+    """
+    k, key = F.col("k"), F.col("parent")
+    each = active.select(F.col("id").alias("parent"), F.col("px").alias("ox"), F.col("py").alias("oy"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("k"))
+    u, v = (draws.uniform(key, k * 4 + (stream * tries * 4 + j)) for j in (0, 1))
+    name = draws.bits(key, k * 4 + (stream * tries * 4 + 2)) * F.lit(1 << 31) + F.shiftright(draws.bits(key, k * 4 + (stream * tries * 4 + 3)), 1)
+    far = each.withColumns({"d": radius * F.sqrt(1 + 3 * u), "way": 2 * F.pi() * v})
+    at = far.select("parent", name.alias("id"), (F.col("ox") + F.col("d") * F.cos("way")).alias("px"), (F.col("oy") + F.col("d") * F.sin("way")).alias("py"))
+    return at.where(F.col("px").between(0, 1) & F.col("py").between(0, 1))
+
+
+def fill(start: DataFrame, radius: float, tries: int = 30, seed: int = 1) -> DataFrame:
+    """start (id, px, py) -> (id, px, py): points of the unit square, none nearer than radius, grown from those of start.
+
+    The start's own points are thrown first, in the order of id, ids not negative. Then
+    all active points throw at once into the rings around them. Candidates too near to
+    a point that is kept are lost; of candidates too near to each other the one of the
+    least draw may stay, if none before it is near, and the others' points throw
+    again. A point rests when all its tries of a round are too near to kept points;
+    the square is full when all rest. Without a start nothing grows.
+    """
+    kept = staged(poisson_disk(start.where(F.col("px").between(0, 1) & F.col("py").between(0, 1)), radius), "kept")
+    active, stream = kept, seed << 10
+    while active.head(1):
+        found = staged(thrown(active, radius, tries, stream), "thrown")
+        near = close_pairs(found.select("id", "px", "py"), kept, radius).select("id").distinct()
+        free = staged(found.join(near, "id", "left_anti"), "free")
+        beaten = close_pairs(free.select("id", "px", "py"), free.select("id", "px", "py"), radius).where("other < id").select("id").distinct()
+        new = staged(free.join(beaten, "id", "left_anti").select("id", "px", "py"), "new")
+        tired = free.select(F.col("parent").alias("id")).distinct()
+        again = staged(active.join(tired, "id", "left_semi").unionByName(new), "active")
+        drop(found, free, *([active] if active is not kept else []))
+        kept, active, stream = kept.unionByName(new), again, stream + 1
+    return kept
+
+
+def fill_grid(start: DataFrame, size: int, radius: float, tries: int = 30, seed: int = 1) -> DataFrame:
     """(id, x, y): cells of a grid of that size, from the unit square's fill, scaled and cut to whole numbers; so some are nearer than radius by under the root of 2."""
-    return fill(radius / size, tries, seed)(spark).select("id", *(F.floor(F.col(f"p{c}") * size).cast("long").alias(c) for c in "xy"))
+    return fill(start, radius / size, tries, seed).select("id", *(F.floor(F.col(f"p{c}") * size).cast("long").alias(c) for c in "xy"))
 
 
 def annulus(candidates: DataFrame, ox: float, oy: float, r1: float, r2: float) -> DataFrame:
     """Candidates (px, py) strictly between two radii of an origin, inside the unit square."""
     d2 = (F.col("px") - ox) * (F.col("px") - ox) + (F.col("py") - oy) * (F.col("py") - oy)
     return candidates.where((d2 > r1 * r1) & (d2 < r2 * r2) & F.col("px").between(0, 1) & F.col("py").between(0, 1))
+
+
+def weighted_picks(items: DataFrame, picks: DataFrame, group: str = "grp") -> DataFrame:
+    """items (group, id, weight), picks (group, pick, u) -> picks with id: the item whose share of its group's weight holds u, from 0 to 1.
+
+    Shares stand in the order of id; weights are whole, those of 0 and below have no
+    share. Groups of any size: running sums and the search in them go over ranges.
+    """
+    own = items.where(F.col("weight") > 0).select(group, "id", F.col("weight").cast("long").alias("weight"))
+    totals = staged(own.groupBy(group).agg(F.sum("weight").alias("total")), "totals")
+    summed = running_sum(own, [group, "id"], "weight", "before")
+    first = summed.groupBy(group).agg(F.min("before").alias("first"))
+    marks = summed.join(first, group).select(group, (F.col("before") - F.col("first")).cast("double").alias("place"), "id")
+    aimed = picks.join(totals, group).withColumn("place", F.col("u") * F.col("total")).drop("total")
+    return as_of(aimed, marks, "place", "id", (group,)).drop("place")

@@ -84,3 +84,28 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     before = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row for each partition
     own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
     return rows.withColumn("_own", own).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
+
+
+def as_of(points: DataFrame, marks: DataFrame, at: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """points with value: that of the last mark at or before their place ``at``, of the same ``by``; null before the first.
+
+    No two marks stand on one place; points and marks have the columns by and at. Both
+    are range-sorted together and staged with the number of their partition; what a
+    partition begins with is carried over from the ones before, so that neither a group
+    nor the whole is one task's.
+    """
+    key = [*by, at]
+    rows = points.withColumn("_mark", F.lit(None).cast(marks.schema[value].dataType)).withColumn("_is_mark", F.lit(False))
+    rows = rows.unionByName(marks.select(*key, F.col(value).alias("_mark"), F.lit(True).alias("_is_mark")), allowMissingColumns=True)
+    dealt = staged(rows.repartitionByRange(*key).withColumn("_part", F.spark_partition_id()), "as-of")
+    order = [F.asc(c) for c in key]
+    place = F.struct(*key)
+    last = dealt.where("_is_mark").groupBy("_part").agg(F.max_by(F.struct(*by, "_mark"), place).alias("_last"))
+    parts = dealt.select("_part").distinct().join(last, "_part", "left")  # a row for each partition
+    carried = parts.select("_part", F.last("_last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    within = Window.partitionBy("_part", *by).orderBy(*order[len(by):], F.desc("_is_mark")).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("_own", F.last("_mark", ignorenulls=True).over(within)).where(~F.col("_is_mark")).join(F.broadcast(carried), "_part")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_carried.{c}"))
+    return found.select(*points.columns, F.coalesce("_own", F.when(same, F.col("_carried._mark"))).alias(value))

@@ -289,6 +289,38 @@ def test_sites_in_a_row_and_on_a_circle(spark):
         assert {r.id: (r.best.d, r.best.site_id) for r in got} == want and all(r.closer for r in got)
 
 
+def test_fill_grows_from_a_point(spark):
+    """From one point over the whole square: least distance, no place out of reach, and the same again."""
+    start = spark.createDataFrame([(5, 0.03, 0.04), (9, 0.05, 0.05), (11, 1.5, 0.5)], "id bigint, px double, py double")
+    kept = sampling.fill(start, 0.2).collect()
+    at = {(r.px, r.py) for r in kept}
+    assert (0.03, 0.04) in at and len(at) == len(kept) >= 14 and all(0 <= c <= 1 for p in at for c in p)
+    assert all(a == b or math.dist(a, b) >= 0.2 for a in at for b in at)
+    assert all(min(math.dist((i / 20, j / 20), p) for p in at) < 0.4 for i in range(21) for j in range(21))
+    assert at == {(r.px, r.py) for r in sampling.fill(start, 0.2).collect()}
+    assert sampling.fill(start.limit(0), 0.2).count() == 0
+
+
+def test_picks_without_a_window_of_a_group(spark):
+    """Groups of very unlike size, weights of 0, groups without weight, over more partitions than groups."""
+    import bisect
+    import itertools
+
+    items = [(g, k, (k * 7 + g) % 5) for g, n in ((0, 500), (1, 3), (2, 1), (4, 40)) for k in range(n)] + [(3, 1, 0)]
+    picks = [(g, k, (k + 0.5) / 50) for g in range(6) for k in range(50)]
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = sampling.weighted_picks(spark.createDataFrame(items, "grp int, id bigint, weight int"), spark.createDataFrame(picks, "grp int, pick bigint, u double")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {}
+    for g in range(6):
+        own = [(k, w) for h, k, w in items if h == g and w > 0]
+        ends = list(itertools.accumulate(w for _, w in own))
+        want |= {(g, p): own[bisect.bisect_right(ends, u * ends[-1])][0] for h, p, u in picks if h == g and own}
+    assert {(r.grp, r.pick): r.id for r in got} == want
+
+
 def test_no_local_folder_on_a_cluster(spark):
     from types import SimpleNamespace
 

@@ -17,9 +17,9 @@ from tessella.plans.stage import drop, staged
 STEPS = 4
 
 
-def _delay(label, x, y, weight, seed: int):
+def _delay(map_id, label, x, y, weight, seed: int):
     """Whole time a region needs to take a cell: exponential, the faster the greater its weight; at least 1."""
-    u = draws.uniform(x * F.lit(1 << 31) + y, label * 64 + seed)
+    u = draws.uniform(x * F.lit(1 << 31) + y, (map_id * 1_000_003 + label) * 64 + seed)
     return (F.lit(1) + F.floor(draws.exponential(u, 1.0) * 1_000_000 / weight)).cast("long")
 
 
@@ -27,8 +27,11 @@ def grow(seeds: DataFrame, w: int, h: int, seed: int = 1, stencil: str = "refere
     """seeds (map_id, label, x, y, weight) -> (map_id, x, y, label): every cell of every map assigned.
 
     All regions grow at once: one that has a cell takes a neighbour after an
-    exponential time that its weight shortens, and the first to come keeps it. That is
-    the law of picking regions by weight and border cells at random, one at a time.
+    exponential time that its weight shortens, and the first to come keeps it. Such
+    times have no memory, so the next cell taken is any pair of a region and a free
+    cell beside it, in proportion to the region's weight: the law of drawing such pairs
+    one at a time, up to whole times. A region's chance thus grows with its border,
+    unlike where regions are drawn by weight first and then one of their cells.
     Each region is connected under the stencil. Of seeds on one cell the lowest label
     stays; of arrivals at one time too. In a step every cell that is no seed's looks
     anew at what its neighbours' regions would bring, so that nothing stays that came
@@ -48,7 +51,7 @@ def grow(seeds: DataFrame, w: int, h: int, seed: int = 1, stencil: str = "refere
         for _ in range(STEPS):
             to = now.select("map_id", "best", "x", "y", F.explode(around).alias("d"))
             to = to.select("map_id", wrap(F.col("x") + F.col("d.i"), w).alias("x"), wrap(F.col("y") + F.col("d.j"), h).alias("y"), "best")
-            come = (F.col("best.at") + _delay(F.col("best.label"), F.col("x"), F.col("y"), F.col("best.weight"), seed)).alias("at")
+            come = (F.col("best.at") + _delay(F.col("map_id"), F.col("best.label"), F.col("x"), F.col("y"), F.col("best.weight"), seed)).alias("at")
             to = to.select(*key, F.struct(come, F.col("best.label").alias("label"), F.col("best.weight").alias("weight")).alias("best"))
             now = planted.unionByName(to).groupBy(*key).agg(F.min("best").alias("best"))
         new = staged(now, "growth")

@@ -8,7 +8,7 @@ the last one closes it. So a large document is written and read by many tasks, a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.plans.stage import running_sum, staged
@@ -67,18 +67,30 @@ def write(elements: DataFrame, path: str, name: str, order: list[str]) -> None:
 
 
 def read(spark: SparkSession, path: str, name: str, element: str) -> DataFrame:
-    """(at, element) of a document, in one file of any layout or in the parts that write() makes; element is its type in DDL."""
-    parts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value").where("size > 0")
-    if parts.select("file").distinct().count() == 1:
-        doc = spark.read.option("multiLine", True).schema(f"`{name}` array<{element}>").json(path)
-        return doc.select(F.posexplode(name).alias("at", "element")).withColumn("at", F.col("at").cast("long"))
-    lines = parts.select("file", F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("pos", "line"))
-    lines = staged(lines)
-    counts = lines.groupBy("file").agg(F.count("*").alias("n"))
-    before = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))  # a row for each file
-    text = F.regexp_replace(F.regexp_replace("line", rf'^\{{"{name}": \[', ""), r"(, |\]\})$", "")
-    parsed = F.from_json(F.concat(F.lit('{"e": '), text, F.lit("}")), f"e {element}")["e"]
-    return lines.join(F.broadcast(before), "file").select((F.col("before") + F.col("pos")).alias("at"), parsed.alias("element"))
+    """(at, element) of a document, in one file of any layout or in the parts that write() makes; element is its type in DDL.
+
+    The text is cut at commas, so that Spark splits one file among as many tasks as it
+    does any other; an element begins where as many brackets have been closed as opened,
+    which running sums over ranges tell. Documents hold numbers: strings, but for names,
+    may not have commas or brackets. Only an element is ever in memory as a whole.
+    """
+    place = ["file", "block", "row"]
+    cut = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    cut = staged(cut.where(~F.col("value").rlike(r"^\s*$")), "fragments")
+    first = cut.agg(F.min(F.struct(*place))).first()[0]
+    if first is None:
+        return spark.createDataFrame([], f"at long, element {element}")
+    is_first = (F.col("file") == first.file) & (F.col("block") == first.block) & (F.col("row") == first.row)
+    head = F.regexp_replace("value", rf'^\s*\{{\s*"{name}"\s*:\s*\[', "")
+    text = cut.withColumn("value", F.when(is_first, head).otherwise(F.col("value")))
+    deep = running_sum(text.withColumn("step", (F.regexp_count("value", F.lit(r"[\[{]")) - F.regexp_count("value", F.lit(r"[\]}]"))).cast("long")), place, "step", "depth")
+    begun = running_sum(deep.withColumn("one", (F.col("depth") == 0).cast("long")), place, "one", "before")
+    whole = begun.groupBy((F.col("before") + F.col("one") - 1).alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place, "value"))), lambda v: v["value"]), ",").alias("text"))
+    whole = staged(whole, "elements")
+    last = whole.agg(F.max("at")).first()[0]
+    closed = F.when(F.col("at") == last, F.regexp_replace("text", r"\]\s*\}\s*$", "")).otherwise(F.col("text"))
+    parsed = F.from_json(F.concat(F.lit('{"e": '), closed, F.lit("}")), f"e {element}")["e"]
+    return whole.where(~closed.rlike(r"^\s*$")).select("at", parsed.alias("element"))
 
 
 def write_matrix(grid: DataFrame, path: str, label: str = "label", real: bool = False) -> None:

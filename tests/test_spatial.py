@@ -175,6 +175,32 @@ def test_documents_round_trip(spark, tmp_path):
     assert [tuple(r) for r in js.read_edges(spark, f"{tmp_path}/edges.json").collect()] == [(0, 1, 1, 1), (2, 2, 2, 3)]
 
 
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    """Documents in a single line, cut into splits of a few hundred bytes, in element types of several depths."""
+    vector, matrix = [k * 1.5 - 7 for k in range(3000)], [[x * 31 + y for y in range(40)] for x in range(60)]
+    edges = [[[k, k + 1], [k + 2, 7]] for k in range(900)]
+    for name, value in (("vector", vector), ("matrix", matrix), ("edges", edges), ("labelled_edges", [{"label": k, "vertices": e} for k, e in enumerate(edges)])):
+        for layout, indent in (("line", None), ("pretty", 2)):
+            with open(f"{tmp_path}/{name}-{layout}.json", "w") as f:
+                json.dump({name: value}, f, indent=indent)
+    with open(f"{tmp_path}/none.json", "w") as f:
+        f.write('{ "vector" : [ ] }\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.option("lineSep", ",").text(f"{tmp_path}/vector-line.json").rdd.getNumPartitions() > 10
+        for layout in ("line", "pretty"):
+            path = lambda name: f"{tmp_path}/{name}-{layout}.json"  # noqa: B023, E731
+            assert [tuple(r) for r in js.read_vector(spark, path("vector"), "double").orderBy("at").collect()] == list(enumerate(vector))
+            assert sorted(map(tuple, js.read_matrix(spark, path("matrix")).collect())) == [(x, y, v) for x, row in enumerate(matrix) for y, v in enumerate(row)]
+            assert sorted(map(tuple, js.read_edges(spark, path("edges")).collect())) == sorted((*a, *b) for a, b in edges)
+            assert sorted(map(tuple, js.read_labelled_edges(spark, path("labelled_edges")).collect())) == sorted((k, *a, *b) for k, (a, b) in enumerate(edges))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert js.read_vector(spark, f"{tmp_path}/none.json").count() == 0
+
+
 def test_distributions(spark):
     """Means of draws, with means beyond 500 for Poisson and shapes that are not whole for Gamma; a distribution is any function of a key."""
     k = F.col("id") * 104_729 + 17

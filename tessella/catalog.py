@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import draws, geometry as g
-from tessella.operators import centroid, components, growth, lines, merging, nearest, raster, sampling, voronoi
+from tessella.operators import boxes, centroid, components, growth, lines, merging, nearest, raster, sampling, voronoi
 from tessella.plans.stage import staged
 from tessella.sources import fixtures as fx, json_files
 
@@ -579,7 +579,7 @@ def d13_points_in_rings(spark, sf_dir):
     at = lambda m, n: (k * m % n) / F.lit(100.0)
     ring = F.array(*[F.struct(at(*x).alias("x"), at(*y).alias("y")) for x, y in (((37, 101), (53, 97)), ((71, 89), (29, 83)), ((17, 79), (61, 73)))])
     rings = fx.table(spark, sf_dir, "nation").select(k.alias("ring_id"), ring.alias("ring"))
-    return merging.points_in_rings(_points(spark, sf_dir), rings, 0.1)
+    return boxes.points_in_rings(_points(spark, sf_dir), rings)
 
 
 @query(f"SELECT o_orderkey AS id, round(CASE WHEN {_U} < 1.5 / 4.0 THEN (sqrt(1 + {_V} * 3) - 1) ELSE 1 + CASE WHEN {_U} < 3.5 / 4.0 THEN {_V} ELSE 1 + 0.5 * (sqrt(4 - {_V} * 4) - 2) / -2 END END, 6) AS piecewise_linear FROM orders")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella import catalog as c
 from tessella.catalog import BESIDE, CLOUDS, EDGES, LABELLED, SEGMENTS, TRIANGLES, UNIFORM, W, labelled, query, wh
 from tessella.functions import draws, geometry as g
-from tessella.operators import centroid, components, graphs, growth, halfedges, lines, raster, sampling, voronoi
+from tessella.operators import boxes, centroid, components, graphs, growth, halfedges, lines, raster, sampling, voronoi
 from tessella.plans.stage import shared_dir, staged
 from tessella.sources import fixtures as fx, json_files as js
 
@@ -490,3 +490,20 @@ def j7_random_cells(spark, sf_dir):
     w, k = wh(spark, sf_dir)[0], F.col("s_suppkey")
     at = lambda stream: draws.uniform_int(draws.uniform(k, stream), 0, w - 1).cast("long")
     return fx.table(spark, sf_dir, "supplier").select(k.alias("site_id"), at(3).alias("x"), at(4).alias("y"))
+
+
+#: Boxes from a thousandth of the segments' extent to all of it.
+_BOXES = f"bx AS (SELECT box_id, x0, y0, x0 + s AS x1, y0 + s / 3 AS y1 FROM (SELECT s_suppkey AS box_id, {UNIFORM('s_suppkey', '5')} * 80 - 50 AS x0, {UNIFORM('s_suppkey', '6')} * 80 - 50 AS y0, 0.1 * pow(2.0, s_suppkey % 11) AS s FROM supplier))"
+
+
+@query(f"""WITH {SEGMENTS}, {_BOXES}, t AS (SELECT *, bx - ax AS dx, by_ - ay AS dy FROM seg, bx), u AS (SELECT *, greatest(0, coalesce(least((x0 - ax) / nullif(dx, 0), (x1 - ax) / nullif(dx, 0)), 0), coalesce(least((y0 - ay) / nullif(dy, 0), (y1 - ay) / nullif(dy, 0)), 0)) AS e,
+least(1, coalesce(greatest((x0 - ax) / nullif(dx, 0), (x1 - ax) / nullif(dx, 0)), 1), coalesce(greatest((y0 - ay) / nullif(dy, 0), (y1 - ay) / nullif(dy, 0)), 1)) AS l FROM t)
+SELECT id, box_id, round(ax + e * dx, 5) + 0.0 AS px, round(ay + e * dy, 5) + 0.0 AS py, round(ax + l * dx, 5) + 0.0 AS qx, round(ay + l * dy, 5) + 0.0 AS qy FROM u WHERE e <= l AND NOT (dx = 0 AND (ax < x0 OR ax > x1)) AND NOT (dy = 0 AND (ay < y0 OR ay > y1))""")
+def d12_segments_in_boxes(spark, sf_dir):
+    """Segments cut at many boxes of very unlike size."""
+    k = F.col("s_suppkey")
+    at = lambda stream: draws.uniform(k, stream) * 80 - 50
+    side = 0.1 * F.pow(F.lit(2.0), k % 11)
+    found = fx.table(spark, sf_dir, "supplier").select(k.alias("box_id"), at(5).alias("x0"), at(6).alias("y0"), side.alias("s")).select("box_id", "x0", "y0", (F.col("x0") + F.col("s")).alias("x1"), (F.col("y0") + F.col("s") / 3).alias("y1"))
+    cut = boxes.segments_in_boxes(fx.segments(spark, sf_dir), found)
+    return cut.select("id", "box_id", *((F.round(c, 5) + 0.0).alias(c) for c in ("px", "py", "qx", "qy")))

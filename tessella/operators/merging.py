@@ -77,15 +77,3 @@ def merge_regions(ids: DataFrame, pairs: DataFrame, regions: int, seed: int = 1)
     found = components(ranked.select("a", "b"))
     state = staged(names.join(found.withColumnRenamed("id", "label"), "label", "left").select("label", F.coalesce("component", "label").alias("region")))
     return state.join(dense(state, "region"), F.col("region") == F.col("old")).select("label", F.col("new").alias("region"))
-
-
-def points_in_rings(points: DataFrame, rings: DataFrame, side: float) -> DataFrame:
-    """points (id, px, py), rings (ring_id, ring) -> (id, ring_id) of the points inside; they meet by buckets of the rings' boxes."""
-    from tessella.functions.geometry import in_ring
-
-    spot = lambda v: F.floor(v / side)
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = rings.select("ring_id", "ring", ys.alias("ys"), F.explode(F.sequence(spot(F.array_min(xs)), spot(F.array_max(xs)))).alias("bx"))
-    boxed = boxed.select("ring_id", "ring", "bx", F.explode(F.sequence(spot(F.array_min("ys")), spot(F.array_max("ys")))).alias("by"))
-    placed = points.select("id", "px", "py", spot(F.col("px")).alias("bx"), spot(F.col("py")).alias("by"))
-    return placed.join(boxed, ["bx", "by"]).where(in_ring(F.col("ring"), F.col("px"), F.col("py"))).select("id", "ring_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella import catalog
 from tessella.functions import draws, geometry as g
-from tessella.operators import components, growth, halfedges, lines, merging, nearest, raster, sampling, sitetree, voronoi
+from tessella.operators import boxes, components, growth, halfedges, lines, merging, nearest, raster, sampling, sitetree, voronoi
 from tessella.sources import fixtures as fx, json_files as js
 
 SF = "/root/testdata/sf0.001"
@@ -315,6 +315,28 @@ def test_sites_in_a_row_and_on_a_circle(spark):
         assert {r.id: (r.best.d, r.best.site_id) for r in got} == want and all(r.closer for r in got)
 
 
+def test_box_pairs(spark):
+    """Boxes from points to the whole extent, touching ones and some that are null or turned inside out, against all pairs."""
+    import random
+
+    rng = random.Random(3)
+
+    def some(n, big):
+        out = []
+        for k in range(n):
+            x, y, s = rng.uniform(0, 64), rng.uniform(0, 64), rng.choice([0, 0.01, 1, 7, big])
+            x, y = (float(int(x)), float(int(y))) if k % 3 == 0 else (x, y)
+            out.append((k, x, y, x + s, y + s * rng.random()))
+        return out + [(n, None, 1.0, 2.0, 3.0), (n + 1, 5.0, 5.0, 4.0, 6.0)]
+
+    left, right = some(80, 30), some(60, 100)
+    want = {(a[0], b[0]) for a in left[:80] for b in right[:60] if max(a[1], b[1]) <= min(a[3], b[3]) and max(a[2], b[2]) <= min(a[4], b[4])}
+    tables = [spark.createDataFrame(rows, f"{name} bigint, x0 double, y0 double, x1 double, y1 double") for rows, name in ((left, "id"), (right, "other"))]
+    got = [tuple(r) for r in boxes.box_pairs(*tables).collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 200
+    assert boxes.box_pairs(tables[0].limit(0), tables[1].limit(0)).count() == 0 and boxes.box_pairs(tables[0].limit(0), tables[1]).count() == 0
+
+
 def test_fill_grows_from_a_point(spark):
     """From one point over the whole square: least distance, no place out of reach, and the same again."""
     start = spark.createDataFrame([(5, 0.03, 0.04), (9, 0.05, 0.05), (11, 1.5, 0.5)], "id bigint, px double, py double")

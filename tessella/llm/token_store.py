@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import encoder
 
+#: Pieces in each of the two generations of a worker's memo: more than elsewhere, as encoding is most of the work here.
+MEMO_PIECES = 400_000
+
 SEEK_MAGIC, FOOTER_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 ENCODED = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, frame binary, check bigint"
 DECODED = "file string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"
@@ -39,7 +42,7 @@ def encode_frames(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> Da
         import xxhash
         import zstandard
 
-        enc, pack = encoder(tokenizer, kind), zstandard.ZstdCompressor(level=1)
+        enc, pack = encoder(tokenizer, kind, MEMO_PIECES), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             rows = ([], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

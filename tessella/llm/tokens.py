@@ -44,7 +44,7 @@ class Encoder:
     and what is between them as texts of their own.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, memo_pieces: int = MEMO_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,7 +55,7 @@ class Encoder:
         self.special = {t.content: struct.pack("<I", k) for k, t in added.items()}
         # Of tokens that begin at one place the longest counts.
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if added else None
-        self.kind = kind
+        self.kind, self.memo_pieces = kind, memo_pieces
         self.find = _PIECES[kind].findall
         self.model = self.tok.model
         self.letters = _byte_letters()
@@ -102,11 +102,11 @@ class Encoder:
         got |= self.learn([p for p in lacking if p not in got])
         out = b"".join([memo[p] if p in memo else got[p] for p in pieces])
         memo.update((p, b) for p, b in got.items() if len(p) <= MEMO_CHARS)
-        if len(memo) > MEMO_PIECES:
+        if len(memo) > self.memo_pieces:
             self.old, self.memo = memo, {}
         return out
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, memo_pieces: int = MEMO_PIECES) -> Encoder:
     """The worker's encoder of this file; it outlives tasks."""
-    return resident(f"tokenizer {kind} {path}", lambda: Encoder(path, kind))
+    return resident(f"tokenizer {kind} {path} {memo_pieces}", lambda: Encoder(path, kind, memo_pieces))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella import catalog as c
 from tessella.catalog import BESIDE, CLOUDS, EDGES, LABELLED, SEGMENTS, TRIANGLES, UNIFORM, W, labelled, query, wh
 from tessella.functions import draws, geometry as g
-from tessella.operators import boxes, centroid, components, graphs, growth, halfedges, lines, raster, sampling, voronoi
+from tessella.operators import boxes, centroid, components, graphs, growth, halfedges, lines, merging, raster, sampling, voronoi
 from tessella.plans.stage import shared_dir, staged
 from tessella.sources import fixtures as fx, json_files as js
 
@@ -120,6 +120,35 @@ def i17_aggregated_cells(spark, sf_dir):
     return grid.join(found, "label").select("x", "y", "region")
 
 
+#: The region that each border's two ends belong to before it: (k, v), from a as r and from b as rb.
+_BEFORE = "rb AS (SELECT k, b AS v FROM o UNION SELECT rb.k, e.b FROM rb JOIN both_ e ON e.a = rb.v AND e.k < rb.k), la AS (SELECT k, min(v) AS v FROM r GROUP BY k), lb AS (SELECT k, min(v) AS v FROM rb GROUP BY k)"
+
+
+def _tree(spark, sf_dir):
+    grid = labelled(spark, sf_dir)
+    pairs = staged(raster.adjacency(grid, *wh(spark, sf_dir)))
+    return grid, pairs, staged(merging.merge_tree(pairs))
+
+
+@query(f"WITH RECURSIVE {LABELLED}, {BESIDE}, {_MERGED}, {_BEFORE} SELECT t.n AS step, least(la.v, lb.v) AS kept, greatest(la.v, lb.v) AS gone FROM t JOIN la ON la.k = t.k JOIN lb ON lb.k = t.k")
+def i17_merge_tree(spark, sf_dir):
+    """Every merge of the suppliers' regions in order, down to the last."""
+    return _tree(spark, sf_dir)[2]
+
+
+#: Numbers of merges whose borders are looked up in one tree.
+MERGES = (1, 3, 7, 40)
+
+
+@query(f"""WITH RECURSIVE {LABELLED}, {BESIDE}, {_MERGED}, mm AS (SELECT unnest({list(MERGES)})::BIGINT AS merges), tb AS (SELECT a, b, n FROM t UNION ALL SELECT b, a, n FROM t),
+af AS (SELECT merges, label, label AS root FROM n, mm UNION SELECT af.merges, tb.b, af.root FROM af JOIN tb ON tb.a = af.label AND tb.n <= af.merges), rg AS (SELECT merges, label, min(root) AS region FROM af GROUP BY merges, label)
+SELECT DISTINCT i.merges, least(i.region, j.region) AS a, greatest(i.region, j.region) AS b FROM p JOIN rg i ON i.label = p.a JOIN rg j ON j.label = p.b AND j.merges = i.merges WHERE i.region <> j.region""")
+def i18_inherited_adjacency(spark, sf_dir):
+    """What borders on what after several numbers of merges, from one tree."""
+    grid, pairs, tree = _tree(spark, sf_dir)
+    return merging.adjacency_after(pairs, merging.regions_after(grid.select("label"), tree, list(MERGES)))
+
+
 _S = 4096.0
 #: Voronoi diagrams by brute force: of every cell, each bisector and side of the square, cut by all its other half-planes.
 VORONOI = f"""vs AS (SELECT s_suppkey AS id, {UNIFORM('s_suppkey')} * 4096 AS x, {UNIFORM('s_suppkey', '1')} * 4096 AS y FROM supplier),
@@ -402,6 +431,35 @@ def j1_growth_regions(spark, sf_dir):
     return grid.agg(F.count("*").alias("cells")).crossJoin(torn).crossJoin(moved)
 
 
+def _grown_sql(seeds: str, w: int, rounds: int) -> str:
+    """Growth from seeds (map_id, label, x, y, weight) in SQL: all cells look at their neighbours anew in so many rounds, more than any way has steps."""
+    steps = ", ".join(map(str, (*sorted(set(raster.REFERENCE)), (0, 0))))
+    u = UNIFORM("x * 2147483648 + y", "(map_id * 1000003 + label) * 64 + 1")
+    return f"""sd AS (SELECT map_id, x, y, label, weight FROM (SELECT *, row_number() OVER (PARTITION BY map_id, x, y ORDER BY label) AS nth FROM {seeds}) WHERE nth = 1),
+gr AS (SELECT 0 AS i, map_id, x, y, CAST(0 AS BIGINT) AS t, label, weight FROM sd UNION ALL SELECT i + 1, map_id, x, y, b.t, b.label, b.weight FROM (SELECT i, map_id, x, y, min(struct_pack(t := CASE WHEN stay THEN t ELSE t + 1 + CAST(floor(-ln(1 - {u}) * 1000000 / weight) AS BIGINT) END, label := label, weight := weight)) AS b
+FROM (SELECT i, map_id, (x + dx + {w}) % {w} AS x, (y + dy + {w}) % {w} AS y, t, label, weight, dx = 0 AND dy = 0 AS stay FROM gr, (VALUES {steps}) d(dx, dy) WHERE i < {rounds} AND (dx <> 0 OR dy <> 0 OR t = 0)) GROUP BY i, map_id, x, y))
+SELECT map_id, x, y, label FROM gr WHERE i = {rounds}"""
+
+
+_NATIONS = f"se AS (SELECT CAST(n_regionkey AS BIGINT) AS map_id, CAST(n_nationkey AS BIGINT) AS label, CAST(n_nationkey AS BIGINT) * 7 % 32 AS x, CAST(n_nationkey AS BIGINT) * 13 % 32 AS y, greatest(1.0, floor(ln(1 - {UNIFORM('n_nationkey')}) / CAST({math.log(1 - 0.33)!r} AS DOUBLE))) AS weight FROM nation)"
+
+
+@query(f"WITH RECURSIVE {_NATIONS}, {_grown_sql('se', 32, 96)}")
+def j1_growth(spark, sf_dir):
+    """A map for each region of the world, grown from its nations with geometric weights."""
+    return c._grown(spark, sf_dir)
+
+
+_SUPPLIERS = f"se AS (SELECT CAST(0 AS BIGINT) AS map_id, site_id AS label, sx AS x, sy AS y, greatest(1.0, 4.0 * pow(-ln(1 - {UNIFORM('site_id')}), CAST({1 / 1.5!r} AS DOUBLE))) AS weight FROM sites)"
+
+
+@query(f"WITH RECURSIVE {c.SITES}, {_SUPPLIERS}, {_grown_sql('se', W, 160)}")
+def j2_growth_by_distribution(spark, sf_dir):
+    """The suppliers' raster grown from their cells, with weights from a Weibull distribution."""
+    at = fx.sites(spark, sf_dir).select(F.lit(0).cast("long").alias("map_id"), F.col("site_id").alias("label"), F.col("sx").alias("x"), F.col("sy").alias("y"))
+    return growth.grow(growth.weighted(at, draws.Distribution(draws.weibull, 1.5, 4.0)), *wh(spark, sf_dir))
+
+
 #: Distinct edges of the diagram with rounded ends, and half-edges of its cells in the order that cells have them.
 _ROUNDED = "re AS (SELECT s, round(x1, 3) + 0.0 AS x, round(y1, 3) + 0.0 AS y, round(x2, 3) + 0.0 AS tx, round(y2, 3) + 0.0 AS ty, x1 * y2 - x2 * y1 AS k, (x1 - sx) * (y2 - sy) - (x2 - sx) * (y1 - sy) AS turn FROM ve), he AS (SELECT s, CASE WHEN turn > 0 THEN x ELSE tx END AS x, CASE WHEN turn > 0 THEN y ELSE ty END AS y, CASE WHEN turn > 0 THEN tx ELSE x END AS tx, CASE WHEN turn > 0 THEN ty ELSE y END AS ty FROM re WHERE x <> tx OR y <> ty)"
 

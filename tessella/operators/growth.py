@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from tessella.functions import draws
 from tessella.functions.geometry import wrap
 from tessella.operators.raster import MOORE, REFERENCE
-from tessella.plans.stage import drop, staged
+from tessella.plans.stage import drop, new_path, staged
 
 #: Steps of growth that one stage holds.
 STEPS = 4
+#: The share of the waiting cells that are taken before a span of time ends.
+SHARE = 0.9
+#: Up to so many cells of all maps grow in one span.
+WHOLE = 1 << 22
+#: Later than any time.
+_ENDLESS = 1 << 62
 
 
 def _delay(map_id, label, x, y, weight, seed: int):
@@ -23,8 +29,13 @@ def _delay(map_id, label, x, y, weight, seed: int):
     return (F.lit(1) + F.floor(draws.exponential(u, 1.0) * 1_000_000 / weight)).cast("long")
 
 
-def grow(seeds: DataFrame, w: int, h: int, seed: int = 1, stencil: str = "reference") -> DataFrame:
-    """seeds (map_id, label, x, y, weight) -> (map_id, x, y, label): every cell of every map assigned.
+def weighted(seeds: DataFrame, weights: draws.Distribution) -> DataFrame:
+    """seeds (map_id, label, x, y) with ``weight``: a draw for each region of each map, at least 1."""
+    return seeds.withColumn("weight", F.greatest(F.lit(1.0), weights(F.col("map_id") * 1_000_003 + F.col("label")).cast("double")))
+
+
+def grow(seeds: DataFrame, w: int, h: int, seed: int = 1, stencil: str = "reference", share: float | None = None) -> DataFrame:
+    """seeds (map_id, label, x, y, weight) -> (map_id, x, y, label): every cell of every map with a seed assigned.
 
     All regions grow at once: one that has a cell takes a neighbour after an
     exponential time that its weight shortens, and the first to come keeps it. Such
@@ -33,35 +44,79 @@ def grow(seeds: DataFrame, w: int, h: int, seed: int = 1, stencil: str = "refere
     one at a time, up to whole times. A region's chance thus grows with its border,
     unlike where regions are drawn by weight first and then one of their cells.
     Each region is connected under the stencil. Of seeds on one cell the lowest label
-    stays; of arrivals at one time too. In a step every cell that is no seed's looks
-    anew at what its neighbours' regions would bring, so that nothing stays that came
-    over a cell lost since; cells are right in the order of their times, and the maps
-    done when a stage of steps changes none.
+    stays; of arrivals at one time too.
+
+    Time passes in spans. A span ends where a share of the waiting cells, those beside
+    the assigned ones, have been taken; within it cells look anew at what their
+    neighbours' regions would bring, until none changes: cells are right in the order
+    of their times. Only the cells of the span, those that wait, and the rim take part,
+    the rim being assigned cells with a free one beside them; so the work is that of
+    each cell's own span, not of the grid in every round. The share decides on speed
+    alone; where none is given it is SHARE, or one span for all if there are few cells.
     """
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in sorted(set(REFERENCE if stencil == "reference" else MOORE))])
+    spark = seeds.sparkSession
+    moves = {(i % w, j % h) for i, j in (REFERENCE if stencil == "reference" else MOORE)} - {(0, 0)}
+    beside = moves | {(-i % w, -j % h) for i, j in moves}
     key = ["map_id", "x", "y"]
-    weights = seeds.groupBy("map_id", "label").agg(F.max(F.greatest(F.lit(1.0), F.col("weight").cast("double"))).alias("weight"))
-    first = seeds.groupBy("map_id", wrap(F.col("x"), w).alias("x"), wrap(F.col("y"), h).alias("y")).agg(F.min("label").alias("label"))
-    first = first.join(weights, ["map_id", "label"])
-    # At 0 nothing comes earlier, so seeds keep their cells; a region's weight travels with it.
-    planted = staged(first.select(*key, F.struct(F.lit(0).cast("long").alias("at"), "label", "weight").alias("best")), "seeds")
-    best, last = planted, None
+
+    def spread(cells, by, *columns):
+        """A row for each neighbour of each cell."""
+        to = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in sorted(by)])
+        return cells.select("map_id", "x", "y", *columns, F.explode(to).alias("d")).select("map_id", wrap(F.col("x") + F.col("d.i"), w).alias("x"), wrap(F.col("y") + F.col("d.j"), h).alias("y"), *columns)
+
+    labels = seeds.select(F.col("map_id").cast("long").alias("map_id"), F.col("label").cast("long").alias("label"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("weight").cast("double").alias("weight"))
+    weights = labels.groupBy("map_id", "label").agg(F.max(F.greatest(F.lit(1.0), "weight")).alias("weight"))
+    first = labels.groupBy("map_id", wrap(F.col("x"), w).alias("x"), wrap(F.col("y"), h).alias("y")).agg(F.min("label").alias("label"))
+    if not moves:
+        return first.select(*key, "label")
+    # A region's weight travels with it. Nothing comes before 0, so seeds keep their cells, and the rim is at -1.
+    held = staged(first.join(weights, ["map_id", "label"]).select(*key, F.struct(F.lit(0).cast("long").alias("at"), "label", "weight").alias("best")), "seeds")
+    whole = share is None and held.select("map_id").distinct().count() * w * h <= WHOLE
+    path, spans, waits, rim = new_path(spark, "grown"), 0, held, None
     while True:
-        now = best
-        for _ in range(STEPS):
-            to = now.select("map_id", "best", "x", "y", F.explode(around).alias("d"))
-            to = to.select("map_id", wrap(F.col("x") + F.col("d.i"), w).alias("x"), wrap(F.col("y") + F.col("d.j"), h).alias("y"), "best")
-            come = (F.col("best.at") + _delay(F.col("map_id"), F.col("best.label"), F.col("x"), F.col("y"), F.col("best.weight"), seed)).alias("at")
-            to = to.select(*key, F.struct(come, F.col("best.label").alias("label"), F.col("best.weight").alias("weight")).alias("best"))
-            now = planted.unionByName(to).groupBy(*key).agg(F.min("best").alias("best"))
-        new = staged(now, "growth")
-        if best is not planted:
-            drop(best)
-        best = new
-        state = best.agg(F.count("*"), F.sum(F.xxhash64("map_id", "x", "y", "best.label", "best.at").cast("decimal(38,0)"))).first()
-        if state == last:
-            return best.select(*key, F.col("best.label").alias("label"))
-        last = state
+        until = waits.agg(F.percentile_approx("best.at", share or SHARE)).first()[0]
+        if until is None:
+            break
+        until = _ENDLESS if whole else until
+        base = waits
+        if rim is not None:
+            base = base.unionByName(rim.select(*key, F.struct(F.lit(-1).cast("long").alias("at"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("double").alias("weight")).alias("best")))
+        taken = F.col("best.at").between(0, until)
+        now, last = base, None
+        while True:
+            new = now
+            for _ in range(STEPS):
+                come = (F.col("best.at") + _delay(F.col("map_id"), F.col("best.label"), F.col("x"), F.col("y"), F.col("best.weight"), seed)).alias("at")
+                to = spread(new.where(taken), moves, "best").select(*key, F.struct(come, F.col("best.label").alias("label"), F.col("best.weight").alias("weight")).alias("best"))
+                new = base.unionByName(to).groupBy(*key).agg(F.min("best").alias("best"))
+            new = staged(new, "growth")
+            if now is not base:
+                drop(now)
+            now = new
+            state = now.where(taken).agg(F.count("*"), F.sum(F.xxhash64(*key, "best.label", "best.at").cast("decimal(38,0)"))).first()
+            if state == last:
+                break
+            last = state
+        now.where(taken).select(*key, F.col("best.label").alias("label")).write.mode("overwrite").parquet(f"{path}/span={spans}")
+        spans += 1
+        if whole:
+            drop(now)
+            break
+        # left: free cells beside one. All assigned neighbours of a new cell are new or were in the rim, as it was free.
+        known = now.where(taken).select(*key, F.lit(True).alias("new"), F.lit(len(beside)).alias("left"))
+        if rim is not None:
+            known = known.unionByName(rim.select(*key, F.lit(False).alias("new"), "left"))
+        none = F.lit(None)
+        seen = spread(known, beside, "new").select(*key, none.cast("boolean").alias("new"), none.cast("int").alias("left"), F.col("new").cast("int").alias("by_new"), F.lit(1).alias("by_any"))
+        both = known.select("*", F.lit(0).alias("by_new"), F.lit(0).alias("by_any")).unionByName(seen)
+        counted = both.groupBy(*key).agg(F.max("new").alias("new"), F.max("left").alias("left"), F.sum("by_new").alias("by_new"), F.sum("by_any").alias("by_any")).where("left is not null")
+        after = staged(counted.select(*key, (F.col("left") - F.when(F.col("new"), F.col("by_any")).otherwise(F.col("by_new"))).cast("int").alias("left")).where("left > 0"), "rim")
+        drop(held, rim)
+        held, rim, waits = now, after, now.where(F.col("best.at") > until)
+    drop(held, rim)
+    if not spans:
+        return first.select(*key, "label")
+    return spark.read.schema("map_id long, x long, y long, label long").parquet(path).select(*key, "label")
 
 
 def paths(maps: DataFrame, w: int, h: int, cuts: int, length: int, alpha: float, seed: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Areas between borders, and regions merged until so many remain."""
+"""Areas between borders, regions merged until so many remain, and the tree of all merges."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.draws import bits
 from tessella.operators.components import TILE, components, dense, parts
-from tessella.plans.stage import staged
+from tessella.plans.stage import drop, staged
 
 
 def areas_between(cells: DataFrame, sides: DataFrame, w: int, h: int, torus: bool = True, tile: int = TILE) -> DataFrame:
@@ -77,3 +77,87 @@ def merge_regions(ids: DataFrame, pairs: DataFrame, regions: int, seed: int = 1)
     found = components(ranked.select("a", "b"))
     state = staged(names.join(found.withColumnRenamed("id", "label"), "label", "left").select("label", F.coalesce("component", "label").alias("region")))
     return state.join(dense(state, "region"), F.col("region") == F.col("old")).select("label", F.col("new").alias("region"))
+
+
+#: Merges that one task puts in order.
+BLOCK = 4096
+
+
+def merge_tree(pairs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
+    """adjacency pairs (a, b) -> (step, kept, gone): the merges of merge_regions() down to the last, in order.
+
+    A region has the name of its least label; step joins the region ``gone`` to that
+    of the lower name ``kept``. Each label goes once at most, so these rows are a
+    forest with parents kept: regions_after() and adjacency_after() look up any number
+    of merges in it. Pairs in either order and more than once are one; loops and nulls
+    are ignored.
+
+    The least spanning forest's borders, in order, are halved until a block has few
+    enough for one task: the later half of each block sees the regions that the earlier
+    half makes, which one search for components gives for all blocks at once.
+    """
+    low, high = F.least("a", "b").cast("long"), F.greatest("a", "b").cast("long")
+    single = pairs.where("a <> b").select(low.alias("a"), high.alias("b")).distinct()
+    forest = staged(spanning(staged(single.select("a", "b", F.struct(border_weight(seed).alias("w"), "a", "b").alias("weight")), "borders")), "forest")
+    edges = staged(forest.join(dense(forest, "weight"), F.col("weight") == F.col("old")).select(F.col("new").alias("step"), "a", "b"), "order")
+    n, size = edges.count(), block
+    while size < n:
+        size *= 2
+    while size > block:
+        within = F.floor((F.col("step") - 1) / size)
+        late = (F.col("step") - 1) % size >= size // 2
+        node = lambda c: F.struct(within.alias("block"), F.col(c).alias("v")).alias(c)
+        early = edges.where(~late)
+        names = components(early.select(node("a"), node("b")))
+        moved = edges.where(late).select("step", node("a"), node("b"))
+        for c in ("a", "b"):
+            moved = moved.join(names.select(F.col("id").alias(c), F.col("component").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        new = staged(early.unionByName(moved.select("step", F.col("a.v").alias("a"), F.col("b.v").alias("b"))), "order")
+        drop(edges)
+        edges, size = new, size // 2
+
+    def joined(frame):
+        frame = frame.sort_values("step")
+        up: dict[int, int] = {}
+
+        def top(v):
+            while v in up:
+                up[v] = up.get(up[v], up[v])
+                v = up[v]
+            return v
+
+        merged = []
+        for a, b in zip(frame["kept"].tolist(), frame["gone"].tolist()):
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+            merged.append((low, high))
+        frame[["kept", "gone"]] = merged
+        return frame
+
+    dealt = edges.select("step", F.col("a").alias("kept"), F.col("b").alias("gone")).groupBy(F.floor((F.col("step") - 1) / block))
+    return dealt.applyInPandas(joined, "step long, kept long, gone long")
+
+
+def regions_after(ids: DataFrame, tree: DataFrame, merges: list[int]) -> DataFrame:
+    """ids (label), merge_tree() -> (merges, label, region): the least label of each one's region after each of some numbers of merges.
+
+    Pointers to the next lower name are doubled, for all numbers at once; a number
+    beyond the last step is the last step.
+    """
+    asked = ids.select(F.col("label").cast("long").alias("label")).distinct().select(F.explode(F.array(*[F.lit(k).cast("long") for k in sorted(set(merges))])).alias("merges"), "label")
+    up = staged(asked.join(tree.select("step", "kept", F.col("gone").alias("label")), "label", "left").select("merges", "label", F.when(F.col("step") <= F.col("merges"), F.col("kept")).otherwise(F.col("label")).alias("region")), "pointers")
+    while True:
+        over = up.select("merges", F.col("label").alias("region"), F.col("region").alias("over"))
+        new = staged(up.join(over, ["merges", "region"]).select("merges", "label", F.col("over").alias("region"), (F.col("over") != F.col("region")).alias("moved")), "pointers")
+        drop(up)
+        up = new.drop("moved")
+        up._staged_path = new._staged_path
+        if not new.where("moved").head(1):
+            return up
+
+
+def adjacency_after(pairs: DataFrame, regions: DataFrame) -> DataFrame:
+    """pairs (a, b), regions_after() -> (merges, a, b): neighbours among the regions that remain, a below b."""
+    one, two = (regions.select("merges" if c == "a" else F.col("merges").alias("also"), F.col("label").alias(c), F.col("region").alias("r" + c)) for c in ("a", "b"))
+    met = pairs.select("a", "b").join(one, "a").join(two, "b").where("merges = also and ra <> rb")
+    return met.select("merges", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()

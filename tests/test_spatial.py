@@ -89,6 +89,36 @@ def test_regions_merge_to_a_number(spark):
         assert all(len({rows[k] for k in range(a, b + 1)}) == 1 for a in range(20) for b in range(a, 20) if rows[a] == rows[b])
 
 
+@pytest.mark.parametrize("block", [8, 4096])
+def test_tree_of_merges(spark, block):
+    """Blocks of any size give the merges of one after the other, and any number of them is looked up."""
+    import random
+
+    rng = random.Random(block)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)} | {(50, 51)})
+    table = spark.createDataFrame(pairs + [(b, a) for a, b in pairs[:9]] + [(7, 7)], "a bigint, b bigint")
+    weight = {(r.a, r.b): r.w for r in spark.createDataFrame(pairs, "a bigint, b bigint").select("a", "b", merging.border_weight(1).alias("w")).collect()}
+    name, want, seen = {v: v for v in range(52)}, [], {0: {v: v for v in range(52)}}
+    for a, b in sorted(pairs, key=lambda p: (weight[p], p)):
+        low, high = sorted((name[a], name[b]))
+        if low != high:
+            want.append((len(want) + 1, low, high))
+            name = {v: low if n == high else n for v, n in name.items()}
+            seen[len(want)] = name
+    tree = merging.merge_tree(table, block=block)
+    assert sorted(map(tuple, tree.collect())) == want
+    asked = [0, 1, 5, len(want), 1000]
+    ids = spark.range(52).select(F.col("id").alias("label"))
+    found = merging.regions_after(ids, tree, asked)
+    assert {tuple(r) for r in found.select("merges", "label", "region").collect()} == {(k, v, seen[min(k, len(want))][v]) for k in asked for v in range(52)}
+    left = {(k, *sorted((seen[min(k, len(want))][a], seen[min(k, len(want))][b]))) for k in asked for a, b in pairs}
+    assert sorted(map(tuple, merging.adjacency_after(spark.createDataFrame(pairs, "a bigint, b bigint"), found).collect())) == sorted(r for r in left if r[1] != r[2])
+    if block == 8:
+        merged = {r.label: r.region for r in merging.merge_regions(ids, table.where("a < b").distinct(), 45).collect()}
+        assert all((merged[a] == merged[b]) == (seen[7][a] == seen[7][b]) for a in range(52) for b in range(52))
+        assert merging.merge_tree(table.where("a = b")).count() == 0
+
+
 @pytest.mark.parametrize("tile", [4, 8, 64])
 @pytest.mark.parametrize("torus", [True, False])
 def test_parts_in_tiles(spark, tile, torus):
@@ -255,6 +285,31 @@ def test_growth_follows_weights(spark):
     assert sum(area.values()) == 6 * 256 and (0, 9) not in area and sum(area[(m, 1)] for m in range(6)) > 6 * 80
 
 
+@pytest.mark.parametrize("size, stencil, share", [((7, 5), "reference", 0.9), ((2, 5), "moore", None), ((1, 1), "moore", None)])
+def test_growth_in_the_order_of_times(spark, size, stencil, share):
+    """Spans of any length against cells taken one at a time from a heap, on tori down to those where neighbours coincide."""
+    import heapq
+
+    w, h = size
+    seeds = [(m, k, 5 * k + m, 2 * k * k, float(1 + (k * 7 + m) % 30)) for m in (0, 4) for k in range(4)] + [(9, 1, -1, h + 1, 2.0)]
+    table = spark.createDataFrame(seeds, "map_id bigint, label bigint, x bigint, y bigint, weight double")
+    got = growth.grow(table, w, h, 3, stencil, share).collect()
+    cells = spark.range(w * h).select(F.floor(F.col("id") / h).alias("i"), (F.col("id") % h).alias("j"))
+    delay = {tuple(r)[:4]: r.t for r in table.join(cells).select("map_id", "label", "i", "j", growth._delay(F.col("map_id"), F.col("label"), F.col("i"), F.col("j"), F.col("weight"), 3).alias("t")).collect()}
+    moves = set(raster.REFERENCE if stencil == "reference" else raster.MOORE)
+    heap, want = [(0, label, m, x % w, y % h) for m, label, x, y, _ in seeds], {}
+    heapq.heapify(heap)
+    while heap:
+        at, label, m, x, y = heapq.heappop(heap)
+        if (m, x, y) not in want:
+            want[m, x, y] = label
+            for i, j in moves:
+                to = (x + i) % w, (y + j) % h
+                heapq.heappush(heap, (at + delay[m, label, *to], label, m, *to))
+    assert len(got) == 3 * w * h and {(r.map_id, r.x, r.y): r.label for r in got} == want
+    assert growth.grow(table.where("false"), w, h).count() == 0
+
+
 def test_walks_end_where_earlier_ones_have_been(spark):
     """The set-based ends against one walk after the other."""
     maps = spark.createDataFrame([(0,), (3,)], "map_id bigint")

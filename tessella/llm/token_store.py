@@ -45,8 +45,8 @@ def encode_frames(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> Da
         enc, pack = encoder(tokenizer, kind, MEMO_PIECES), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             rows = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.encode(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_column(batch.column(1))):
+                ids += end
                 for to, x in zip(rows, (doc, len(ids) // 4, zlib.crc32(ids), pack.compress(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF)):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["doc_id", "n_tokens", "ids_crc32", "frame", "check"])

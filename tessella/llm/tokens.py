@@ -25,6 +25,8 @@ _PIECES = {
     "word": re.compile(rf"[{_LATIN}]+(?=[,.;:!?\x20\x09-\x0D]|\Z)|[^\x20\x09-\x0D]+"),
     "byte": re.compile(f" ?[{_LATIN}]+(?=[,.;:!?{_WHITE}]|\\Z)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"),
 }
+#: In Arrow: a word of plain letters, and what follows from the first mark on, are two pieces; any other word is one.
+_HEAD_AND_TAIL = rf"\A(?P<head>[{_LATIN}]+)(?P<tail>(?s:[,.;:!?].*))?\z"
 _plain = re.compile(f" ?[{_LATIN}]+").fullmatch
 #: Pieces in each of a worker's two generations of memo, and the longest remembered, in characters.
 MEMO_PIECES, MEMO_CHARS = 250_000, 64
@@ -91,6 +93,58 @@ class Encoder:
                 return b"".join([self.special[t] if t in self.special else self._plain(t) for t in self.cut(text) if t])
         return self._plain(text)
 
+    def encode_column(self, texts) -> list[bytes]:
+        """encode() of every text of an Arrow array of strings.
+
+        For ``word`` Arrow does the cutting and the joining of ids, and only distinct
+        pieces of all the texts together are looked up.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.kind != "word":
+            return [self.encode(t) for t in texts.to_pylist()]
+        texts = pc.fill_null(texts, "")
+        marked = {k for mark in self.special for k in np.flatnonzero(pc.match_substring(texts, mark)).tolist()}
+        apart = {k: self.encode(texts[k].as_py()) for k in marked}
+        if apart:
+            texts = pc.if_else(pa.array([k in apart for k in range(len(texts))]), "", texts)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        head, tail = pc.extract_regex(words.dictionary, _HEAD_AND_TAIL).flatten()  # null where it does not match
+        heads, tails = pc.coalesce(head, words.dictionary), pc.fill_null(tail, "")
+        pieces = pa.concat_arrays([heads, tails]).dictionary_encode()
+        # Offsets of 64 bits: ids are longer than their text.
+        ids = pa.array(self._known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pieces.indices)
+        n = len(heads)
+        ids = pc.binary_join_element_wise(ids[:n], ids[n:], pa.scalar(b"", pa.large_binary())).take(words.indices)
+        sizes = np.concatenate(([0], np.cumsum(pc.binary_length(ids).to_numpy())))
+        ends = sizes[np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))].tolist()
+        joined = memoryview(ids.buffers()[2] or b"")
+        return [apart[k] if k in apart else bytes(joined[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; those that the memo lacks are learned, and remembered."""
+        out, old, lacking = list(map(self.memo.get, pieces)), self.old, []
+        for k, ids in enumerate(out):
+            if ids is None:
+                out[k] = ids = old.get(pieces[k])
+                if ids is None:
+                    lacking.append(k)
+                else:
+                    self.memo[pieces[k]] = ids
+        got = self.learn([pieces[k] for k in lacking])
+        for k in lacking:
+            out[k] = got[pieces[k]]
+        self._remember(got)
+        return out
+
+    def _remember(self, got: dict[str, bytes]) -> None:
+        self.memo.update((p, b) for p, b in got.items() if len(p) <= MEMO_CHARS)
+        if len(self.memo) > self.memo_pieces:
+            self.old, self.memo = self.memo, {}
+
     def _plain(self, text: str) -> bytes:
         pieces, memo = self.find(text), self.memo
         try:
@@ -101,9 +155,7 @@ class Encoder:
         got = {p: self.old[p] for p in lacking if p in self.old}
         got |= self.learn([p for p in lacking if p not in got])
         out = b"".join([memo[p] if p in memo else got[p] for p in pieces])
-        memo.update((p, b) for p, b in got.items() if len(p) <= MEMO_CHARS)
-        if len(memo) > self.memo_pieces:
-            self.old, self.memo = memo, {}
+        self._remember(got)
         return out
 
 

@@ -82,6 +82,35 @@ def test_token_pieces_match_the_library():
             assert list(np.frombuffer(own.encode(t), "<u4")) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_a_column_looks_up_its_distinct_pieces_once():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    # Letters before and after marks, combining and other white space, special tokens, nulls, words longer than the memo takes.
+    odd = [None, "", " \n", "a,b c, c. (d). it's, e\u0301. e\u0301,e", "\u03a3\u0391\u03a3. \u03a3a, x\x1cy z\x85z\xa0w\u2028v", "<|endoftext|>a, <|endoftext", "q" * 70 + ". " + "ver" * 40, "\u65e5\u672c\u3002 \u0661\u0662. !!a1b \x0b\x0c end.", "<|startoftext|>"]
+    for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        path = public_tokenizers.path(name)
+        want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in odd]
+        for memo in (2, 400_000):
+            own = tokens.Encoder(path, kind, memo)
+            for column in (pa.array(odd), pa.array(["zz", *odd])[1:], pa.array(odd, pa.large_string())):
+                assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_column(column)] == want
+        assert own.encode_column(pa.array([], pa.string())) == []
+    own = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), "word")
+    own.memo, own.find = Counted(), None  # nothing is cut word for word
+    column = pa.array(["one two, three. two one"] * 500 + ["four, one."])
+    assert len(own.encode_column(column)) == 501 and Counted.asked <= 8  # four words, two marks and nothing
+    own.learn = lambda pieces: {p: b"" for p in pieces if 1 / 0}  # nothing is learned again
+    assert len(own.encode_column(column)) == 501
+
+
 def test_token_store(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     folder, out = token_store.store_tokens(docs, path, "word", 2, file_mb=0.02)

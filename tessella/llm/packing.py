@@ -112,8 +112,8 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
 
         for part in batches:
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = enc.encode(text) + end
+            for doc, ids in zip(part.column(0).to_pylist(), enc.encode_column(part.column(1))):
+                ids += end
                 n = len(ids) // 4
                 whole = n - n % capacity
                 for at in range(0, whole, capacity):
@@ -131,4 +131,4 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int
             flush()
         yield batch()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)

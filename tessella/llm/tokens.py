@@ -15,6 +15,7 @@ import os
 import re
 import struct
 from array import array
+from itertools import islice
 
 from .common import resident
 
@@ -26,7 +27,10 @@ _PIECES = {
     "byte": re.compile(f" ?[{_LATIN}]+(?=[,.;:!?{_WHITE}]|\\Z)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"),
 }
 #: In Arrow: a word of plain letters, and what follows from the first mark on, are two pieces; any other word is one.
-_HEAD_AND_TAIL = rf"\A(?P<head>[{_LATIN}]+)(?P<tail>(?s:[,.;:!?].*))?\z"
+_HEAD_AND_TAIL = rf"\A(?P<head> ?[{_LATIN}]+)(?P<tail>(?s:[,.;:!?].*))?\z"
+#: What a cut before every blank, for ``byte``, does not fit: white space that goes on behind a blank that is not its first.
+_INNER_BLANK = rf"[{_WHITE}] (?:[{_WHITE}]|\z)"
+_OTHER_WHITE = f"[{_WHITE.replace(' ', '')}]"
 _plain = re.compile(f" ?[{_LATIN}]+").fullmatch
 #: Pieces in each of a worker's two generations of memo, and the longest remembered, in characters.
 MEMO_PIECES, MEMO_CHARS = 250_000, 64
@@ -96,34 +100,55 @@ class Encoder:
     def encode_column(self, texts) -> list[bytes]:
         """encode() of every text of an Arrow array of strings.
 
-        For ``word`` Arrow does the cutting and the joining of ids, and only distinct
-        pieces of all the texts together are looked up.
+        Arrow does the cutting and the joining of ids, and only distinct pieces of all the
+        texts together are looked up. Texts with special tokens, and for ``byte`` those
+        that a cut before every blank does not fit, are encoded one by one.
         """
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if self.kind != "word":
-            return [self.encode(t) for t in texts.to_pylist()]
-        texts = pc.fill_null(texts, "")
-        marked = {k for mark in self.special for k in np.flatnonzero(pc.match_substring(texts, mark)).tolist()}
-        apart = {k: self.encode(texts[k].as_py()) for k in marked}
+        byte, texts = self.kind == "byte", pc.fill_null(texts, "")
+        found = [pc.match_substring(texts, mark) for mark in self.special] + ([pc.match_substring_regex(texts, _INNER_BLANK)] if byte else [])
+        apart = {k: self.encode(texts[k].as_py()) for k in {k for f in found for k in np.flatnonzero(f).tolist()}}
         if apart:
             texts = pc.if_else(pa.array([k in apart for k in range(len(texts))]), "", texts)
-        split = pc.ascii_split_whitespace(texts)
+        split = pc.split_pattern(texts, " ") if byte else pc.ascii_split_whitespace(texts)
+        starts = np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))
         words = split.flatten().dictionary_encode()
-        head, tail = pc.extract_regex(words.dictionary, _HEAD_AND_TAIL).flatten()  # null where it does not match
-        heads, tails = pc.coalesce(head, words.dictionary), pc.fill_null(tail, "")
-        pieces = pa.concat_arrays([heads, tails]).dictionary_encode()
-        # Offsets of 64 bits: ids are longer than their text.
-        ids = pa.array(self._known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pieces.indices)
-        n = len(heads)
-        ids = pc.binary_join_element_wise(ids[:n], ids[n:], pa.scalar(b"", pa.large_binary())).take(words.indices)
+        codes, words = words.indices, words.dictionary
+        if byte:  # a word has the blank before it, but for the first of a text
+            codes = codes.to_numpy().copy()
+            first, own = np.unique(codes[starts[:-1]], return_inverse=True)
+            codes[starts[:-1]] = len(words) + own
+            words = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" ", words.type), words, pa.scalar("", words.type)), words.take(pa.array(first))])
+        ids = self._ids(words).take(pa.array(codes))
         sizes = np.concatenate(([0], np.cumsum(pc.binary_length(ids).to_numpy())))
-        ends = sizes[np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))].tolist()
+        ends = sizes[starts].tolist()
         joined = memoryview(ids.buffers()[2] or b"")
         return [apart[k] if k in apart else bytes(joined[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
 
+    def _ids(self, words):
+        """Ids of distinct words, which hold no blank but a leading one."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n, none = len(words), pa.scalar("", words.type)
+        head, tail = pc.extract_regex(words, _HEAD_AND_TAIL).flatten()  # null where it does not match
+        heads, tails, cut = pc.coalesce(head, words), pc.fill_null(tail, none), []
+        if self.kind == "byte":
+            white = pc.match_substring_regex(words, _OTHER_WHITE)
+            cut = [self.find(w) for w in words.filter(white).to_pylist()]
+            heads, tails = (pc.if_else(white, none, x) for x in (heads, tails))
+        pieces = pa.concat_arrays([heads, tails, pa.array([p for c in cut for p in c], words.type)]).dictionary_encode()
+        # Offsets of 64 bits: ids are longer than their text.
+        ids = pa.array(self._known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pieces.indices)
+        out = pc.binary_join_element_wise(ids[:n], ids[n : 2 * n], pa.scalar(b"", pa.large_binary()))
+        if cut:
+            rest = iter(ids[2 * n :].to_pylist())
+            out = pc.replace_with_mask(out, white, pa.array([b"".join(islice(rest, len(c))) for c in cut], pa.large_binary()))
+        return out
+
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces; those that the memo lacks are learned, and remembered."""
         out, old, lacking = list(map(self.memo.get, pieces)), self.old, []

@@ -111,6 +111,40 @@ def test_a_column_looks_up_its_distinct_pieces_once():
     assert len(own.encode_column(column)) == 501
 
 
+def test_a_column_is_cut_at_blanks_as_the_library_cuts():
+    import itertools
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    # Every order of blanks, lines, marks and letters, at both ends of a text too.
+    odd = ["".join(x) for letters, most in ((" \na,", 6), (" \t\u3000\x1c\xe9.1'", 3)) for n in range(most) for x in itertools.product(letters, repeat=n)]
+    odd += [None, "<|endoftext|>  a", "    if x:\n        y = 1\n\n\n  z \n", "q" * 70 + ",\n" + " ver" * 40 + "  "]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in odd], add_special_tokens=False)]
+    for memo in (2, 250_000):
+        own = tokens.Encoder(path, "byte", memo)
+        assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_column(pa.array(odd))] == want
+        assert [np.frombuffer(own.encode_column(pa.array([t], pa.string()))[0], "<u4").tolist() for t in odd[-4:]] == want[-4:]
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    own = tokens.Encoder(path, "byte")
+    find, cut = own.find, []
+    own.memo, own.find = Counted(), lambda text: cut.append(text) or find(text)
+    column = pa.array(["One two, three.\ntwo one,  two"] * 500 + ["four, one."])
+    assert len(own.encode_column(column)) == 501
+    assert cut == [" three.\ntwo"]  # once, and nothing else is cut word for word
+    assert Counted.asked <= 16
+    own.learn = lambda pieces: {p: b"" for p in pieces if 1 / 0}  # nothing is learned again
+    assert own.encode_column(column)[500] == own.encode("four, one.")
+
+
 def test_token_store(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     folder, out = token_store.store_tokens(docs, path, "word", 2, file_mb=0.02)

@@ -404,6 +404,30 @@ def test_fill_grows_from_a_point(spark):
     assert sampling.fill(start.limit(0), 0.2).count() == 0
 
 
+def test_poisson_disk_stages_no_pairs(spark, monkeypatch):
+    """Dense points, a spot taken twice, points without a place: as thrown one by one, and no stage has more rows than there are points."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, rng.uniform(-1, 1), rng.uniform(0, 2) if k % 3 else rng.uniform(0, 0.1)) for k in range(1500)]
+    rows += [(1500, rows[7][1], rows[7][2]), (1501, None, 1.0)]
+    staged, sizes = sampling.staged, []
+
+    def counted(df, name="stage"):
+        out = staged(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(sampling, "staged", counted)
+    got = [r.id for r in sampling.poisson_disk(spark.createDataFrame(rows, "id bigint, px double, py double"), 0.3).collect()]
+    kept = []
+    for k, x, y in rows[:1500]:
+        if all((x - u) ** 2 + (y - v) ** 2 >= 0.3 * 0.3 for _, u, v in kept):
+            kept.append((k, x, y))
+    assert sorted(got) == [k for k, _, _ in kept] + [1501]
+    assert max(sizes) <= len(rows)
+
+
 def test_picks_without_a_window_of_a_group(spark):
     """Groups of very unlike size, weights of 0, groups without weight, over more partitions than groups."""
     import bisect

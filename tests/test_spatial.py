@@ -428,6 +428,22 @@ def test_poisson_disk_stages_no_pairs(spark, monkeypatch):
     assert max(sizes) <= len(rows)
 
 
+def test_close_pairs_of_many_points(spark, monkeypatch):
+    """Many points are not collected for a broadcast; crowded buckets are met in blocks, every pair once."""
+    import random
+
+    many = spark.range(5000).select("id", (F.col("id") / 9.0).alias("px"), (F.col("id") % 7 / 1.0).alias("py"))
+    assert "Broadcast" not in sampling.close_pairs(many, many, 1.5)._jdf.queryExecution().executedPlan().toString()
+    rng = random.Random(11)
+    rows = [(k, rng.uniform(0, 3), rng.uniform(0, 3)) if k % 2 else (k, rng.uniform(1.1, 1.3), rng.uniform(1.1, 1.3)) for k in range(300)]
+    points = spark.createDataFrame(rows, "id bigint, px double, py double")
+    monkeypatch.setattr(sampling, "FEW", 50)
+    monkeypatch.setattr(sampling, "BLOCK", 16)
+    got = [tuple(r) for r in sampling.close_pairs(points, points, 0.4).collect()]
+    want = {(a, b) for a, x, y in rows for b, u, v in rows if a != b and (x - u) * (x - u) + (y - v) * (y - v) < 0.4 * 0.4}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_picks_without_a_window_of_a_group(spark):
     """Groups of very unlike size, weights of 0, groups without weight, over more partitions than groups."""
     import bisect

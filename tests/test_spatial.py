@@ -392,6 +392,29 @@ def test_box_pairs(spark):
     assert boxes.box_pairs(tables[0].limit(0), tables[1].limit(0)).count() == 0 and boxes.box_pairs(tables[0].limit(0), tables[1]).count() == 0
 
 
+def test_box_pairs_of_crowded_cells(spark, monkeypatch):
+    """Cells with many boxes are joined in blocks, and small boxes are not paired in the cells of large ones."""
+    import random
+
+    rng = random.Random(3)
+    some = lambda n: [(k, *(a := (rng.uniform(0, 10), rng.uniform(0, 10))), *(c + (9 if k % 5 == 0 else 0.05) for c in a)) for k in range(n)]
+    left, right = some(150), some(170)
+    want = {(a[0], b[0]) for a in left for b in right if max(a[1], b[1]) <= min(a[3], b[3]) and max(a[2], b[2]) <= min(a[4], b[4])}
+    met, blocked = [], boxes._blocked
+
+    def counted(one, two):
+        out = blocked(one, two)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(boxes, "BLOCK", 8)
+    monkeypatch.setattr(boxes, "_blocked", counted)
+    tables = [spark.createDataFrame(rows, f"{name} bigint, x0 double, y0 double, x1 double, y1 double") for rows, name in ((left, "id"), (right, "other"))]
+    got = [tuple(r) for r in boxes.box_pairs(*tables).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sum(met) < 4 * (30 * 170 + 34 * 150)
+
+
 def test_fill_grows_from_a_point(spark):
     """From one point over the whole square: least distance, no place out of reach, and the same again."""
     start = spark.createDataFrame([(5, 0.03, 0.04), (9, 0.05, 0.05), (11, 1.5, 0.5)], "id bigint, px double, py double")

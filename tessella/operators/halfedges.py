@@ -40,19 +40,25 @@ def faces(half: DataFrame) -> DataFrame:
     half = staged(half, "half-edges")
     loops = components(half.select(F.col("id").alias("a"), F.col("next").alias("b")))
     named = staged(half.join(loops.withColumnRenamed("component", "face"), "id", "left").withColumn("face", F.coalesce("face", "id")), "faces")
-    # Each half-edge counts the steps to the last of its face.
+    # Each half-edge counts the steps to the last of its face; faces in which all have done so are out of the rounds.
     end = F.col("next") == F.col("face")
-    state = staged(named.select("id", F.when(end, F.col("id")).otherwise(F.col("next")).alias("to"), F.when(end, 0).otherwise(1).cast("long").alias("d")), "steps")
+    state = staged(named.select("id", "face", F.when(end, F.col("id")).otherwise(F.col("next")).alias("to"), F.when(end, 0).otherwise(1).cast("long").alias("d")), "steps")
+    steps = None
     while True:
         ahead = state.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
-        new = staged(state.join(ahead, "to").select("id", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"), (F.col("d2") > 0).alias("moved")), "steps")
+        new = staged(state.join(ahead, "to").select("id", "face", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"), (F.col("d2") > 0).alias("moved")), "steps")
         drop(state)
-        state = new.drop("moved")
-        state._staged_path = new._staged_path
-        if not new.where("moved").head(1):
+        open_ = staged(new.where("moved").select("face").distinct(), "open")
+        shut = staged(new.join(open_, "face", "left_anti").select("id", "d"), "counted")
+        steps = shut if steps is None else steps.unionByName(shut)
+        more = bool(open_.head(1))
+        if more:
+            state = staged(new.join(open_, "face").drop("moved"), "steps")
+        drop(new, open_)
+        if not more:
             break
     size = named.groupBy("face").agg(F.count("*").alias("n"))
-    return named.join(state.select("id", "d"), "id").join(size, "face").select(*half.columns, "face", (F.col("n") - 1 - F.col("d")).alias("seq"))
+    return named.join(steps, "id").join(size, "face").select(*half.columns, "face", (F.col("n") - 1 - F.col("d")).alias("seq"))
 
 
 def outlines(found: DataFrame) -> DataFrame:

@@ -1,15 +1,19 @@
 """Exact Voronoi cells, clipped to a square, by folding bisector half-planes over near sites.
 
-A cell begins with the sites of its leaf (sitetree). It is final when each of
-its vertices has no site nearer than its own; where one has, the nearer sites of the
-leaves around that vertex cut the cell in the next round. So a cell meets few more sites than
-it has edges, whatever the layout: in a cluster, on a line, on a circle. Ring
-vertices carry the neighbour of their outgoing edge (-1: the square), so adjacency is
+Most cells are cut in tasks of a tile each, by the sites of the tiles around it, the
+nearest first, and are final when no site beyond those can reach them. What is left,
+as in clusters or along wide gaps, goes through a tree of all sites (sitetree): a cell
+is final when each of its vertices has no site nearer than its own; where one has, the
+nearer sites of the leaves around that vertex cut the cell in the next round. So a cell
+meets few more sites than it has edges, whatever the layout: in a cluster, on a line, on
+a circle. Ring vertices carry the neighbour of their outgoing edge (-1: the square), so adjacency is
 a projection.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from tessella.plans.stage import staged
 
 RING = "array<struct<x:double,y:double,e:bigint>>"
 SITES = "array<struct<site_id:bigint,sx:double,sy:double>>"
+#: Mean sites of a tile in the passes over tiles, and most of a tile that is looked at.
+TILES, CROWD = (48, 256), 2048
 
 
 def _plane(x, y, s):
@@ -49,23 +55,19 @@ def _clip(ring, s):
     return F.when(F.size(ring) == 0, ring).otherwise(cut).cast(RING)
 
 
-def cells(sites: DataFrame, size: float, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """sites (site_id, sx, sy) -> (site_id, sx, sy, ring) in the square [0, size], or in a box (x0, y0, x1, y1) of it.
-
-    Of sites on one spot the lowest id has the cell. Edges shorter than 1e-9 are dropped.
-    """
-    own = sites.groupBy("sx", "sy").agg(F.min("site_id").alias("site_id")).select("site_id", F.col("sx").cast("double").alias("sx"), F.col("sy").cast("double").alias("sy"))
-    own = staged(own)
-    x0, y0, x1, y1 = box or (0.0, 0.0, size, size)
+def _by_tree(own: DataFrame, size: float, box: tuple[float, float, float, float], todo: DataFrame, state: DataFrame) -> DataFrame:
+    """(site_id, sx, sy, ring) of the sites to do, from what state (ring, met) has of them, by the tree of all sites."""
+    x0, y0, x1, y1 = box
     square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(-1).cast("long").alias("e")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]).cast(RING)
     tree = SiteTree(own, size)
-    state = own.join(tree.mates().withColumnRenamed("sites", "add"), "site_id", "left").withColumns({"ring": square, "met": F.array(F.col("site_id"))})
+    begun = todo.join(state.select("site_id", "ring", "met"), "site_id", "left").join(tree.mates().withColumnRenamed("sites", "add"), "site_id", "left")
+    state = staged(begun.withColumns({"ring": F.coalesce("ring", square), "met": F.coalesce("met", F.array(F.col("site_id")))}), "cells")
     squared = lambda px, py, qx, qy: (px - qx) * (px - qx) + (py - qy) * (py - qy)
     done = None
     while True:
         new = F.filter(F.coalesce("add", F.array().cast(SITES)), lambda s: ~F.array_contains("met", s["site_id"]))
         planes = F.array_sort(F.transform(new, lambda s: _plane(F.col("sx"), F.col("sy"), s)))
-        cut = state.withColumn("planes", planes).withColumn("ring", F.aggregate("planes", square if done is None else F.col("ring"), _clip)).withColumn("met", F.array_union("met", F.transform("planes", lambda p: p["n"])))
+        cut = state.withColumn("planes", planes).withColumn("ring", F.aggregate("planes", F.col("ring"), _clip)).withColumn("met", F.array_union("met", F.transform("planes", lambda p: p["n"])))
         state = staged(cut.select("site_id", "sx", "sy", "ring", "met"), "cells")
         corners = state.select("site_id", "sx", "sy", "met", F.posexplode("ring").alias("at", "p")).select("site_id", "met", "at", F.col("p.x").alias("px"), F.col("p.y").alias("py"), "sx", "sy")
         # A site that the cell has met has cut it: what is nearer by a rounding error is no reason to cut again.
@@ -80,6 +82,107 @@ def cells(sites: DataFrame, size: float, box: tuple[float, float, float, float]
             break
         state = state.join(more, "site_id")
 
+    return done
+
+
+def _near(todo: DataFrame, sites: DataFrame, size: float, parts: int, box: tuple[float, float, float, float]) -> DataFrame:
+    """(site_id, sx, sy, ring, met, sure) of the sites to do, each cell cut by the sites of its own and the eight tiles around it, the nearest first.
+
+    A cell is sure if all sites within twice the way to its farthest vertex were
+    among them. Tiles with more than CROWD sites take part in nothing; cells beside
+    them are not sure, those in them have no row.
+    """
+    at = lambda c: F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(F.col(c) * (parts / size)))).cast("long")
+    own = F.lit(True)
+    tiled = sites.select("site_id", "sx", "sy", at("sx").alias("tx"), at("sy").alias("ty"))
+    if todo is not sites:
+        tiled, own = tiled.join(todo.select("site_id", own.alias("own")), "site_id", "left"), F.coalesce("own", F.lit(False))
+    tiled = tiled.withColumn("own", own)
+    full = staged(tiled.groupBy("tx", "ty").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("tx", "ty"), "crowded")
+    # Crowded tiles are told to their neighbours as one row without a site.
+    tiled = tiled.join(full, ["tx", "ty"], "left_anti").unionByName(full, allowMissingColumns=True)
+    steps = F.explode(F.array(*[F.struct((F.col("tx") + i).alias("ox"), (F.col("ty") + j).alias("oy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
+    here = F.col("own") & (F.col("tx") == F.col("ox")) & (F.col("ty") == F.col("oy"))
+    asked = tiled.select("*", steps).select("site_id", "sx", "sy", "own", "tx", "ty", "o.ox", "o.oy").select("ox", "oy", "site_id", "sx", "sy", here.alias("own"))
+    if todo is not sites:
+        asked = asked.join(tiled.where("own").select(F.col("tx").alias("ox"), F.col("ty").alias("oy")).distinct(), ["ox", "oy"])
+    side, corners, infinite = size / parts, [(float(x), float(y), -1) for x, y in ((box[0], box[1]), (box[2], box[1]), (box[2], box[3]), (box[0], box[3]))], float("inf")
+
+    def cut(key, table):
+        from itertools import chain
+
+        import numpy as np
+        import pyarrow as pa
+
+        ox, oy = (k.as_py() for k in key)
+        whole = not table.column("site_id").null_count
+        table = table.filter(table.column("site_id").is_valid())
+        ids, sx, sy, own = (table.column(c).to_numpy() for c in ("site_id", "sx", "sy", "own"))
+        # Beyond the tiles at the rim there are no sites.
+        lo_x, hi_x = ((ox - 1) * side if ox > 1 else -infinite), ((ox + 2) * side if ox + 2 < parts else infinite)
+        lo_y, hi_y = ((oy - 1) * side if oy > 1 else -infinite), ((oy + 2) * side if oy + 2 < parts else infinite)
+        out = []
+        for k in np.flatnonzero(own):
+            x, y = float(sx[k]), float(sy[k])
+            a, b = sx - x, sy - y
+            far = a * a + b * b
+            c = (sx * sx + sy * sy - x * x - y * y) / 2
+            order = np.lexsort((ids, far))
+            ring, met = list(corners), [int(ids[k])]
+            reach = max((p - x) * (p - x) + (q - y) * (q - y) for p, q, _ in ring)
+            for i, d, u, v, w in chain.from_iterable(zip(*(t[order[at : at + 32]].tolist() for t in (ids, far, a, b, c))) for at in range(0, len(order), 32)):
+                if not ring or d > 4.000001 * reach:
+                    break
+                if d == 0:
+                    continue  # itself
+                met.append(i)
+                off = [u * p + v * q - w for p, q, _ in ring]
+                if max(off) <= 0:
+                    continue
+                new, n = [], len(ring)
+                for j, (p, q, e) in enumerate(ring):
+                    p2, q2, _ = ring[(j + 1) % n]
+                    inner, after = off[j] <= 0, off[(j + 1) % n] <= 0
+                    if inner:
+                        new.append((p, q, e))
+                    if inner != after:
+                        run = u * (p2 - p) + v * (q2 - q)
+                        t = (w - u * p - v * q) / run if run else 0.0
+                        new.append((p + t * (p2 - p), q + t * (q2 - q), i if inner else e))
+                ring = new
+                reach = max(((p - x) * (p - x) + (q - y) * (q - y) for p, q, _ in ring), default=0.0)
+            clear = min(x - lo_x, hi_x - x, y - lo_y, hi_y - y)
+            sure = not ring or (whole and (clear == infinite or (clear > 0 and 4.000001 * reach < clear * clear)))
+            out.append((int(ids[k]), x, y, [{"x": p, "y": q, "e": e} for p, q, e in ring], met, sure))
+        columns = list(zip(*out)) or [[]] * 6
+        point = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("e", pa.int64())])
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.list_(point), pa.list_(pa.int64()), pa.bool_())
+        return pa.table({n: pa.array(list(v), t) for n, v, t in zip(("site_id", "sx", "sy", "ring", "met", "sure"), columns, kinds)})
+
+    return asked.groupBy("ox", "oy").applyInArrow(cut, f"site_id bigint, sx double, sy double, ring {RING}, met array<bigint>, sure boolean")
+
+
+def cells(sites: DataFrame, size: float, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """sites (site_id, sx, sy) -> (site_id, sx, sy, ring) in the square [0, size], or in a box (x0, y0, x1, y1) of it.
+
+    Of sites on one spot the lowest id has the cell. Edges shorter than 1e-9 are dropped.
+    """
+    own = sites.groupBy("sx", "sy").agg(F.min("site_id").alias("site_id")).select("site_id", F.col("sx").cast("double").alias("sx"), F.col("sy").cast("double").alias("sy"))
+    own = staged(own)
+    box = tuple(map(float, box or (0.0, 0.0, size, size)))
+    todo, done, state = own, None, None
+    for per in TILES:
+        found = staged(_near(todo, own, size, max(1, math.ceil(math.sqrt(own.count() / per))), box), "near")
+        good = found.where("sure").select("site_id", "sx", "sy", "ring")
+        done = good if done is None else done.unionByName(good)
+        todo = own.join(done.select("site_id"), "site_id", "left_anti")
+        state = found if state is None else state.join(found.select("site_id"), "site_id", "left_anti").unionByName(found)
+        if not todo.head(1):
+            break
+    else:
+        # Crowded places, and cells that reach farther than the tiles around them.
+        done = done.unionByName(_by_tree(own, size, box, todo, state))
+
     def long_enough(p, i):
         q = F.get(F.col("ring"), (i + 1) % F.size("ring"))
         return F.hypot(q["x"] - p["x"], q["y"] - p["y"]) > 1e-9

@@ -370,6 +370,22 @@ def test_sites_in_a_row_and_on_a_circle(spark):
         assert {r.id: (r.best.d, r.best.site_id) for r in got} == want and all(r.closer for r in got)
 
 
+def test_cells_by_tiles_and_by_tree(spark, monkeypatch):
+    """Even sites need no tree; with tiles too small or too full for some cells, the tree gives the same cells."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, rng.uniform(0, 100), rng.uniform(0, 100)) for k in range(150)] + [(150 + k, rng.uniform(70, 71), rng.uniform(20, 21)) for k in range(30)]
+    sites = spark.createDataFrame(rows, "site_id bigint, sx double, sy double")
+    found = lambda: {r.site_id: ({(round(p.x, 6), round(p.y, 6)) for p in r.ring}, {p.e for p in r.ring}) for r in voronoi.cells(sites, 100.0).collect()}
+    monkeypatch.setattr(voronoi, "CROWD", 12)
+    monkeypatch.setattr(voronoi, "TILES", (2, 5))
+    small = found()
+    monkeypatch.undo()
+    monkeypatch.setattr(voronoi, "SiteTree", None)
+    assert found() == small and len(small) == 180
+
+
 def test_box_pairs(spark):
     """Boxes from points to the whole extent, touching ones and some that are null or turned inside out, against all pairs."""
     import random
